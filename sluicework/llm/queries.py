@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import encode_documents
 from .common import table
+from .line_dedup import line_dedup
+from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
 
 
@@ -14,8 +17,23 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op4_byte_bpe": op4_byte_bpe,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_mix_sources": op10_mix_sources,
 }
 
 SQL: dict[str, str] = {}
@@ -37,3 +55,56 @@ WHERE overlap / (size_a + size_b - overlap) >= 0.6
 UNION ALL
 SELECT c.rep, s.doc_id, c.size, CAST(1 AS DOUBLE) FROM s JOIN c ON s.grams = c.grams WHERE s.doc_id <> c.rep
 """
+
+SQL["op9_line_dedup"] = """
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+each AS (SELECT doc_id, unnest(range(0, len(ls))) AS no, unnest(ls) AS raw FROM split),
+line AS (SELECT doc_id, no, raw, trim(raw, ' ' || chr(9) || chr(13)) AS line, doc_id * 1000000 + no AS place FROM each),
+first AS (SELECT line, min(place) AS place FROM line WHERE length(line) >= 20 GROUP BY line),
+variant AS (SELECT line, place, i, substr(line, 1, i - 1) || substr(line, i + 1) AS v
+            FROM (SELECT line, place, unnest(range(1, length(line) + 1)) AS i FROM first)),
+near AS (SELECT a.line, b.place FROM variant a JOIN variant b ON a.v = b.v AND a.i = b.i AND a.line <> b.line
+         UNION ALL SELECT a.line, b.place FROM variant a JOIN first b ON a.v = b.line
+         UNION ALL SELECT b.line, a.place FROM variant a JOIN first b ON a.v = b.line
+         UNION ALL SELECT line, place FROM first),
+earliest AS (SELECT line, min(place) AS place FROM near GROUP BY line),
+mark AS (SELECT l.doc_id, l.no, l.raw, coalesce(e.place < l.place, FALSE) AS gone FROM line l LEFT JOIN earliest e ON l.line = e.line),
+kept AS (SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY no) FILTER (NOT gone), '') AS text, count(*) AS n_lines,
+         count(*) FILTER (gone) AS n_dropped FROM mark GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN k.doc_id IS NULL THEN d.text ELSE k.text END AS text, CAST(coalesce(k.n_lines, 0) AS INT) AS n_lines,
+       CAST(coalesce(k.n_dropped, 0) AS INT) AS n_dropped
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+SQL["op10_mix_sources"] = r"""
+WITH RECURSIVE c AS (SELECT doc_id AS id, coalesce(source, '') AS source,
+    coalesce(len(regexp_extract_all(text, '[^ \t\r\n]+')), 0) AS tokens FROM documents),
+t AS (SELECT source, CAST(sum(tokens) AS BIGINT) AS total FROM c GROUP BY source),
+p AS (SELECT list(total / (SELECT sum(total) FROM t) ORDER BY source) AS p, count(*) AS n FROM t WHERE total > 0),
+entropy(step, low, high) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT step + 1, CASE WHEN good THEN mid ELSE low END, CASE WHEN good THEN high ELSE mid END FROM (
+    SELECT step, low, high, mid, list_sum([-(x ^ mid / z) * ln(x ^ mid / z) for x in p]) >= 0.9 * ln(n) - 1e-12 AS good FROM (
+      SELECT step, low, high, CASE WHEN step = 0 THEN 1 ELSE (low + high) / 2 END AS mid, p, n,
+        list_sum([x ^ (CASE WHEN step = 0 THEN 1 ELSE (low + high) / 2 END) for x in p]) AS z FROM entropy, p WHERE step <= 60 AND low < 1) )),
+e AS (SELECT max_by(low, step) AS a FROM entropy),
+epochs(step, low, high) AS (
+  SELECT 0, CAST(0 AS DOUBLE), 1 - a FROM e
+  UNION ALL
+  SELECT step + 1, CASE WHEN good THEN mid ELSE low END, CASE WHEN good THEN high ELSE mid END FROM (
+    SELECT step, low, high, mid, list_max([x ^ (1 - mid) / z / x for x in p]) <= 4 AS good FROM (
+      SELECT step, low, high, CASE WHEN step = 0 THEN high ELSE (low + high) / 2 END AS mid, p,
+        list_sum([x ^ (1 - CASE WHEN step = 0 THEN high ELSE (low + high) / 2 END) for x in p]) AS z FROM epochs, p WHERE step <= 60 AND low < high) )),
+a AS (SELECT 1 - max_by(low, step) AS a FROM epochs),
+w AS (SELECT t.source, total, CASE WHEN total = 0 THEN 0 ELSE CAST(round((total / (SELECT sum(total) FROM t)) ^ a.a / (SELECT list_sum([x ^ a.a for x in p]) FROM p) * 1e9) AS BIGINT) END AS weight FROM t, a),
+b AS (SELECT source, total, CAST(((SELECT sum(total) FROM t) * weight + 500000000) // 1000000000 AS BIGINT) AS budget FROM w),
+q AS (SELECT *, CASE WHEN total = 0 THEN 0 ELSE budget // total END AS whole, CASE WHEN total = 0 THEN 0 ELSE budget % total END AS rest FROM b),
+r AS (SELECT c.source, c.id, c.tokens, unnest(range(0, q.whole + 1)) AS epoch, q.whole, q.rest, q.total, q.budget FROM c JOIN q ON c.source = q.source),
+k AS (SELECT *, md5('17:' || epoch || ':' || coalesce(CAST(id AS VARCHAR), '')) AS key FROM r),
+s AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source, epoch ORDER BY key, id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k),
+m AS (SELECT * FROM s WHERE epoch < whole OR (rest > 0 AND before < rest)),
+n AS (SELECT greatest(1, (sum(budget) + 999999) // 1000000) AS blocks FROM q),
+o AS (SELECT m.*, CAST(least(CASE WHEN budget > 0 THEN ((epoch * total + before) * blocks) // budget ELSE 0 END, blocks - 1) AS BIGINT) AS block FROM m, n)
+SELECT id AS doc_id, source, tokens, epoch, block, row_number() OVER (PARTITION BY block ORDER BY key, source, id, epoch, tokens) AS place FROM o
+"""
