@@ -1,4 +1,55 @@
-STAGES = []
+"""The corpus pipeline: toxicity, line dedup, near duplicates, source mixing, byte-level BPE.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame, which is written
+as Parquet and reread as the next stage's docs. All but the last return the columns of documents. No SQL is given: the
+toxicity model, the edit-distance join and the encoding can't be expressed on whole tables, so the pipeline is tested
+against brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from sluicework.llm import bpe, common, line_dedup, mixing, ngram_jaccard, toxicity
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects toxic documents."""
+    return toxicity.clean_only(spark, docs, sf_dir)
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines with an earlier near-equal line, and documents that have nothing left after it."""
+    return line_dedup.without_repeats(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each group of near duplicates."""
+    return ngram_jaccard.near_duplicates(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and leaves out documents so that the sources have their target weights."""
+    return mixing.mixed(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the tokens of each text."""
+    return bpe.encode_documents(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_dedup_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("mixing", mixing_stage),
+    ("byte_bpe", encoding_stage),
+]
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
