@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import url_filter
+from .ann import nearest_neighbours
 from .bpe import encode_documents
 from .common import table
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .ngram_jaccard import ngram_jaccard_join
+from .secrets import scan_secrets
 from .toxicity import fit, score_toxicity
 
 
@@ -18,6 +21,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -27,6 +38,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), keep=["page_id"])
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -37,8 +52,11 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_secrets": op2_secrets,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_toxicity": op5_toxicity,
+    "op8_url_filter": op8_url_filter,
     "op9_line_dedup": op9_line_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
@@ -63,6 +81,8 @@ UNION ALL
 SELECT c.rep, s.doc_id, c.size, CAST(1 AS DOUBLE) FROM s JOIN c ON s.grams = c.grams WHERE s.doc_id <> c.rep
 """
 
+SQL["op8_url_filter"] = url_filter.oracle()
+
 SQL["op9_line_dedup"] = """
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 each AS (SELECT doc_id, unnest(range(0, len(ls))) AS no, unnest(ls) AS raw FROM split),
