@@ -5,8 +5,9 @@ sketch over the whole corpus, ties by hash) is cut into fragments of equal mass.
 fragment on its own and summed per pair. Two lossless filters keep the fragments small:
 
 * texts with equal n-gram sets are one class, joined through its smallest id only;
-* sets with Jaccard >= t share an n-gram among the first ``len - ceil(t * len) + 1`` of the global order, so only texts
-  with such a common prefix gram and a matching length enter the fragments.
+* sets with Jaccard >= t share an n-gram among the first ``len - ceil(t * len) + 1`` of the global order, and the number
+  of such shared prefix grams with what is left behind the prefixes bounds the overlap; only pairs whose bound
+  reaches the overlap they need enter the fragments.
 
 Shuffles carry packed blocks (about 7 bytes a posting), never one row per n-gram; the only broadcast is the rank of
 the sketch's buckets, whose size is fixed.
@@ -30,6 +31,8 @@ N = 3
 THRESHOLD = 0.6
 FRAGMENTS = 4
 SKETCH_BITS = 20
+_SEGMENT = "grp long, fragment int, id long, size int, grams binary"
+_PARTIAL = "grp long, a long, b long, overlap long, size_a long, size_b long"
 _CHUNKS = 64
 _FLUSH = 2_000_000
 _LOW = np.uint64(64 - SKETCH_BITS)
@@ -126,12 +129,7 @@ def _postings(n: int, t: float, parts: int, rank):
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], schema=schema)
 
         for batch in batches:
-            ids, wanted = batch.column(0).to_pylist(), _wanted(batch)
-            # the key belongs to the unrelabelled set, so it is only made for the rare ids with several texts
-            keyed = {r for r, w in enumerate(wanted) if w}
-            drop = {r for r, w in enumerate(wanted) if w == b""}
-            if keyed:
-                drop |= {r for r, own in K.gram_sets(batch.column(1), n) if r in keyed and _set_key(own) != wanted[r]}
+            ids, drop = batch.column(0).to_pylist(), _left_out(batch, n)
             for r, own in K.gram_sets(batch.column(1), n, relabel):
                 if r in drop:
                     continue
@@ -147,40 +145,49 @@ def _postings(n: int, t: float, parts: int, rank):
     return run
 
 
-def _pairs_of(h: np.ndarray, ids: np.ndarray, lens: np.ndarray, pos: np.ndarray, t: float) -> Iterator[np.ndarray]:
-    """Distinct (small id, large id) of postings that share a hash and pass the length and position filters."""
+def _pairs_of(h: np.ndarray, ids: np.ndarray, lens: np.ndarray, pos: np.ndarray, t: float) -> Iterator[list[np.ndarray]]:
+    """Folded pairs of postings that share a hash and pass the length filter."""
     order = np.lexsort((lens, h))
     h = h[order]
     same = np.zeros(len(h) + 1, bool)
     same[1:-1] = h[1:] == h[:-1]
     keep = same[1:] | same[:-1]
     order, h = order[keep], h[keep]
-    ids, lens, pos = ids[order], lens[order].astype(np.int64), pos[order].astype(np.int64)
+    ids, lens = ids[order], lens[order].astype(np.int64)
+    rest = lens - pos[order].astype(np.int64) * lens // 256 - 1
+    behind = np.ceil(t * lens - 1e-9).astype(np.int64) - 1  # grams behind the prefix
     key = (h.astype(np.uint64) << np.uint64(32)) | lens.astype(np.uint64)
     most = np.minimum(np.floor(lens / t + 1e-9), 2**32 - 1).astype(np.uint64)
     until = np.searchsorted(key, (h.astype(np.uint64) << np.uint64(32)) | most, "right")
     many = until - np.arange(len(h)) - 1
     edge, at = np.concatenate(([0], np.cumsum(many))), 0
     while at < len(h):
-        to = max(at + 1, int(np.searchsorted(edge, edge[at] + 2_000_000, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(edge, edge[at] + 300_000, "right")) - 1)
         c = many[at:to]
         a = np.repeat(np.arange(at, to), c)
         b = a + 1 + np.arange(len(a)) - np.repeat(edge[at:to] - edge[at], c)
         at = to
-        pa_, pb = pos[a] * lens[a] // 256, pos[b] * lens[b] // 256
-        need = np.ceil(t / (1 + t) * (lens[a] + lens[b]) - 1e-6)
-        ok = (1 + np.minimum(lens[a] - pa_ - 1, lens[b] - pb - 1) >= need) & (ids[a] != ids[b])
-        x, y = ids[a[ok]], ids[b[ok]]
-        yield _distinct(np.minimum(x, y), np.maximum(x, y))
-
-
-def _distinct(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Distinct pairs, in order, as an array of two rows."""
+        ok = ids[a] != ids[b]
+        a, b = a[ok], b[ok]
+        left = np.minimum(rest[a], rest[b])
+        need = np.ceil(t / (1 + t) * (lens[a] + lens[b]) - 1e-6).astype(np.int64)
+        low = np.minimum(left, np.maximum(behind[a], behind[b]))
+        yield _fold(np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), np.ones(len(a), np.int64), low, left, need)
+
+
+def _fold(x: np.ndarray, y: np.ndarray, count: np.ndarray, low: np.ndarray, high: np.ndarray, need: np.ndarray) -> list[np.ndarray]:
+    """One row by pair: shared prefix grams, what can still be common behind the last and the first of them, overlap needed."""
+    if not len(x):
+        return [x, y, count, low, high, need]
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
     new = np.ones(len(x), bool)
     new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    return np.stack([x[new], y[new]])
+    at = np.flatnonzero(new)
+    return [x[at], y[at], np.add.reduceat(count[order], at), np.minimum.reduceat(low[order], at), np.maximum.reduceat(high[order], at), need[order][at]]
+
+
+_PAIR = ("i8", "i8", "u4", "u4", "u4", "u4")
 
 
 def _candidates(t: float, parts: int):
@@ -195,20 +202,20 @@ def _candidates(t: float, parts: int):
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            x, y = _distinct(*np.concatenate(held, axis=1))
-            part = (K.mix(x.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            pairs = _fold(*(np.concatenate(c) for c in zip(*held)))
+            part = (K.mix(pairs[0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
             edge = np.searchsorted(part[order], np.arange(parts + 1))
-            out = [(p, K.pack(x[o], y[o])) for p in range(parts) if len(o := order[edge[p] : edge[p + 1]])]
+            out = [(p, K.pack(*(c[o].astype(k) for c, k in zip(pairs, _PAIR)))) for p in range(parts) if len(o := order[edge[p] : edge[p + 1]])]
             return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], schema=schema)
 
         for found in _pairs_of(h, ids, lens, pos, t):
             held.append(found)
-            size += found.shape[1]
-            if size > 4_000_000:
-                held = [_distinct(*np.concatenate(held, axis=1))]
-                size = held[0].shape[1]
-                if size > 3_000_000:
+            size += len(found[0])
+            if size > 800_000:
+                held = [_fold(*(np.concatenate(c) for c in zip(*held)))]
+                size = len(held[0][0])
+                if size > 400_000:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -218,14 +225,41 @@ def _candidates(t: float, parts: int):
 
 
 def _merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    blocks = [K.unpack(b, "i8", "i8") for batch in batches for b in batch.column(1).to_pylist()]
-    if not blocks:
+    """Pairs that can reach the overlap they need.
+
+    The common grams up to the earlier end of the two prefixes are all in both, so they are counted. The others are
+    behind the last shared one, in either set, and behind the prefix of the set that ends earlier.
+    """
+    held, size = [], 0
+    for batch in batches:
+        for b in batch.column(1).to_pylist():
+            held.append([c.astype(np.int64) for c in K.unpack(b, *_PAIR)])
+            size += len(held[-1][0])
+            if size > 800_000:
+                held = [_fold(*(np.concatenate(c) for c in zip(*held)))]
+                size = len(held[0][0])
+    if not held:
         return
-    x, y = _distinct(np.concatenate([b[0] for b in blocks]), np.concatenate([b[1] for b in blocks]))
+    x, y, count, low, high, need = _fold(*(np.concatenate(c) for c in zip(*held)))
+    ok = (count + low >= need) & (high + 1 >= need)
+    x, y = x[ok], y[ok]
     for i in range(0, len(x), 500_000):
         yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 500_000]), pa.array(y[i : i + 500_000])], names=["a", "b"])
 
 
+def _left_out(batch: pa.RecordBatch, n: int) -> set[int]:
+    """Rows of a batch that the marks leave out: those marked b'', and texts of an id that aren't the one that counts.
+
+    The key belongs to the unrelabelled set, so it is only made for the rare ids with several texts.
+    """
+    wanted = _wanted(batch)
+    drop = {r for r, w in enumerate(wanted) if w == b""}
+    keyed = {r for r, w in enumerate(wanted) if w}
+    if keyed:
+        drop |= {r for r, own in K.gram_sets(batch.column(1), n) if r in keyed and _set_key(own) != wanted[r]}
+    return drop
+
+
 def _segments(n: int, rank, cuts):
     """Pass 3: the part of every candidate's set that lies in each fragment, once per group it is compared in."""
     names = ["grp", "fragment", "id", "size", "grams"]
@@ -235,11 +269,8 @@ def _segments(n: int, rank, cuts):
         relabel = _relabel(rank.value)
         bounds = (cuts + np.uint64(1)) << _LOW
         for batch in batches:
-            ids, wanted, groups = batch.column(0).to_pylist(), _wanted(batch), batch.column(3).to_pylist()
-            keyed = {r for r, w in enumerate(wanted) if w}
-            drop = {r for r, w in enumerate(wanted) if w == b""}
-            if keyed:
-                drop |= {r for r, own in K.gram_sets(batch.column(1), n) if r in keyed and _set_key(own) != wanted[r]}
+            ids, groups = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            drop = _left_out(batch, n)
             rows: list[tuple] = []
             for r, own in K.gram_sets(batch.column(1), n, relabel):
                 if r in drop:
@@ -371,18 +402,25 @@ def ngram_jaccard_join(
     found = postings.repartition(parts, "part").mapInArrow(_candidates(threshold, parts), "part int, block binary")
     pairs = save(found.repartition(parts, "part").mapInArrow(_merge_pairs, "a long, b long"), "jaccard-candidates")
 
-    # a group is the smallest candidate partner: the copies of one text meet in one group and are sent there once
-    least = pairs.groupBy("b").agg(F.min("a").alias("least")).withColumnRenamed("b", "a")
-    grouped = pairs.join(least, "a", "left").withColumn("grp", F.coalesce("least", "a"))
-    needed = grouped.select("grp", F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.collect_set("grp").alias("groups"))
-    segments = marked.join(small_enough(save(needed, "jaccard-needed")), "id").mapInArrow(_segments(n, rank, cuts), "grp long, fragment int, id long, size int, grams binary")
-    partial = segments.repartition(parts, "grp", "fragment").sortWithinPartitions("grp", "fragment").mapInArrow(_count(threshold), "grp long, a long, b long, overlap long, size_a long, size_b long")
+    segments = marked.join(small_enough(_groups(pairs)), "id").mapInArrow(_segments(n, rank, cuts), _SEGMENT)
+    partial = segments.repartition(parts, "grp", "fragment").sortWithinPartitions("grp", "fragment").mapInArrow(_count(threshold), _PARTIAL)
     # a pair may be met in several groups, each time in all fragments: sum by group, then take one of the equal sums
     summed = partial.groupBy("a", "b", "size_a", "size_b", "grp").agg(F.sum("overlap").alias("total")).where(F.col("total") >= threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-6)
     summed = summed.groupBy("a", "b", "size_a", "size_b").agg(F.max("total").alias("total"))
     return _finish(summed, marks, threshold)
 
 
+def _groups(pairs: DataFrame) -> DataFrame:
+    """(id, groups): where the sets of pairs (a, b) meet.
+
+    A group is the smallest candidate partner: the copies of one text meet in one group and are sent there once.
+    """
+    least = pairs.groupBy("b").agg(F.min("a").alias("least")).withColumnRenamed("b", "a")
+    grouped = pairs.join(least, "a", "left").withColumn("grp", F.coalesce("least", "a"))
+    needed = grouped.select("grp", F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.collect_set("grp").alias("groups"))
+    return save(needed, "jaccard-needed")
+
+
 def _finish(summed: DataFrame, marks: DataFrame, t: float) -> DataFrame:
     jaccard = F.col("total") / (F.col("size_a") + F.col("size_b") - F.col("total"))
     near = summed.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.col("total").alias("overlap"), jaccard.alias("jaccard")).where(F.col("jaccard") >= t)
