@@ -219,7 +219,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = seen.join(small_enough(limit), "h").where(place > F.col("limit")).groupBy("__id").agg(F.collect_set("no").alias("__gone"))
     gone = save(gone, "lines-gone")
 
-    out = docs.join(small_enough(gone, 50_000), docs[id_col] == gone["__id"], "left")
+    # texts meet their line numbers by a shuffle at every size: as many rows as documents have gone lines
+    out = docs.join(gone.hint("shuffle_merge"), docs[id_col] == gone["__id"], "left")
     lines, text = _lines(F.col(text_col)), F.col(text_col)
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone"), lambda i: F.element_at(lines, i + 1)), "\n")
     return out.select(
