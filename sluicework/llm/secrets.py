@@ -92,6 +92,7 @@ def _scan(shared, min_chars: int, max_ratio: float):
                 own, edge = body[at[i] : at[j]], at[i : j + 1] - at[i]
                 rows, out = [], []
                 for a, b, r in zip(*(x.tolist() for x in candidates(own, edge, min_chars))):
+                    a += own[a:b].tobytes().rstrip(b"=").rfind(b"=") + 1  # of name=value, the value
                     word = own[a:b].tobytes().decode().strip("=-/+_")
                     if len(word) < min_chars:
                         continue
@@ -113,8 +114,8 @@ def _scan(shared, min_chars: int, max_ratio: float):
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, max_ratio: float = MAX_RATIO, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, start, secret, n_tokens, ratio): every random string of the texts, with its offset in characters.
 
-    A candidate is a run of letters, digits and ``_-+/=`` (the last five stripped from its ends) of at least
-    ``min_chars`` characters, with a letter and a digit. UUIDs, numbers, strings under a digest's name and hexadecimal
+    A candidate is a run of letters, digits and ``_-+/=`` (the last five stripped from its ends, and what stands before
+    an inner equals sign) of at least ``min_chars`` characters, with a letter and a digit. UUIDs, numbers, strings under a digest's name and hexadecimal
     strings of a digest's length are excluded, unless they are assigned to a name such as token or password.
 
     Null and empty texts have none. Texts of any length are read whole. Rows with a null id are reported with it;
