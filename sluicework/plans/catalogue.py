@@ -42,13 +42,17 @@ def q_ruleset_version(t):
 
 # paths
 
-_PATH = F.regexp_extract("url", r"^[a-z]+://[^/]+/([^?#]*)", 1)
+
+def _path():
+    return F.regexp_extract("url", r"^[a-z]+://[^/]+/([^?#]*)", 1).alias("path")
+
+
 _SQL_PATH = "regexp_extract(url, '^[a-z]+://[^/]+/([^?#]*)', 1)"
 
 
 @query(f"SELECT page_id, path FROM (SELECT page_id, {_SQL_PATH} AS path FROM pages) WHERE len(string_split(path, '/')) > 1 AND string_split(path, '/')[1] IN ('en', 'fr')")
 def q_scope_filter(t):
-    return t("pages").select("page_id", _PATH.alias("path")).where(P.in_dirs(F.col("path"), ("en", "fr")))
+    return t("pages").select("page_id", _path()).where(P.in_dirs(F.col("path"), ("en", "fr")))
 
 
 @query(
@@ -57,7 +61,7 @@ FROM (SELECT page_id, path, string_split(path, '/')[-1] AS name FROM (SELECT pag
 )
 def q_generated_predicate(t):
     made = P.generated(F.col("path"), ("7.html", "9"), "4", ".html")
-    return t("pages").select("page_id", _PATH.alias("path")).withColumn("is_generated", made)
+    return t("pages").select("page_id", _path()).withColumn("is_generated", made)
 
 
 GLOBS = ("en/7*", "fr/**", "**/9*.html", "{de,es}/?1*")
@@ -69,7 +73,7 @@ GLOBS = ("en/7*", "fr/**", "**/9*.html", "{de,es}/?1*")
     + ")"
 )
 def q_glob_suppress(t):
-    return t("pages").select("page_id", _PATH.alias("path")).where(~P.matches_any(F.col("path"), GLOBS))
+    return t("pages").select("page_id", _path()).where(~P.matches_any(F.col("path"), GLOBS))
 
 
 @query(
@@ -78,7 +82,7 @@ WHERE NOT (starts_with(path, 'en/') AND NOT starts_with(path, 'en/1'))"""
 )
 def q_publishable(t):
     p = F.col("path")
-    return t("pages").select("page_id", _PATH.alias("path")).where(~(p.startswith("en/") & ~p.startswith("en/1")))
+    return t("pages").select("page_id", _path()).where(~(p.startswith("en/") & ~p.startswith("en/1")))
 
 
 # lines and order
@@ -340,18 +344,22 @@ def q_gate_absolute(t):
 
 # reports
 
-_SEVERITY = F.when(F.col("event_type") == "error", "error").when(F.col("event_type").isin("purchase", "signup"), "warning").otherwise("info")
+
+def _severity():
+    return F.when(F.col("event_type") == "error", "error").when(F.col("event_type").isin("purchase", "signup"), "warning").otherwise("info")
+
+
 _SQL_SEVERITY = "CASE WHEN event_type = 'error' THEN 'error' WHEN event_type IN ('purchase', 'signup') THEN 'warning' ELSE 'info' END"
 
 
 @query(f"SELECT count(*) AS total, count(*) FILTER (s = 'error') AS error, count(*) FILTER (s = 'warning') AS warning, count(*) FILTER (s = 'info') AS info FROM (SELECT {_SQL_SEVERITY} AS s FROM events)")
 def q_severity_summary(t):
-    return report.severity_summary(t("events").withColumn("severity", _SEVERITY))
+    return report.severity_summary(t("events").withColumn("severity", _severity()))
 
 
 @query(f"SELECT event_id, CASE s WHEN 'info' THEN 'note' ELSE s END AS level FROM (SELECT event_id, {_SQL_SEVERITY} AS s FROM events)")
 def q_sarif_levels(t):
-    return t("events").select("event_id", report.sarif_level(_SEVERITY).alias("level"))
+    return t("events").select("event_id", report.sarif_level(_severity()).alias("level"))
 
 
 @query("SELECT event_type, row_number() OVER (ORDER BY min((ts, event_id))) - 1 AS rule_index FROM events GROUP BY event_type")
@@ -365,16 +373,14 @@ def q_scan_stats(t):
     return t("documents").agg(F.count("*").alias("files"), F.count_if(F.col("lang") == "en").alias("lib_files"), F.sum(count).alias("lines"), F.sum("n_chars").alias("chars"))
 
 
-_CELL = F.concat(F.lit("| "), F.col("line").cast("string"), F.lit(" | "), report.escape_cell(F.col("text")), F.lit(" |"))
-
-
 @query(
     r"""SELECT conv_id, count(*) AS n, string_agg('| ' || turn || ' | ' || replace(replace(text, '|', '\|'), chr(10), ' ') || ' |', chr(10) ORDER BY turn, text) AS text
 FROM conversations WHERE text IS NOT NULL GROUP BY conv_id"""
 )
 def q_markdown_tables(t):
     rows = t("conversations").where("text is not null").select("conv_id", F.col("turn").alias("line"), "text")
-    return report.grouped_text(rows, "conv_id", ["line"], _CELL)
+    cell = F.concat(F.lit("| "), F.col("line").cast("string"), F.lit(" | "), report.escape_cell(F.col("text")), F.lit(" |"))
+    return report.grouped_text(rows, "conv_id", ["line"], cell)
 
 
 @query(
@@ -406,7 +412,7 @@ def q_total_order(t):
     """SELECT to_json({'ruleId': event_type, 'level': s, 'line': event_id}) AS finding FROM (SELECT event_type, event_id, """ + _SQL_SEVERITY + """ AS s FROM events)"""
 )
 def q_json_findings(t):
-    rows = t("events").select(F.col("event_type").alias("ruleId"), _SEVERITY.alias("level"), F.col("event_id").alias("line"))
+    rows = t("events").select(F.col("event_type").alias("ruleId"), _severity().alias("level"), F.col("event_id").alias("line"))
     return rows.select(F.to_json(F.struct("ruleId", "level", "line"), {"ignoreNullFields": "false"}).alias("finding"))
 
 
