@@ -190,12 +190,13 @@ def _equal_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(x[order][new].view(np.int64)), pa.array(y[order][new].view(np.int64))], names=["x", "y"])
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """docs with each line dropped that has an earlier line within one edit anywhere in the table.
 
     Lines are the pieces between newlines, compared without the blanks around them; earlier means a smaller
-    (id, line number). A line of fewer than ``min_chars`` characters is always kept. A line goes if an earlier one is
-    within one insertion, deletion or substitution of it, whether or not that one stays itself. Adds ``n_lines`` and
+    (id, line number). A line of fewer than ``min_chars`` characters is always kept, unless ``exact_chars`` is given: then
+    one of at least that many goes if an earlier one equals it. A longer line goes if an earlier one is within one
+    insertion, deletion or substitution of it, whether or not that one stays itself. Adds ``n_lines`` and
     ``n_dropped``, which replace columns of docs with these names; other columns stay.
 
     A null text stays null with 0 lines; rows with a null id stay as they are. Rows repeated under one id tie, so they
@@ -209,9 +210,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     live = save(keys.repartition(parts, "part").mapInArrow(_survivors, "h long").distinct(), "lines-live")
 
     each = src.select("__id", F.posexplode(_lines(F.col("__text"))).alias("no", "raw"))
-    each = each.select("__id", "no", F.btrim("raw", F.lit(_TRIM)).alias("line")).where(F.length("line") >= min_chars).withColumn("h", F.xxhash64("line"))
+    least = min_chars if exact_chars is None else min(min_chars, exact_chars)
+    each = each.select("__id", "no", F.btrim("raw", F.lit(_TRIM)).alias("line")).where(F.length("line") >= least).withColumn("h", F.xxhash64("line"))
     place = F.struct(F.col("__id"), F.col("no"))
-    near = _near(each.join(small_enough(live), "h", "left_semi").groupBy("h").agg(F.min(place).alias("first"), F.min("line").alias("line")), parts)
+    near = _near(each.where(F.length("line") >= min_chars).join(small_enough(live), "h", "left_semi").groupBy("h").agg(F.min(place).alias("first"), F.min("line").alias("line")), parts)
 
     seen = each.select("__id", "no", "h")
     first = seen.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("times")).join(near, "h", "left")

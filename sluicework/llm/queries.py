@@ -57,6 +57,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_line_dedup_any_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9_line_dedup that also drops equal lines below the length bound of near matches."""
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), exact_chars=1)
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_url_filter": op8_url_filter,
     "op9_line_dedup": op9_line_dedup,
+    "op9_line_dedup_any_length": op9_line_dedup_any_length,
     "op10_mix_sources": op10_mix_sources,
 }
 

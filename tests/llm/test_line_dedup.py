@@ -66,3 +66,10 @@ def test_odd_rows(odd, none):
     assert kept.columns == odd.columns
     ids = [r.doc_id for r in kept.collect()]
     assert 1 in ids and 2 not in ids and None in ids and 4 in ids and 5 in ids
+
+
+def test_short_lines_go_when_equal(spark):
+    rows = [(1, "ok\n\n yes\nthe line number zero of them all"), (2, "yes\nyez\n\nok \nthe line number zero of them al"), (3, "ok"), (4, "yes\n19 characters long!")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup(docs, exact_chars=1).collect()}
+    assert got == {1: (rows[0][1], 4, 0), 2: ("yez\n", 5, 3), 3: ("", 1, 1), 4: ("19 characters long!", 2, 1)}
