@@ -32,11 +32,14 @@ MIN_TOXIC_TEXTS = 3
 MIN_WEIGHT = 2.0
 MIN_ASSOCIATION = 16.0
 REMEMBERED = 200_000
-LONGEST = 40
+#: Longer tokens are decoded each time they occur.
+REMEMBERED_CHARS = 64
 
 _LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "*": "aeiouy", "#": "aeiouy"}
 _COST = {c: math.log(0.2 / len(v)) for c, v in _LOOKS.items()}
-_REPEAT, _GAP = math.log(0.25), math.log(0.25)
+_REPEAT, _GAP, _BREAK = math.log(0.25), math.log(0.25), math.log(0.25)
+_UNKNOWN = math.log(1e-3)
+_GAPS = " .-_*"
 #: Letters of lower-cased text: a-z and what is above U+00BF, but for the punctuation and symbol blocks and U+10000 up.
 _L = "a-z\u00c0-\u1fff\u2c00-\u2fff\u3040-\ud7ff\ue000-\uffff"
 _WORD = re.compile(f"[{_L}]+")
@@ -44,6 +47,7 @@ _WORD = re.compile(f"[{_L}]+")
 _SUSPECT = re.compile(f"[{_L}][0-9@$!|+*#]+[{_L}]|(?<![{_L}0-9])[013457@$!|+]+[{_L}]|[{_L}][013457]+(?![{_L}0-9])|([{_L}])\\1\\1")
 # single characters with the same gap between them
 _GAPPED = re.compile(f"(?<![{_L}0-9])[{_L}0-9@$!]([ .\\-_*])[{_L}0-9@$!](?:\\1[{_L}0-9@$!]){{2,}}(?![{_L}0-9])")
+_THRICE = re.compile(r"(.)\1\1", re.S)
 _SIDE = re.compile(f"[{_L}0-9@$!|+*#]")
 _INNER = re.compile(f"[{_L}0-9]")
 
@@ -86,23 +90,56 @@ class CharacterModel:
         self.three = {k: v / context3[k[:2]] for k, v in self.three.items()}
         self.two = {k: v / context2[k[0]] for k, v in self.two.items()}
         self.one = {k: v / total for k, v in self.one.items()}
+        self.known: dict[str, float] = {}
+        mass = sum(words.values()) or 1.0
+        self.word = {w: math.log(n / mass) for w, n in words.items()}
+        self.sizes = sorted({len(w) for w in words})
 
     def __call__(self, before: str, c: str) -> float:
+        value = self.known.get(before + c)
+        if value is None:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            value = self.known[before + c] = self._log(before, c)
+        return value
+
+    def split(self, run: str) -> list[str]:
+        """The likeliest words of letters whose blanks are lost: known ones, and unknown stretches between them."""
+        closed, opened = [(0.0, 0)], [(-math.inf, 0)]  # score, start of the last word
+        for i, c in enumerate(run, 1):
+            start = max((opened[-1][0], opened[-1][1]), (closed[-1][0] + _UNKNOWN, i - 1), key=lambda x: x[0])
+            opened.append((start[0] + math.log(self.one.get(c, 0.0) + 1e-6), start[1]))
+            best = opened[-1]
+            for n in self.sizes:
+                if n > i:
+                    break
+                p = self.word.get(run[i - n : i])
+                if p is not None and closed[i - n][0] + p > best[0]:
+                    best = (closed[i - n][0] + p, i - n)
+            closed.append(best)
+        words, i = [], len(run)
+        while i:
+            words.append(run[closed[i][1] : i])
+            i = closed[i][1]
+        return words[::-1]
+
+    def _log(self, before: str, c: str) -> float:
         return math.log(0.7 * self.three.get(before + c, 0.0) + 0.2 * self.two.get(before[-1] + c, 0.0) + 0.1 * self.one.get(c, 0.0) + 1e-6)
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """What each character of a token may stand for, with its channel cost; '' is a character that was put in."""
+    """What each character of a token may stand for, with its channel cost; '' is a character that was put in, ' ' a word's end."""
     out, last = [], ""
     run = 0
-    for i, c in enumerate(token):
+    thrice = set(_THRICE.findall(token))
+    for c in token:
         run = run + 1 if c == last else 1
         options = [(c, 0.0)] if c.isalpha() else []
         if c in _LOOKS:
             options += [(x, _COST[c]) for x in _LOOKS[c]]
-        if c in " .-_*":
-            options.append(("", _GAP))
-        if run > 1 and len(token) - len(token.replace(c * 3, "")) and c.isalpha():
+        if c in _GAPS:
+            options += [("", _GAP), (" ", _BREAK)]
+        if run > 1 and c in thrice and c.isalpha():
             options.append(("", _REPEAT))
         out.append(options or [(c, 0.0)])
         last = c
@@ -110,17 +147,27 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def viterbi(token: str, model: CharacterModel) -> str:
-    """The most likely word that the channel turns into this token."""
-    states = {"^^": (0.0, "")}
+    """The most likely word, or words with blanks between them, that the channel turns into this token."""
+    states = {"^^": (0.0, None, "")}  # score, cell before, character
     for options in lattice(token):
-        after: dict[str, tuple[float, str]] = {}
-        for before, (score, word) in states.items():
+        after: dict[str, tuple] = {}
+        for before, cell in states.items():
             for c, cost in options:
-                s, key = (score + cost, before) if c == "" else (score + cost + model(before, c), before[1] + c)
-                if key not in after or s > after[key][0] or (s == after[key][0] and word + c < after[key][1]):
-                    after[key] = (s, word + c)
+                if c == "":
+                    s, key = cell[0] + cost, before
+                elif c == " ":
+                    s, key = cell[0] + cost + model(before, "\0"), "^^"
+                else:
+                    s, key = cell[0] + cost + model(before, c), before[1] + c
+                if key not in after or s > after[key][0]:
+                    after[key] = (s, cell, c)
         states = after
-    return max(((s + model(b, "\0"), w) for b, (s, w) in states.items()), key=lambda x: (x[0], [-ord(c) for c in x[1]]))[1]
+    cell = max(((cell[0] + model(b, "\0"), cell) for b, cell in states.items()), key=lambda x: x[0])[1]
+    out = []
+    while cell is not None:
+        out.append(cell[2])
+        cell = cell[1]
+    return "".join(reversed(out))
 
 
 def suspects(text: str) -> Iterator[tuple[int, int]]:
@@ -131,17 +178,16 @@ def suspects(text: str) -> Iterator[tuple[int, int]]:
         a, b = m.span()
         if b <= seen:
             continue
-        while a and m.start() - a <= LONGEST and _SIDE.match(text[a - 1]):
+        while a > seen and _SIDE.match(text[a - 1]):
             a -= 1
-        while b < len(text) and b - a <= LONGEST and (_INNER.match(text[b]) or _SIDE.match(text[b]) and b + 1 < len(text) and _INNER.match(text[b + 1])):
+        while b < len(text) and (_INNER.match(text[b]) or _SIDE.match(text[b]) and b + 1 < len(text) and _INNER.match(text[b + 1])):
             b += 1
         seen = b
-        if b - a <= LONGEST:
-            spans.append((a, b))
+        spans.append((a, b))
     spans.sort()
     end = 0
     for a, b in spans:
-        if a >= end and b - a <= LONGEST:
+        if a >= end:
             yield a, b
             end = b
 
@@ -189,7 +235,7 @@ class Model:
         self.cost = rates[1] - rates[0]
         self.prior = math.log((sizes[1] + 1) / (sizes[0] + 1))
         lexicon = {f[1:] for f in self.weight if f[0] == "="}
-        own = {w: float(n) for w, n in kinds.items() if n >= MIN_TOXIC_TEXTS and len(w) <= LONGEST}
+        own = {w: float(n) for w, n in kinds.items() if n >= MIN_TOXIC_TEXTS}
         mass = sum(own.values()) or 1.0
         for w in lexicon:  # what is hidden is likely one of these words
             own[w] = own.get(w, 0.0) + 0.5 * mass / len(lexicon)
@@ -217,24 +263,35 @@ class Model:
         return max(self.weight.get(f, 0.0) for f in self.features(word))
 
     def restore(self, token: str) -> str:
-        word = self.memory.get(token)
-        if word is None:
-            if len(self.memory) >= REMEMBERED:
-                self.memory.clear()
-            word = self.memory[token] = viterbi(token, self.characters)
-        return word
+        """The words that a token may hide, with blanks between them."""
+        words = self.memory.get(token)
+        if words is None:
+            words = viterbi(token, self.characters)
+            if any(c in _GAPS for c in token):  # a word model knows better where words end
+                words = " ".join(self.characters.split(words.replace(" ", "")))
+            if len(token) <= REMEMBERED_CHARS:
+                if len(self.memory) >= REMEMBERED:
+                    self.memory.clear()
+                self.memory[token] = words
+        return words
+
+    def hidden(self, text: str) -> tuple[float, int]:
+        """(weight, hits) that the restored words of a lower-cased text add to those in plain sight."""
+        gain, hits = 0.0, 0
+        for a, b in suspects(text):
+            new = [w for w in map(self.of, self.restore(text[a:b]).split()) if w > 0]
+            if new:
+                old = [w for w in map(self.of, _WORD.findall(text[a:b])) if w > 0]
+                if sum(new) > sum(old):
+                    gain += sum(new) - sum(old)
+                    hits += max(1, len(new) - len(old))
+        return gain, hits
 
     def score_one(self, text: str | None) -> tuple[float, int, int]:
         """(score, hits, hits that were hidden) of one text, word by word: what `score` does for many."""
         text = (text or "").lower()
-        words, total, hidden = _WORD.findall(text), 0.0, 0
-        for a, b in suspects(text):
-            inside = [w for w in _WORD.findall(text[a:b])]
-            new = self.of(self.restore(text[a:b]))
-            old = sum(self.of(w) for w in inside)
-            if new > old:
-                total += new - old
-                hidden += 1
+        words = _WORD.findall(text)
+        total, hidden = self.hidden(text)
         hits = sum(self.of(w) > 0 for w in words)
         return total + sum(self.of(w) for w in words) - self.cost * len(words) + self.prior, hits + hidden, hidden
 
@@ -267,13 +324,8 @@ class Model:
         hidden = np.zeros(rows, np.int64)
         for r in _suspect_rows(body, at, letter, place):
             text = body[at[r] : at[r + 1]].tobytes().decode("utf-8", "replace")
-            for a, b in suspects(text):
-                new = self.of(self.restore(text[a:b]))
-                if new > 0:
-                    old = sum(self.of(w) for w in _WORD.findall(text[a:b]))
-                    if new > old:
-                        got[r] += new - old
-                        hidden[r] += 1
+            gain, hidden[r] = self.hidden(text)
+            got[r] += gain
         return got - self.cost * words.count + self.prior, hits + hidden, hidden
 
 
@@ -350,8 +402,8 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep:
     ``score`` is the log likelihood ratio with the prior of the sample; a text is toxic above 0. ``hits`` counts words
     with a weight, ``hidden`` those of them that had to be restored.
 
-    A null, empty or wordless text has the prior as its score and isn't toxic. Texts of any length are read whole; tokens
-    of over 40 characters aren't decoded, as no word of the model is that long. Columns of docs with one of the four
+    A null, empty or wordless text has the prior as its score and isn't toxic. Texts of any length are read whole, and
+    tokens of any length decoded. Columns of docs with one of the four
     names are replaced; the others stay, as do repeated rows. An empty table stays empty.
     """
     spark = docs.sparkSession

@@ -55,3 +55,15 @@ def test_odd_rows(odd, none, model):
     labels = odd.sparkSession.createDataFrame([(1, 0), (9, 1), (None, 1), (3, None)], "doc_id long, toxic int")
     fitted = T.fit(odd, labels)
     assert T.fit(none, labels.limit(0)).score_one("any words")[0] <= 0 and fitted.prior == 0.0
+
+
+@pytest.mark.parametrize("token,words", [(" ".join("themoronandgoodidiot" * 3), ["moron", "idiot"] * 3), (" ".join("trashidiot"), ["trash", "idiot"]), ("t" + "r" * 60 + "ash", ["trash"])])
+def test_long_spans(model, token, words):
+    assert list(T.suspects(f"so, {token}, it")) == [(4, 4 + len(token))]
+    assert [w for w in model.restore(token).split() if model.of(w) > 0] == words
+    body, at = K.texts(pa.array([f"so, {token}, it"]))
+    assert [int(x[0]) for x in model.score(body, at)[1:]] == [len(words)] * 2
+
+
+def test_decoding_is_linear(model):
+    assert model.restore("idiot" + " x" * 100_000).startswith("idiot") and model.restore("id" + "i" * 200_000 + "ot") == "idiot"
