@@ -40,16 +40,20 @@ _COST = {c: math.log(0.2 / len(v)) for c, v in _LOOKS.items()}
 _REPEAT, _GAP, _BREAK = math.log(0.25), math.log(0.25), math.log(0.25)
 _UNKNOWN = math.log(1e-3)
 _GAPS = " .-_*"
+_CONSONANTS = "bcdfghjklmnpqrstvwxz"
+_MASKED, _BESIDE = math.log(0.05 / len(_CONSONANTS)), math.log(0.25)
 #: Letters of lower-cased text: a-z and what is above U+00BF, but for the punctuation and symbol blocks and U+10000 up.
 _L = "a-z\u00c0-\u1fff\u2c00-\u2fff\u3040-\ud7ff\ue000-\uffff"
 _WORD = re.compile(f"[{_L}]+")
-# something to decode: a look-alike between letters or before one, a digit behind one, or a letter thrice
-_SUSPECT = re.compile(f"[{_L}][0-9@$!|+*#]+[{_L}]|(?<![{_L}0-9])[013457@$!|+]+[{_L}]|[{_L}][013457]+(?![{_L}0-9])|([{_L}])\\1\\1")
-# single characters with the same gap between them
-_GAPPED = re.compile(f"(?<![{_L}0-9])[{_L}0-9@$!]([ .\\-_*])[{_L}0-9@$!](?:\\1[{_L}0-9@$!]){{2,}}(?![{_L}0-9])")
-_THRICE = re.compile(r"(.)\1\1", re.S)
-_SIDE = re.compile(f"[{_L}0-9@$!|+*#]")
-_INNER = re.compile(f"[{_L}0-9]")
+_X = "0-9@$!|+*#"
+# something to decode: a token with a look-alike beside a letter, or with a letter thrice
+_SUSPECT = re.compile(f"(?<![{_L}{_X}])(?:[{_L}]++[{_X}]|[{_X}]++[{_L}]|[{_L}]*?([{_L}])\\1\\1)[{_L}{_X}]*+")
+# three or more single characters with the same gap between them
+_GAPPED = re.compile(f"(?<![{_L}0-9])[{_L}0-9@$!]([ .\\-_*])[{_L}0-9@$!](?:\\1[{_L}0-9@$!])+(?![{_L}0-9])")
+# letters, and single gaps between runs of them
+_DOUBLED = re.compile(f"(?<![{_L}])[{_L}]*?([{_L}])\\1[{_L}]*+")
+_RUN = re.compile(r"(.)\1+", re.S)
+_PIECES = re.compile(f"[{_L}]+(?:[ .\\-_*][{_L}]+)+")
 
 _LETTER_BYTE = np.zeros(256, bool)
 _LETTER_BYTE[[*b"abcdefghijklmnopqrstuvwxyz", *range(0x80, 0xC0), *range(0xC3, 0xF0)]] = True
@@ -130,17 +134,20 @@ class CharacterModel:
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """What each character of a token may stand for, with its channel cost; '' is a character that was put in, ' ' a word's end."""
     out, last = [], ""
-    run = 0
-    thrice = set(_THRICE.findall(token))
-    for c in token:
-        run = run + 1 if c == last else 1
+    inner = [i for i, c in enumerate(token) if c.isalpha()]
+    first, final = (inner[0], inner[-1]) if inner else (0, len(token) - 1)
+    for i, c in enumerate(token):
         options = [(c, 0.0)] if c.isalpha() else []
         if c in _LOOKS:
             options += [(x, _COST[c]) for x in _LOOKS[c]]
+        if c in "*#" and token[i - 1 : i] not in ("*", "#") and token[i + 1 : i + 2] not in ("*", "#"):
+            options += [(x, _MASKED) for x in _CONSONANTS]
         if c in _GAPS:
             options += [("", _GAP), (" ", _BREAK)]
-        if run > 1 and c in thrice and c.isalpha():
+        elif c == last and (c.isalpha() or c in _LOOKS):
             options.append(("", _REPEAT))
+        elif options and not first <= i <= final:  # a mark or number beside the word
+            options.append(("", _BESIDE))
         out.append(options or [(c, 0.0)])
         last = c
     return out
@@ -172,19 +179,7 @@ def viterbi(token: str, model: CharacterModel) -> str:
 
 def suspects(text: str) -> Iterator[tuple[int, int]]:
     """Spans of a lower-cased text that the channel may have made, in order and apart."""
-    spans = [m.span() for m in _GAPPED.finditer(text)]
-    seen = 0
-    for m in _SUSPECT.finditer(text):
-        a, b = m.span()
-        if b <= seen:
-            continue
-        while a > seen and _SIDE.match(text[a - 1]):
-            a -= 1
-        while b < len(text) and (_INNER.match(text[b]) or _SIDE.match(text[b]) and b + 1 < len(text) and _INNER.match(text[b + 1])):
-            b += 1
-        seen = b
-        spans.append((a, b))
-    spans.sort()
+    spans = sorted(m.span() for r in (_GAPPED, _SUSPECT) for m in r.finditer(text))
     end = 0
     for a, b in spans:
         if a >= end:
@@ -240,6 +235,9 @@ class Model:
         for w in lexicon:  # what is hidden is likely one of these words
             own[w] = own.get(w, 0.0) + 0.5 * mass / len(lexicon)
         self.characters = CharacterModel(own)
+        # what repeats can't change: a word's letters with each run as one
+        self.single = {f[0] + _RUN.sub(r"\1", f[1:]) for f in self.weight}
+        self.longest = max(map(len, lexicon), default=0)
         self.tables = [self._table({f[1:]: w for f, w in self.weight.items() if f[0] == kind}) for kind in "=<"]
         self.memory: dict[str, str] = {}
 
@@ -275,16 +273,57 @@ class Model:
                 self.memory[token] = words
         return words
 
-    def hidden(self, text: str) -> tuple[float, int]:
-        """(weight, hits) that the restored words of a lower-cased text add to those in plain sight."""
-        gain, hits = 0.0, 0
-        for a, b in suspects(text):
-            new = [w for w in map(self.of, self.restore(text[a:b]).split()) if w > 0]
-            if new:
-                old = [w for w in map(self.of, _WORD.findall(text[a:b])) if w > 0]
-                if sum(new) > sum(old):
-                    gain += sum(new) - sum(old)
-                    hits += max(1, len(new) - len(old))
+    def _gain(self, token: str, words: str) -> tuple[float, int]:
+        new = [w for w in map(self.of, words.split()) if w > 0]
+        old = [w for w in map(self.of, _WORD.findall(token)) if w > 0]
+        more = sum(new) - sum(old)
+        return (more, max(1, len(new) - len(old))) if more > 0 else (0.0, 0)
+
+    def _may_repeat(self, word: str) -> bool:
+        """Whether a word with a weight may come out of this one by dropping repeated letters; any other needs no decoding."""
+        one = _RUN.sub(r"\1", word)
+        return "=" + one in self.single or any("<" + one[:n] in self.single for n in range(1, BEGINNINGS[-1] + 1))
+
+    def plain(self, text: str) -> Iterator[tuple[str, str]]:
+        """(what stands there, the word it may hide) for words with doubled letters and for words cut by single gaps."""
+        taken = []
+        for m in _PIECES.finditer(text):
+            words = [(w.start() + m.start(), w.end() + m.start()) for w in _WORD.finditer(m[0])]
+            i = 0
+            while i < len(words):
+                own, found = "", 0
+                for j in range(i, len(words)):
+                    own += text[slice(*words[j])]
+                    if len(own) > self.longest:
+                        break
+                    if j > i and "=" + own in self.weight:
+                        found, hidden = j, own
+                if found:
+                    taken.append((words[i][0], words[found][1]))
+                    yield text[words[i][0] : words[found][1]], hidden
+                i = max(i, found) + 1
+        taken.append((len(text), len(text)))
+        k = 0
+        for m in _DOUBLED.finditer(text):
+            while taken[k][1] <= m.start():
+                k += 1
+                if k == len(taken):
+                    return
+            if m.end() <= taken[k][0] and self._may_repeat(m[0]):
+                yield m[0], self.restore(m[0])
+
+    def hidden(self, text: str, plain: bool = True) -> tuple[float, int]:
+        """(weight, hits) that the restored words of a lower-cased text add to those in plain sight.
+
+        plain: whether to look outside the suspects too; it changes nothing where no word out there gains.
+        """
+        gain, hits, end = 0.0, 0, 0
+        for a, b in [*suspects(text), (len(text), len(text))]:
+            more = [self._gain(text[a:b], self.restore(text[a:b]))] if a < b else []
+            more += [self._gain(x, y) for x, y in self.plain(text[end:a])] if plain else []
+            gain += sum(g for g, _ in more)
+            hits += sum(h for _, h in more)
+            end = b
         return gain, hits
 
     def score_one(self, text: str | None) -> tuple[float, int, int]:
@@ -305,6 +344,50 @@ class Model:
             out[maybe] = np.where(keys[at] == own, value[at], 0.0)
         return out
 
+    def _doubled_rows(self, body: np.ndarray, words: _LetterWords) -> np.ndarray:
+        """Texts with a word that, freed of doubled letters, has more weight; each different word is decoded once."""
+        n = len(body)
+        twice = np.zeros(n + 1, bool)
+        for w in (1, 2, 3):  # by a letter's last byte
+            if n > w:
+                twice[w:n] |= body[w:] == body[:-w]
+        count = np.concatenate(([0], np.cumsum(twice[:n])))
+        own = np.flatnonzero(count[words.end] > count[words.start])
+        _, first, back = np.unique(words.hash[own], return_index=True, return_inverse=True)
+        more = np.zeros(len(first), bool)
+        for k, i in enumerate(own[first]):
+            word = body[words.start[i] : words.end[i]].tobytes().decode("utf-8", "replace")
+            if self._may_repeat(word) and _DOUBLED.fullmatch(word):
+                more[k] = self._gain(word, self.restore(word))[0] > 0
+        return words.row[own[more[back]]]
+
+    def _joined_rows(self, body: np.ndarray, words: _LetterWords, place: np.ndarray) -> np.ndarray:
+        """Texts with neighbouring words, a single gap between each two, that together are a word with a weight."""
+        keys = self.tables[0][0]
+        n = len(words.start)
+        if n < 2 or not len(keys):
+            return np.zeros(0, np.int64)
+        near = (words.start[1:] - words.end[:-1] == 1) & (words.row[1:] == words.row[:-1]) & _GAP_BYTE[body[np.minimum(words.end[:-1], len(body) - 1)]]
+        near = np.append(near, False)
+        size = place[words.end - 1] - place[words.start] + 1
+        raw, length = words.raw, words.end - words.start
+        up = K.powers(int(length.sum()) + self.longest * 4 + 2)[0]
+        head = last = np.flatnonzero(near)
+        value, wide, chars = raw[head], length[head], size[head]
+        rows = [np.zeros(0, np.int64)]
+        while len(head):
+            last = last + 1
+            with np.errstate(over="ignore"):
+                value = value + raw[last] * up[wide]
+                wide, chars = wide + length[last], chars + size[last]
+                fits = chars <= self.longest
+                head, last, value, wide, chars = (x[fits] for x in (head, last, value, wide, chars))
+                h = K.mix(value + wide.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            rows.append(words.row[head[self._values(0, h) > 0]])
+            on = near[last]
+            head, last, value, wide, chars = (x[on] for x in (head, last, value, wide, chars))
+        return np.concatenate(rows)
+
     def score(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(score, hits, hidden hits) of the lower-cased texts body[at[i]:at[i + 1]]."""
         rows = len(at) - 1
@@ -322,9 +405,12 @@ class Model:
         got = np.bincount(words.row, weights=value, minlength=rows)
         hits = np.bincount(words.row, weights=value > 0, minlength=rows).astype(np.int64)
         hidden = np.zeros(rows, np.int64)
-        for r in _suspect_rows(body, at, letter, place):
+        plain = np.zeros(rows, bool)
+        plain[self._doubled_rows(body, words)] = True
+        plain[self._joined_rows(body, words, place)] = True
+        for r in np.union1d(_suspect_rows(body, at, letter, place), np.flatnonzero(plain)):
             text = body[at[r] : at[r + 1]].tobytes().decode("utf-8", "replace")
-            gain, hidden[r] = self.hidden(text)
+            gain, hidden[r] = self.hidden(text, plain[r])
             got[r] += gain
         return got - self.cost * words.count + self.prior, hits + hidden, hidden
 
@@ -344,6 +430,8 @@ class _LetterWords:
         self.row = np.searchsorted(at, self.start, "right") - 1
         self.count = np.bincount(self.row, minlength=len(at) - 1)
         self.hash = K.spans(body, self.start, self.end, total)
+        with np.errstate(over="ignore"):
+            self.raw = (total[self.end] - total[self.start]) * K.powers(n + 1)[1][self.start]
 
 
 def _suspect_rows(body: np.ndarray, at: np.ndarray, letter: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -353,16 +441,16 @@ def _suspect_rows(body: np.ndarray, at: np.ndarray, letter: np.ndarray, place: n
         return np.zeros(0, np.int64)
     look = _LOOK_BYTE[body]
     near = np.zeros(n, bool)
-    near[1:] |= look[1:] & letter[:-1] & (body[1:] < 58) & (body[1:] > 47)  # a digit behind a letter
+    near[1:] |= look[1:] & letter[:-1]  # a look-alike behind a letter
     near[:-1] |= look[:-1] & letter[1:]  # a look-alike before a letter
     for w in (1, 2, 3):  # a letter thrice, by one of its bytes
         if n > 2 * w:
             own = body[2 * w :]
             near[2 * w :] |= letter[2 * w :] & ((own < 128) == (w == 1)) & (own == body[w:-w]) & (own == body[: -2 * w])
-    gap = np.flatnonzero(_GAP_BYTE[body])  # three equal gaps with one character between each two
-    if len(gap) > 2:
+    gap = np.flatnonzero(_GAP_BYTE[body])  # two equal gaps with one character between them
+    if len(gap) > 1:
         c, p = body[gap], place[gap]
-        near[gap[:-2][(c[2:] == c[:-2]) & (c[1:-1] == c[:-2]) & (p[2:] - p[:-2] == 4) & (p[1:-1] - p[:-2] == 2)]] = True
+        near[gap[:-1][(c[1:] == c[:-1]) & (p[1:] - p[:-1] == 2)]] = True
     return np.unique(np.searchsorted(at, np.flatnonzero(near), "right") - 1)
 
 

@@ -67,3 +67,19 @@ def test_long_spans(model, token, words):
 
 def test_decoding_is_linear(model):
     assert model.restore("idiot" + " x" * 100_000).startswith("idiot") and model.restore("id" + "i" * 200_000 + "ot") == "idiot"
+
+
+@pytest.mark.parametrize("token", ["trrash", "iddiot", "6i8 iddiot", "*oron", "#diot", "idio+", "m0ron$", "tra$h!", "id.iot", "mo ron", "mo-r-on", "id_i_ot", "idi*t", "1diot99"])
+def test_hidden_words(model, token):
+    clean = "the green house and the river "
+    texts = [f"so, {token}, it", clean + token, clean]
+    body, at = K.texts(pa.array(texts))
+    score, hits, hidden = model.score(body, at)
+    assert list(hidden) == [1, 1, 0], [model.restore(token)]
+    assert [(round(a, 6), b, c) for a, b, c in zip(score, hits, hidden)] == [(round(a, 6), b, c) for a, b, c in map(model.score_one, texts)]
+
+
+def test_short_spelled_word():
+    small = T.Model([("you are an ass " + "plain words here " * 5, 1)] * 40 + [("you are fine as plain words here " * 5, 0)] * 200)
+    body, at = K.texts(pa.array(["you are an a s s", "you are an a$$", "you are an as"]))
+    assert list(small.score(body, at)[2]) == [1, 1, 0]
