@@ -201,6 +201,23 @@ def q_cycles(t):
     return graph.cycles(_edges(t)).withColumn("members", F.concat_ws(",", F.col("members").cast("array<string>")))
 
 
+def order_edges(t):
+    """Edges of all orders with the customers themselves as nodes; too large for the recursive SQL."""
+    from pyspark.sql.window import Window
+
+    rows = t("orders").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    dst = F.lead("o_custkey").over(Window.partitionBy("o_orderpriority", "c_nationkey").orderBy("o_orderdate", "o_orderkey"))
+    return graph.clean_edges(rows.select(F.col("o_custkey").alias("src"), dst.alias("dst")))
+
+
+def order_cycles(t):
+    return graph.cycles(order_edges(t)).withColumn("members", F.concat_ws(",", F.col("members").cast("array<string>")))
+
+
+QUERIES["q_order_edges"] = lambda spark, sf_dir: order_edges(lambda name: table(spark, sf_dir, name))
+QUERIES["q_order_cycles"] = lambda spark, sf_dir: order_cycles(lambda name: table(spark, sf_dir, name))
+
+
 @query(
     """WITH RECURSIVE e AS (SELECT n_name AS src, r_name AS dst FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION SELECT r_name, 'WORLD' FROM region UNION SELECT s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),

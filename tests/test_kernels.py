@@ -130,3 +130,17 @@ def test_sql(spark, sf_dir, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).columns == ["digest", "token_count", "n", "blocks"]
+
+
+def test_order_graph_takes_all_orders(spark):
+    rng = random.Random(7)
+    customers = [(k, k % 3) for k in range(1, 91)]
+    orders = [(k, rng.randint(1, 90), rng.choice("FOP"), rng.choice("ab"), rng.randint(1, 30)) for k in range(70)]
+    tables = {"customer": spark.createDataFrame(customers, "c_custkey long, c_nationkey int"), "orders": spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate int")}
+    groups = {}
+    for key, cust, _, prio, date in orders:
+        groups.setdefault((prio, cust % 3), []).append((date, key, cust))
+    edges = {(a[2], b[2]) for g in groups.values() for a, b in zip(sorted(g), sorted(g)[1:]) if a[2] != b[2]}
+    assert {tuple(r) for r in catalogue.order_edges(tables.__getitem__).collect()} == edges
+    got = {r.members for r in catalogue.order_cycles(tables.__getitem__).collect()}
+    assert got == {",".join(map(str, g)) for g in tarjan_free(edges)} and got
