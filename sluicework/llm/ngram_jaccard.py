@@ -10,7 +10,11 @@ fragment on its own and summed per pair. Two lossless filters keep the fragments
   reaches the overlap they need enter the fragments.
 
 Shuffles carry packed blocks (about 7 bytes a posting), never one row per n-gram; the only broadcast is the rank of
-the sketch's buckets, whose size is fixed.
+the sketch's buckets, whose size is fixed. The result has one row for each document: its near-duplicate class and the
+number of its links, which are counted where the overlaps are summed, so pairs are never expanded into rows.
+
+What grows hot is split. Postings of a frequent n-gram go to cells of two blocks of its texts each, and so do the
+segments of a large group: every two blocks meet in one cell, and a cell has a bounded number of texts.
 """
 
 from __future__ import annotations
@@ -22,7 +26,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import kernels as K
 from .common import partitions, save, small_enough
@@ -31,14 +34,17 @@ N = 3
 THRESHOLD = 0.6
 FRAGMENTS = 4
 SKETCH_BITS = 20
-_SEGMENT = "grp long, fragment int, id long, size int, grams binary"
-_PARTIAL = "grp long, a long, b long, overlap long, size_a long, size_b long"
+#: Texts of a block: two blocks of a group's texts, or of a frequent n-gram's, meet in one task.
+GROUP_BLOCK = 1024
+LIST_BLOCK = 16_384
+#: Bytes of postings that a task is meant to hold.
+TASK_BYTES = 48 << 20
+_SEGMENT = "grp long, cell int, fragment int, id long, size int, owner long, copies long, side int, grams binary"
+_BLOCK = "part int, block binary"
 _CHUNKS = 64
 _FLUSH = 2_000_000
 _LOW = np.uint64(64 - SKETCH_BITS)
 
-PAIR_SCHEMA = "doc_a long, doc_b long, overlap long, jaccard double"
-
 
 def prefix_length(size: int, t: float) -> int:
     return size - int(np.ceil(t * size - 1e-9)) + 1
@@ -49,28 +55,25 @@ def _set_key(own: np.ndarray) -> bytes:
 
 
 def _keys(n: int):
-    """Pass 1: the key of each text's set, and the task's part of the count sketch."""
+    """Pass 1: the key of each text's set (null without words), and the task's part of the count sketch."""
     schema = pa.schema([("id", pa.int64()), ("key", pa.binary()), ("size", pa.int32()), ("chunk", pa.int32()), ("block", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, any_row = np.zeros(1 << SKETCH_BITS, np.int64), False
         for batch in batches:
-            ids, key, size, pool = batch.column(0), [], [], []
-            rows = []
+            ids, pool = batch.column(0), []
+            key, size = [None] * batch.num_rows, [None] * batch.num_rows
             for row, own in K.gram_sets(batch.column(1), n):
-                rows.append(row)
-                key.append(_set_key(own))
-                size.append(len(own))
+                key[row], size[row] = _set_key(own), len(own)
                 pool.append((own >> _LOW).astype(np.int64))
                 if len(pool) >= 512:
                     sketch += np.bincount(np.concatenate(pool), minlength=1 << SKETCH_BITS)
                     pool = []
             if pool:
                 sketch += np.bincount(np.concatenate(pool), minlength=1 << SKETCH_BITS)
-            if rows:
+            if nulls := batch.num_rows:
                 any_row = True
-                nulls = len(rows)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(key, pa.binary()), pa.array(size, pa.int32()), pa.nulls(nulls, pa.int32()), pa.nulls(nulls, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(key, pa.binary()), pa.array(size, pa.int32()), pa.nulls(nulls, pa.int32()), pa.nulls(nulls, pa.binary())], schema=schema)
         if any_row:
             parts = sketch.reshape(_CHUNKS, -1)
             yield pa.RecordBatch.from_arrays([pa.nulls(_CHUNKS, pa.int64()), pa.nulls(_CHUNKS, pa.binary()), pa.nulls(_CHUNKS, pa.int32()), pa.array(range(_CHUNKS), pa.int32()), pa.array([K.pack(p) for p in parts], pa.binary())], schema=schema)
@@ -83,8 +86,8 @@ def _sum_blocks(pdf):
     return pdf.iloc[:1][["chunk"]].assign(block=[K.pack(total)])
 
 
-def _order(first: DataFrame, fragments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rank of every sketch bucket (rare first) and the fragments' upper bounds on the rank."""
+def _order(first: DataFrame, fragments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rank of every sketch bucket (rare first), the fragments' upper bounds on the rank, and the counts by rank."""
     count = np.zeros((_CHUNKS, (1 << SKETCH_BITS) // _CHUNKS), np.int64)
     for r in first.where("chunk is not null").select("chunk", "block").groupBy("chunk").applyInPandas(_sum_blocks, "chunk int, block binary").collect():
         count[r.chunk] = K.unpack(bytes(r.block), "i8")[0]
@@ -94,7 +97,7 @@ def _order(first: DataFrame, fragments: int) -> tuple[np.ndarray, np.ndarray]:
     rank[order] = np.arange(len(order), dtype=np.uint32)
     mass = np.cumsum(count[order])
     cuts = np.searchsorted(mass, mass[-1] * np.arange(1, fragments) / fragments)
-    return rank, cuts.astype(np.uint64)
+    return rank, cuts.astype(np.uint64), count[order]
 
 
 def _relabel(rank: np.ndarray):
@@ -108,25 +111,55 @@ def _wanted(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column(2).to_pylist()
 
 
-def _postings(n: int, t: float, parts: int, rank):
-    """Pass 2: blocks of (hash, id, size, position) of the prefix grams, one block per range and flush."""
-    schema = pa.schema([("part", pa.int32()), ("block", pa.binary())])
+def _by_part(part: np.ndarray, parts: int, *columns: np.ndarray) -> pa.RecordBatch:
+    """Packed blocks of the columns, one for each part."""
+    order = np.argsort(part, kind="stable")
+    edge = np.searchsorted(part[order], np.arange(parts + 1))
+    out = [(p, K.pack(*(c[o] for c in columns))) for p in range(parts) if len(o := order[edge[p] : edge[p + 1]])]
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["part", "block"])
+
+
+def _cells(own: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, side): one cell for each block that a row's own block meets.
+
+    A cell is the pair i <= j of blocks, as a number; side is 0 where they are the same block, else 1 in i and 2 in j.
+    """
+    row = np.repeat(np.arange(len(own)), blocks)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    mine = own[row]
+    low, high = np.minimum(mine, other), np.maximum(mine, other)
+    return row, high * (high + 1) // 2 + low, np.where(mine == other, 0, np.where(mine == low, 1, 2))
+
+
+def _postings(n: int, t: float, parts: int, rank, many):
+    """Pass 2: blocks of (hash, id, size, position, side) of the prefix grams, one block per range and flush.
+
+    many: blocks of the texts that have a bucket's grams, by rank.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        relabel = _relabel(rank.value)
+        relabel, blocks = _relabel(rank.value), many.value
         held: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            g = K.mix(np.concatenate([h[0] for h in held]))
+            g = np.concatenate([h[0] for h in held])
             each = [len(h[0]) for h in held]
             ids, lens = (np.repeat(np.array([h[k] for h in held]), each) for k in (1, 2))
             pos = np.concatenate([np.arange(len(h[0])) * 256 // h[2] for h in held]).astype(np.uint8)
+            split = blocks[(g >> _LOW).astype(np.int64)]
+            g, side = K.mix(g), np.zeros(len(g), np.uint8)
+            hot = np.flatnonzero(split > 1)
+            if len(hot):
+                own = (K.mix(ids[hot].astype(np.uint64)) % split[hot].astype(np.uint64)).astype(np.int64)
+                row, cell, where = _cells(own, split[hot])
+                cold = np.flatnonzero(split == 1)
+                pick = np.concatenate((cold, hot[row]))
+                with np.errstate(over="ignore"):
+                    g = np.concatenate((g[cold], K.mix(g[hot[row]] + cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+                ids, lens, pos, side = ids[pick], lens[pick], pos[pick], np.concatenate((side[cold], where.astype(np.uint8)))
             part = ((g >> np.uint64(34)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            edge = np.searchsorted(part[order], np.arange(parts + 1))
-            out = [(p, K.pack((g[o] & np.uint64(0xFFFFFFFF)).astype("u4"), ids[o].astype("i8"), lens[o].astype("u4"), pos[o])) for p in range(parts) if len(o := order[edge[p] : edge[p + 1]])]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], schema=schema)
+            return _by_part(part, parts, (g & np.uint64(0xFFFFFFFF)).astype("u4"), ids.astype("i8"), lens.astype("u4"), pos, side)
 
         for batch in batches:
             ids, drop = batch.column(0).to_pylist(), _left_out(batch, n)
@@ -145,15 +178,15 @@ def _postings(n: int, t: float, parts: int, rank):
     return run
 
 
-def _pairs_of(h: np.ndarray, ids: np.ndarray, lens: np.ndarray, pos: np.ndarray, t: float) -> Iterator[list[np.ndarray]]:
-    """Folded pairs of postings that share a hash and pass the length filter."""
+def _pairs_of(h: np.ndarray, ids: np.ndarray, lens: np.ndarray, pos: np.ndarray, side: np.ndarray, t: float) -> Iterator[list[np.ndarray]]:
+    """Folded pairs of postings that share a hash, are on different sides of their cell if it has sides, and pass the length filter."""
     order = np.lexsort((lens, h))
     h = h[order]
     same = np.zeros(len(h) + 1, bool)
     same[1:-1] = h[1:] == h[:-1]
     keep = same[1:] | same[:-1]
     order, h = order[keep], h[keep]
-    ids, lens = ids[order], lens[order].astype(np.int64)
+    ids, lens, side = ids[order], lens[order].astype(np.int64), side[order]
     rest = lens - pos[order].astype(np.int64) * lens // 256 - 1
     behind = np.ceil(t * lens - 1e-9).astype(np.int64) - 1  # grams behind the prefix
     key = (h.astype(np.uint64) << np.uint64(32)) | lens.astype(np.uint64)
@@ -167,7 +200,7 @@ def _pairs_of(h: np.ndarray, ids: np.ndarray, lens: np.ndarray, pos: np.ndarray,
         a = np.repeat(np.arange(at, to), c)
         b = a + 1 + np.arange(len(a)) - np.repeat(edge[at:to] - edge[at], c)
         at = to
-        ok = ids[a] != ids[b]
+        ok = (ids[a] != ids[b]) & ((side[a] == 0) | (side[a] != side[b]))
         a, b = a[ok], b[ok]
         left = np.minimum(rest[a], rest[b])
         need = np.ceil(t / (1 + t) * (lens[a] + lens[b]) - 1e-6).astype(np.int64)
@@ -191,25 +224,19 @@ _PAIR = ("i8", "i8", "u4", "u4", "u4", "u4")
 
 
 def _candidates(t: float, parts: int):
-    schema = pa.schema([("part", pa.int32()), ("block", pa.binary())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [K.unpack(b, "u4", "i8", "u4", "u1") for batch in batches for b in batch.column(1).to_pylist()]
+        blocks = [K.unpack(b, "u4", "i8", "u4", "u1", "u1") for batch in batches for b in batch.column(1).to_pylist()]
         if not blocks:
             return
-        h, ids, lens, pos = (np.concatenate([b[k] for b in blocks]) for k in range(4))
+        columns = [np.concatenate([b[k] for b in blocks]) for k in range(5)]
         del blocks
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             pairs = _fold(*(np.concatenate(c) for c in zip(*held)))
-            part = (K.mix(pairs[0].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            edge = np.searchsorted(part[order], np.arange(parts + 1))
-            out = [(p, K.pack(*(c[o].astype(k) for c, k in zip(pairs, _PAIR)))) for p in range(parts) if len(o := order[edge[p] : edge[p + 1]])]
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], schema=schema)
+            return _by_part(_pair_part(pairs[0], pairs[1], parts), parts, *(c.astype(k) for c, k in zip(pairs, _PAIR)))
 
-        for found in _pairs_of(h, ids, lens, pos, t):
+        for found in _pairs_of(*columns, t):
             held.append(found)
             size += len(found[0])
             if size > 800_000:
@@ -224,6 +251,10 @@ def _candidates(t: float, parts: int):
     return run
 
 
+def _pair_part(a: np.ndarray, b: np.ndarray, parts: int) -> np.ndarray:
+    return (K.mix(K.mix(a.astype(np.uint64)) ^ b.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
 def _merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs that can reach the overlap they need.
 
@@ -261,47 +292,46 @@ def _left_out(batch: pa.RecordBatch, n: int) -> set[int]:
 
 
 def _segments(n: int, rank, cuts):
-    """Pass 3: the part of every candidate's set that lies in each fragment, once per group it is compared in."""
-    names = ["grp", "fragment", "id", "size", "grams"]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+    """Pass 3: the part of every candidate's set that lies in each fragment, once per cell it is compared in."""
+    names = ["grp", "cell", "fragment", "id", "size", "owner", "copies", "side", "grams"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         relabel = _relabel(rank.value)
         bounds = (cuts + np.uint64(1)) << _LOW
         for batch in batches:
-            ids, groups = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            ids, copies, owner, cells = (batch.column(k).to_pylist() for k in (0, 3, 4, 5))
             drop = _left_out(batch, n)
             rows: list[tuple] = []
+            held = 0
             for r, own in K.gram_sets(batch.column(1), n, relabel):
                 if r in drop:
                     continue
                 for f, seg in enumerate(np.split(own, np.searchsorted(own, bounds))):
                     if len(seg):
                         block = seg.tobytes()
-                        rows += [(g, f, ids[r], len(own), block) for g in groups[r]]
-                if len(rows) > 4000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-                    rows = []
+                        for c in cells[r]:
+                            rows.append((c["grp"], c["cell"], f, ids[r], len(own), owner[r], copies[r], c["side"], block))
+                            held += len(block) + 60
+                            if held > 8 << 20:
+                                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
+                                rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
     return run
 
 
-def _overlaps(ids: np.ndarray, lens: np.ndarray, segs: list[bytes], t: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """(a, b, overlap, sizes) of all pairs of one group's segments that meet in the fragment."""
-    order = np.argsort(ids, kind="stable")
-    if (ids[order][1:] == ids[order][:-1]).any():  # a repeated row
-        order = order[np.concatenate(([True], ids[order][1:] != ids[order][:-1]))]
-    m = len(order)
+def _overlaps(segs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, overlap), by place a < b, of the segments that meet in the fragment."""
+    m = len(segs)
     if m < 2:
         return
-    ids, lens = ids[order], lens[order].astype(np.int64)
-    each = [np.frombuffer(segs[k], np.uint64) for k in order]
+    each = [np.frombuffer(s, np.uint64) for s in segs]
     if m == 2:
         o = len(each[0]) + len(each[1]) - len(np.unique(np.concatenate(each)))
         if o:
-            yield ids[:1], ids[1:], np.array([o]), lens[:1], lens[1:]
+            yield np.array([0]), np.array([1]), np.array([o])
         return
     row = np.repeat(np.arange(m), [len(s) for s in each])
     _, col, times = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
@@ -322,124 +352,200 @@ def _overlaps(ids: np.ndarray, lens: np.ndarray, segs: list[bytes], t: float) ->
             total += bits[top:end] @ bits.T
         a, b = np.nonzero(total)
         later = b > a + top
-        a, b = a[later] + top, b[later]
-        fits = np.minimum(lens[a], lens[b]) >= t * np.maximum(lens[a], lens[b]) - 1e-9
-        a, b = a[fits], b[fits]
-        yield ids[a], ids[b], total[a - top, b].astype(np.int64), lens[a], lens[b]
+        a, b = a[later], b[later]
+        yield a + top, b, total[a, b].astype(np.int64)
+
 
+_OVERLAP = ("i8", "i8", "u4", "u4", "u4", "i8", "i8")
 
-def _count(t: float):
-    """Inside one fragment: partial overlaps of the pairs of each group. Rows come sorted by (grp, fragment)."""
-    names = ["grp", "a", "b", "overlap", "size_a", "size_b"]
+
+def _count(t: float, parts: int):
+    """Inside one fragment: partial overlaps of the pairs of each cell. Rows come sorted by (grp, cell, fragment).
+
+    Two texts may meet in several groups. The pair belongs to the group of the one with the smaller id, and only there
+    it is counted; no candidate is missed, as it was sent there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[k] for h in held]).astype(np.int64)) for k in range(6)], names=names)
+            part, *columns = (np.concatenate(c) for c in zip(*held))
+            return _by_part(part, parts, *(c.astype(k) for c, k in zip(columns, _OVERLAP)))
 
         def count() -> None:
             nonlocal size
-            for got in _overlaps(np.concatenate(ids), np.concatenate(lens), segs, t):
-                held.append((np.full(len(got[0]), now[0]), *got))
-                size += len(got[0])
-
-        now, ids, lens, segs = None, [], [], []
+            ids, lens, owner, copies, side = (np.concatenate(c).astype(np.int64) for c in zip(*now_rows))
+            order = np.argsort(ids, kind="stable")
+            if (ids[order][1:] == ids[order][:-1]).any():  # a repeated row
+                order = order[np.concatenate(([True], ids[order][1:] != ids[order][:-1]))]
+            ids, lens, owner, copies, side = (c[order] for c in (ids, lens, owner, copies, side))
+            part = int(K.mix(K.mix(np.array([now[0]]).view(np.uint64)) + np.uint64(now[1]))[0] % np.uint64(parts))
+            for a, b, o in _overlaps([segs[k] for k in order]):
+                fits = np.minimum(lens[a], lens[b]) >= t * np.maximum(lens[a], lens[b]) - 1e-9
+                fits &= (owner[a] == now[0]) & ((side[a] == 0) | (side[a] != side[b]))
+                a, b, o = a[fits], b[fits], o[fits]
+                held.append((np.full(len(a), part), ids[a], ids[b], o, lens[a], lens[b], copies[a], copies[b]))
+                size += len(a)
+
+        now, now_rows, segs = None, [], []
         for batch in batches:
-            g, f, i, s, x = (c.to_numpy(zero_copy_only=False) if k < 4 else c.to_pylist() for k, c in enumerate(batch.columns))
-            edge = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (f[1:] != f[:-1])))) if len(g) else []
+            g, c, f, i, s, w, k, d = (batch.column(x).to_numpy(zero_copy_only=False) for x in range(8))
+            x = batch.column(8).to_pylist()
+            edge = np.flatnonzero(np.concatenate(([True], (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (f[1:] != f[:-1])))) if len(g) else []
             for lo, hi in zip(edge, [*edge[1:], len(g)]):
-                if (g[lo], f[lo]) != now:
+                if (g[lo], c[lo], f[lo]) != now:
                     if len(segs) > 1:
                         count()
-                    now, ids, lens, segs = (g[lo], f[lo]), [], [], []
-                ids.append(i[lo:hi])
-                lens.append(s[lo:hi])
+                    now, now_rows, segs = (g[lo], c[lo], f[lo]), [], []
+                now_rows.append((i[lo:hi], s[lo:hi], w[lo:hi], k[lo:hi], d[lo:hi]))
                 segs += x[lo:hi]
-                if size > 200_000:
+                if size > 400_000:
                     yield flush()
                     held, size = [], 0
         if len(segs) > 1:
             count()
-        if held:
+        if size:
             yield flush()
 
     return run
 
 
+def local_roots(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node that each is connected to) of the edges x - y."""
+    nodes, at = np.unique(np.concatenate((x, y)), return_inverse=True)
+    a, b = at[: len(x)], at[len(x) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        for k in (a, b):
+            np.minimum.at(new, root[k], low)
+            np.minimum.at(new, k, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return nodes, nodes[root]
+        root = new
+
+
+def _sum(t: float):
+    """Sums the fragments' overlaps per pair: (id, root, links) of every text with a link.
+
+    links: documents that are similar enough, copies of the other texts included; root: the smallest text that this one
+    is connected to by the pairs of the task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [K.unpack(b, *_OVERLAP) for batch in batches for b in batch.column(1).to_pylist()]
+        if not blocks:
+            return
+        a, b, o, la, lb, ca, cb = (np.concatenate([x[k] for x in blocks]).astype(np.int64) for k in range(7))
+        del blocks
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        at = np.flatnonzero(new)
+        total, first = np.add.reduceat(o[order], at), order[at]
+        like = total / (la[first] + lb[first] - total) >= t
+        a, b, first = a[at][like], b[at][like], first[like]
+        if not len(a):
+            return
+        ids, root = local_roots(a, b)
+        links = np.bincount(np.searchsorted(ids, a), weights=cb[first], minlength=len(ids)) + np.bincount(np.searchsorted(ids, b), weights=ca[first], minlength=len(ids))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(root), pa.array(links.astype(np.int64))], names=["id", "root", "links"])
+
+    return run
+
+
 def ngram_jaccard_join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, threshold: float = THRESHOLD, fragments: int = FRAGMENTS
 ) -> DataFrame:
-    """Pairs (doc_a < doc_b) of texts whose word n-gram sets have a Jaccard similarity of at least ``threshold``.
+    """(doc_id, class_id, n_links): the join of docs with itself on the Jaccard similarity of word n-gram sets.
 
-    The result is the whole join, with classes of equal sets folded: a class of equal sets gives one row of similarity
-    1.0 from its smallest id to each other id, and a pair of different sets one row between their smallest ids. Every
-    pair of the join is a pair of rows' classes; none is capped or dropped.
+    ``n_links`` is the number of other documents whose similarity with this one is at least ``threshold``, copies
+    included; ``class_id`` is the smallest id that links lead to from here, the document's own without any. The result
+    counts the whole join: no link is capped or dropped, however large a group.
 
-    Null, empty and wordless texts have no n-gram and match nothing; a text of fewer than n words has one gram of all
-    of them. Rows with a null id are left out. Repeated rows count once; where an id has several texts the one with the
-    smallest set key counts. Very long texts are taken whole. Other columns of docs are not read, whatever their names.
-    An empty table gives no rows.
+    Null, empty and wordless texts have no n-gram and link to nothing, not to each other either; a text of fewer than n
+    words has one gram of all of them. Rows with a null id are left out. Repeated rows count once; where an id has
+    several texts the one with the smallest set key counts. Very long texts are taken whole. Other columns of docs are
+    not read, whatever their names. An empty table gives no rows.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     spark = docs.sparkSession
-    parts = partitions(spark)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
 
     first = save(src.mapInArrow(_keys(n), "id long, key binary, size int, chunk int, block binary"), "jaccard-keys")
-    keys = first.where("key is not null").groupBy("id").agg(F.min(F.struct("key", "size")).alias("k"), F.min("key").alias("lo"), F.max("key").alias("hi"))
-    keys = keys.select("id", "k.key", "k.size", (F.col("lo") != F.col("hi")).alias("several"))
-    classes = keys.withColumn("rep", F.min("id").over(Window.partitionBy("key", "size")))
-    # which rows the later passes leave out (b'') or take only with this key
-    marks = save(classes.where("several or rep <> id").select("id", F.when(F.col("rep") != F.col("id"), F.lit(b"")).otherwise(F.col("key")).alias("wanted"), "rep", "size"), "jaccard-marks")
-
-    rank, cuts = _order(first, fragments)
+    keys = first.where("chunk is null").groupBy("id").agg(F.min("key").alias("key"), F.max("key").alias("last"), F.min_by("size", "key").alias("size"))
+    keys = save(keys.select("id", "key", "size", (F.col("key") != F.col("last")).alias("several")), "jaccard-sets")
+    copies = save(keys.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "jaccard-copies")
+    sets = keys.join(small_enough(copies), "key", "left")
+    # what the later passes need to know of a row: b'' to leave it out, or the key that its set must have; and its copies
+    wanted = F.when(F.col("rep") != F.col("id"), F.lit(b"")).when(F.col("several"), F.col("key"))
+    marks = save(sets.where("several or copies > 1").select("id", wanted.alias("wanted"), F.coalesce("copies", F.lit(1)).alias("copies")), "jaccard-marks")
+
+    rank, cuts, count = _order(first, fragments)
+    grams = keys.agg(F.sum("size")).first()[0] or 0
+    parts = max(partitions(spark), -int(-grams * (1 - threshold) * 18 // TASK_BYTES))
     rank = spark.sparkContext.broadcast(rank)
-    marked = src.join(small_enough(marks.select("id", "wanted")), "id", "left").select("id", "text", "wanted")
-    postings = marked.where("wanted is null or wanted <> x''").mapInArrow(_postings(n, threshold, parts, rank), "part int, block binary")
-    found = postings.repartition(parts, "part").mapInArrow(_candidates(threshold, parts), "part int, block binary")
-    pairs = save(found.repartition(parts, "part").mapInArrow(_merge_pairs, "a long, b long"), "jaccard-candidates")
+    many = spark.sparkContext.broadcast(np.maximum(1, -(-count // LIST_BLOCK)))
+    marked = src.join(small_enough(marks), "id", "left").select("id", "text", "wanted", F.coalesce("copies", F.lit(1)).alias("copies"))
+    marked = marked.where("wanted is null or wanted <> x''")
+    postings = marked.mapInArrow(_postings(n, threshold, parts, rank, many), _BLOCK)
+    found = postings.repartitionById(parts, "part").mapInArrow(_candidates(threshold, parts), _BLOCK)
+    pairs = save(found.repartitionById(parts, "part").mapInArrow(_merge_pairs, "a long, b long"), "jaccard-candidates")
 
-    segments = marked.join(small_enough(_groups(pairs)), "id").mapInArrow(_segments(n, rank, cuts), _SEGMENT)
-    partial = segments.repartition(parts, "grp", "fragment").sortWithinPartitions("grp", "fragment").mapInArrow(_count(threshold), _PARTIAL)
-    # a pair may be met in several groups, each time in all fragments: sum by group, then take one of the equal sums
-    summed = partial.groupBy("a", "b", "size_a", "size_b", "grp").agg(F.sum("overlap").alias("total")).where(F.col("total") >= threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-6)
-    summed = summed.groupBy("a", "b", "size_a", "size_b").agg(F.max("total").alias("total"))
-    return _finish(summed, marks, threshold)
+    segments = marked.join(small_enough(_groups(pairs)), "id").select("id", "text", "wanted", "copies", "owner", "cells").mapInArrow(_segments(n, rank, cuts), _SEGMENT)
+    partial = segments.repartition(parts, "grp", "cell", "fragment").sortWithinPartitions("grp", "cell", "fragment").mapInArrow(_count(threshold, parts), _BLOCK)
+    linked = save(partial.repartitionById(parts, "part").mapInArrow(_sum(threshold), "id long, root long, links long"), "jaccard-links")
+
+    roots = components(linked.select(F.col("root").alias("a"), F.col("id").alias("b"))).withColumnRenamed("id", "rep")
+    links = linked.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links")).join(roots, "rep", "left")
+    out = sets.select("id", F.coalesce("rep", "id").alias("rep"), F.coalesce("copies", F.lit(1)).alias("copies")).join(small_enough(save(links, "jaccard-linked")), "rep", "left")
+    return out.select(F.col("id").alias("doc_id"), F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
 
 
 def _groups(pairs: DataFrame) -> DataFrame:
-    """(id, groups): where the sets of pairs (a, b) meet.
+    """(id, owner, cells): where the sets of pairs (a, b) meet.
 
-    A group is the smallest candidate partner: the copies of one text meet in one group and are sent there once.
+    A group is the smallest candidate partner: the copies of one text meet in one group and are sent there once. A group
+    of more than GROUP_BLOCK texts is cut into blocks, every two of which meet in a cell. owner: the group of the pairs
+    in which this id is the smaller one.
     """
-    least = pairs.groupBy("b").agg(F.min("a").alias("least")).withColumnRenamed("b", "a")
-    grouped = pairs.join(least, "a", "left").withColumn("grp", F.coalesce("least", "a"))
-    needed = grouped.select("grp", F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.collect_set("grp").alias("groups"))
-    return save(needed, "jaccard-needed")
-
-
-def _finish(summed: DataFrame, marks: DataFrame, t: float) -> DataFrame:
-    jaccard = F.col("total") / (F.col("size_a") + F.col("size_b") - F.col("total"))
-    near = summed.select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"), F.col("total").alias("overlap"), jaccard.alias("jaccard")).where(F.col("jaccard") >= t)
-    equal = marks.where("rep <> id").select(F.col("rep").alias("doc_a"), F.col("id").alias("doc_b"), F.col("size").cast("long").alias("overlap"), F.lit(1.0).alias("jaccard"))
-    return near.unionByName(equal)
+    least = save(pairs.groupBy("b").agg(F.min("a").alias("least")).withColumnRenamed("b", "id"), "jaccard-least")
+    grouped = pairs.join(small_enough(least.withColumnRenamed("id", "a")), "a", "left").withColumn("grp", F.coalesce("least", "a"))
+    member = save(grouped.select("grp", F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-members")
+    large = member.groupBy("grp").count().where(F.col("count") > GROUP_BLOCK).select("grp", F.ceil(F.col("count") / GROUP_BLOCK).cast("int").alias("blocks"))
+    split = member.join(small_enough(save(large, "jaccard-large")), "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own, other = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.col("other")
+    split = split.select("id", "grp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(other == F.col("own"), 0).when(F.col("own") < other, 1).otherwise(2)
+    cell = F.struct("grp", (high * (high + 1) / 2 + low).cast("int").alias("cell"), side.alias("side"))
+    cells = split.groupBy("id").agg(F.collect_list(cell).alias("cells")).join(least, "id", "left")
+    return save(cells.select("id", F.coalesce("least", "id").alias("owner"), "cells"), "jaccard-needed")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id connected to each id of edges (a, b), by alternating large and small stars.
 
-    Each round's edges are written to the shared folder; the rounds grow with the logarithm of the longest path.
+    Each round's edges are written to the shared folder; the rounds grow with the logarithm of the longest path. The
+    least neighbours are aggregated before they meet the edges again, so a hub's edges are never in one task.
     """
+
+    def least(side: DataFrame) -> DataFrame:
+        return side.join(side.groupBy("a").agg(F.min("b").alias("m")), "a")
+
     now, before = save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "stars"), None
     while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.withColumn("m", F.least("a", F.min("b").over(Window.partitionBy("a"))))
-        large = near.where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        low = large.select("b", "a").withColumn("m", F.min("a").over(Window.partitionBy("b")))
-        small = low.select(F.col("m").alias("a"), F.when(F.col("a") == F.col("m"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
+        near = least(now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+        large = near.where("b > a").select(F.least("a", "m").alias("a"), "b").where("a <> b").distinct()
+        low = least(save(large.select(F.col("b").alias("a"), F.col("a").alias("b")), "large-stars"))
+        small = low.select(F.col("m").alias("a"), F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("b")).distinct()
         now = save(small, "stars")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == before:
@@ -448,11 +554,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the members of a near-duplicate group other than its smallest id.
+    """docs without the members of a near-duplicate class other than its smallest id.
 
-    A group is a connected component of `ngram_jaccard_join`. Rows in no group, with null ids or without words stay;
-    of several rows with one id all stay or go together.
+    A class is one of `ngram_jaccard_join`. Rows in no class of several, with null ids or without words stay; of several
+    rows with one id all stay or go together. Very long texts are compared whole. The columns of docs stay as they are,
+    whatever their names; an empty table stays empty.
     """
-    pairs = save(ngram_jaccard_join(docs, id_col, text_col, **how).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")), "jaccard-pairs")
-    gone = save(components(pairs).select(F.col("id").alias("__gone")), "jaccard-gone")
-    return docs.join(small_enough(gone), docs[id_col] == F.col("__gone"), "left_anti")
+    found = ngram_jaccard_join(docs, id_col, text_col, **how)
+    gone = save(found.where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")), "jaccard-gone")
+    return docs.join(small_enough(gone), docs[id_col].cast("long") == F.col("__gone"), "left_anti")

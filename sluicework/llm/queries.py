@@ -85,19 +85,22 @@ SQL: dict[str, str] = {}
 _WORDS = r"regexp_extract_all(lower(text), '[0-9a-z_\x{80}-\x{10FFFF}]+')"
 
 SQL["op1_ngram_jaccard_join"] = rf"""
-WITH w AS (SELECT doc_id, {_WORDS} AS words FROM documents WHERE doc_id IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS words FROM documents WHERE doc_id IS NOT NULL),
 s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
         ELSE list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) END)) AS grams
       FROM w WHERE len(words) > 0),
-c AS (SELECT min(doc_id) AS rep, grams, len(grams) AS size FROM s GROUP BY grams),
+c AS (SELECT min(doc_id) AS rep, grams, len(grams) AS size, count(*) AS copies FROM s GROUP BY grams),
 g AS (SELECT rep, size, unnest(grams) AS gram FROM c),
-o AS (SELECT x.rep AS doc_a, y.rep AS doc_b, x.size AS size_a, y.size AS size_b, count(*) AS overlap
+o AS (SELECT x.rep AS a, y.rep AS b, x.size AS size_a, y.size AS size_b, count(*) AS overlap
       FROM g x JOIN g y ON x.gram = y.gram AND x.rep < y.rep
-       AND least(x.size, y.size) >= 0.6 * greatest(x.size, y.size) - 1e-9 GROUP BY ALL)
-SELECT doc_a, doc_b, overlap, overlap / (size_a + size_b - overlap) AS jaccard FROM o
-WHERE overlap / (size_a + size_b - overlap) >= 0.6
-UNION ALL
-SELECT c.rep, s.doc_id, c.size, CAST(1 AS DOUBLE) FROM s JOIN c ON s.grams = c.grams WHERE s.doc_id <> c.rep
+       AND least(x.size, y.size) >= 0.6 * greatest(x.size, y.size) - 1e-9 GROUP BY ALL),
+e AS (SELECT a, b FROM o WHERE overlap / (size_a + size_b - overlap) >= 0.6 UNION ALL SELECT b, a FROM o WHERE overlap / (size_a + size_b - overlap) >= 0.6),
+r AS (SELECT rep AS a, rep AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+root AS (SELECT a AS rep, min(b) AS root FROM r GROUP BY a),
+links AS (SELECT e.a AS rep, sum(c.copies) AS links FROM e JOIN c ON e.b = c.rep GROUP BY e.a)
+SELECT d.doc_id, coalesce(root.root, d.doc_id) AS class_id, CAST(coalesce(links.links, 0) + coalesce(c.copies, 1) - 1 AS BIGINT) AS n_links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN s ON d.doc_id = s.doc_id LEFT JOIN c ON s.grams = c.grams
+LEFT JOIN root ON c.rep = root.rep LEFT JOIN links ON c.rep = links.rep
 """
 
 SQL["op8_url_filter"] = url_filter.oracle()

@@ -1,10 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
-from sluicework.llm.ngram_jaccard import components, near_duplicates, ngram_jaccard_join
+from sluicework.llm import ngram_jaccard
+from sluicework.llm.ngram_jaccard import components, local_roots, near_duplicates, ngram_jaccard_join
 
 
 def grams(text, n=3):
@@ -15,33 +16,39 @@ def grams(text, n=3):
 
 
 def brute(rows, t=0.6):
-    """Pairs between classes of equal sets, and each class's members against its first."""
-    one = {}
+    """(class, links) of each id, from all pairs of documents."""
+    one = {i: frozenset() for i, _ in rows if i is not None}
     for i, text in rows:
         if i is not None and (g := grams(text)):
             one[i] = g
-    rep = {}
-    for i in sorted(one):
-        rep.setdefault(one[i], i)
-    out = {(rep[g], i): 1.0 for i, g in one.items() if rep[g] != i}
-    items = sorted((i, g) for g, i in rep.items())
+    root, links = {i: i for i in one}, dict.fromkeys(one, 0)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    items = sorted(one.items())
     for k, (a, x) in enumerate(items):
         for b, y in items[k + 1 :]:
-            j = len(x & y) / len(x | y)
-            if j >= t:
-                out[a, b] = j
-    return out
+            if x and y and len(x & y) / len(x | y) >= t:
+                links[a] += 1
+                links[b] += 1
+                low, high = sorted((find(a), find(b)))
+                root[high] = low
+    return {i: (find(i), links[i]) for i in one}
 
 
 def as_dict(df):
-    return {(r.doc_a, r.doc_b): r.jaccard for r in df.collect()}
+    rows = df.collect()
+    out = {r.doc_id: (r.class_id, r.n_links) for r in rows}
+    assert len(out) == len(rows)
+    return out
 
 
-def test_random_edits(spark):
-    rng = random.Random(3)
-    words = [f"w{i}" for i in range(60)]
-    rows = []
-    for i in range(120):
+def edited(rng, n):
+    words, rows = [f"w{i}" for i in range(60)], []
+    for i in range(n):
         if i % 3 == 0 or not rows:
             text = [rng.choice(words) for _ in range(rng.randint(1, 60))]
         else:
@@ -49,17 +56,39 @@ def test_random_edits(spark):
             for _ in range(rng.randint(0, 5)):
                 text[rng.randrange(len(text))] = rng.choice(words)
         rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_random_edits(spark):
+    rows = edited(random.Random(3), 120)
+    want = brute(rows)
+    assert as_dict(ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == want
+    assert sum(n for _, n in want.values()) > 60 and len({c for c, _ in want.values()}) > 20
+
+
+@pytest.mark.parametrize("block", [2, 7])
+def test_hot_groups_are_split_without_loss(spark, monkeypatch, block):
+    """Small blocks: the same join in many cells."""
+    monkeypatch.setattr(ngram_jaccard, "GROUP_BLOCK", block)
+    monkeypatch.setattr(ngram_jaccard, "LIST_BLOCK", block)
+    rng = random.Random(8)
+    base = [f"v{i}" for i in range(40)]
+    rows = edited(rng, 60)
+    for i in range(60, 110):  # near copies of one text, and copies of those
+        text = list(base)
+        for _ in range(rng.randint(0, 4)):
+            text[rng.randrange(40)] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(text)))
+    rows += [(i + 100, t) for i, t in rows[-20:]]
     want = brute(rows)
-    got = as_dict(ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    assert len(want) > 30
+    assert as_dict(ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == want
+    assert max(n for _, n in want.values()) > 30
 
 
 def test_odd_rows(odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
-    want = brute(rows)
     got = as_dict(ngram_jaccard_join(odd))
-    assert got.keys() == want.keys() and (1, 2) in got and (1, 3) in got
+    assert got == brute(rows) and got[1] == (1, 2) and got[3] == (1, 2) and got[4] == (4, 0) and got[6] == (6, 0)
     assert as_dict(ngram_jaccard_join(none)) == {}
 
 
@@ -76,7 +105,11 @@ def test_components(spark):
     assert got == {2: 1, 3: 1, 4: 1, 5: 1, 9: 8, 21: 20, 22: 20, 23: 20}
 
 
+def test_local_roots():
+    x, y = np.array([5, 4, 3, 2, 9, 20, 22, 23]), np.array([4, 3, 2, 1, 8, 21, 21, 22])
+    assert dict(zip(*map(np.ndarray.tolist, local_roots(x, y)))) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8, 20: 20, 21: 20, 22: 20, 23: 20}
+
+
 def test_threshold(odd):
     with pytest.raises(ValueError):
         ngram_jaccard_join(odd, threshold=0)
-    assert F is not None

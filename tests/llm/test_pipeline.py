@@ -4,7 +4,7 @@ import duckdb
 import pytest
 import tiktoken
 from test_line_dedup import brute as dedup
-from test_ngram_jaccard import brute as pairs
+from test_ngram_jaccard import brute as classes
 
 import __spark_entry__
 import corpus_pipeline
@@ -31,12 +31,7 @@ def test_stages(spark, sf_dir, tmp_path):
     rows = [(r.doc_id, r.text) for r in got["toxicity"]]
     want = {i: t for (i, old), (t, n) in zip(rows, dedup(rows)) if not (n and not t.strip())}
     assert {r.doc_id: r.text for r in got["line_dedup"]} == want
-    root = {}
-    find = lambda i: i if root.setdefault(i, i) == i else find(root[i])
-    for a, b in pairs(list(want.items())):
-        x, y = sorted((find(a), find(b)))
-        root[y] = x
-    assert ids(got["ngram_jaccard_join"]) == sorted(i for i in want if find(i) == i)
+    assert ids(got["ngram_jaccard_join"]) == sorted(i for i, (c, _) in classes(list(want.items())).items() if c == i)
     tokens = {r.doc_id: len(r.text.split()) for r in got["ngram_jaccard_join"]}
     assert set(ids(got["mixing"])) <= set(tokens) and len(got["mixing"]) > 0.9 * len(tokens)
     enc = tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(bpe.VOCABULARY), special_tokens={})
