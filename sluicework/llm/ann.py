@@ -5,9 +5,9 @@ vectors that have it among their nearest, with its place. A query reads the file
 vector it meets, what both orders share; that gives the footrule distance (a pivot missing from an order counts as
 behind its end). The vectors with the smallest footrule distances are reranked by cosine similarity.
 
-Every row is a query. Queries go in slices to every shard and the shards' best are merged; what is broadcast is the
-pivots, whose number is a parameter. Vectors travel as packed blocks. Work grows with the product of queries and shards:
-the table must be compared with itself, and data without any structure leave nothing to skip.
+Queries are the rows whose id is divisible by a given number (1: all rows), against all rows. They go in slices to every
+shard and the shards' best are merged; what is broadcast is the pivots, whose number is a parameter. Vectors travel as
+packed blocks. Work grows with the product of queries and shards: data without any structure leave nothing to skip.
 """
 
 from __future__ import annotations
@@ -20,17 +20,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import save
+from .common import partitions, save
 
 PIVOTS = 512
 NEAREST = 32
 #: The part of a shard that is reranked: 0.2 gives a recall of 0.94 where vectors have no structure at all.
 RERANK = 0.2
-LEAST_RERANK = 500
 SHARD = 32_768
+#: Queries of a slice at most, and at least while there are fewer cells than the cluster has partitions.
 SLICE = 4096
+LEAST_SLICE = 256
 _ROWS = 256
-_BLOCK = "slice int, shard int, kind int, block binary"
+_BLOCK = "cell int, kind int, block binary"
 
 
 def _kind(dim: int, m: int) -> np.dtype:
@@ -47,8 +48,8 @@ def normal(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True).astype(np.float32)
 
 
-def _pack(shared, dim: int, m: int, shards: int, slices: int):
-    """Blocks of vectors with their orders: as queries one for each shard, as data one for each slice."""
+def _pack(shared, dim: int, m: int, shards: int, slices: int, every: int):
+    """Blocks of vectors with their orders, by cell (slice and shard): as queries one for each shard, as data one for each slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots = shared.value
@@ -61,12 +62,13 @@ def _pack(shared, dim: int, m: int, shards: int, slices: int):
             rows = np.empty(len(ids), _kind(dim, m))
             rows["id"], rows["v"], rows["p"] = ids, x, orders(x, pivots, m)
             shard, part = (place % np.uint64(shards)).astype(int), (place // np.uint64(shards) % np.uint64(slices)).astype(int)
+            part[ids % every != 0] = -1
             for own, others, as_query in ((part, shards, True), (shard, slices, False)):
-                for one in np.unique(own):
+                for one in np.unique(own[own >= 0]):
                     block = rows[own == one].tobytes()
-                    for other in range(others):
-                        a, b = (one, other) if as_query else (other, one)
-                        yield pa.RecordBatch.from_arrays([pa.array([a], pa.int32()), pa.array([b], pa.int32()), pa.array([int(as_query)], pa.int32()), pa.array([block], pa.binary())], names=["slice", "shard", "kind", "block"])
+                    cells = [one * shards + o if as_query else o * shards + one for o in range(others)]
+                    for c in cells:
+                        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([int(as_query)], pa.int32()), pa.array([block], pa.binary())], names=["cell", "kind", "block"])
 
     return run
 
@@ -107,7 +109,7 @@ def _search(dim: int, m: int, pivots: int, k: int, rerank: float):
                 return
             rows, asked = rows[np.argsort(rows["id"], kind="stable")], asked[np.argsort(asked["id"], kind="stable")]
             files, ids, x = InvertedFiles(rows["p"], pivots), rows["id"], np.ascontiguousarray(rows["v"])
-            most = min(len(rows), max(LEAST_RERANK, int(np.ceil(rerank * len(rows)))))
+            most = min(len(rows), max(k + 1, int(np.ceil(rerank * len(rows)))))  # the query itself may be among them
             for a in range(0, len(asked), _ROWS):
                 some = asked[a : a + _ROWS]
                 near = files.shared(some["p"])
@@ -123,10 +125,10 @@ def _search(dim: int, m: int, pivots: int, k: int, rerank: float):
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["vec_id", "neighbour_id", "cosine"])
 
         for batch in batches:
-            for s, h, what, block in zip(*(c.to_pylist() for c in batch.columns)):
-                if (s, h) != now:
+            for cell, what, block in zip(*(c.to_pylist() for c in batch.columns)):
+                if cell != now:
                     yield from search()
-                    now, data, queries = (s, h), [], []
+                    now, data, queries = cell, [], []
                 (queries if what else data).append(block)
         yield from search()
 
@@ -150,13 +152,16 @@ def nearest_neighbours(
     rerank: float = RERANK,
     shard: int = SHARD,
     slice_rows: int = SLICE,
+    every: int = 1,
 ) -> DataFrame:
-    """(vec_id, rank, neighbour_id, cosine): about the k most similar other vectors of every vector, by cosine.
+    """(vec_id, rank, neighbour_id, cosine): about the k most similar other vectors of every query, by cosine.
 
-    Ranks begin at 1; ties go to the smaller id. Fewer rows come out where there are fewer other vectors.
+    Queries are the vectors whose id is divisible by ``every``; all vectors are searched. Ranks begin at 1; ties go to
+    the smaller id. Fewer rows come out where there are fewer other vectors. In each shard the same share ``rerank`` of
+    the vectors is reranked, whatever its size, k and one of them at least.
 
-    Rows with a null id or vector, with a null or non-finite component, of length zero or of another dimension than the
-    row of the least id are left out. Of rows repeated under one id one counts, the one whose vector comes first in order; a vector
+    Rows with a null id or vector, with a null or non-finite component, of length zero or of another dimension than most
+    rows have (the smaller one at a tie) are left out. Of rows repeated under one id one counts, the one whose vector comes first in order; a vector
     isn't its own neighbour, but equal vectors of other ids are. An empty table gives no rows. Other columns aren't read.
     """
     spark = vectors.sparkSession
@@ -164,20 +169,18 @@ def nearest_neighbours(
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     src = src.where(F.col("id").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0))
     src = save(src.groupBy("id").agg(F.min("v").alias("v")), "ann-vectors")
-    head = src.orderBy("id").select(F.size("v").alias("dim")).first()
+    head = src.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("rows"), F.count_if(F.col("id") % every == 0).alias("queries")).orderBy(F.desc("rows"), "dim").first()
     if head is None:
         return spark.createDataFrame([], "vec_id long, rank int, neighbour_id long, cosine double")
     src = src.where(F.size("v") == head.dim)
-    rows = src.count()
     chosen = src.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()  # a bounded sample, by hash
     points = normal(np.array([r.v for r in chosen], np.float32))
     m = min(nearest, len(points))
     shared = spark.sparkContext.broadcast(points)
-    shards, slices = max(1, -(-rows // shard)), max(1, -(-rows // slice_rows))
+    shards = max(1, -(-head.rows // shard))
+    slices = max(1, -(-head.queries // slice_rows), min(-(-head.queries // LEAST_SLICE), -(-partitions(spark) // shards)))
     placed = src.select("id", "v", F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.lit(1 << 62)).alias("place"))
-    blocks = placed.mapInArrow(_pack(shared, head.dim, m, shards, slices), _BLOCK)
-    cells = shards * slices
-    blocks = blocks.repartition(cells, "slice", "shard")
-    found = blocks.sortWithinPartitions("slice", "shard", "kind").mapInArrow(_search(head.dim, m, len(points), k, rerank), "vec_id long, neighbour_id long, cosine double")
+    blocks = placed.mapInArrow(_pack(shared, head.dim, m, shards, slices, every), _BLOCK).repartitionById(shards * slices, "cell")
+    found = blocks.sortWithinPartitions("cell", "kind").mapInArrow(_search(head.dim, m, len(points), k, rerank), "vec_id long, neighbour_id long, cosine double")
     best = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "neighbour_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("vec_id", "rank", "neighbour_id", "cosine")

@@ -4,9 +4,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from sluicework.llm import ann, quality, secrets, url_filter
 from sluicework.llm import kernels as K
+from sluicework.llm import queries as Q
 
 
 def test_secrets(spark, odd, none):
@@ -40,7 +42,7 @@ def test_neighbours(spark):
     x = rng.randn(1500, 32)
     x[:200] = x[0] + 0.01 * rng.randn(200, 32)  # a dense group
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
-    odd = [(5, x[5].tolist(), 1), (None, x[0].tolist(), 1), (2000, None, 1), (2001, [0.0] * 32, 1), (2002, [1.0], 1), (2003, [float("nan")] * 32, 1)]
+    odd = [(-7, [1.0], 1), (5, x[5].tolist(), 1), (None, x[0].tolist(), 1), (2000, None, 1), (2001, [0.0] * 32, 1), (2002, [1.0], 1), (2003, [float("nan")] * 32, 1)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, rank int")
     got = {}
     for r in ann.nearest_neighbours(df, shard=800, slice_rows=500, pivots=256).collect():
@@ -55,6 +57,29 @@ def test_neighbours(spark):
     few = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert sorted((r.vec_id, r.rank, r.neighbour_id) for r in ann.nearest_neighbours(few).collect()) == [(1, 1, 2), (1, 2, 3), (2, 1, 1), (2, 2, 3), (3, 1, 1), (3, 2, 2)]
     assert ann.nearest_neighbours(few.limit(0)).count() == 0
+    assert {r.vec_id for r in ann.nearest_neighbours(few, every=2).collect()} == {2} and ann.nearest_neighbours(few, every=5).count() == 0
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_registered_neighbours_against_brute_force(spark, sf):
+    """The query with its own parameters: recall, exact cosines, and every query has its k neighbours."""
+    sf_dir = f"/root/testdata/{sf}"
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in Q.op3_nearest_neighbours(spark, sf_dir).collect():
+        got.setdefault(r.vec_id, {})[r.rank] = (r.neighbour_id, r.cosine)
+    assert sorted(got) == sorted(i for i in ids.tolist() if i % 20 == 0)
+    place, hits = {i: k for k, i in enumerate(ids.tolist())}, 0
+    for i, v in got.items():
+        s = x @ x[place[i]]
+        s[place[i]] = -9
+        least = np.sort(s)[-10]
+        assert sorted(v) == list(range(1, 11)) and [c for _, c in sorted(v.values(), key=lambda y: -y[1])] == [v[r][1] for r in range(1, 11)]
+        assert all(abs(s[place[n]] - c) < 1e-5 for n, c in v.values())
+        hits += sum(c >= least - 1e-5 for _, c in v.values())
+    assert hits / (10 * len(got)) >= 0.9
 
 
 def test_footrule():
