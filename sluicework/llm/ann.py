@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 from .common import partitions, save
 
 PIVOTS = 512
-NEAREST = 64
+NEAREST = 32
 #: The part of a shard that is reranked: 0.2 gives a recall of 0.92 to 0.94 where vectors have no structure at all.
 RERANK = 0.2
 SHARD = 32_768
