@@ -5,9 +5,11 @@ lexicon of a language (frequent words of the sample). A label's score for a word
 transition weights between labels are learned with them, by maximising the likelihood of code-switched sequences.
 Labels come from the marginals of forward-backward, so a foreign phrase inside a text gets its own language.
 
-The field is trained on the driver on a bounded sample of documents with a known language, spliced into code-switched
-sequences. Labelling is one scan without a shuffle. Weights of a word are looked up once per distinct word of a slice,
-and forward-backward runs over all texts of a slice at once, one array step for each word position of the chunks.
+The field is trained on the driver on whole texts of a bounded sample of documents with a known language, spliced into
+code-switched sequences. Labelling is one scan without a shuffle. Weights of a word are looked up once per distinct word
+of a slice, and forward-backward runs over all texts of a slice at once: texts are cut into chunks, the product of each
+chunk's transfer matrices carries the messages from one chunk to the next, and then all chunks are labelled together.
+That is the exact forward-backward of the whole text, of any length.
 """
 
 from __future__ import annotations
@@ -21,22 +23,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import save, small_enough
 from .toxicity import letters
 
 #: Documents of the sample, those with the smallest id hashes.
 SAMPLE = 600
 #: Feature buckets.
 BITS = 17
-#: Words of a document that take part in training.
-TRAIN_WORDS = 120
 LEXICON = 400
 EPOCHS = 6
 RATE = 0.15
 DECAY = 1e-5
-#: Words of one chain: longer texts are cut into chains that overlap by EDGE words on each side, whose labels come from
-#: the chain that has them further inside.
-CHAIN = 256
-EDGE = 16
+#: Words of a chunk, whose messages are passed on: the result doesn't depend on it.
+CHUNK = 32
 _AFFIX = (1, 2, 3, 4)
 _SEED = 5
 
@@ -118,6 +117,61 @@ def forward_backward(emission: np.ndarray, transition: np.ndarray, length: np.nd
     return marginal, np.where(live, np.log(scale) + top[:, :, 0], 0.0).sum(axis=1)
 
 
+def _step(before: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """before @ step, scaled to a sum of 1 in the last axes that belong to one chunk."""
+    after = before @ step
+    return after / after.sum(axis=tuple(range(1, after.ndim)), keepdims=True)
+
+
+def marginals(score: np.ndarray, transition: np.ndarray, count: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
+    """Marginals of the labels of texts of count words each, whose words' scores follow one another in score."""
+    n, k = score.shape
+    first = np.cumsum(count) - count
+    many = -(-count // chunk)
+    row = np.repeat(np.arange(len(count)), many)
+    head = np.cumsum(many) - many  # a text's first chunk
+    number = np.arange(len(row)) - head[row]
+    begin = first[row] + number * chunk
+    size = np.minimum(chunk, first[row] + count[row] - begin)
+    step = np.exp(transition - transition.max())
+    index = np.minimum(begin[:, None] + np.arange(chunk), n - 1)
+    e = np.exp(score[index] - score[index].max(axis=2, keepdims=True))
+    live = np.arange(chunk)[None, :] < size[:, None]
+    # transfer[c]: what a chunk makes of the message before it; the first of a text makes the same of any
+    transfer = np.broadcast_to(np.eye(k), (len(row), k, k)).copy()
+    for i in range(chunk):
+        after = transfer @ step
+        if i == 0:
+            after[number == 0] = 1.0
+        after *= e[:, i, None, :]
+        after /= after.sum(axis=(1, 2), keepdims=True)
+        transfer = np.where(live[:, i, None, None], after, transfer)
+    forward, backward = np.ones((len(row), k)), np.ones((len(row), k))  # the message before a chunk, and behind its last word
+    by = np.argsort(-many, kind="stable")
+    for t in range(1, int(many.max(initial=0))):
+        texts = by[: np.searchsorted(-many[by], -t, "left")]
+        c = head[texts] + t
+        forward[c] = _step(forward[c - 1][:, None, :], transfer[c - 1])[:, 0]
+        c = head[texts] + many[texts] - 1 - t
+        backward[c] = _step(backward[c + 1][:, None, :], transfer[c + 1].transpose(0, 2, 1))[:, 0]
+    alpha, beta = np.empty_like(e), np.empty_like(e)
+    now = forward
+    for i in range(chunk):
+        after = now @ step
+        if i == 0:
+            after[number == 0] = 1.0
+        after *= e[:, i]
+        now = alpha[:, i] = after / after.sum(axis=1, keepdims=True)
+    now = backward
+    for i in range(chunk - 1, -1, -1):
+        beta[:, i] = now
+        after = (now * e[:, i]) @ step.T
+        now = np.where(live[:, i, None], after / after.sum(axis=1, keepdims=True), now)
+    alpha *= beta
+    alpha /= alpha.sum(axis=2, keepdims=True)
+    return alpha[live]
+
+
 class Field:
     """A trained field: labels, weights by feature bucket and label, lexicon weights, transitions."""
 
@@ -143,7 +197,7 @@ class Field:
         self._make_lexicon(words, label)
         pieces: list[tuple[int, int, int]] = []  # stretches of one document
         for d in range(len(rows)):
-            a, stop = first[d], first[d] + min(words.count[d], TRAIN_WORDS)
+            a, stop = first[d], first[d] + words.count[d]
             while a < stop:
                 b = min(stop, a + rng.randint(3, 30))
                 pieces.append((a, b, label[d]))
@@ -154,13 +208,13 @@ class Field:
         order[some] = rng.permutation(some)
         index = np.concatenate([np.arange(pieces[i][0], pieces[i][1]) for i in order]) if pieces else np.zeros(0, np.int64)
         gold = np.concatenate([np.full(pieces[i][1] - pieces[i][0], pieces[i][2]) for i in order]) if pieces else np.zeros(0, np.int64)
-        width = 32
-        chains = len(index) // width
-        if not chains:
-            chains, width = (1, len(index)) if len(index) else (0, width)
-        if not chains:
+        if not len(index):
             return
-        index, gold = index[: chains * width], gold[: chains * width]
+        width = min(32, len(index))
+        chains = -(-len(index) // width)
+        size = np.full(chains, width)
+        size[-1] = len(index) - width * (chains - 1)
+        index, gold = (np.append(x, np.repeat(x[-1:], width * chains - len(x))) for x in (index, gold))
         bucket, who = features(body, words.start[index], words.end[index], words.total)
         by = np.argsort(who, kind="stable")
         bucket, who = bucket[by], who[by]
@@ -183,15 +237,16 @@ class Field:
                     emission[:, y] = np.bincount(own, weights=self.weight[f, y] * share, minlength=len(at_word))
                 emission += lex[at_word] @ self.lexicon_weight
                 emission = emission.reshape(len(c), width, k)
-                marginal, _ = forward_backward(emission, self.transition, np.full(len(c), width))
+                marginal, _ = forward_backward(emission, self.transition, size[c])
                 truth = np.zeros_like(marginal)
                 g = gold[at_word].reshape(len(c), width)
                 np.put_along_axis(truth, g[:, :, None], 1.0, axis=2)
-                error = (truth - marginal).reshape(-1, k)
+                live = np.arange(width)[None, :] < size[c][:, None]
+                error = ((truth - marginal) * live[:, :, None]).reshape(-1, k)
                 # expected transitions are taken from the product of neighbouring marginals through the field's own step
-                pair = self._pairs(emission, marginal)
+                pair = self._pairs(emission, size[c])
                 seen = np.zeros((k, k))
-                np.add.at(seen, (g[:, :-1].ravel(), g[:, 1:].ravel()), 1.0)
+                np.add.at(seen, (g[:, :-1][live[:, 1:]], g[:, 1:][live[:, 1:]]), 1.0)
                 grad_t = (seen - pair) / len(c)
                 square_t += grad_t**2
                 self.transition += RATE * grad_t / np.sqrt(square_t)
@@ -204,7 +259,7 @@ class Field:
                     square[cells, y] += grad**2
                     self.weight[cells, y] += RATE * grad / np.sqrt(square[cells, y])
 
-    def _pairs(self, emission: np.ndarray, marginal: np.ndarray) -> np.ndarray:
+    def _pairs(self, emission: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Expected transitions, from scaled forward and backward messages."""
         e = np.exp(emission - emission.max(axis=2, keepdims=True))
         step = np.exp(self.transition)
@@ -215,11 +270,11 @@ class Field:
             alpha[:, i] = now / now.sum(axis=1, keepdims=True)
         for i in range(words - 2, -1, -1):
             back = (beta[:, i + 1] * e[:, i + 1]) @ step.T
-            beta[:, i] = back / back.sum(axis=1, keepdims=True)
+            beta[:, i] = np.where((i + 1 < size)[:, None], back / back.sum(axis=1, keepdims=True), 1.0)
         total = np.zeros_like(step)
         for i in range(1, words):
             p = alpha[:, i - 1, :, None] * step[None] * (e[:, i] * beta[:, i])[:, None, :]
-            total += (p / p.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            total += (p / p.sum(axis=(1, 2), keepdims=True))[i < size].sum(axis=0)
         return total
 
     def _make_lexicon(self, words: Words, label: np.ndarray) -> None:
@@ -273,34 +328,13 @@ class Field:
         if not n or not self.labels:
             return np.zeros(n, np.int64), np.zeros(n), words.count
         score = self.emissions(body, words)
-        first = np.cumsum(words.count) - words.count
-        # chains: (first word, words); the inner words of all chains of a text are all its words
-        inner = CHAIN - 2 * EDGE
-        short = words.count <= CHAIN
-        many = np.where(words.count == 0, 0, np.where(short, 1, -(-np.maximum(words.count - 2 * EDGE, 1) // inner)))
-        row = np.repeat(np.arange(len(at) - 1), many)
-        number = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-        begin = first[row] + number * inner
-        size = np.minimum(CHAIN, first[row] + words.count[row] - begin)
         label, sure = np.zeros(n, np.int64), np.zeros(n)
-        order = np.argsort(size, kind="stable")
-        a = 0
-        while a < len(order):  # chains of similar length together
-            b = min(len(order), a + max(1, 60_000 // int(size[order[a]])))
-            while b > a + 1 and size[order[b - 1]] * (b - a) > 120_000:
-                b = a + max(1, (b - a) // 2)
-            c = order[a:b]
-            a = b
-            width = int(size[c].max())
-            index = np.minimum(begin[c][:, None] + np.arange(width), n - 1)
-            marginal, _ = forward_backward(score[index].astype(np.float64), self.transition, size[c])
-            best = marginal.argmax(axis=2)
-            top = np.take_along_axis(marginal, best[:, :, None], axis=2)[:, :, 0]
-            left = np.where(number[c] == 0, 0, EDGE)
-            right = np.where(number[c] == many[row[c]] - 1, size[c], size[c] - EDGE)
-            step = np.arange(width)[None, :]
-            use = (step >= left[:, None]) & (step < right[:, None])
-            label[index[use]], sure[index[use]] = best[use], top[use]
+        for i, j in K.slices(np.concatenate(([0], np.cumsum(words.count))), 200_000):
+            a, b = words.count[:i].sum(), words.count[:j].sum()
+            if a < b:
+                marginal = marginals(score[a:b].astype(np.float64), self.transition, words.count[i:j])
+                label[a:b] = marginal.argmax(axis=1)
+                sure[a:b] = marginal.max(axis=1)
         return label, sure, words.count
 
 
@@ -351,11 +385,14 @@ def _label(shared):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Field:
     """A field of at most ``sample`` documents with a language, those with the smallest id hashes.
 
-    Rows with a null id, text or language are left out. Only the sample's rows reach the driver.
+    The ids are chosen first, so only the sample's texts are moved. They are trained on whole. Rows with a null id, text
+    or language are left out; where an id has several texts or languages, the greatest counts.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    chosen = src.where("id is not null and lang is not null and text is not null").orderBy(F.xxhash64("id"), "id", "lang", F.xxhash64("text")).limit(sample)
-    return Field([(r.text, r.lang) for r in chosen.select("text", "lang").collect()])
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("id is not null and lang is not null and text is not null")
+    chosen = src.select(F.col("id").alias("chosen")).distinct().orderBy(F.xxhash64("chosen"), "chosen").limit(sample)
+    rows = src.join(small_enough(save(chosen, "language-sample"), sample), F.col("id") == F.col("chosen"))
+    rows = rows.groupBy("id").agg(F.max(F.struct("text", "lang")).alias("r")).select("r.text", "r.lang")
+    return Field([(r.text, r.lang) for r in rows.collect()])
 
 
 def label_words(docs: DataFrame, field: Field, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
