@@ -159,10 +159,10 @@ _zip, _unzip = None, None
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of one length as a compressed block."""
+    """Columns of one length as a compressed block: first all lowest bytes of a column, then the next."""
     global _zip
     _zip = _zip or zstandard.ZstdCompressor(level=1)
-    return _zip.compress(b"".join(np.ascontiguousarray(c).tobytes() for c in columns))
+    return _zip.compress(b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns))
 
 
 def unpack(block: bytes, *kinds: str) -> list[np.ndarray]:
@@ -172,6 +172,6 @@ def unpack(block: bytes, *kinds: str) -> list[np.ndarray]:
     width = [np.dtype(k).itemsize for k in kinds]
     n, out, at = len(raw) // sum(width), [], 0
     for k, w in zip(kinds, width):
-        out.append(np.frombuffer(raw, k, n, at))
+        out.append(np.frombuffer(raw, np.uint8, n * w, at).reshape(w, n).T.copy().view(k).ravel())
         at += n * w
     return out

@@ -7,7 +7,8 @@ fragment on its own and summed per pair. Two lossless filters keep the fragments
 * texts with equal n-gram sets are one class, joined through its smallest id only;
 * sets with Jaccard >= t share an n-gram among the first ``len - ceil(t * len) + 1`` of the global order, and the number
   of such shared prefix grams with what is left behind the prefixes bounds the overlap; only pairs whose bound
-  reaches the overlap they need enter the fragments.
+  reaches the overlap they need enter the fragments. A text's mark is the least hash of its prefix grams: texts of one
+  mark meet once, in the list of the mark, and are left out of the lists of all the grams that they share.
 
 Shuffles carry packed blocks (about 7 bytes a posting), never one row per n-gram; the only broadcast is the rank of
 the sketch's buckets, whose size is fixed. The result has one row for each document: its near-duplicate class and the
@@ -44,6 +45,10 @@ _BLOCK = "part int, block binary"
 _CHUNKS = 64
 _FLUSH = 2_000_000
 _LOW = np.uint64(64 - SKETCH_BITS)
+_MARK = 4
+#: A mark has a gram's rank and the rest of 32 bits of it, spread by a product whose inverse gathers it again.
+_SPARE = np.uint32(32 - SKETCH_BITS)
+_SPREAD, _GATHER = np.uint32(2654435761), np.uint32(pow(2654435761, -1, 1 << 32))
 
 
 def prefix_length(size: int, t: float) -> int:
@@ -132,9 +137,9 @@ def _cells(own: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _postings(n: int, t: float, parts: int, rank, many):
-    """Pass 2: blocks of (hash, id, size, position, side) of the prefix grams, one block per range and flush.
+    """Pass 2: blocks of (hash, text, position, kind) of the prefix grams and marks, with a table of the texts in each.
 
-    many: blocks of the texts that have a bucket's grams, by rank.
+    many: blocks of the texts that have a bucket's grams, by rank. kind: the side in the cell, and whether it is a mark.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,22 +149,36 @@ def _postings(n: int, t: float, parts: int, rank, many):
 
         def flush() -> pa.RecordBatch:
             g = np.concatenate([h[0] for h in held])
-            each = [len(h[0]) for h in held]
-            ids, lens = (np.repeat(np.array([h[k] for h in held]), each) for k in (1, 2))
-            pos = np.concatenate([np.arange(len(h[0])) * 256 // h[2] for h in held]).astype(np.uint8)
-            split = blocks[(g >> _LOW).astype(np.int64)]
-            g, side = K.mix(g), np.zeros(len(g), np.uint8)
+            each = np.array([len(h[0]) for h in held])
+            ids, lens = (np.array([h[k] for h in held]) for k in (1, 2))
+            code = (((g >> _LOW).astype("u4") << _SPARE) | (g & np.uint64((1 << int(_SPARE)) - 1)).astype("u4")) * _SPREAD
+            mark = np.minimum.reduceat(code, np.cumsum(each) - each)
+            doc = np.repeat(np.arange(len(held)), each)
+            pos = (np.arange(len(g)) - np.repeat(np.cumsum(each) - each, each)) * 256 // lens[doc]
+            with np.errstate(over="ignore"):
+                h = np.concatenate((K.mix(g), K.mix(mark.astype(np.uint64) + np.uint64(1 << 40))))
+            split = blocks[np.concatenate(((g >> _LOW).astype(np.int64), ((mark * _GATHER) >> _SPARE).astype(np.int64)))]
+            kind = np.repeat(np.array([0, _MARK], np.uint8), (len(g), len(held)))
+            doc, pos = np.concatenate((doc, np.arange(len(held)))), np.concatenate((pos, np.zeros(len(held), np.int64))).astype(np.uint8)
             hot = np.flatnonzero(split > 1)
             if len(hot):
-                own = (K.mix(ids[hot].astype(np.uint64)) % split[hot].astype(np.uint64)).astype(np.int64)
-                row, cell, where = _cells(own, split[hot])
+                own = (K.mix(ids[doc[hot]].astype(np.uint64)) % split[hot].astype(np.uint64)).astype(np.int64)
+                row, cell, side = _cells(own, split[hot])
                 cold = np.flatnonzero(split == 1)
-                pick = np.concatenate((cold, hot[row]))
                 with np.errstate(over="ignore"):
-                    g = np.concatenate((g[cold], K.mix(g[hot[row]] + cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
-                ids, lens, pos, side = ids[pick], lens[pick], pos[pick], np.concatenate((side[cold], where.astype(np.uint8)))
-            part = ((g >> np.uint64(34)) % np.uint64(parts)).astype(np.int64)
-            return _by_part(part, parts, (g & np.uint64(0xFFFFFFFF)).astype("u4"), ids.astype("i8"), lens.astype("u4"), pos, side)
+                    h = np.concatenate((h[cold], K.mix(h[hot[row]] + cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+                pick = np.concatenate((cold, hot[row]))
+                doc, pos, kind = doc[pick], pos[pick], np.concatenate((kind[cold], kind[hot[row]] + side.astype(np.uint8)))
+            part = ((h >> np.uint64(34)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            edge = np.searchsorted(part[order], np.arange(parts + 1))
+            out = []
+            for k in range(parts):
+                o = order[edge[k] : edge[k + 1]]
+                if len(o):
+                    docs, at = np.unique(doc[o], return_inverse=True)
+                    out.append((k, K.pack(ids[docs].astype("i8"), lens[docs].astype("u4"), mark[docs]), K.pack((h[o] & np.uint64(0xFFFFFFFF)).astype("u4"), at.astype("u4"), pos[o], kind[o])))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], names=["part", "docs", "block"])
 
         for batch in batches:
             ids, drop = batch.column(0).to_pylist(), _left_out(batch, n)
@@ -178,15 +197,19 @@ def _postings(n: int, t: float, parts: int, rank, many):
     return run
 
 
-def _pairs_of(h: np.ndarray, ids: np.ndarray, lens: np.ndarray, pos: np.ndarray, side: np.ndarray, t: float) -> Iterator[list[np.ndarray]]:
-    """Folded pairs of postings that share a hash, are on different sides of their cell if it has sides, and pass the length filter."""
+def _pairs_of(h: np.ndarray, ids: np.ndarray, lens: np.ndarray, mark: np.ndarray, pos: np.ndarray, kind: np.ndarray, t: float) -> Iterator[list[np.ndarray]]:
+    """Folded pairs of postings that share a hash, are on different sides of their cell if it has sides, and pass the length filter.
+
+    All postings are of grams, or all of marks. Pairs of equal marks are found by the mark alone.
+    """
     order = np.lexsort((lens, h))
     h = h[order]
     same = np.zeros(len(h) + 1, bool)
     same[1:-1] = h[1:] == h[:-1]
     keep = same[1:] | same[:-1]
     order, h = order[keep], h[keep]
-    ids, lens, side = ids[order], lens[order].astype(np.int64), side[order]
+    ids, lens, side, mark = ids[order], lens[order].astype(np.int64), kind[order] & 3, mark[order]
+    by_mark = bool(len(kind)) and bool(kind[0] & _MARK)
     rest = lens - pos[order].astype(np.int64) * lens // 256 - 1
     behind = np.ceil(t * lens - 1e-9).astype(np.int64) - 1  # grams behind the prefix
     key = (h.astype(np.uint64) << np.uint64(32)) | lens.astype(np.uint64)
@@ -200,12 +223,15 @@ def _pairs_of(h: np.ndarray, ids: np.ndarray, lens: np.ndarray, pos: np.ndarray,
         a = np.repeat(np.arange(at, to), c)
         b = a + 1 + np.arange(len(a)) - np.repeat(edge[at:to] - edge[at], c)
         at = to
-        ok = (ids[a] != ids[b]) & ((side[a] == 0) | (side[a] != side[b]))
+        ok = (ids[a] != ids[b]) & ((side[a] == 0) | (side[a] != side[b])) & ((mark[a] == mark[b]) == by_mark)
         a, b = a[ok], b[ok]
-        left = np.minimum(rest[a], rest[b])
         need = np.ceil(t / (1 + t) * (lens[a] + lens[b]) - 1e-6).astype(np.int64)
-        low = np.minimum(left, np.maximum(behind[a], behind[b]))
-        yield _fold(np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), np.ones(len(a), np.int64), low, left, need)
+        x, y = np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+        if by_mark:  # the others of their shared grams aren't counted: they pass
+            yield _fold(x, y, need, np.zeros_like(need), need, need)
+        else:
+            left = np.minimum(rest[a], rest[b])
+            yield _fold(x, y, np.ones(len(a), np.int64), np.minimum(left, np.maximum(behind[a], behind[b])), left, need)
 
 
 def _fold(x: np.ndarray, y: np.ndarray, count: np.ndarray, low: np.ndarray, high: np.ndarray, need: np.ndarray) -> list[np.ndarray]:
@@ -225,26 +251,32 @@ _PAIR = ("i8", "i8", "u4", "u4", "u4", "u4")
 
 def _candidates(t: float, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = [K.unpack(b, "u4", "i8", "u4", "u1", "u1") for batch in batches for b in batch.column(1).to_pylist()]
-        if not blocks:
+        found = [(K.unpack(d, "i8", "u4", "u4"), K.unpack(b, "u4", "u4", "u1", "u1")) for batch in batches for d, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        if not found:
             return
-        columns = [np.concatenate([b[k] for b in blocks]) for k in range(5)]
-        del blocks
+        ids, lens, mark = (np.concatenate([d[k] for d, _ in found]) for k in range(3))
+        h, pos, kind = (np.concatenate([b[k] for _, b in found]) for k in (0, 2, 3))
+        first = np.cumsum([0, *(len(d[0]) for d, _ in found)])
+        doc = np.concatenate([b[1].astype(np.int64) + f for (_, b), f in zip(found, first)])
+        del found
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             pairs = _fold(*(np.concatenate(c) for c in zip(*held)))
             return _by_part(_pair_part(pairs[0], pairs[1], parts), parts, *(c.astype(k) for c, k in zip(pairs, _PAIR)))
 
-        for found in _pairs_of(*columns, t):
-            held.append(found)
-            size += len(found[0])
-            if size > 800_000:
-                held = [_fold(*(np.concatenate(c) for c in zip(*held)))]
-                size = len(held[0][0])
-                if size > 400_000:
-                    yield flush()
-                    held, size = [], 0
+        for marks in (True, False):
+            own = np.flatnonzero(((kind & _MARK) > 0) == marks)
+            of = doc[own]
+            for pairs in _pairs_of(h[own], ids[of], lens[of], mark[of], pos[own], kind[own], t):
+                held.append(pairs)
+                size += len(pairs[0])
+                if size > 800_000:
+                    held = [_fold(*(np.concatenate(c) for c in zip(*held)))]
+                    size = len(held[0][0])
+                    if size > 400_000:
+                        yield flush()
+                        held, size = [], 0
         if size:
             yield flush()
 
@@ -252,7 +284,8 @@ def _candidates(t: float, parts: int):
 
 
 def _pair_part(a: np.ndarray, b: np.ndarray, parts: int) -> np.ndarray:
-    return (K.mix(K.mix(a.astype(np.uint64)) ^ b.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    """By a, so that its pairs pack well, and by 16 buckets of b, so that no a with many partners is in one task."""
+    return (K.mix(K.mix(a.astype(np.uint64)) + (K.mix(b.astype(np.uint64)) & np.uint64(15))) % np.uint64(parts)).astype(np.int64)
 
 
 def _merge_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -495,7 +528,7 @@ def ngram_jaccard_join(
     many = spark.sparkContext.broadcast(np.maximum(1, -(-count // LIST_BLOCK)))
     marked = src.join(small_enough(marks), "id", "left").select("id", "text", "wanted", F.coalesce("copies", F.lit(1)).alias("copies"))
     marked = marked.where("wanted is null or wanted <> x''")
-    postings = marked.mapInArrow(_postings(n, threshold, parts, rank, many), _BLOCK)
+    postings = marked.mapInArrow(_postings(n, threshold, parts, rank, many), "part int, docs binary, block binary")
     found = postings.repartitionById(parts, "part").mapInArrow(_candidates(threshold, parts), _BLOCK)
     pairs = save(found.repartitionById(parts, "part").mapInArrow(_merge_pairs, "a long, b long"), "jaccard-candidates")
 
