@@ -1,4 +1,4 @@
-"""Line deduplication within an edit distance of one, by a deletion-neighbourhood join.
+"""Line deduplication within an edit distance of one, by a deletion-neighbourhood join; short lines go when equal.
 
 Every line emits the hashes of all strings that one deletion makes of it, and its own; two lines within the bound share
 one. Equal variants are joined, the pairs are verified by edit distance, and the earliest line is kept.
@@ -20,10 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import partitions, save, small_enough
+from .common import input_bytes, partitions, save, small_enough
 
-#: Shorter lines (after trimming) are neither dropped nor compared: one edit makes another word of them.
+#: Lines of fewer characters (after trimming) have no near matches, one edit makes another word of them: only equal ones go.
 MIN_CHARS = 20
+#: Bytes of packed keys that a task is meant to hold; they are about as many as the bytes of text.
+TASK_BYTES = 48 << 20
 BLOCKS = 3
 _FLUSH = 1_500_000
 _TRIM = " \t\r"
@@ -43,43 +45,76 @@ def _flush(key: np.ndarray, parts: int, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["part", "block"])
 
 
-def block_keys(line: str) -> Iterator[tuple[int, int]]:
-    """(key, parity) for each block left out, as the shorter or equal and as the longer of two lines."""
-    bit = np.left_shift(1, (np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) * np.uint32(2654435761)) >> np.uint32(28)).astype(np.uint16)
-    seen = np.concatenate(([0], np.bitwise_xor.accumulate(bit)))
-    for extra in (0, 1):
-        size = len(line) - extra
-        for j in range(BLOCKS):
-            a, b = j * size // BLOCKS, (j + 1) * size // BLOCKS + extra
-            yield xxhash.xxh3_64_intdigest((line[:a] + line[b:]).encode("utf-8", "surrogatepass"), seed=size * BLOCKS + j), int(seen[b] ^ seen[a])
+class Lines:
+    """The lines of some text, trimmed and of at least min_chars characters: code points, starts, ends and prefix sums."""
+
+    def __init__(self, text: str, min_chars: int):
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = len(code)
+        cut = np.flatnonzero(code == 10)
+        start, end = np.concatenate(([0], cut + 1)), np.append(cut, n)
+        solid = np.flatnonzero((code != 32) & (code != 9) & (code != 13) & (code != 10))
+        low, high = np.searchsorted(solid, start), np.searchsorted(solid, end)
+        some = low < high
+        first, last = solid[low[some]], solid[high[some] - 1] + 1
+        long = last - first >= min_chars
+        self.first, self.last = first[long], last[long]
+        self.up, self.down = K.powers(n + 1)
+        self.total = np.zeros(n + 1, np.uint64)
+        self.parity = np.zeros(n + 1, np.uint16)
+        with np.errstate(over="ignore"):
+            np.cumsum((K.mix(code.astype(np.uint64) + np.uint64(1)) | np.uint64(1)) * self.up[:n], out=self.total[1:])
+            bit = np.left_shift(1, (code * np.uint32(2654435761)) >> np.uint32(28)).astype(np.uint16)
+        np.bitwise_xor.accumulate(bit, out=self.parity[1:])
+
+    def keys(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(key, parity) of all lines for each block left out, as the shorter or equal and as the longer of two lines."""
+        first, last, total = self.first, self.last, self.total
+        for extra in (0, 1):
+            size = last - first - extra
+            for j in range(BLOCKS):
+                a, b = first + j * size // BLOCKS, first + (j + 1) * size // BLOCKS + extra
+                with np.errstate(over="ignore"):
+                    rest = ((total[a] - total[first]) + (total[last] - total[b]) * self.down[b - a]) * self.down[first]
+                    key = K.mix(K.mix(rest) + (size * BLOCKS + j).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+                yield key, self.parity[b] ^ self.parity[a]
+
+
+def _pieces(texts: list[str], most: int = K.SLICE) -> Iterator[str]:
+    """Texts joined to about `most` characters: a text's end is a line's end."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= most:
+            yield "\n".join(held)
+            held, size = [], 0
+    if held:
+        yield "\n".join(held)
 
 
 def _filter_keys(parts: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, parity, own = [], [], []
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            k, p, h = np.array(keys, np.uint64), np.array(parity, np.uint16), np.array(own, np.uint64)
+            k, p, h = (np.concatenate(c) for c in zip(*held))
             order = np.lexsort((h, k))
             k, p, h = k[order], p[order], h[order]
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
+            new = _runs(k, h)
             return _flush(k[new], parts, p[new], h[new])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                for line in text.split("\n"):
-                    line = line.strip(_TRIM)
-                    if len(line) >= min_chars:
-                        h = xxhash.xxh64_intdigest(line.encode(), seed=42)
-                        for k, p in block_keys(line):
-                            keys.append(k)
-                            parity.append(p)
-                            own.append(h)
-                if len(keys) >= _FLUSH:
+            for text in _pieces(batch.column(0).to_pylist()):
+                lines = Lines(text, min_chars)
+                own = np.array([xxhash.xxh64_intdigest(text[a:b].encode(), seed=42) for a, b in zip(lines.first.tolist(), lines.last.tolist())], np.uint64)
+                for key, parity in lines.keys():
+                    held.append((key, parity, own))
+                    size += len(own)
+                if size >= _FLUSH:
                     yield flush()
-                    keys, parity, own = [], [], []
-        if keys:
+                    held, size = [], 0
+        if size:
             yield flush()
 
     return run
@@ -190,35 +225,36 @@ def _equal_variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([pa.array(x[order][new].view(np.int64)), pa.array(y[order][new].view(np.int64))], names=["x", "y"])
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
-    """docs with each line dropped that has an earlier line within one edit anywhere in the table.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs with each line dropped that has an earlier equal line, or one within one edit, anywhere in the table.
 
     Lines are the pieces between newlines, compared without the blanks around them; earlier means a smaller
-    (id, line number). A line of fewer than ``min_chars`` characters is always kept, unless ``exact_chars`` is given: then
-    one of at least that many goes if an earlier one equals it. A longer line goes if an earlier one is within one
-    insertion, deletion or substitution of it, whether or not that one stays itself. Adds ``n_lines`` and
-    ``n_dropped``, which replace columns of docs with these names; other columns stay.
+    (id, line number). A blank line is always kept. A line goes if an earlier one equals it; two lines of at least
+    ``min_chars`` characters also count as equal within one insertion, deletion or substitution. It goes whether or not
+    the earlier one stays itself. Adds ``n_lines`` and ``n_dropped``, which replace columns of docs with these names;
+    other columns stay.
 
     A null text stays null with 0 lines; rows with a null id stay as they are. Rows repeated under one id tie, so they
     keep the same lines. Texts of any length are taken whole; an empty table stays empty.
     """
     spark = docs.sparkSession
-    parts = partitions(spark)
+    parts = max(partitions(spark), -(-input_bytes(docs) * 4 // TASK_BYTES))
     src = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__id is not null and __text is not null")
 
     keys = src.select("__text").mapInArrow(_filter_keys(parts, min_chars), "part int, block binary")
-    live = save(keys.repartition(parts, "part").mapInArrow(_survivors, "h long").distinct(), "lines-live")
+    live = save(keys.repartitionById(parts, "part").mapInArrow(_survivors, "h long").distinct(), "lines-live")
 
+    # a line is known by 128 bits: h finds its near matches, h and g together stand for it
     each = src.select("__id", F.posexplode(_lines(F.col("__text"))).alias("no", "raw"))
-    least = min_chars if exact_chars is None else min(min_chars, exact_chars)
-    each = each.select("__id", "no", F.btrim("raw", F.lit(_TRIM)).alias("line")).where(F.length("line") >= least).withColumn("h", F.xxhash64("line"))
+    each = each.select("__id", "no", F.btrim("raw", F.lit(_TRIM)).alias("line")).where("line <> ''")
+    each = each.withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(1), "line")})
     place = F.struct(F.col("__id"), F.col("no"))
-    near = _near(each.where(F.length("line") >= min_chars).join(small_enough(live), "h", "left_semi").groupBy("h").agg(F.min(place).alias("first"), F.min("line").alias("line")), parts)
+    near = _near(each.where(F.length("line") >= min_chars).join(small_enough(live), "h", "left_semi").groupBy("h", "g").agg(F.min(place).alias("first"), F.min("line").alias("line")), parts)
 
-    seen = each.select("__id", "no", "h")
-    first = seen.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("times")).join(near, "h", "left")
-    limit = save(first.where("times > 1 or near is not null").select("h", F.least("first", F.coalesce("near", "first")).alias("limit")), "lines-limit")
-    gone = seen.join(small_enough(limit), "h").where(place > F.col("limit")).groupBy("__id").agg(F.collect_set("no").alias("__gone"))
+    seen = each.select("__id", "no", "h", "g")
+    first = seen.groupBy("h", "g").agg(F.min(place).alias("first"), F.count("*").alias("times")).join(near, ["h", "g"], "left")
+    limit = save(first.where("times > 1 or near is not null").select("h", "g", F.least("first", F.coalesce("near", "first")).alias("limit")), "lines-limit")
+    gone = seen.join(small_enough(limit), ["h", "g"]).where(place > F.col("limit")).groupBy("__id").agg(F.collect_set("no").alias("__gone"))
     gone = save(gone, "lines-gone")
 
     # texts meet their line numbers by a shuffle at every size: as many rows as documents have gone lines
@@ -233,18 +269,24 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _near(lines: DataFrame, parts: int) -> DataFrame:
-    """(h, near): the earliest place of another line within one edit. lines: h, first, line."""
+    """(h, g, near): the earliest place of another line within one edit. lines: h, g, first, line."""
     lines = save(lines, "lines-candidates")
     variants = lines.select("h", "line").mapInArrow(_variants(parts), "part int, block binary")
-    pairs = variants.repartition(parts, "part").mapInArrow(_equal_variants, "x long, y long").distinct()
-    side = lambda n: lines.select(F.col("h").alias(n), F.col("first").alias(f"first_{n}"), F.col("line").alias(f"line_{n}"))
+    pairs = variants.repartitionById(parts, "part").mapInArrow(_equal_variants, "x long, y long").distinct()
+    side = lambda n: lines.select(F.col("h").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("g", "first", "line")])
     pairs = pairs.join(side("x"), "x").join(side("y"), "y").where(F.levenshtein("line_x", "line_y", 1) >= 0)
-    both = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("h"), F.col("first_y").alias("near")), F.struct(F.col("y").alias("h"), F.col("first_x").alias("near")))).alias("p")).select("p.*")
-    return save(both.groupBy("h").agg(F.min("near").alias("near")), "lines-near")
+    ends = [F.struct(F.col(a).alias("h"), F.col(f"g_{a}").alias("g"), F.col(f"first_{b}").alias("near")) for a, b in ("xy", "yx")]
+    both = pairs.select(F.explode(F.array(*ends)).alias("p")).select("p.*")
+    return save(both.groupBy("h", "g").agg(F.min("near").alias("near")), "lines-near")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`line_dedup` as a filter: docs with their first lines only, without the rows that lost all their words."""
+    """`line_dedup` as a filter: docs with their first lines only, without the rows that lost all their words.
+
+    Rows that had no words before stay, so do null texts and rows with null ids; repeated rows go or stay together.
+    ``n_chars`` follows the text where docs has it; the columns stay as they are, whatever their names. Very long texts
+    are taken whole; an empty table stays empty.
+    """
     out = line_dedup(docs, id_col, text_col)
     lost = (F.col("n_dropped") > 0) & (F.trim(F.regexp_replace(F.coalesce(text_col, F.lit("")), r"\s+", " ")) == "")
     chars = {"n_chars": F.length(text_col).cast("long")} if "n_chars" in docs.columns else {}

@@ -58,11 +58,6 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-def op9_line_dedup_any_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op9_line_dedup that also drops equal lines below the length bound of near matches."""
-    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), exact_chars=1)
-
-
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -77,7 +72,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_url_filter": op8_url_filter,
     "op9_line_dedup": op9_line_dedup,
-    "op9_line_dedup_any_length": op9_line_dedup_any_length,
     "op10_mix_sources": op10_mix_sources,
 }
 
@@ -110,12 +104,13 @@ SQL["op9_line_dedup"] = """
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 each AS (SELECT doc_id, unnest(range(0, len(ls))) AS no, unnest(ls) AS raw FROM split),
 line AS (SELECT doc_id, no, raw, trim(raw, ' ' || chr(9) || chr(13)) AS line, doc_id * 1000000 + no AS place FROM each),
-first AS (SELECT line, min(place) AS place FROM line WHERE length(line) >= 20 GROUP BY line),
+first AS (SELECT line, min(place) AS place FROM line WHERE line <> '' GROUP BY line),
+long AS (SELECT * FROM first WHERE length(line) >= 20),
 variant AS (SELECT line, place, i, substr(line, 1, i - 1) || substr(line, i + 1) AS v
-            FROM (SELECT line, place, unnest(range(1, length(line) + 1)) AS i FROM first)),
+            FROM (SELECT line, place, unnest(range(1, length(line) + 1)) AS i FROM long)),
 near AS (SELECT a.line, b.place FROM variant a JOIN variant b ON a.v = b.v AND a.i = b.i AND a.line <> b.line
-         UNION ALL SELECT a.line, b.place FROM variant a JOIN first b ON a.v = b.line
-         UNION ALL SELECT b.line, a.place FROM variant a JOIN first b ON a.v = b.line
+         UNION ALL SELECT a.line, b.place FROM variant a JOIN long b ON a.v = b.line
+         UNION ALL SELECT b.line, a.place FROM variant a JOIN long b ON a.v = b.line
          UNION ALL SELECT line, place FROM first),
 earliest AS (SELECT line, min(place) AS place FROM near GROUP BY line),
 mark AS (SELECT l.doc_id, l.no, l.raw, coalesce(e.place < l.place, FALSE) AS gone FROM line l LEFT JOIN earliest e ON l.line = e.line),

@@ -1,11 +1,13 @@
 import random
 
-from sluicework.llm.line_dedup import MIN_CHARS, line_dedup, without_repeats
+from sluicework.llm.line_dedup import MIN_CHARS, Lines, line_dedup, without_repeats
 
 
 def near(a, b):
     if a == b:
         return True
+    if min(len(a), len(b)) < MIN_CHARS:
+        return False
     if abs(len(a) - len(b)) > 1:
         return False
     if len(a) == len(b):
@@ -17,7 +19,6 @@ def near(a, b):
 def brute(rows):
     """Texts after dedup by position, with the number of dropped lines."""
     places = [(i, no, line.strip(" \t\r")) for i, text in rows if i is not None and text is not None for no, line in enumerate(text.split("\n"))]
-    places = [p for p in places if len(p[2]) >= MIN_CHARS]
     out = []
     for i, text in rows:
         if i is None or text is None:
@@ -26,7 +27,7 @@ def brute(rows):
         kept, gone = [], 0
         for no, line in enumerate(text.split("\n")):
             own = line.strip(" \t\r")
-            if len(own) >= MIN_CHARS and any((j, k) < (i, no) and near(own, x) for j, k, x in places):
+            if own and any((j, k) < (i, no) and near(own, x) for j, k, x in places):
                 gone += 1
             else:
                 kept.append(line)
@@ -71,5 +72,32 @@ def test_odd_rows(odd, none):
 def test_short_lines_go_when_equal(spark):
     rows = [(1, "ok\n\n yes\nthe line number zero of them all"), (2, "yes\nyez\n\nok \nthe line number zero of them al"), (3, "ok"), (4, "yes\n19 characters long!")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
-    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup(docs, exact_chars=1).collect()}
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup(docs).collect()}
     assert got == {1: (rows[0][1], 4, 0), 2: ("yez\n", 5, 3), 3: ("", 1, 1), 4: ("19 characters long!", 2, 1)}
+
+
+def test_subscribe_lines(spark):
+    docs = spark.createDataFrame([(i, "Subscribe now!\nshare this") for i in range(5)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_dropped) for r in line_dedup(docs).collect()) == [(0, 0), (1, 2), (2, 2), (3, 2), (4, 2)]
+
+
+def test_filter_keys_miss_no_neighbour():
+    """Two lines within one edit share a key whose parities are at most two bits apart."""
+    rng = random.Random(9)
+    for _ in range(400):
+        a = "".join(rng.choice("abcdé 日") for _ in range(rng.randint(20, 45))).strip().ljust(20, "x")
+        k = rng.randrange(1, len(a) - 1)
+        b = rng.choice((a[:k] + "z" + a[k:], a[:k] + "ñ" + a[k + 1 :], a[:k] + a[k + 1 :]))
+        keys = []
+        for line in (a, b):
+            found = list(Lines(f"\n  {line}\t\nother", 5).keys())
+            keys.append([(int(key[0]), int(parity[0])) for key, parity in found])
+        assert any(x == y and bin(p ^ q).count("1") <= 2 for x, p in keys[0] for y, q in keys[1])
+
+
+def test_clashing_columns(odd, spark):
+    """Columns with the names that are added, or are used inside, are replaced or stay."""
+    docs = odd.selectExpr("doc_id", "text", "'a' n_lines", "'b' h", "'c' first", "'d' no", "'e' __gone2", "size line")
+    out = line_dedup(docs)
+    assert out.columns == ["doc_id", "text", "h", "first", "no", "__gone2", "line", "n_lines", "n_dropped"]
+    assert without_repeats(docs).columns == docs.columns and without_repeats(docs.limit(0)).count() == 0
