@@ -20,10 +20,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import through_arrow
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct pre-tokens that a task remembers; beyond it the memory starts anew. It bounds memory, not results.
@@ -286,23 +287,35 @@ def encode_documents(docs: DataFrame, text_col: str = "text", path: str = VOCABU
     aren't UTF-8 are characters of their own. The three names replace columns of docs that have them; other columns stay
     as they are, as do repeated rows. An empty table stays empty.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(codec(path))
-    names = [n for n in (docs.columns if keep is None else keep) if n not in _SCHEMA.names]
-    src = docs.select(F.col(text_col).alias("__text"), *[docs[n].alias(f"c{k}") for k, n in enumerate(names)])
-    kinds = ", ".join(f"c{k} {docs.schema[n].dataType.simpleString()}" for k, n in enumerate(names))
-    out = src.mapInArrow(_encode(shared), f"{kinds + ', ' if kinds else ''}tokens array<int>, n_tokens bigint, round_trip boolean")
-    return out.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)], *_SCHEMA.names)
+    shared = docs.sparkSession.sparkContext.broadcast(codec(path))
+    return through_arrow(docs, text_col, keep, _encode(shared), "tokens array<int>, n_tokens bigint, round_trip boolean")
 
 
-def decode_documents(encoded: DataFrame, tokens_col: str = "tokens", path: str = VOCABULARY) -> DataFrame:
-    """encoded with ``text``, decoded from its tokens; null tokens give a null text. Bytes that aren't UTF-8 are replaced."""
-    spark = encoded.sparkSession
-    shared = spark.sparkContext.broadcast(codec(path))
-
-    @F.pandas_udf("string")
-    def text(tokens):
+def _decode(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        return tokens.map(lambda ids: None if ids is None else c.decode(np.asarray(ids, np.int64)).tobytes().decode("utf-8", "replace"))
+        for batch in batches:
+            lists = batch.column(0).cast(pa.large_list(pa.int64()))
+            count = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ids = pc.fill_null(lists.flatten(), 0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate(([0], np.cumsum(c.length[ids])))
+            at = ends[np.concatenate(([0], np.cumsum(count)))].astype(np.int64)
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(count), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(c.decode(ids).tobytes())])
+            try:
+                text = raw.cast(pa.large_string())
+            except pa.ArrowInvalid:  # somewhere the bytes aren't UTF-8
+                text = pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.large_string())
+            text = pc.if_else(lists.is_valid(), text, pa.scalar(None, pa.large_string())).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], text], names=[*batch.schema.names[1:], "text"])
+
+    return run
+
 
-    return encoded.withColumn("text", text(F.col(tokens_col)))
+def decode_documents(encoded: DataFrame, tokens_col: str = "tokens", path: str = VOCABULARY) -> DataFrame:
+    """The columns of encoded with ``text``, decoded from its tokens, which replaces a column of that name.
+
+    Null tokens give a null text, an empty list an empty one; lists of any length are decoded whole, repeated rows stay.
+    Bytes that aren't UTF-8 are replaced. An empty table stays empty; the other columns stay as they are.
+    """
+    shared = encoded.sparkSession.sparkContext.broadcast(codec(path))
+    return through_arrow(encoded, tokens_col, None, _decode(shared), "text string")

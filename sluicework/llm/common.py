@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Rows of a (bigint, small payload) side that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -16,6 +17,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(df: DataFrame, name: str) -> Column:
+    """The column of df with exactly this name, whatever characters are in it."""
+    return df[f"`{name.replace('`', '``')}`"]
+
+
+def through_arrow(docs: DataFrame, text_col: str, keep: list[str] | None, run, new: str) -> DataFrame:
+    """The columns ``keep`` of docs (all if None) and the columns ``new`` (a schema) that run makes.
+
+    run gets batches of the text and the kept columns and gives the kept and the new ones. The kept columns go through
+    under names of their own and with their types as they are. Those whose names, in any case, are new are replaced.
+    """
+    added = StructType.fromDDL(new)
+    gone = {n.lower() for n in added.names}
+    names = [n for n in (docs.columns if keep is None else keep) if n.lower() not in gone]
+    src = docs.select(column(docs, text_col).alias("__text"), *[column(docs, n).alias(f"c{k}") for k, n in enumerate(names)])
+    kept = [StructField(f.name, f.dataType) for f in src.schema.fields[1:]]
+    out = src.mapInArrow(run, StructType([*kept, *added.fields]))
+    return out.select(*[out[f"c{k}"].alias(n) for k, n in enumerate(names)], *[out[n] for n in added.names])
+
+
 def partitions(spark: SparkSession) -> int:
     """Number of shuffle partitions the cluster asks for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import save, small_enough
+from .common import save, small_enough, through_arrow
 from .toxicity import letters
 
 #: Documents of the sample, those with the smallest id hashes.
@@ -406,10 +406,5 @@ def label_words(docs: DataFrame, field: Field, text_col: str = "text", keep: lis
     are read whole. Columns of docs with one of the five names are replaced; the others stay, as do repeated rows. An
     empty table stays empty; without any training text no word has a label.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(field)
-    names = [n for n in (docs.columns if keep is None else keep) if n not in _NEW]
-    src = docs.select(F.col(text_col).alias("__text"), *[docs[n].alias(f"c{k}") for k, n in enumerate(names)])
-    kinds = "".join(f"c{k} {docs.schema[n].dataType.simpleString()}, " for k, n in enumerate(names))
-    out = src.mapInArrow(_label(shared), kinds + _OUT)
-    return out.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)], *_NEW)
+    shared = docs.sparkSession.sparkContext.broadcast(field)
+    return through_arrow(docs, text_col, keep, _label(shared), _OUT)

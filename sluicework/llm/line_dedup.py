@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import input_bytes, partitions, save, small_enough
+from .common import column, input_bytes, partitions, save, small_enough
 
 #: Lines of fewer characters (after trimming) have no near matches, one edit makes another word of them: only equal ones go.
 MIN_CHARS = 20
@@ -258,11 +258,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = save(gone, "lines-gone")
 
     # texts meet their line numbers by a shuffle at every size: as many rows as documents have gone lines
-    out = docs.join(gone.hint("shuffle_merge"), docs[id_col] == gone["__id"], "left")
-    lines, text = _lines(F.col(text_col)), F.col(text_col)
+    out = docs.join(gone.hint("shuffle_merge"), column(docs, id_col) == gone["__id"], "left")
+    text = column(docs, text_col)
+    lines = _lines(text)
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "__gone"), lambda i: F.element_at(lines, i + 1)), "\n")
     return out.select(
-        *[F.when(F.col("__gone").isNull(), text).otherwise(kept).alias(n) if n == text_col else docs[n] for n in docs.columns if n not in ("n_lines", "n_dropped")],
+        *[F.when(F.col("__gone").isNull(), text).otherwise(kept).alias(n) if n == text_col else column(docs, n) for n in docs.columns if n.lower() not in ("n_lines", "n_dropped")],
         F.when(text.isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
         F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("n_dropped"),
     )
@@ -287,7 +288,9 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``n_chars`` follows the text where docs has it; the columns stay as they are, whatever their names. Very long texts
     are taken whole; an empty table stays empty.
     """
-    out = line_dedup(docs, id_col, text_col)
-    lost = (F.col("n_dropped") > 0) & (F.trim(F.regexp_replace(F.coalesce(text_col, F.lit("")), r"\s+", " ")) == "")
-    chars = {"n_chars": F.length(text_col).cast("long")} if "n_chars" in docs.columns else {}
-    return out.where(~lost).withColumns(chars).select(*docs.columns)
+    names = docs.columns
+    at = {n: f"d{k}" for k, n in enumerate(names)}  # names of their own, so that none can clash with what is added
+    out = line_dedup(docs.select(*[column(docs, n).alias(at[n]) for n in names]), at[id_col], at[text_col])
+    text = F.col(at[text_col])
+    lost = (F.col("n_dropped") > 0) & (F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")) == "")
+    return out.where(~lost).select(*[(F.length(text).cast("long") if n == "n_chars" else F.col(at[n])).alias(n) for n in names])

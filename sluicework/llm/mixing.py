@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import save, small_enough
+from .common import column, save, small_enough
 
 #: Target entropy as a part of the greatest that the sources allow.
 TARGET_ENTROPY = 0.9
@@ -172,7 +172,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     _, plan = _plan(counted, how.get("target_entropy", TARGET_ENTROPY), how.get("max_epochs", MAX_EPOCHS), how.get("budget"))
     last = _partial(counted, plan, seed).groupBy("source").agg(F.max("key").alias("__last")).withColumnRenamed("source", "__source")
     cut = save(plan.select(F.col("source").alias("__source"), F.col("whole").alias("__whole")).join(last, "__source", "left"), "mixing-cut")
-    own = docs.join(small_enough(cut, 100_000), _source(docs[source_col]) == F.col("__source"))
-    more = (_key(docs[id_col], F.col("__whole"), seed) <= F.col("__last")).cast("long")
+    own = docs.join(small_enough(cut, 100_000), _source(column(docs, source_col)) == F.col("__source"))
+    more = (_key(column(docs, id_col), F.col("__whole"), seed) <= F.col("__last")).cast("long")
     copies = F.col("__whole") + F.coalesce(more, F.lit(0))
-    return own.where(copies > 0).select(*[docs[n] for n in docs.columns], F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("__copy")).drop("__copy")
+    return own.where(copies > 0).select(*[column(docs, n) for n in docs.columns], F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("__copy")).drop("__copy")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import partitions, save, small_enough
+from .common import column, partitions, save, small_enough
 
 N = 3
 THRESHOLD = 0.6
@@ -595,4 +595,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     found = ngram_jaccard_join(docs, id_col, text_col, **how)
     gone = save(found.where("class_id <> doc_id").select(F.col("doc_id").alias("__gone")), "jaccard-gone")
-    return docs.join(small_enough(gone), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(small_enough(gone), column(docs, id_col).cast("long") == F.col("__gone"), "left_anti")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import small_enough
+from .common import small_enough, through_arrow
 
 BITS = 16
 ORDERS = (1, 2)
@@ -147,11 +147,5 @@ def score_quality(docs: DataFrame, model: Model, text_col: str = "text", orders=
     length are read whole. Columns of docs with one of the three names are replaced; the others stay, as do repeated
     rows. An empty table stays empty.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model.ratios)
-    new = ("n_grams", "score", "keep")
-    names = [n for n in (docs.columns if keep is None else keep) if n not in new]
-    src = docs.select(F.col(text_col).alias("__text"), *[docs[n].alias(f"c{k}") for k, n in enumerate(names)])
-    kinds = "".join(f"c{k} {docs.schema[n].dataType.simpleString()}, " for k, n in enumerate(names))
-    out = src.mapInArrow(_score(shared, orders, bits, model.threshold), kinds + "n_grams bigint, score double, keep boolean")
-    return out.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)], *new)
+    shared = docs.sparkSession.sparkContext.broadcast(model.ratios)
+    return through_arrow(docs, text_col, keep, _score(shared, orders, bits, model.threshold), "n_grams bigint, score double, keep boolean")

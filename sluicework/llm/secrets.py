@@ -16,10 +16,10 @@ import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import kernels as K
 from .bpe import VOCABULARY, read_ranks
+from .common import column, through_arrow
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MIN_CHARS = 16
@@ -123,6 +123,4 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(read_ranks(path))
-    src = docs.select(F.col(text_col).alias("__text"), F.col(id_col).alias("doc_id"))
-    kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(_scan(shared, min_chars, max_ratio), f"doc_id {kind}, start bigint, secret string, n_tokens int, ratio double")
+    return through_arrow(docs.select(column(docs, text_col).alias("t"), column(docs, id_col).alias("doc_id")), "t", ["doc_id"], _scan(shared, min_chars, max_ratio), "start bigint, secret string, n_tokens int, ratio double")

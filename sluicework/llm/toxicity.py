@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import small_enough, table
+from .common import column, small_enough, table, through_arrow
 
 #: Labelled texts that the model is fitted on, those with the smallest id hashes.
 SAMPLE = 4000
@@ -494,20 +494,19 @@ def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep:
     tokens of any length decoded. Columns of docs with one of the four
     names are replaced; the others stay, as do repeated rows. An empty table stays empty.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    new = ("score", "hits", "hidden", "toxic")
-    names = [n for n in (docs.columns if keep is None else keep) if n not in new]
-    src = docs.select(F.col(text_col).alias("__text"), *[docs[n].alias(f"c{k}") for k, n in enumerate(names)])
-    kinds = "".join(f"c{k} {docs.schema[n].dataType.simpleString()}, " for k, n in enumerate(names))
-    out = src.mapInArrow(_scorer(shared), kinds + _OUT)
-    return out.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(names)], *new)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return through_arrow(docs, text_col, keep, _scorer(shared), _OUT)
 
 
 def clean_only(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without its toxic rows; the columns stay as they are."""
+    """docs without its toxic rows; the columns stay as they are, whatever their names.
+
+    The model is fitted on the tables documents and labels in sf_dir. Rows without words (null, empty or blank texts) and
+    rows with a null id stay; repeated rows stay or go together; texts of any length are read whole. An empty table stays
+    empty, and without labelled texts all rows stay.
+    """
     model = fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     # the columns go through Python under names of their own, so that none can clash with the scores
-    plain = docs.select(F.col("text").alias("__t"), *[docs[n].alias(f"d{k}") for k, n in enumerate(docs.columns)])
+    plain = docs.select(F.col("text").alias("__t"), *[column(docs, n).alias(f"d{k}") for k, n in enumerate(docs.columns)])
     scored = score_toxicity(plain, model, "__t", keep=[f"d{k}" for k in range(len(docs.columns))])
     return scored.where("not toxic").select(*[F.col(f"d{k}").alias(n) for k, n in enumerate(docs.columns)])

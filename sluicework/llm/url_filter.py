@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .common import through_arrow
+
 STRICT = ("casino", "porn", "xxx", "viagra", "cialis", "pills", "sportsbook", "escort", "malware", "warez", "jackpot")
 SOFT = ("bets", "betting", "win", "free", "cheap", "adult", "ads", "track", "spam", "farm", "poker", "sex", "dating", "lottery", "loan", "crack", "torrent", "discount", "click", "popup")
 #: Distinct soft terms at which a URL is rejected.
@@ -72,12 +74,7 @@ def filter_urls(pages: DataFrame, url_col: str = "url", strict=STRICT, soft=SOFT
     """
     if soft_limit < 1 or not all([*strict, *soft]):
         raise ValueError("terms must not be empty and the limit must be at least 1")
-    new = ("n_strict", "n_soft", "terms", "rejected")
-    names = [n for n in (pages.columns if keep is None else keep) if n not in new]
-    src = pages.select(pages[url_col].alias("__url"), *[pages[n].alias(f"c{k}") for k, n in enumerate(names)])
-    kinds = "".join(f"c{k} {pages.schema[n].dataType.simpleString()}, " for k, n in enumerate(names))
-    out = src.mapInArrow(_filter(tuple(strict), tuple(soft), soft_limit), kinds + "n_strict int, n_soft int, terms string, rejected boolean")
-    return out.select(*[out[f"c{k}"].alias(n) for k, n in enumerate(names)], *new)
+    return through_arrow(pages, url_col, keep, _filter(tuple(strict), tuple(soft), soft_limit), "n_strict int, n_soft int, terms string, rejected boolean")
 
 
 def oracle(strict=STRICT, soft=SOFT, soft_limit: int = SOFT_LIMIT) -> str:
