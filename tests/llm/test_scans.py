@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sluicework.llm import ann, quality, secrets, url_filter
+from sluicework.llm import ann, bpe, quality, secrets, url_filter
 from sluicework.llm import kernels as K
 from sluicework.llm import queries as Q
 
@@ -18,13 +18,43 @@ def test_secrets(spark, odd, none):
         (2, f"commit {hexa} of the tree"),
         (3, "id 123e4567-e89b-12d3-a456-426614174000 and 2024-01-02-03-04-05-06"),
         (4, "AKq8Zr3TnX0vPw7LmB2c and internationalization2000andmore"),
-        (5, f"md5: {hexa}x9 sha256={hexa}{hexa[:24]}"),
+        (5, f"md5: {hexa} sha256={hexa}{hexa[:24]} integrity sha384-oqVuAfXRKap7fdgcCY5uykM6+R9GqQ8K/uxy9rx7HNQlGYl1kPzQho1wx4JwY8wC"),
+        (6, "commit ghp_9QzX4vKpL7mWr2TyBnGh5sD8fJ3c and no digit QzXvKpLmWrTyBnGhxq"),
+        (7, "password: 123e4567-e89b-12d3-a456-426614174000, " + "api_key" + " " * 300 + f"= {hexa}"),
     ]
     got = [(r.doc_id, r.start, r.secret) for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()]
-    assert got == [(1, 11, hexa), (4, 0, "AKq8Zr3TnX0vPw7LmB2c")]
+    assert got == [(1, 11, hexa), (4, 0, "AKq8Zr3TnX0vPw7LmB2c"), (6, 7, "ghp_9QzX4vKpL7mWr2TyBnGh5sD8fJ3c"), (6, 53, "QzXvKpLmWrTyBnGhxq"), (7, 10, "123e4567-e89b-12d3-a456-426614174000"), (7, 357, hexa)]
     assert secrets.scan_secrets(odd).count() == 0 and secrets.scan_secrets(none).count() == 0
 
 
+def test_registered_secrets_against_brute_force(spark):
+    """The whole table, string by string, with regular expressions and the tokenizer only."""
+    enc = secrets.tokenizer(bpe.VOCABULARY)
+    name = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential|bearer)\w*[\"']?\s*(?:[:=]|=>)?\s*[\"']?\Z"
+    digest = r"(?i)(?:md5|sha-?\d{0,3}|digest|checksum|integrity|commit|etag|hash|revision|blob)\w*[\"']?\s*[:=\-(]*\s*[\"']?\Z"
+    sf_dir, want = "/root/testdata/sf0.01", []
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        for m in re.finditer(r"[A-Za-z0-9_\-+/=]{16,}", r.text or ""):
+            begin = m.start() + m[0].rstrip("=").rfind("=") + 1
+            rest = r.text[begin : m.end()]
+            word = rest.strip("=-/+_")
+            if len(word) < 16 or not re.search("[A-Za-z]", word):
+                continue
+            front, tokens = r.text[:begin], len(enc.encode_ordinary(word))
+            if len(word) / tokens >= (2.2 if re.search("[0-9]", word) else 1.8):
+                continue
+            if not re.search(name, front):
+                plain = re.sub(r"(?i)^0x", "", word)
+                if re.fullmatch(r"(?i)[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", word) or (re.fullmatch("(?i)[0-9a-f]+", plain) and len(plain) in (32, 40, 56, 64, 96, 128)):
+                    continue
+                bare = re.sub(r"(?i)^sha-?\d{1,3}-", "", word)
+                if len(bare) in (22, 27, 38, 43, 64, 86) and (bare != word or re.search(digest, front)):
+                    continue
+            want.append((r.doc_id, begin + rest.index(word), word, tokens, round(len(word) / tokens, 6)))
+    got = [tuple(r) for r in Q.op2_secrets(spark, sf_dir).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 10
+
+
 def test_urls(spark):
     urls = ["https://casino-win.example.com", "http://www.freebets.com", "https://free-bets.example.com/", "http://a.b/winter", "http://CASINO.com", "", None, "http://x/free/free", "http://x/" + "a" * 50_000 + "/pills", "free.win", "casinoé"]
     rows = [(i, u, "clash") for i, u in enumerate(urls)] + [(0, urls[0], "clash")]
