@@ -15,14 +15,14 @@ from sluicework.llm.secrets import PATTERN
 
 
 def test_stages(spark, sf_dir, tmp_path):
-    docs = table(spark, sf_dir, "documents").where("length(text) < 3000")
+    docs = table(spark, sf_dir, "documents")
     columns, steps = docs.columns, []
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         steps.append((name, docs.collect()))
         assert name == "byte_bpe" or docs.columns == columns
-    before = table(spark, sf_dir, "documents").where("length(text) < 3000").collect()
+    before = table(spark, sf_dir, "documents").collect()
     model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     clean = [r for r in before if round(model.score_one(r.text)[0], 6) <= 0]
     got = dict(steps)

@@ -1,10 +1,13 @@
 """Secrets, URLs, neighbours, quality."""
 
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sluicework.llm import ann, bpe, quality, secrets, url_filter
 from sluicework.llm import kernels as K
@@ -147,3 +150,35 @@ def test_quality(spark, odd, none):
     assert {(4, False), (5, False), (6, False)} <= out
     nothing = quality.fit(none, none)
     assert quality.score_quality(none, nothing).count() == 0 and all(r.keep for r in quality.score_quality(docs, nothing).collect())
+
+
+def test_registered_quality_from_its_definition(spark):
+    """Counts, ratios, threshold and every score of the table in plain Python; only the bucket of an n-gram is the operator's."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1 and doc_id is not null").select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(quality.HOLD_OUT)).alias("part")).distinct()
+    held = {r.doc_id: r.part == 0 for r in labels.collect()}
+    assert len(held) <= quality.TRUSTED
+    texts = [(i, re.findall("[^ \t\r\n\f\v\0]+", (t or "").lower())) for i, t in docs]
+    own = [(i, [*w, *([" ".join(w)] if len(w) == 1 else map(" ".join, zip(w, w[1:])))], len(w)) for i, w in texts]
+    vocabulary = sorted({(g, k < n) for _, grams, n in own for k, g in enumerate(grams)})
+    body, at = K.texts(pa.array([g for g, _ in vocabulary]))
+    one, two = quality.buckets(body, at)
+    unigram, bigram = (dict(zip(row.tolist(), b.tolist())) for b, row in (one, two))
+    place = {v: (unigram if v[1] else bigram)[k] for k, v in enumerate(vocabulary)}
+    raw, target = Counter(), Counter()
+    for i, grams, n in own:
+        for k, g in enumerate(grams):
+            raw[place[g, k < n]] += 1
+            target[place[g, k < n]] += held.get(i) is False
+    total, size = sum(target.values()), 1 << quality.BITS
+    ratio = lambda b: math.log((1 - quality.BLEND) * target[b] / total / ((raw[b] + 1) / (sum(raw.values()) + size)) + quality.BLEND)
+    score = [(i, len(grams), round(sum(ratio(place[g, k < n]) for k, g in enumerate(grams)) / (len(grams) + quality.SHRINK), 6)) for i, grams, n in own]
+    low, middle = np.quantile([s for i, n, s in score if held.get(i) and n], (0.01, 0.5))
+    threshold = low - quality.MARGIN * (middle - low)
+    got = {r.doc_id: r for r in Q.op6_quality(spark, sf_dir).collect()}
+    assert len(got) == len(score) > 100 and 0 < sum(r.keep for r in got.values()) < len(got)
+    for i, n, s in score:
+        assert got[i].n_grams == n and abs(got[i].score - s) < 3e-6
+        if abs(s - threshold) > 1e-5:
+            assert got[i].keep == (n > 0 and s >= threshold)

@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 
 import numpy as np
@@ -5,7 +7,9 @@ import pyarrow as pa
 import pytest
 
 from sluicework.llm import kernels as K
+from sluicework.llm import queries as Q
 from sluicework.llm import toxicity as T
+from sluicework.llm.common import table
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +87,60 @@ def test_short_spelled_word():
     small = T.Model([("you are an ass " + "plain words here " * 5, 1)] * 40 + [("you are fine as plain words here " * 5, 0)] * 200)
     body, at = K.texts(pa.array(["you are an a s s", "you are an a$$", "you are an as"]))
     assert list(small.score(body, at)[2]) == [1, 1, 0]
+
+
+def test_viterbi_by_enumeration(model):
+    """The best of all paths through a small lattice, each path's probability by the formula."""
+    c = model.characters
+    for token in ("m0r", "1d*", "t.r", "aa", "$4e", "g++d"):
+        best, word = -1e9, None
+        for path in itertools.product(*T.lattice(token)):
+            total, before = 0.0, "^^"
+            for x, cost in path:
+                total += cost
+                if x == " ":
+                    total, before = total + c(before, "\0"), "^^"
+                elif x:
+                    total, before = total + c(before, x), before[1] + x
+            total += c(before, "\0")
+            if total > best:
+                best, word = total, "".join(x for x, _ in path)
+        assert T.viterbi(token, c) == word
+
+
+def test_weights_by_hand():
+    """Counts, log odds and the likelihood ratio statistic of a small sample, from their definitions."""
+    rows = [("calm river stones", 0)] * 30 + [("calm idiotic words here", 1)] * 10
+    got = T.Model(rows)
+    words = (1 + 90, 1 + 40)
+    want = {}
+    for word in ("idiotic", "words", "here"):
+        for f in ("=" + word, *("<" + word[:n] for n in (4, 5, 6, 7) if len(word) > n)):
+            weight = math.log((10 + 0.5) / words[1] / (0.5 / words[0]))
+            table = [(10, 10, 0.25), (0, 10, 0.75), (0, 30, 0.25), (30, 30, 0.75)]
+            statistic = 2 * sum(n * math.log(n / (size * q)) for n, size, q in table if n)
+            assert abs(T._association(10, 10, 0, 30) - statistic) < 1e-9
+            if weight >= T.MIN_WEIGHT and statistic >= T.MIN_ASSOCIATION:
+                want[f] = weight
+    assert got.weight.keys() == want.keys() and len(want) == 3 + 3 + 1
+    assert all(abs(got.weight[f] - w) < 1e-12 for f, w in want.items())
+    assert abs(got.prior - math.log(11 / 31)) < 1e-12 and abs(got.cost - 30 / 41) < 1e-12
+
+
+def test_character_model_by_hand():
+    c = T.CharacterModel({"ab": 3.0, "ac": 1.0})
+    assert abs(c("^^", "a") - math.log(0.7 * 1 + 0.2 * 1 + 0.1 * 4 / 12 + 1e-6)) < 1e-12
+    assert abs(c("^a", "b") - math.log(0.7 * 0.75 + 0.2 * 0.75 + 0.1 * 3 / 12 + 1e-6)) < 1e-12
+    assert abs(c("^a", "z") - math.log(1e-6)) < 1e-12
+
+
+def test_registered_scores_one_by_one(spark, sf_dir):
+    """Every document of the table, word by word."""
+    docs = table(spark, sf_dir, "documents")
+    model = T.fit(docs, table(spark, sf_dir, "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = Q.op5_toxicity(spark, sf_dir).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        score, hits, hidden = model.score_one(texts[r.doc_id])
+        assert abs(score - r.score) < 2e-6 and (hits, hidden) == (r.hits, r.hidden) and r.toxic == (r.score > 0)
