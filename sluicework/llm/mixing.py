@@ -6,25 +6,30 @@ token budgets; a source fills its budget with whole epochs, each a permutation o
 first documents of one more permutation. Blocks cut every source's stream into equal shares, so that each block of the
 mixture has the weights of the whole.
 
-Documents are read once for their token counts. A document's copies follow from its source's number of whole epochs and
-from its hash against a cut-off, so applying a mixture is a filter with a small broadcast and no shuffle of texts.
+Documents are read once for their token counts, and the mixture is made of ids and counts. Only the table that is to be
+mixed itself moves its texts, to the partitions of their blocks.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import column, save, small_enough
+from .common import BROADCAST_ROWS, column, input_bytes, partitions, save, small_enough
 
 #: Target entropy as a part of the greatest that the sources allow.
 TARGET_ENTROPY = 0.9
 MAX_EPOCHS = 4.0
 #: Tokens of one block of the mixture; there is one block at least.
 BLOCK_TOKENS = 1_000_000
+#: Sources of a mixture, whose token counts the driver holds; more are an error.
+MAX_SOURCES = 1_000_000
+#: Bytes of text that a task of the mixed table is meant to hold.
+TASK_BYTES = 128 << 20
 SEED = 17
 STEPS = 60
 _UNIT = 1_000_000_000
@@ -83,24 +88,32 @@ def _source(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
+def _tokens(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
+
+
 def _counted(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """(id, source, tokens) of every row, saved."""
-    tokens = F.coalesce(F.regexp_count(F.col(text_col), F.lit(TOKEN)), F.lit(0)).cast("long")
-    return save(docs.select(F.col(id_col).alias("id"), _source(F.col(source_col)).alias("source"), tokens.alias("tokens")), "mixing-counts")
+    own = [column(docs, n) for n in (id_col, source_col, text_col)]
+    return save(docs.select(own[0].alias("id"), _source(own[1]).alias("source"), _tokens(own[2]).alias("tokens")), "mixing-counts")
 
 
-def _plan(counted: DataFrame, target_entropy: float, max_epochs: float, budget: int | None) -> tuple[float, DataFrame]:
-    """The exponent, and by source: its tokens, weight, token budget, whole epochs and what is left of the budget."""
+def _plan(counted: DataFrame, target_entropy: float, max_epochs: float, budget: int | None) -> tuple[int, Callable[..., DataFrame]]:
+    """The sum of all budgets, and columns by source: its tokens, weight, token budget, whole epochs and what is left of the budget."""
     spark = counted.sparkSession
     # one row for each source of the mixture: this is the mixture's own description
-    totals = {r.source: r.tokens for r in counted.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
-    exponent, weight = temperature_weights(totals, target_entropy, max_epochs, budget)
+    totals = {r.source: r.tokens for r in counted.groupBy("source").agg(F.sum("tokens").alias("tokens")).limit(MAX_SOURCES + 1).collect()}
+    if len(totals) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    _, weight = temperature_weights(totals, target_entropy, max_epochs, budget)
     whole = sum(totals.values()) if budget is None else budget
     rows = []
     for s, n in sorted(totals.items()):
         own = (whole * weight[s] + _UNIT // 2) // _UNIT
         rows.append((s, n, weight[s], own, own // n if n else 0, own % n if n else 0))
-    return exponent, spark.createDataFrame(rows, "source string, total long, weight long, budget long, whole long, rest long")
+    plan = spark.createDataFrame(rows, "source string, total long, weight long, budget long, whole long, rest long")
+    hint = F.broadcast if len(rows) <= BROADCAST_ROWS // 10 else lambda side: side
+    return sum(r[3] for r in rows), lambda *names: hint(plan.select("source", *names))
 
 
 def _running(rows: DataFrame) -> DataFrame:
@@ -117,9 +130,9 @@ def _running(rows: DataFrame) -> DataFrame:
     return rows.join(slices, ["source", "epoch", "slice"]).withColumn("before", F.col("ahead") + F.col("inside")).drop("slice", "ahead", "inside")
 
 
-def _partial(counted: DataFrame, plan: DataFrame, seed: int) -> DataFrame:
+def _partial(counted: DataFrame, plan: Callable[..., DataFrame], seed: int) -> DataFrame:
     """Rows of each source's unfinished epoch that begin within what is left of its budget."""
-    rows = counted.join(F.broadcast(plan.select("source", "whole", "rest")), "source").where("rest > 0")
+    rows = counted.join(plan("whole", "rest"), "source").where("rest > 0")
     rows = rows.select("source", F.col("whole").alias("epoch"), "id", "tokens", "rest", _key(F.col("id"), F.col("whole"), seed).alias("key"))
     return _running(rows).where("before < rest")
 
@@ -147,32 +160,35 @@ def mix_sources(
     Other columns of docs are not read.
     """
     counted = _counted(docs, id_col, text_col, source_col)
-    _, plan = _plan(counted, target_entropy, max_epochs, budget)
-    full = counted.join(F.broadcast(plan.select("source", "whole")), "source").where("whole > 0")
+    whole, plan = _plan(counted, target_entropy, max_epochs, budget)
+    full = counted.join(plan("whole"), "source").where("whole > 0")
     full = full.select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole") - 1)).alias("epoch"), "id", "tokens")
     full = _running(full.withColumn("key", _key(F.col("id"), F.col("epoch"), seed)))
     part = _partial(counted, plan, seed).drop("rest")
-    rows = full.unionByName(part).join(F.broadcast(plan.select("source", "total", "budget")), "source")
-    blocks = plan.agg(F.greatest(F.lit(1), F.floor((F.sum("budget") + block_tokens - 1) / block_tokens)).cast("long").alias("blocks"))
-    rows = rows.crossJoin(F.broadcast(blocks))
+    rows = full.unionByName(part).join(plan("total", "budget"), "source")
+    blocks = max(1, -(-whole // block_tokens))
     at = F.col("epoch") * F.col("total") + F.col("before")
-    block = F.least(F.when(F.col("budget") > 0, F.floor(at.cast("decimal(38,0)") * F.col("blocks") / F.col("budget"))).otherwise(0), F.col("blocks") - 1).cast("long")
+    block = F.least(F.when(F.col("budget") > 0, F.floor(at.cast("decimal(38,0)") * blocks / F.col("budget"))).otherwise(0), F.lit(blocks - 1)).cast("long")
     rows = rows.withColumn("block", block)
     order = Window.partitionBy("block").orderBy("key", "source", "id", "epoch", "tokens")
     return rows.withColumn("place", F.row_number().over(order).cast("long")).select(F.col("id").alias("doc_id"), "source", "tokens", "epoch", "block", "place")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, **how) -> DataFrame:
-    """docs with its rows repeated or left out as `mix_sources` has it; the columns stay as they are.
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """docs with its rows repeated, left out and permuted as `mix_sources` has it; the columns stay as they are.
 
-    The cut-off of a source's unfinished epoch is the last key that `mix_sources` takes of it; rows that share this key
-    (repeated rows) are taken together.
+    Rows come out block by block, each block's in its places, in partitions of whole blocks. Repeated rows (equal id, source
+    and tokens) are taken together, in the place of the first. Null ids, null or empty texts and null sources take part
+    as in `mix_sources`; texts of any length are whole; an empty table stays empty.
     """
-    counted = _counted(docs, id_col, text_col, source_col)
-    _, plan = _plan(counted, how.get("target_entropy", TARGET_ENTROPY), how.get("max_epochs", MAX_EPOCHS), how.get("budget"))
-    last = _partial(counted, plan, seed).groupBy("source").agg(F.max("key").alias("__last")).withColumnRenamed("source", "__source")
-    cut = save(plan.select(F.col("source").alias("__source"), F.col("whole").alias("__whole")).join(last, "__source", "left"), "mixing-cut")
-    own = docs.join(small_enough(cut, 100_000), _source(column(docs, source_col)) == F.col("__source"))
-    more = (_key(column(docs, id_col), F.col("__whole"), seed) <= F.col("__last")).cast("long")
-    copies = F.col("__whole") + F.coalesce(more, F.lit(0))
-    return own.where(copies > 0).select(*[column(docs, n) for n in docs.columns], F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("__copy")).drop("__copy")
+    spark = docs.sparkSession
+    rows = mix_sources(docs, id_col, text_col, source_col, **how)
+    own = rows.groupBy("doc_id", "source", "tokens", "epoch").agg(F.min(F.struct("block", "place")).alias("at"))
+    own = own.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("tokens").alias("__tokens")).agg(F.collect_list("at").alias("__at"))
+    own = save(own, "mixing-places")
+    blocks = (own.agg(F.max(F.array_max("__at.block"))).first()[0] or 0) + 1
+    parts = min(blocks, max(partitions(spark), -(-input_bytes(docs) * 4 // TASK_BYTES)))
+    same = column(docs, id_col).eqNullSafe(F.col("__id")) & (_source(column(docs, source_col)) == F.col("__source")) & (_tokens(column(docs, text_col)) == F.col("__tokens"))
+    out = docs.join(small_enough(own), same).select(*[column(docs, n).alias(f"d{k}") for k, n in enumerate(docs.columns)], F.explode("__at").alias("__a"))
+    out = out.repartitionById(parts, F.floor(F.col("__a.block") * parts / blocks).cast("int")).sortWithinPartitions("__a.block", "__a.place")
+    return out.select(*[F.col(f"d{k}").alias(n) for k, n in enumerate(docs.columns)])

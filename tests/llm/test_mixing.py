@@ -40,6 +40,9 @@ def test_realised(spark):
     # the filter gives the same copies
     again = Counter(r.doc_id for r in mixed(docs).collect())
     assert again == Counter(r.doc_id for r in out) and max(again.values()) > 1 and len(again) < 600
+    # and puts them into their places
+    rows = mixed(docs, block_tokens=500).collect()
+    assert [r.doc_id for r in rows] == [r.doc_id for r in sorted(out, key=lambda r: (r.block, r.place))]
 
 
 def test_odd_rows(odd, none):
@@ -47,3 +50,16 @@ def test_odd_rows(odd, none):
     assert {r.source for r in out} <= {"", "a", "b", "c"} and all(r.doc_id != 4 or r.tokens == 0 for r in out)
     assert mix_sources(none).count() == 0 and mixed(none).count() == 0
     assert mixed(odd).columns == odd.columns
+    got = Counter((r.doc_id, r.text) for r in mixed(odd).collect())
+    assert {i for i, _ in got} <= {r.doc_id for r in out} | {3} and got[3, "The quick brown fox jumps over the lazy dog near the river bank today\nand then it sleeps under the tall oak tree"] % 2 == 0
+
+
+def test_ties_and_null_ids(spark):
+    """Rows without ids share a key and tie; equal rows keep together."""
+    rows = [(None, f"{'a ' * (k % 3 + 1)}", "s") for k in range(30)] + [(1, "b b", "s")] * 4 + [(2, None, "s"), (3, "c", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mix_sources(docs, max_epochs=100).collect()
+    per = Counter((r.doc_id, r.epoch) for r in out)
+    assert all(n in (4, 0) or r[1] == max(e for i, e in per if i == 1) for r, n in per.items() if r[0] == 1)
+    copies = Counter(r.doc_id for r in mixed(docs, max_epochs=100).collect())
+    assert copies[1] % 4 == 0 and set(copies) <= {None, 1, 2, 3} and {r.source for r in out} <= {"", "s"}
