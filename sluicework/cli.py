@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from . import __version__, reporters
 from .plans import runner
+from .plans.rules import RULES
 from .sources import baseline, config, project
 
 USAGE, CONFIG = 64, 78
@@ -54,7 +55,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print("Not offered.", file=sys.stderr)
         return 0
     try:
-        settings = config.discover(root)
+        settings = config.discover(root, RULES)
     except config.ConfigError as e:
         print(e, file=sys.stderr)
         return CONFIG

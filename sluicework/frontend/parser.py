@@ -10,6 +10,8 @@ names that look like constructors, with their arguments).
 
 from __future__ import annotations
 
+import re
+
 from .lexer import KEYWORDS, SOFT, Source, SourceError, Token
 
 FACT_COLUMNS = "path string, fact string, line int, col int, end_line int, name string, owner string, pre int, post int, seq int, props map<string,string>, items array<string>"
@@ -83,8 +85,6 @@ class Parser:
             found.append(self.text(j))
             j = self.skip_types(j + 1, end)
             if self.text(j) == "(" and self.t[j].at == self.t[j - 1].at + len(self.text(j - 1)):
-                for k in range(j + 1, self.match[j]):
-                    pass
                 j = self.match[j] + 1
             i = j
         return found, i
@@ -426,14 +426,10 @@ class Parser:
     def if_statement(self, i: int, end: int, depth: int, chained: bool) -> int:
         self.point(i, 1, 1, depth, not chained)
         close = self.match[i + 1]
-        stop = close  # the expression only: a case clause isn't looked at
-        k = i + 2
-        while k < close:
-            if self.text(k) == "case":
-                stop = k
-                break
-            k = self.match[k] + 1 if k in self.match and self.match[k] > k else k + 1
-        self.expression(i + 2, stop, depth)
+        case = self.find("case", i + 2, close)
+        self.expression(i + 2, close if case is None else case, depth)
+        if case is not None:  # a pattern has no decisions, its guard has
+            self.guard(case + 1, close, depth)
         j = self.statement(close + 1, end, depth + 1)
         if self.text(j) == "else" and j < end:
             if self.text(j + 1) == "if" and self.text(j + 2) == "(":
@@ -442,22 +438,49 @@ class Parser:
             return self.statement(j + 1, end, depth + 1)
         return j
 
+    def find(self, word: str, i: int, end: int) -> int | None:
+        """The first place of a word outside brackets."""
+        while i < end:
+            if self.text(i) == word:
+                return i
+            i = self.match[i] + 1 if i in self.match and self.match[i] > i else i + 1
+        return None
+
+    def guard(self, i: int, end: int, depth: int) -> None:
+        """The guard of the pattern that begins at i, if it has one."""
+        when = self.find("when", i + 1, end)
+        if when is not None:
+            self.point(when, 1, 1, depth, False)
+            self.expression(when + 1, end, depth)
+
+    def switch_expression(self, i: int, end: int, depth: int) -> int:
+        """A switch with values at i; the result is behind it."""
+        self.expression(i + 2, self.match[i + 1], depth)
+        k, close = self.match[i + 1] + 2, self.match[self.match[i + 1] + 1]
+        while k < close:
+            arrow = self.find("=>", k, close)
+            if arrow is None:
+                break
+            self.guard(k, arrow, depth)
+            stop = arrow + 1
+            while stop < close and self.text(stop) != ",":
+                stop = self.match[stop] + 1 if stop in self.match and self.match[stop] > stop else stop + 1
+            self.expression(arrow + 1, stop, depth)
+            k = stop + 1
+        return min(close + 1, end)
+
     def switch(self, i: int, end: int, depth: int) -> None:
         while i < end:
             x = self.text(i)
             if x in ("case", "default"):
                 if x == "case":
                     self.point(i, 1, 0, depth, False)
-                k, guard = i + 1, None
-                questions = 0
+                k, questions = i + 1, 0
                 while k < end and not (self.text(k) == ":" and not questions):
-                    if self.text(k) == "when":
-                        guard = k
                     questions += (self.text(k) == "?") - (self.text(k) == ":")
                     k = self.match[k] + 1 if k in self.match and self.match[k] > k else k + 1
-                if guard is not None:
-                    self.point(guard, 1, 1, depth, False)
-                self.expression(guard + 1 if guard is not None else i + 1, k, depth)
+                if x == "case":
+                    self.guard(i + 1, k, depth)
                 i = k + 1
             else:
                 i = max(i + 1, self.statement(i, end, depth))
@@ -519,8 +542,9 @@ class Parser:
                 segment = []
             elif t.kind == "op" and x in ("??", "&&", "||", "?", ":"):
                 segment.append((k, x))
-            elif x == "when" and t.kind == "kw" and self.text(k + 1) not in (".", "(", ",", ")", ";", "="):
-                self.point(k, 1, 1, depth, False)
+            elif x == "switch" and self.text(k + 1) == "(" and self.text(self.match[k + 1] + 1) == "{" and self.match[k + 1] + 1 < end:
+                k = self.switch_expression(k, end, depth)
+                continue
             if t.kind == "op" and x == "(" or x in ("[", "{", "${"):
                 close = self.match.get(k, end)
                 if x == "(" and self.closure(k, close, end):
@@ -536,7 +560,6 @@ class Parser:
         self.operators(segment, depth)
 
     def operators(self, segment: list[tuple[int, str]], depth: int) -> None:
-        ops = [x for _, x in segment]
         questions = []
         for q, (k, x) in enumerate(segment):
             if x == "?":
@@ -558,7 +581,6 @@ class Parser:
                 fresh = "&&" not in runs
                 self.point(k, 1, int(fresh), depth, False)
                 runs = [*[r for r in runs if r == "||"], "&&"]
-        del ops
 
     def closure(self, i: int, close: int, end: int) -> bool:
         j = close + 1
@@ -645,8 +667,9 @@ def parse(path: str, text: str | None) -> list[dict]:
     try:
         return Parser(path, text).run()
     except (SourceError, RecursionError, KeyError, IndexError) as e:
-        return [_failed(path, str(e) or type(e).__name__)]
+        part = re.search(r"^\s*part\s+of\b", text, re.M) is not None
+        return [_failed(path, str(e) or type(e).__name__, part)]
 
 
-def _failed(path: str, reason: str) -> dict:
-    return dict(path=path, fact="file", line=1, col=None, end_line=None, name="error", owner=None, pre=None, post=None, seq=None, props={"reason": reason}, items=[])
+def _failed(path: str, reason: str, part: bool = False) -> dict:
+    return dict(path=path, fact="file", line=1, col=None, end_line=None, name="error", owner=None, pre=None, post=None, seq=None, props={"reason": reason, "part": str(part).lower()}, items=[])

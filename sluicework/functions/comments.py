@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-IGNORE = r"//\s*(ignore(?:_for_file)?)\s*:(.*)"
+IGNORE = r"/{2}\s*+(ignore(?:_for_file)?)\s*:(.*)"
 LINTS = r"^\s*([A-Za-z][A-Za-z0-9_]*(?:\s*,\s*[A-Za-z][A-Za-z0-9_]*)*)"
 #: Suppression directive of this engine.
 DIRECTIVE = "// sluice-ignore:"
@@ -41,7 +41,7 @@ def reason(rest: Column) -> Column:
 
 def directive_rule(lexeme: Column, prefix: str = DIRECTIVE) -> Column:
     """The rule that a suppression names; null unless it begins with the prefix and gives a rule and a reason."""
-    rest = F.regexp_replace(F.substring(lexeme, len(prefix) + 1, 1_000_000), r"^\s+|\s+$", "")
+    rest = F.regexp_replace(F.substr(lexeme, F.lit(len(prefix) + 1)), r"^\s+|\s+$", "")
     rule = F.regexp_extract(rest, r"^(\S+)", 1)
     why = F.regexp_replace(F.regexp_replace(rest, r"^\S+", ""), r"^[\s\-–:]+", "")
     return F.when(lexeme.startswith(prefix) & (rule != "") & (why != ""), rule)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import comments as C
 from ..functions import identity as I
 from ..functions import paths as P
-from ..operators import clones, graph, health, lines
+from ..operators import clones, diff, graph, health, lines
 from ..sources.project import Project
 
 #: id, category, severity
@@ -32,8 +32,20 @@ WCAG = {
     "a11y-interactive-semantics": ("4.1.2", "Name, Role, Value"),
 }
 CONSERVATIVE = ("visibleForTesting", "internal", "visibleForOverriding", "pragma")
-CODEGEN_BASES = ("Table", "DataClass", "Notifier", "AsyncNotifier", "DatabaseAccessor")
-CODEGEN_NOTES = ("freezed", "Freezed", "JsonSerializable", "riverpod", "Riverpod", "HiveType", "RoutePage", "RestApi", "injectable", "Injectable", "singleton", "lazySingleton", "module", "DriftDatabase", "DriftAccessor")
+CODEGEN_BASES = ("Table", "DataClass", "View")
+CODEGEN_NOTES = ("Collection", "DataClassName", "DriftDatabase", "Entity", "GenerateMocks", "HiveType", "JsonSerializable", "Riverpod", "RoutePage", "freezed", "injectable", "module", "riverpod")
+CODEGEN_PARTS = (".config.dart", ".freezed.dart", ".g.dart", ".gr.dart", ".mocks.dart", ".pb.dart")
+#: Declarations whose comments are looked at.
+TOLD_KINDS = ("class", "method", "getter", "setter", "operator", "function", "constructor")
+#: Widgets of Flutter itself that can be tapped: a call of one of these names isn't of another package.
+FLUTTER_TAPPED = (
+    "ActionChip", "BackButton", "BottomNavigationBar", "CarouselView", "CheckboxMenuButton", "ChoiceChip", "CloseButton", "CupertinoActionSheetAction", "CupertinoButton",
+    "CupertinoContextMenuAction", "CupertinoDialogAction", "CupertinoListTile", "CupertinoNavigationBarBackButton", "CupertinoTabBar", "CupertinoTextField", "DataCell", "DataRow",
+    "DrawerButton", "DropdownButton", "DropdownButtonFormField", "DropdownMenuItem", "ElevatedButton", "EndDrawerButton", "FilledButton", "FilterChip", "FloatingActionButton",
+    "GestureDetector", "IconButton", "InkResponse", "InkWell", "InputChip", "ListTile", "LongPressGestureRecognizer", "MaterialButton", "MenuItemButton", "OutlinedButton",
+    "PopupMenuItem", "RadioMenuButton", "RawChip", "RawMaterialButton", "SearchAnchor", "SearchBar", "SelectableText", "Semantics", "SnackBarAction", "SubmenuButton", "TabBar",
+    "TableRowInkWell", "TapGestureRecognizer", "TextButton", "TextField", "TextFormField",
+)
 PHRASES = ("constructor", "getter", "setter", "build method")
 TAPS = ("onTap", "onPressed", "onLongPress")
 COLUMNS = ("rule_id", "severity", "file_path", "line", "column", "message", "kind", "remedy", "wcag", "fingerprint")
@@ -113,26 +125,46 @@ def supertypes(p: Project) -> DataFrame:
     return graph.closure(facts(p, "supertype", True).where("props['clause'] <> 'on'").select(F.col("name").alias("src"), F.col("props")["super"].alias("dst")))
 
 
-def codegen_inputs(p: Project) -> DataFrame:
-    """(path, name, reason) of classes that a generator reads; the first reason that holds."""
-    decls = facts(p, "decl").where("props['kind'] = 'class'").select("path", "name", "items")
-    supers = facts(p, "supertype").groupBy("path", "name").agg(F.collect_set(F.col("props")["super"]).alias("supers"))
-    made = facts(p, "uri").where("name = 'part'").where(P.any_end(F.col("props")["uri"], (*P.GENERATED_ENDS, ".gr.dart", ".config.dart", ".drift.dart"))).select("path").distinct().withColumn("has_part", F.lit(True))
-    rows = decls.join(supers, ["path", "name"], "left").join(made, "path", "left").withColumn("supers", F.coalesce("supers", F.array().cast("array<string>")))
+def codegen_reason(supers: Column, notes: Column, has_part: Column) -> Column:
+    """Why a generator reads a class, the first that holds: a supertype, an annotation, or a generated part that it binds."""
     lit = lambda xs: F.array(*[F.lit(x) for x in xs])
-    reason = (
-        F.when(F.arrays_overlap("supers", lit(CODEGEN_BASES)), "base type")
-        .when(F.arrays_overlap("items", lit(CODEGEN_NOTES)), "annotation")
-        .when(F.col("has_part") & F.exists("supers", lambda x: x.startswith("_$")), "generated part")
+    first = lambda xs, known: F.element_at(F.array_intersect(F.array_sort(xs), lit(known)), 1)
+    return (
+        F.when(F.arrays_overlap(supers, lit(CODEGEN_BASES)), F.concat(F.lit("base type "), first(supers, CODEGEN_BASES)))
+        .when(F.arrays_overlap(notes, lit(CODEGEN_NOTES)), F.concat(F.lit("annotation "), first(notes, CODEGEN_NOTES)))
+        .when(has_part & F.exists(supers, lambda x: x.startswith("_$")), "generated part")
     )
+
+
+def codegen_inputs(p: Project) -> DataFrame:
+    """(path, name, reason) of classes, mixins and enums that a generator reads; supertypes count at any distance."""
+    decls = facts(p, "decl").where("props['kind'] in ('class', 'mixin', 'enum') and owner is null").select("path", "name", "items")
+    above = graph.closure(facts(p, "supertype", True).select(F.col("name").alias("src"), F.col("props")["super"].alias("dst")))
+    supers = above.groupBy(F.col("src").alias("name")).agg(F.collect_set("dst").alias("supers"))
+    made = facts(p, "uri").where("name = 'part'").where(P.any_end(F.col("props")["uri"], CODEGEN_PARTS)).select("path").distinct().withColumn("has_part", F.lit(True))
+    rows = decls.join(supers, "name", "left").join(made, "path", "left")
+    none = F.array().cast("array<string>")
+    reason = codegen_reason(F.coalesce("supers", none), F.coalesce("items", none), F.coalesce("has_part", F.lit(False)))
     return rows.select("path", "name", reason.alias("reason")).where("reason is not null")
 
 
+def eligible(name: Column, notes: Column) -> Column:
+    """Whether a declaration of this name and with these annotations may be reported as unused."""
+    noted = F.arrays_overlap(F.coalesce(notes, F.array().cast("array<string>")), F.array(*[F.lit(x) for x in CONSERVATIVE]))
+    return (name != "") & ~name.startswith("_") & (name != "main") & ~F.coalesce(noted, F.lit(False))
+
+
+def with_owners(references: DataFrame, members: DataFrame, name: str, owner: str) -> DataFrame:
+    """Distinct references, and the owners of members that are referred to."""
+    refs = references.select(name).distinct()
+    live = members.join(refs, name, "left_semi").select(F.col(owner).alias(name))
+    return refs.union(live).distinct()
+
+
 def unused_public_exports(p: Project, dirs) -> DataFrame:
     decls = facts(p, "decl").where(P.under_lib(F.col("path")))
     name, kind, owner = F.col("name"), F.col("props")["kind"], F.col("owner")
-    noted = F.arrays_overlap(F.coalesce("items", F.array().cast("array<string>")), F.array(*[F.lit(x) for x in CONSERVATIVE]))
-    plain = decls.where((name != "") & ~name.startswith("_") & (name != "main") & ~F.coalesce(noted, F.lit(False)))
+    plain = decls.where(eligible(name, F.col("items")))
     exported = facts(p, "uri", True).where("name = 'export'").select(F.col("props")["target"].alias("path")).distinct()
     plain = plain.join(exported, "path", "left_anti").join(codegen_inputs(p).select("path", "name"), ["path", "name"], "left_anti")
     top = plain.where(owner.isNull())
@@ -143,11 +175,9 @@ def unused_public_exports(p: Project, dirs) -> DataFrame:
     inherited = supertypes(p).join(facts(p, "decl", True).where("owner is not null").select(F.col("owner").alias("dst"), "name"), "dst").select(F.col("src").alias("owner"), "name").distinct()
     member = member.join(inherited, ["owner", "name"], "left_anti").withColumn("anchor", F.concat("owner", F.lit("."), "name"))
     # what a project class inherits from outside can't be seen: names count as used there
-    refs = facts(p, "ref", True).select("name").distinct()
-    live = facts(p, "decl").where("owner is not null").join(refs, "name", "left_semi").select(F.col("owner").alias("name"))
-    extension = facts(p, "decl").where("props['kind'] = 'extension'").select("name").distinct()
-    used = refs.union(live.join(extension, "name", "left_semi")).distinct()
-    rows = top.withColumn("anchor", name).unionByName(member, allowMissingColumns=True).join(used, "name", "left_anti")
+    extension = facts(p, "decl").where("props['kind'] = 'extension'").select(F.col("name").alias("owner")).distinct()
+    used = with_owners(facts(p, "ref", True), facts(p, "decl").where("owner is not null").join(extension, "owner", "left_semi"), "name", "owner")
+    rows = diff.unused(top.withColumn("anchor", name).unionByName(member, allowMissingColumns=True), used, key="name")
     rows = rows.groupBy("path", "anchor").agg(F.min(F.struct("line", "col", F.col("props")["kind"].alias("kind"))).alias("m")).select("path", "anchor", "m.line", "m.col", "m.kind")
     if p.profile.is_publishable:
         rows = rows.where(~P.public_api(F.col("path")))
@@ -163,15 +193,18 @@ def slop_empty_catch(p: Project, dirs) -> DataFrame:
     return finding(rows, "slop-empty-catch", F.concat("name", F.lit(":catch:"), F.col("occurrence").cast("string")), F.concat(F.lit("An error is swallowed in "), F.col("name")), "empty-catch", "Handle it, log it or let it pass.", column=F.col("col"))
 
 
+def told(said: Column, name: Column) -> Column:
+    """Whether a comment only repeats what it stands above. Both in lower case."""
+    plain = [F.concat(F.lit("the "), name, F.lit(f" {what}")) for what in ("method", "widget")]
+    return (said != "") & ((said == name) | said.isin(*PHRASES) | (said == plain[0]) | (said == plain[1]))
+
+
 def slop_narrative_comment(p: Project, dirs) -> DataFrame:
-    notes = facts(p, "comment").where("props['style'] = 'line'").groupBy("path", "seq").agg(F.max_by(F.struct("line", "name", "col"), F.struct("line", "col")).alias("c"))
-    decls = facts(p, "decl").where("props['kind'] not in ('field', 'variable', 'enum constant')").select("path", "seq", F.col("line").alias("decl_line"), "name", "owner", "props")
-    label = F.coalesce(F.col("props")["label"], F.col("name"))
-    rows = notes.join(decls, ["path", "seq"]).where("decl_line - c.line = 1")
-    said, own = C.normal_comment(F.col("c.name")), F.lower("name")
-    told = (said == own) | said.isin(*PHRASES) | said.isin("") | (said == F.concat(F.lit("the "), own, F.lit(" method"))) | (said == F.concat(F.lit("the "), own, F.lit(" widget")))
-    rows = rows.where(told & (said != "")).select("path", "seq", F.col("c.line").alias("line"), F.col("c.col").alias("col"), label.alias("label"))
-    rows = _numbered(rows, ["label"], "seq")
+    notes = lines.last_by(facts(p, "comment").where("props['style'] = 'line'"), ["path", "seq"], ["line", "col"], ["line", "name", "col"])
+    decls = facts(p, "decl").where(F.col("props")["kind"].isin(*TOLD_KINDS)).select("path", "seq", F.col("line").alias("decl_line"), F.col("name").alias("decl"), "owner", "props")
+    label = F.coalesce(F.col("props")["label"], F.col("decl"))
+    rows = notes.join(decls, ["path", "seq"]).where("decl_line - line = 1").where(told(C.normal_comment(F.col("name")), F.lower("decl")))
+    rows = _numbered(rows.select("path", "seq", "line", "col", label.alias("label")), ["label"], "seq")
     return finding(rows, "slop-narrative-comment", F.concat("label", F.lit(":narrative-comment:"), F.col("occurrence").cast("string")), F.concat(F.lit("The comment only repeats "), F.col("label")), "narrative-comment", "Say why, or drop it.", column=F.col("col"))
 
 
@@ -188,11 +221,26 @@ def slop_unjustified_ignore(p: Project, dirs) -> DataFrame:
 
 
 def _nodes(p: Project) -> DataFrame:
-    """Constructor calls with what is known of their class: flutter's own, the project's, or neither."""
+    """Constructor calls with what is known of their class: Flutter's (``flutter``), the project's (``own``) or another package's (``foreign``).
+
+    A file that imports Flutter, or is a part, may call Flutter's classes, but for names that the project declares. A
+    class is taken for another package's if its file imports one and Flutter has no widget of that name to be tapped.
+    child_own and decoration_own: whether the class of that argument is the project's.
+    """
     own = facts(p, "decl", True).where("props['kind'] = 'class' and owner is null").select("name").distinct().withColumn("own", F.lit(True))
-    flutter = facts(p, "uri").where("name in ('import', 'part of')").where(F.col("props")["uri"].startswith("package:flutter/") | (F.col("name") == "part of")).select("path").distinct().withColumn("flutter", F.lit(True))
-    rows = facts(p, "node").join(own, "name", "left").join(flutter, "path", "left")
-    return rows.withColumn("own", F.coalesce("own", F.lit(False))).withColumn("flutter", F.coalesce("flutter", F.lit(False)) & ~F.col("own")).fillna({"owner": ""})
+    uri = F.col("props")["uri"]
+    seen = facts(p, "uri").where("name in ('import', 'part of')").groupBy("path").agg(
+        F.bool_or(uri.startswith("package:flutter/") | (F.col("name") == "part of")).alias("flutter"),
+        F.bool_or(uri.startswith("package:") & ~uri.startswith("package:flutter/") & (F.col("props")["target"] == "")).alias("foreign"),
+    )
+    rows = facts(p, "node").join(own, "name", "left").join(seen, "path", "left")
+    for arg in ("child", "decoration"):
+        mine = own.select(F.col("name").alias("__class"), F.col("own").alias(f"{arg}_own"))
+        rows = rows.join(mine, F.regexp_extract(_arg(arg), r"^new (\w+)\(", 1) == F.col("__class"), "left").drop("__class")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    rows = rows.withColumns({c: no(F.col(c)) for c in ("own", "flutter", "foreign", "child_own", "decoration_own")})
+    foreign = F.col("foreign") & ~F.col("own") & ~F.col("name").isin(*FLUTTER_TAPPED)
+    return rows.withColumns({"flutter": F.col("flutter") & ~F.col("own"), "foreign": foreign}).fillna({"owner": ""})
 
 
 def _arg(name: str) -> Column:
@@ -201,9 +249,8 @@ def _arg(name: str) -> Column:
 
 def _unlabelled(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """rows without those inside a labelled Semantics call of the same file."""
-    label = nodes.where("flutter and name = 'Semantics'").where(_arg("label").isNotNull()).select("path", F.col("pre").alias("__pre"), F.col("post").alias("__post"))
-    inside = (F.col("r.path") == F.col("l.path")) & (F.col("__pre") < F.col("r.pre")) & (F.col("__post") > F.col("r.post"))
-    return rows.alias("r").join(label.alias("l"), inside, "left_anti")
+    label = nodes.where("flutter and name = 'Semantics'").where(_arg("label").isNotNull())
+    return lines.outside(rows, label, ["path"], "pre", "post")
 
 
 def a11y_image_label(p: Project, dirs) -> DataFrame:
@@ -219,13 +266,13 @@ def _widget_finding(rows: DataFrame, rule: str, message: Column, kind: str, reme
 def a11y_icon_button_label(p: Project, dirs) -> DataFrame:
     nodes = _nodes(p)
     button = (F.col("name") == "IconButton") & _arg("tooltip").isNull()
-    area = F.col("name").isin("GestureDetector", "InkWell") & F.coalesce(_arg("child"), F.lit("")).startswith("new Icon(")
+    area = F.col("name").isin("GestureDetector", "InkWell") & F.coalesce(_arg("child"), F.lit("")).startswith("new Icon(") & ~F.col("child_own")
     return _widget_finding(_unlabelled(nodes.where(F.col("flutter") & (button | area)), nodes), "a11y-icon-button-label", F.concat(F.col("name"), F.lit(" has no accessible name")), "missing-accessible-name", "Give it a tooltip or wrap it in labelled Semantics.")
 
 
 def a11y_form_field_label(p: Project, dirs) -> DataFrame:
     nodes, decoration = _nodes(p), F.coalesce(_arg("decoration"), F.lit(""))
-    bare = (decoration == "") | (decoration.startswith("new InputDecoration(") & ~decoration.rlike(r"[(,](labelText|hintText)[,)]"))
+    bare = (decoration == "") | (decoration.startswith("new InputDecoration(") & ~F.col("decoration_own") & ~decoration.rlike(r"[(,](labelText|hintText)[,)]"))
     rows = nodes.where(F.col("flutter") & F.col("name").isin("TextField", "TextFormField") & bare)
     return _widget_finding(_unlabelled(rows, nodes), "a11y-form-field-label", F.concat(F.col("name"), F.lit(" has no label")), "missing-form-label", "Give its decoration a labelText or hintText.")
 
@@ -234,7 +281,7 @@ def a11y_interactive_semantics(p: Project, dirs) -> DataFrame:
     nodes = _nodes(p)
     tapped = F.coalesce(*[_arg(a) for a in TAPS]).isNotNull()
     named = F.coalesce(*[F.when(~_arg(a).isin("null", "''", '""'), _arg(a)) for a in ("label", "semanticLabel", "tooltip")]).isNotNull()
-    rows = nodes.where(F.col("own") & tapped & ~named)
+    rows = nodes.where((F.col("own") | F.col("foreign")) & tapped & ~named)
     return _widget_finding(_unlabelled(rows, nodes), "a11y-interactive-semantics", F.concat(F.col("name"), F.lit(" can be tapped but has no accessible name")), "missing-accessible-name", "Give it a label or wrap it in labelled Semantics.")
 
 

@@ -27,19 +27,21 @@ def write(path: str, findings: DataFrame, ruleset: str) -> int:
 
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
-    """(findings, ruleset version); errors name what is wrong with the file."""
+    """(findings, ruleset version); errors name what is wrong with the file. A finding's missing fields are '' or 0."""
     if not os.path.isfile(path):
         raise BaselineError("there is no baseline")
     try:
         with open(path, encoding="utf-8") as f:
             body = json.load(f)
-        if body["schemaVersion"] != VERSION:
-            raise BaselineError(f"schema version {body['schemaVersion']} isn't known")
-        rows = []
-        for x in body["findings"]:
-            if not all(isinstance(x[n], k) for n, k in _FIELDS):
-                raise BaselineError("a finding has a field of the wrong type")
-            rows.append(tuple(x[n] for n, _ in _FIELDS))
-        return spark.createDataFrame(rows, SCHEMA), str(body["rulesetVersion"])
-    except (json.JSONDecodeError, KeyError, TypeError) as e:
+    except ValueError as e:
         raise BaselineError(f"the baseline can't be read: {e}") from e
+    if not isinstance(body, dict) or not all(isinstance(body.get(n), k) for n, k in (("schemaVersion", int), ("rulesetVersion", str), ("findings", list))):
+        raise BaselineError("the baseline lacks schemaVersion, rulesetVersion or findings")
+    if body["schemaVersion"] != VERSION:
+        raise BaselineError(f"schema version {body['schemaVersion']} isn't known")
+    rows = []
+    for x in body["findings"]:
+        if not isinstance(x, dict) or not all(x.get(n) is None or isinstance(x[n], k) for n, k in _FIELDS):
+            raise BaselineError("a finding has a field of the wrong type")
+        rows.append(tuple(k() if x.get(n) is None else x[n] for n, k in _FIELDS))
+    return spark.createDataFrame(rows, SCHEMA), body["rulesetVersion"]

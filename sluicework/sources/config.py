@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
-import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+from . import yaml
+
 NAME = "sluicework.yaml"
 
 
@@ -19,78 +21,82 @@ class Config:
     ignore: list[str] = field(default_factory=list)
     source_dirs: list[str] = field(default_factory=lambda: ["lib", "bin"])
     a11y: bool = True
+    update_check: bool = True
 
 
 def parse(text: str) -> dict:
-    """The subset of YAML that the file uses: top-level scalars, lists of strings, and a map of booleans."""
-    out: dict = {}
-    key = None
-    for number, raw in enumerate(text.split("\n"), 1):
-        line = re.sub(r"(^|\s)#.*$", "", raw).rstrip()
-        if not line.strip():
-            continue
-        if not line[0].isspace() and not line.lstrip().startswith("-"):
-            m = re.fullmatch(r"([A-Za-z0-9_]+):\s*(.*)", line)
-            if not m:
-                raise ConfigError(f"line {number} can't be read")
-            key, value = m.groups()
-            out[key] = _value(value) if value else None
-            continue
-        m = re.fullmatch(r"\s*-\s*(.+)", line)
-        if m and key:
-            out[key] = [*(out[key] or []), _scalar(m.group(1))]
-            continue
-        m = re.fullmatch(r"\s+([A-Za-z0-9_-]+):\s*(\S+)", line)
-        if not m or not key:
-            raise ConfigError(f"line {number} can't be read")
-        out[key] = (out[key] or {}) | {m.group(1): _scalar(m.group(2))}
-    return out
-
-
-def _scalar(x: str):
-    x = x.strip()
-    return {"true": True, "false": False}.get(x, x.strip("'\""))
-
-
-def _value(x: str):
-    if x.startswith("[") and x.endswith("]"):
-        return [_scalar(y) for y in x[1:-1].split(",") if y.strip()]
-    return _scalar(x)
-
-
-def merge(layers: list[dict]) -> Config:
-    """layers from the farthest to the nearest."""
+    """The top-level map of a configuration; an empty text is an empty one."""
+    try:
+        value = yaml.load(text)
+    except yaml.YamlError as e:
+        raise ConfigError(str(e)) from e
+    if value is None:
+        return {}
+    if not isinstance(value, dict):
+        raise ConfigError("a configuration must be a map")
+    return value
+
+
+def _strings(name: str, value) -> list[str]:
+    if not isinstance(value, list) or not all(isinstance(v, str) for v in value):
+        raise ConfigError(f"{name} must be a list of strings")
+    return value
+
+
+def _top_dirs(value) -> list[str]:
+    """The first segments of directories, each once."""
+    if not all(v.strip() for v in _strings("source_dirs", value)):
+        raise ConfigError("source_dirs must not have an empty entry")
+    tops = [v.strip().replace("\\", "/").split("/")[0] for v in value]
+    return list(dict.fromkeys(t for t in tops if t))
+
+
+def merge(layers: list[dict], known: Iterable[str] | None = None) -> Config:
+    """layers from the farthest to the nearest: toggles one by one, globs all together, the others as a whole.
+
+    known: the rules that may be named, if given.
+    """
     c = Config()
     for layer in layers:
-        rules, ignore, dirs, a11y = (layer.get(k) for k in ("rules", "ignore", "source_dirs", "a11y"))
+        rules = layer.get("rules")
         if rules is not None:
             if not isinstance(rules, dict) or not all(isinstance(v, bool) for v in rules.values()):
                 raise ConfigError("rules must map ids to true or false")
-            c.rules |= rules
-        for name, value in (("ignore", ignore), ("source_dirs", dirs)):
-            if value is not None and (not isinstance(value, list) or not all(isinstance(v, str) for v in value)):
-                raise ConfigError(f"{name} must be a list of strings")
-        c.ignore = list(dict.fromkeys([*c.ignore, *(ignore or [])]))
-        c.source_dirs = dirs if dirs else c.source_dirs
-        if a11y is not None:
-            if not isinstance(a11y, bool):
-                raise ConfigError("a11y must be true or false")
-            c.a11y = a11y
+            for rule in rules:
+                if known is not None and rule not in known:
+                    raise ConfigError(f"there is no rule {rule}")
+            c.rules |= {str(k): v for k, v in rules.items()}
+        if layer.get("ignore") is not None:
+            c.ignore = list(dict.fromkeys([*c.ignore, *_strings("ignore", layer["ignore"])]))
+        if layer.get("source_dirs") is not None:
+            c.source_dirs = _top_dirs(layer["source_dirs"])
+        for name in ("a11y", "update_check"):
+            if layer.get(name) is not None:
+                if not isinstance(layer[name], bool):
+                    raise ConfigError(f"{name} must be true or false")
+                setattr(c, name, layer[name])
     return c
 
 
-def discover(root: str) -> Config:
-    """Merges the files from the repository's root (the folder with .git) down to the project's root."""
-    found, at = [], os.path.abspath(root)
-    while True:
-        path = os.path.join(at, NAME)
+def discover(root: str, known: Iterable[str] | None = None) -> Config:
+    """Merges the files from the repository's root (the folder with .git) down to the project's root.
+
+    Without a repository around it only the project's own file counts.
+    """
+    chain = [os.path.abspath(root)]
+    while not os.path.exists(os.path.join(chain[-1], ".git")):
+        above = os.path.dirname(chain[-1])
+        if above == chain[-1]:
+            chain = chain[:1]
+            break
+        chain.append(above)
+    found = []
+    for folder in reversed(chain):
+        path = os.path.join(folder, NAME)
         if os.path.isfile(path):
             with open(path, encoding="utf-8") as f:
                 found.append(parse(f.read()))
-        if os.path.exists(os.path.join(at, ".git")) or os.path.dirname(at) == at:
-            break
-        at = os.path.dirname(at)
-    return merge(found[::-1])
+    return merge(found, known)
 
 
 SCAFFOLD = """# Checks of this project.
@@ -100,7 +106,7 @@ source_dirs:
   - bin
 ignore: []
 a11y: true
-""".replace("rules: {}\n", "rules:\n").replace("ignore: []\n", "ignore:\n")
+"""
 
 
 def scaffold(root: str) -> bool:

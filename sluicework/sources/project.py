@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import posixpath
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,10 +14,11 @@ from pyspark.sql import functions as F
 from ..frontend.parser import FACT_COLUMNS, parse
 from ..functions import paths as P
 from ..session import settle
+from . import yaml
 
 DIRS = ("lib", "bin", "test", "tool")
 _NAMES = [c.split()[0] for c in FACT_COLUMNS.split(", ")]
-GENERATORS = ("build_runner", "freezed", "json_serializable", "injectable_generator", "riverpod_generator", "drift_dev", "auto_route_generator", "retrofit_generator", "hive_generator", "mockito")
+GENERATORS = ("build_runner", "freezed", "hive_generator", "injectable_generator", "json_serializable", "mobx_codegen", "retrofit_generator", "riverpod_generator", "source_gen")
 
 
 @dataclass(frozen=True)
@@ -41,18 +41,32 @@ class Project:
     facts: DataFrame
 
     def errors(self) -> DataFrame:
-        return self.files.where("status = 'error'").select("path", "reason")
+        """Files that can't be parsed, but for parts: their library's row says enough."""
+        return self.files.where("status = 'error' and not is_part").select("path", "reason")
 
 
 def read_profile(root: str) -> Profile:
     path = os.path.join(root, "pubspec.yaml")
     if not os.path.isfile(path):
         return Profile()
-    with open(path, encoding="utf-8") as f:
-        text = f.read()
-    top = dict(re.findall(r"^([A-Za-z_]+):[ \t]*(.*?)[ \t]*(?:#.*)?$", text, re.M))
-    deps = set(re.findall(r"^[ \t]+([A-Za-z0-9_]+):", text, re.M))
-    return Profile(top.get("name", "").strip("'\""), tuple(g for g in GENERATORS if g in deps), "flutter" in deps, top.get("publish_to", "").strip("'\"") != "none")
+    try:
+        with open(path, encoding="utf-8") as f:
+            return profile_of(f.read())
+    except (OSError, UnicodeDecodeError):
+        return Profile()
+
+
+def profile_of(manifest: str) -> Profile:
+    """The profile of a manifest's text; of one that can't be read, that of none."""
+    try:
+        top = yaml.load(manifest)
+    except yaml.YamlError:
+        return Profile()
+    if not isinstance(top, dict):
+        return Profile()
+    section = lambda name: top[name] if isinstance(top.get(name), dict) else {}
+    name = top.get("name")
+    return Profile(name if isinstance(name, str) else "", tuple(g for g in GENERATORS if g in section("dev_dependencies")), "flutter" in section("dependencies"), top.get("publish_to") != "none")
 
 
 def _facts(package: str):
@@ -117,5 +131,5 @@ def load(spark: SparkSession, root: str) -> Project:
     # one row for each file; the Python parser reads them where they lie
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.dart").format("binaryFile").load(dirs)
     path = F.regexp_replace("path", "^file:/*", "/")
-    files = rows.select(F.substring(path, len(root) + 2, 10_000).alias("path"), F.decode("content", "UTF-8").alias("content"))
+    files = rows.select(F.substr(path, F.lit(len(root) + 2)).alias("path"), F.decode("content", "UTF-8").alias("content"))
     return from_files(files, read_profile(root), root)
