@@ -1,15 +1,24 @@
 """Graph kernels on edge tables: strongly connected components and reachability.
 
-Rounds are cut by checkpoints; the driver only sees counts.
+Rounds are cut by checkpoints; the driver only sees counts. What is left of a graph goes to one task as soon as it has no
+more edges than SMALL_EDGES.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..session import settle
 
+#: Edges that one task may hold: some 100 MB.
+SMALL_EDGES = 1_000_000
+
 
 def clean_edges(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Distinct (src, dst) without nulls and self-loops."""
@@ -34,6 +43,62 @@ def _spread(edges: DataFrame, colour: DataFrame) -> DataFrame:
         total = now
 
 
+def strong(start: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The number of each node's strongly connected component; node v's edges go to target[start[v]:start[v + 1]].
+
+    Depth first without recursion: a component is complete when its first node's search ends without having reached back.
+    """
+    n = len(start) - 1
+    begin, goals = start.tolist(), target.tolist()
+    number, low, group = [0] * n, [0] * n, [-1] * n
+    seen, found, open_, path, edge = 0, 0, [], [], begin[:n]
+    for root in range(n):
+        if number[root]:
+            continue
+        path.append(root)
+        while path:
+            v = path[-1]
+            if not number[v]:
+                seen += 1
+                number[v] = low[v] = seen
+                open_.append(v)
+            if edge[v] < begin[v + 1]:
+                w = goals[edge[v]]
+                edge[v] += 1
+                if not number[w]:
+                    path.append(w)
+                elif group[w] < 0 and number[w] < low[v]:
+                    low[v] = number[w]
+                continue
+            path.pop()
+            if path and low[v] < low[path[-1]]:
+                low[path[-1]] = low[v]
+            if low[v] == number[v]:
+                while group[v] < 0:
+                    group[open_.pop()] = found
+                found += 1
+    return np.array(group, np.int64)
+
+
+def _one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all components of two or more nodes."""
+    held = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+    if held is None or not held.num_rows:
+        return
+    both = pa.chunked_array([*held.column(0).chunks, *held.column(1).chunks]).combine_chunks().dictionary_encode()
+    names, code = both.dictionary, both.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    src, dst = code[: held.num_rows], code[held.num_rows :]
+    order = np.argsort(src, kind="stable")
+    group = strong(np.searchsorted(src[order], np.arange(len(names) + 1)), dst[order])
+    place = np.empty(len(names), np.int64)
+    place[pa.compute.sort_indices(names).to_numpy()] = np.arange(len(names))
+    first = np.full(int(group.max()) + 1, len(names))
+    np.minimum.at(first, group, place)
+    by_place = np.argsort(place)
+    inside = np.flatnonzero(np.bincount(group)[group] > 1)
+    yield pa.RecordBatch.from_arrays([names.take(pa.array(inside)), names.take(pa.array(by_place[first[group[inside]]]))], names=["node", "root"])
+
+
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, root): the strongly connected components of two or more nodes, each named by its smallest node.
 
@@ -41,7 +106,11 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     own node is one component. Found components and nodes that lie on no cycle are dropped before the next round.
     """
     left, found = settle(_trim(clean_edges(edges, src, dst))), None
-    while not left.isEmpty():
+    kind = left.schema[0].dataType
+    while (size := left.limit(SMALL_EDGES + 1).count()) > 0:
+        if size <= SMALL_EDGES:
+            rest = left.repartition(1).mapInArrow(_one_task, StructType([StructField("node", kind), StructField("root", kind)]))
+            return rest if found is None else found.unionByName(rest)
         nodes = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
         colour = _spread(left, nodes.withColumn("c", F.col("node")))
         a, b = colour.select(F.col("node").alias("src"), F.col("c").alias("ca")), colour.select(F.col("node").alias("dst"), F.col("c").alias("cb"))
@@ -62,8 +131,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         left = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
         left = settle(_trim(left.select("src", "dst")))
     if found is None:
-        kind = edges.select(src).schema[0].dataType.simpleString()
-        return edges.sparkSession.createDataFrame([], f"node {kind}, root {kind}")
+        return edges.sparkSession.createDataFrame([], StructType([StructField("node", kind), StructField("root", kind)]))
     return found
 
 

@@ -154,6 +154,12 @@ def q_exact_clones(t):
     return found.withColumn("locations", F.concat_ws(",", F.col("locations").cast("array<string>")))
 
 
+def word_kind(word: str) -> tuple[str, str]:
+    """Words of letters are names here, numbers are literals."""
+    plain = word.isascii()
+    return "lit" if plain and word.isdigit() else "id" if plain and word.isalpha() else "other", word
+
+
 @query(
     r"""WITH w AS (SELECT doc_id, unnest(range(0, len(l))) AS seq, unnest(l) AS lexeme FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents WHERE text IS NOT NULL)),
 k AS (SELECT *, CASE WHEN regexp_matches(lexeme, '^[0-9]+$') THEN 'lit' WHEN regexp_matches(lexeme, '^[A-Za-z]+$') THEN 'id' ELSE 'other' END AS kind FROM w),
@@ -163,32 +169,29 @@ b AS (SELECT doc_id, count(*) AS token_count, string_agg(t, chr(31) ORDER BY seq
 SELECT sha256(s) AS digest, token_count, count(*) AS n, string_agg(doc_id, ',' ORDER BY doc_id) AS blocks FROM b GROUP BY s, token_count HAVING count(*) >= 2"""
 )
 def q_renamed_clones(t):
-    words = t("documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("seq", "lexeme"))
-    kind = F.when(F.col("lexeme").rlike("^[0-9]+$"), "lit").when(F.col("lexeme").rlike("^[A-Za-z]+$"), "id").otherwise("other")
-    found = clones.renamed_clusters(words.withColumn("kind", kind), ["doc_id"])
+    words = t("documents").where("text is not null").select("doc_id", F.split("text", " ", -1).alias("items"))
+    found = clones.renamed_clusters(words, ["doc_id"], kind_of=word_kind)
     return found.select("digest", F.col("token_count").cast("long"), F.size("blocks").cast("long").alias("n"), F.concat_ws(",", F.col("blocks.doc_id").cast("array<string>")).alias("blocks"))
 
 
 # graph
 
-_SQL_EDGES = """e AS (SELECT DISTINCT src, dst FROM (SELECT c_nationkey * 1000 + o_custkey % 40 AS src,
-  lead(c_nationkey * 1000 + o_custkey % 40) OVER (PARTITION BY o_orderpriority, c_nationkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders JOIN customer ON o_custkey = c_custkey
-  WHERE o_orderstatus = 'P') WHERE src <> dst)"""
+_SQL_EDGES = """e AS (SELECT DISTINCT src, dst FROM (SELECT o_custkey AS src,
+  lead(o_custkey) OVER (PARTITION BY o_orderpriority, c_nationkey ORDER BY o_orderdate, o_orderkey) AS dst FROM orders JOIN customer ON o_custkey = c_custkey) WHERE src <> dst)"""
 
 
-def _edges(t):
+def order_edges(t):
+    """From each order's customer to that of the next order of the same priority and nation."""
     from pyspark.sql.window import Window
 
-    rows = t("orders").where("o_orderstatus = 'P'").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    node = (F.col("c_nationkey") * 1000 + F.col("o_custkey") % 40).alias("src")
-    rows = rows.select(node, "o_orderpriority", "c_nationkey", "o_orderdate", "o_orderkey")
-    dst = F.lead("src").over(Window.partitionBy("o_orderpriority", "c_nationkey").orderBy("o_orderdate", "o_orderkey"))
-    return graph.clean_edges(rows.withColumn("dst", dst))
+    rows = t("orders").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    dst = F.lead("o_custkey").over(Window.partitionBy("o_orderpriority", "c_nationkey").orderBy("o_orderdate", "o_orderkey"))
+    return graph.clean_edges(rows.select(F.col("o_custkey").alias("src"), dst.alias("dst")))
 
 
 @query(f"WITH {_SQL_EDGES} SELECT src, dst FROM e")
 def q_import_edges(t):
-    return _edges(t)
+    return order_edges(t)
 
 
 @query(
@@ -198,26 +201,9 @@ SELECT root, string_agg(node, ',' ORDER BY node) AS members, count(*) AS n, CASE
 FROM m GROUP BY root HAVING count(*) >= 2"""
 )
 def q_cycles(t):
-    return graph.cycles(_edges(t)).withColumn("members", F.concat_ws(",", F.col("members").cast("array<string>")))
-
-
-def order_edges(t):
-    """Edges of all orders with the customers themselves as nodes; too large for the recursive SQL."""
-    from pyspark.sql.window import Window
-
-    rows = t("orders").join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    dst = F.lead("o_custkey").over(Window.partitionBy("o_orderpriority", "c_nationkey").orderBy("o_orderdate", "o_orderkey"))
-    return graph.clean_edges(rows.select(F.col("o_custkey").alias("src"), dst.alias("dst")))
-
-
-def order_cycles(t):
     return graph.cycles(order_edges(t)).withColumn("members", F.concat_ws(",", F.col("members").cast("array<string>")))
 
 
-QUERIES["q_order_edges"] = lambda spark, sf_dir: order_edges(lambda name: table(spark, sf_dir, name))
-QUERIES["q_order_cycles"] = lambda spark, sf_dir: order_cycles(lambda name: table(spark, sf_dir, name))
-
-
 @query(
     """WITH RECURSIVE e AS (SELECT n_name AS src, r_name AS dst FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION SELECT r_name, 'WORLD' FROM region UNION SELECT s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),

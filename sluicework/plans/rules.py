@@ -93,11 +93,8 @@ def circular_dependencies(p: Project, dirs) -> DataFrame:
 
 
 def code_duplicates(p: Project, dirs) -> DataFrame:
-    bodies = facts(p, "body", parts=False).where(P.in_dirs(F.col("path"), dirs)).where(F.size("items") >= clones.MIN_TOKENS)
-    tokens = bodies.select("path", F.col("line").alias("start"), "end_line", F.col("pre").alias("block"), F.posexplode("items").alias("seq", "item"))
-    part = F.split("item", "\x01", 2)
-    tokens = tokens.select("path", "start", "end_line", "block", "seq", part[0].alias("kind"), part[1].alias("lexeme"))
-    found = clones.renamed_clusters(tokens, ["path", "start", "end_line", "block"])
+    bodies = facts(p, "body", parts=False).where(P.in_dirs(F.col("path"), dirs)).select("path", F.col("line").alias("start"), "end_line", F.col("pre").alias("block"), "items")
+    found = clones.renamed_clusters(bodies, ["path", "start", "end_line", "block"])
     first = F.col("blocks")[0]
     place = lambda b: F.concat(b["path"], F.lit(":"), b["start"].cast("string"))
     rows = found.select("token_count", "blocks", first["path"].alias("path"), first["start"].alias("line"))

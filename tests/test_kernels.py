@@ -30,12 +30,22 @@ def tarjan_free(edges):
     return {tuple(sorted(g)) for g in groups if len(g) > 1}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_on_random_graphs(spark, seed):
+@pytest.mark.parametrize("seed,small", [(1, 0), (2, 0), (1, 10**6), (2, 10**6), (3, 12)])
+def test_components_on_random_graphs(spark, monkeypatch, seed, small):
+    monkeypatch.setattr(graph, "SMALL_EDGES", small)
     rng = random.Random(seed)
     edges = [(rng.randrange(24), rng.randrange(24)) for _ in range(34)] + [(50, 51), (51, 50), (60, 60)]
     got = {tuple(r.members) for r in graph.cycles(spark.createDataFrame(edges, "src int, dst int")).collect()}
     assert got == tarjan_free([e for e in edges if e[0] != e[1]])
+    names = [(f"n{a}", f"n{b}") for a, b in edges]
+    got = {tuple(r.members) for r in graph.cycles(spark.createDataFrame(names, "src string, dst string")).collect()}
+    assert got == tarjan_free([e for e in names if e[0] != e[1]])
+
+
+def test_a_long_cycle_needs_no_recursion(spark):
+    edges = spark.range(5000).selectExpr("id src", "(id + 1) % 5000 dst")
+    r = graph.cycles(edges).first()
+    assert r.root == 0 and r.n == 5000
 
 
 def test_closure(spark):
@@ -83,10 +93,11 @@ def test_diff_and_gates(spark):
 
 
 def test_renamed_clones(spark):
-    body = lambda names: [("other" if x in "=+;" else "id", names.get(x, x)) for x in "a = b + c ; a = c + b ;".split()]
-    rows = [(k, i, kind, lex) for k, names in enumerate(({}, {"a": "x", "b": "y", "c": "z"}, {"b": "a"})) for i, (kind, lex) in enumerate(body(names))]
-    found = clones.renamed_clusters(spark.createDataFrame(rows, "block int, seq int, kind string, lexeme string"), ["block"], min_tokens=5, min_distinct=3).collect()
+    body = lambda names: [("other" if x in "=+;" else "id") + "\x01" + names.get(x, x) for x in "a = b + c ; a = c + b ;".split()]
+    rows = [(k, body(names)) for k, names in enumerate(({}, {"a": "x", "b": "y", "c": "z"}, {"b": "a"}))] + [(9, []), (10, None), (11, ["id\x01a"])]
+    found = clones.renamed_clusters(spark.createDataFrame(rows, "block int, items array<string>"), ["block"], min_tokens=5, min_distinct=3).collect()
     assert [[b.block for b in r.blocks] for r in found] == [[0, 1]]
+    assert clones.renamed_clusters(spark.createDataFrame([], "block int, items array<string>"), ["block"]).count() == 0
 
 
 def test_lines_and_layers(spark):
@@ -142,5 +153,5 @@ def test_order_graph_takes_all_orders(spark):
         groups.setdefault((prio, cust % 3), []).append((date, key, cust))
     edges = {(a[2], b[2]) for g in groups.values() for a, b in zip(sorted(g), sorted(g)[1:]) if a[2] != b[2]}
     assert {tuple(r) for r in catalogue.order_edges(tables.__getitem__).collect()} == edges
-    got = {r.members for r in catalogue.order_cycles(tables.__getitem__).collect()}
+    got = {r.members for r in catalogue.q_cycles(tables.__getitem__).collect()}
     assert got == {",".join(map(str, g)) for g in tarjan_free(edges)} and got
