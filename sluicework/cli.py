@@ -9,6 +9,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from . import __version__, reporters
+from .operators import diff
 from .plans import runner
 from .plans.rules import RULES
 from .sources import baseline, config, project
@@ -73,24 +74,23 @@ def _run(args, root: str, settings: config.Config, spark: SparkSession) -> int:
             print(f"{e}; write one with: baseline --write", file=sys.stderr)
             return 1
     if args.command == "baseline" and frozen:
-        for r in runner.ordered(frozen[0]).collect():
+        for r in reporters.ordered(frozen[0]).collect():
             print(f"{r.file_path}:{r.line} {r.rule_id} {r.message}")
         return 0
     code = project.load(spark, root)
     if args.command == "health":
         score, worst = runner.project_health(code, settings)
-        print(reporters.health_table(score.first().asDict(), [r.asDict() for r in worst.collect()]), end="")
+        print(reporters.health_table(score.first().asDict(), worst), end="")
         return 0
     out = runner.analyse(code, settings, {"slop": "slop", "a11y": "accessibility"}.get(args.command))
     if args.command == "baseline":
         print(f"{baseline.write(place, out.findings, out.version)} findings are frozen.")
         return 0
-    # a report shows all findings, so they come to the driver here
-    rows = [r.asDict(recursive=True) for r in runner.ordered(out.findings).collect()]
-    payload = reporters.Payload(rows, root, out.version, not args.output and sys.stdout.isatty(), out.suppressed, runner.stats(code).first().asDict(), out.rules)
+    # a report shows all findings, so their texts come to the driver
+    payload = reporters.Payload(out.findings, root, out.version, not args.output and sys.stdout.isatty(), out.suppressed, runner.stats(code).first().asDict(), out.rules)
     if args.reporter == "html":
         score, worst = runner.project_health(code, settings)
-        payload.health = (score.first().asDict(), [r.asDict() for r in worst.collect()])
+        payload.health = (score.first().asDict(), worst)
     text = reporters.render(args.reporter, payload)
     target = args.output or (os.path.join(root, "sluicework-report.html") if args.reporter == "html" else None)
     if target:
@@ -100,10 +100,8 @@ def _run(args, root: str, settings: config.Config, spark: SparkSession) -> int:
         print(text, end="")
     for e in code.errors().orderBy("path").collect():
         print(f"{e.path}: {e.reason}", file=sys.stderr)
-    if args.command != "gate":
-        return int(bool(rows))
-    if args.absolute:
-        return int(bool(rows))
+    if args.command != "gate" or args.absolute:
+        return int(not diff.absolute(out.findings).first().passed)
     if frozen[1] != out.version:
         print(f"The baseline is of {frozen[1]}, this is {out.version}.", file=sys.stderr)
     result = runner.gate(out.findings, frozen[0]).first()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scores import pad, plural
+
 SEVERITIES = ("error", "warning", "info")
 SARIF = {"error": "error", "warning": "warning", "info": "note"}
 
@@ -33,6 +35,67 @@ def escape_cell(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
 
 
+# columns of findings, see `plans.rules.COLUMNS`
+
+ORDER = ["line", "fingerprint"]
+
+
+def place(line: Column, column: Column) -> Column:
+    return F.concat_ws(":", line.cast("string"), column.cast("string"))
+
+
+def human_line(colours: dict[str, str] | None = None) -> Column:
+    """A finding as a line of the report for people."""
+    severity = F.col("severity")
+    shown = severity
+    for s, code in (colours or {}).items():
+        shown = F.when(severity == s, F.concat(F.lit(f"\x1b[{code}m"), severity, F.lit("\x1b[0m"))).otherwise(shown)
+    note = F.when(F.col("wcag").isNotNull(), F.concat(F.lit(" (WCAG "), F.col("wcag.number"), F.lit(" "), F.col("wcag.title"), F.lit(")"))).otherwise("")
+    return F.concat(F.lit("  "), pad(place(F.col("line"), F.col("column")), 8), F.lit(" "), shown, F.lit("  "), F.col("rule_id"), F.lit("  "), F.col("message"), note)
+
+
+def markdown_row() -> Column:
+    cells = [F.col("line").cast("string"), F.col("severity"), F.col("rule_id"), escape_cell(F.col("message")), escape_cell(F.coalesce("remedy", F.lit("—")))]
+    return F.concat(F.lit("| "), F.array_join(F.array(*cells), " | "), F.lit(" |"))
+
+
+def json_finding() -> Column:
+    """A finding as JSON: missing values are null, but a missing guideline is left out."""
+    names = (("rule_id", "ruleId"), ("severity", "severity"), ("file_path", "filePath"), ("line", "line"), ("column", "column"), ("message", "message"), ("kind", "kind"), ("remedy", "remedy"), ("fingerprint", "fingerprint"))
+    body = F.to_json(F.struct(*[F.col(a).alias(b) for a, b in names]), {"ignoreNullFields": "false"})
+    note = F.to_json("wcag")
+    return F.when(note.isNull(), body).otherwise(F.concat(F.left(body, F.length(body) - 1), F.lit(',"wcagRef":'), note, F.lit("}")))
+
+
+def sarif_result(index: Column) -> Column:
+    """A finding as a SARIF result: what is missing is left out. index: of its rule in the catalogue."""
+    region = F.struct(F.greatest(F.lit(1), F.col("line")).alias("startLine"), F.col("column").alias("startColumn"))
+    at = F.struct(F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    extra = F.when(F.coalesce("kind", "remedy", F.to_json("wcag")).isNotNull(), F.struct("kind", "remedy", "wcag"))
+    prints = F.struct(F.col("fingerprint").alias("sluicework/v1"))
+    parts = [F.col("rule_id").alias("ruleId"), index.alias("ruleIndex"), sarif_level(F.col("severity")).alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(at).alias("locations")]
+    return F.to_json(F.struct(*parts, prints.alias("partialFingerprints"), extra.alias("properties")))
+
+
+def summary_line(rows: DataFrame) -> DataFrame:
+    """(text): the number of findings, with those severities that occur."""
+    n = severity_summary(rows)
+    some = F.concat_ws(", ", *[F.when(F.col(s) > 0, F.concat(F.lit(f"{s}: "), F.col(s).cast("string"))) for s in SEVERITIES])
+    return n.select(F.when(F.col("total") == 0, "No findings").otherwise(F.concat(plural(F.col("total"), "finding"), F.lit(" ("), some, F.lit(")"))).alias("text"))
+
+
+def hint(rule: Column, hints: dict[str, str], generic: str) -> Column:
+    """What to do about a rule's findings; a general word for rules without one of their own."""
+    known = F.create_map(*[F.lit(x) for pair in hints.items() for x in pair])
+    return F.coalesce(known[rule], F.lit(generic))
+
+
+def prompt_entry(hints: dict[str, str], generic: str) -> Column:
+    """A finding in the text that asks for its repair."""
+    where = F.concat(F.col("file_path"), F.lit(":"), F.col("line").cast("string"))
+    return F.concat(F.lit("* "), where, F.lit(" ("), F.col("rule_id"), F.lit("): "), F.col("message"), F.lit("\n  Hint: "), hint(F.col("rule_id"), hints, generic))
+
+
 def grouped_text(rows: DataFrame, group: str, order: list[str], text: Column, sep: str = "\n") -> DataFrame:
     """(group, n, text): the rows' texts joined in order."""
     packed = rows.groupBy(group).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(*order, text.alias("__t")))).alias("__all"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identity as I
@@ -13,6 +13,7 @@ from ..functions import paths as P
 from ..operators import diff, health
 from ..sources.config import Config
 from ..sources.project import Project
+from ..reporters import ordered  # noqa: F401
 from . import rules as R
 
 
@@ -46,13 +47,13 @@ def analyse(project: Project, config: Config | None = None, category: str | None
     return Outcome(kept, raw.count() - kept.count(), chosen, I.ruleset_version_of(ids))
 
 
-def ordered(findings: DataFrame) -> DataFrame:
-    return findings.orderBy("file_path", "line", "fingerprint")
+def stats(project: Project) -> DataFrame:
+    return scan_stats(project.files.where("status = 'ok'"), P.under_lib(F.col("path")), F.col("lines"))
 
 
-def stats(project: Project) -> DataFrame:
-    rows = project.files.where("status = 'ok'")
-    return rows.agg(F.count("*").alias("files"), F.count_if(P.under_lib(F.col("path"))).alias("lib_files"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines"))
+def scan_stats(files: DataFrame, in_lib: Column, lines: Column) -> DataFrame:
+    """One row: files, those in lib, and lines."""
+    return files.agg(F.count("*").alias("files"), F.count_if(in_lib).alias("lib_files"), F.coalesce(F.sum(lines), F.lit(0)).alias("lines"))
 
 
 def project_health(project: Project, config: Config | None = None) -> tuple[DataFrame, DataFrame]:

@@ -98,7 +98,11 @@ def test_toggles_and_globs(spark, outcome):
 
 def test_reports(outcome):
     code, out, rows = outcome
-    p = reporters.Payload(rows, "/demo", out.version, suppressed=out.suppressed)
+    p = reporters.Payload(out.findings, "/demo", out.version, suppressed=out.suppressed)
+    assert "Project: `demo`" in reporters.fix_prompt(p) and reporters.fix_prompt(p).count("Hint: ") == len(rows)
+    empty = reporters.Payload(out.findings.limit(0), "/demo", out.version)
+    assert "(no findings selected)" in reporters.fix_prompt(empty) and reporters.render("human", empty) == "No findings\n"
+    assert "\x1b[33mwarning\x1b[0m" in reporters.render("human", reporters.Payload(out.findings, "/demo", out.version, is_tty=True))
     body = json.loads(reporters.render("json", p))
     assert body["summary"]["total"] == len(rows) == len(body["findings"]) and body["findings"][0]["column"] is None
     log = json.loads(reporters.render("sarif", p))["runs"][0]
