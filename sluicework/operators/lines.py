@@ -23,14 +23,6 @@ def with_occurrence(rows: DataFrame, key: list[str], order: list[str], name: str
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1)
 
 
-def innermost(inner: DataFrame, outer: DataFrame, key: list[str], pre: str, post: str, name: str) -> DataFrame:
-    """inner with the name of the closest outer interval around it (largest pre), or null."""
-    o = outer.select(*key, F.col(pre).alias("__pre"), F.col(post).alias("__post"), F.col(name).alias("__name"))
-    hit = inner.join(o, key).where((F.col("__pre") < F.col(pre)) & (F.col("__post") > F.col(post)))
-    best = hit.groupBy(*key, pre, post).agg(F.max(F.struct("__pre", "__name"))["__name"].alias(name))
-    return inner.join(best, [*key, pre, post], "left")
-
-
 def outside(inner: DataFrame, outer: DataFrame, key: list[str], pre: str, post: str) -> DataFrame:
     """inner without the rows that lie within an outer interval of the same key."""
     o = outer.select(*[F.col(k).alias(f"__{k}") for k in key], F.col(pre).alias("__pre"), F.col(post).alias("__post"))
@@ -43,9 +35,3 @@ def outside(inner: DataFrame, outer: DataFrame, key: list[str], pre: str, post:
 def last_by(rows: DataFrame, key: list[str], order: list[str], values: list[str]) -> DataFrame:
     """By key, the values of the last row in order."""
     return rows.groupBy(*key).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("__last")).select(*key, "__last.*")
-
-
-def latest_not_null(layers: DataFrame, key: list[str], order: str, values: list[str]) -> DataFrame:
-    """By key, each value's last non-null setting in the layers' order."""
-    pick = [F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(v) for v in values]
-    return layers.groupBy(*key).agg(*pick)

@@ -7,24 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import comments as C
 from ..functions import identity as I
 from ..functions import paths as P
-from ..functions import scores as S
 from ..operators import clones, diff, graph, health, lines, report
-from ..session import small_enough, table
-
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str):
-    """Registers a function (tables) -> DataFrame under its name, with its SQL."""
-
-    def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: table(spark, sf_dir, name))
-        SQL[f.__name__] = sql
-        return f
-
-    return register
-
+from .. import reporters
+from ..sources import config, project
+from . import generated  # noqa: F401  its queries register themselves
+from . import rules as R
+from . import runner
+from .registry import QUERIES, SQL, query  # noqa: F401
 
 # identity
 
@@ -77,12 +66,13 @@ def q_glob_suppress(t):
 
 
 @query(
-    f"""SELECT page_id, path FROM (SELECT page_id, {_SQL_PATH} AS path FROM pages)
-WHERE NOT (starts_with(path, 'en/') AND NOT starts_with(path, 'en/1'))"""
+    f"""SELECT page_id, own FROM (SELECT page_id, CASE WHEN starts_with(path, 'en/1') THEN 'lib/src/' WHEN starts_with(path, 'en/') THEN 'lib/' ELSE 'bin/' END || path AS own
+FROM (SELECT page_id, {_SQL_PATH} AS path FROM pages)) WHERE NOT (starts_with(own, 'lib/') AND NOT starts_with(own, 'lib/src/'))"""
 )
 def q_publishable(t):
     p = F.col("path")
-    return t("pages").select("page_id", _path()).where(~(p.startswith("en/") & ~p.startswith("en/1")))
+    own = F.concat(F.when(p.startswith("en/1"), "lib/src/").when(p.startswith("en/"), "lib/").otherwise("bin/"), p)
+    return t("pages").select("page_id", _path()).select("page_id", own.alias("own")).where(~P.public_api(F.col("own")))
 
 
 # lines and order
@@ -120,26 +110,35 @@ def q_inline_suppress(t):
 
 
 @query(
-    """WITH l AS (SELECT 1 AS layer, n_regionkey, n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN n_name END AS a, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey END AS b FROM nation)
-SELECT n_regionkey, max_by(a, n_nationkey) FILTER (a IS NOT NULL) AS a, max_by(b, n_nationkey) FILTER (b IS NOT NULL) AS b FROM l GROUP BY n_regionkey"""
+    """SELECT n_regionkey, string_agg('r' || n_nationkey % 4 || '=' || CASE WHEN (n_nationkey % 3 = 0) = first THEN 'true' ELSE 'false' END, ',' ORDER BY n_nationkey % 4) AS rules, any_value(ignored) AS ignored, any_value(dirs) AS dirs
+FROM (SELECT n_regionkey, n_nationkey, TRUE AS first, row_number() OVER (PARTITION BY n_regionkey, n_nationkey % 4 ORDER BY n_nationkey DESC) AS back,
+        string_agg(n_name, ',') OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS ignored,
+        coalesce('d' || max(CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey END) OVER (PARTITION BY n_regionkey), 'lib,bin') AS dirs FROM nation)
+WHERE back = 1 GROUP BY n_regionkey"""
 )
 def q_config_layers(t):
-    k = F.col("n_nationkey")
-    layers = t("nation").select("n_regionkey", "n_nationkey", F.when(k % 3 == 0, F.col("n_name")).alias("a"), F.when(k % 2 == 0, k).alias("b"))
-    return lines.latest_not_null(layers, ["n_regionkey"], "n_nationkey", ["a", "b"])
+    """Each region's nations are the layers of a configuration; the table has as many rows at every size."""
+    layers: dict[int, list[str]] = {}
+    for r in t("nation").orderBy("n_nationkey").collect():
+        k = r.n_nationkey
+        layers.setdefault(r.n_regionkey, []).append(f"rules:\n  r{k % 4}: {'true' if k % 3 == 0 else 'false'}\nignore: ['{r.n_name}']\n" + (f"source_dirs:\n- d{k}/sub\n" if k % 2 == 0 else ""))
+    rows = []
+    for region, texts in sorted(layers.items()):
+        c = config.merge([config.parse(x) for x in texts], {f"r{n}" for n in range(4)})
+        rows.append((region, ",".join(f"{k}={str(v).lower()}" for k, v in sorted(c.rules.items())), ",".join(c.ignore), ",".join(c.source_dirs)))
+    return t("nation").sparkSession.createDataFrame(rows, "n_regionkey int, rules string, ignored string, dirs string")
 
 
 @query(
-    """WITH b AS (SELECT l_orderkey, min(l_linenumber) AS first, max(l_linenumber) AS last FROM lineitem GROUP BY 1),
-x AS (SELECT l.l_orderkey, l.l_linenumber * 10 AS pre, l.l_linenumber * 10 + 1 AS post, l.l_partkey FROM lineitem l),
-o AS (SELECT l_orderkey, l_linenumber * 10 - 15 AS pre, l_linenumber * 10 + 25 AS post, l_suppkey AS name FROM lineitem WHERE l_quantity > 25)
-SELECT x.l_orderkey, x.pre, x.l_partkey, coalesce((SELECT max((o.pre, o.name))[2] FROM o WHERE o.l_orderkey = x.l_orderkey AND o.pre < x.pre AND o.post > x.post), -1) AS name FROM x"""
+    r"""SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN 'build_runner' WHEN c_nationkey % 3 = 1 THEN 'build_runner,freezed' ELSE '' END AS generators, c_nationkey % 2 = 0 AS is_flutter, c_nationkey % 5 <> 0 AS is_publishable FROM customer"""
 )
-def q_innermost(t):
-    k, rows = F.col("l_linenumber"), t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    inner = rows.select("l_orderkey", "l_partkey", (k * 10).alias("pre"), (k * 10 + 1).alias("post"))
-    outer = rows.where("l_quantity > 25").select("l_orderkey", (k * 10 - 15).alias("pre"), (k * 10 + 25).alias("post"), F.col("l_suppkey").alias("name"))
-    return lines.innermost(inner, outer, ["l_orderkey"], "pre", "post", "name").select("l_orderkey", "pre", "l_partkey", F.coalesce("name", F.lit(-1)).alias("name"))
+def q_stack_profile(t):
+    """Manifests of all kinds; a generator among the plain dependencies, or Flutter in the environment, doesn't count."""
+    k = F.col("c_nationkey")
+    tools = F.when(k % 3 == 0, "dev_dependencies:\n  build_runner: ^2.0.0\n").when(k % 3 == 1, "dev_dependencies: {freezed: any, 'build_runner': ^2.0.0, lints: any}\n").otherwise("environment:\n  flutter: '>=3.0.0'\n")
+    uses = F.when(k % 2 == 0, "dependencies:\n  flutter:\n    sdk: flutter\n  mockito: any\n").otherwise("dependencies:\n  source_gen: any # not for tests\n")
+    manifest = F.concat(F.lit("name: p"), F.col("c_custkey").cast("string"), F.lit("\n"), F.when(k % 5 == 0, "publish_to: 'none'\n").otherwise(""), uses, tools)
+    return project.profiles(t("customer").select("c_custkey", manifest.alias("manifest")), "c_custkey", "manifest").select("c_custkey", "generators", "is_flutter", "is_publishable")
 
 
 # clones
@@ -235,25 +234,23 @@ def q_unused_customers(t):
 SELECT c_nationkey * 1000000 FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))"""
 )
 def q_enclosing_liveness(t):
-    refs = t("orders").select(F.col("o_custkey").alias("element")).distinct()
-    owner = t("customer").join(refs, F.col("c_custkey") == F.col("element"), "left_semi").select((F.col("c_nationkey").cast("long") * 1000000).alias("element"))
-    return refs.union(owner).distinct()
+    members = t("customer").select(F.col("c_custkey").alias("element"), (F.col("c_nationkey").cast("long") * 1000000).alias("owner"))
+    return R.with_owners(t("orders").select(F.col("o_custkey").alias("element")), members, "element", "owner")
 
 
-@query("SELECT l_orderkey, l_linenumber, coalesce(r_name, 'none') AS category FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey AND r_name <> 'ASIA'")
+@query("SELECT l_orderkey, l_linenumber, CASE l_returnflag WHEN 'R' THEN 'take it back' WHEN 'A' THEN 'accept it' ELSE 'look at it' END AS hint FROM lineitem")
 def q_fix_hint(t):
-    hint = t("region").where("r_name <> 'ASIA'")
-    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
-    rows = rows.join(small_enough(t("supplier").select("s_suppkey", "s_nationkey")), F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    rows = rows.join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left").join(hint, F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return rows.select("l_orderkey", "l_linenumber", F.coalesce("r_name", F.lit("none")).alias("category"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", report.hint(F.col("l_returnflag"), {"R": "take it back", "A": "accept it"}, "look at it").alias("hint"))
 
 
 @query("SELECT p_type, count(*) AS n FROM part WHERE split_part(p_type, ' ', 1) IN ('STANDARD', 'ECONOMY', 'PROMO') AND p_type NOT LIKE '%STEEL' GROUP BY p_type")
 def q_category_toggle(t):
-    rules = t("part").select("p_type").distinct()
-    active = rules.where(F.element_at(F.split("p_type", " "), 1).isin("STANDARD", "ECONOMY", "PROMO") & ~F.col("p_type").endswith("STEEL"))
-    return t("part").join(active, "p_type", "left_semi").groupBy("p_type").agg(F.count("*").alias("n"))
+    """Part types as rules, their first words as categories; those of steel are switched off. There are 150 types at most."""
+    kinds = sorted(r.p_type for r in t("part").select("p_type").distinct().collect())
+    registry = [(x, x.split(" ")[0].lower(), "info") for x in kinds]
+    off = config.Config(rules={x: False for x in kinds if x.endswith("STEEL")})
+    chosen = [x for c in ("standard", "economy", "promo") for x in runner.active(off, c, registry)]
+    return t("part").where(F.col("p_type").isin(*chosen)).groupBy("p_type").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -263,8 +260,9 @@ GROUP BY d.l_orderkey, d.l_linenumber"""
 )
 def q_comment_adjacency(t):
     rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    above = rows.where("l_quantity > 40").select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_linenumber").alias("at"), "l_quantity")
-    return rows.select("l_orderkey", "l_linenumber").join(above, ["l_orderkey", "l_linenumber"]).groupBy("l_orderkey", "l_linenumber").agg(F.max_by("l_quantity", "at").alias("comment"))
+    above = rows.where("l_quantity > 40").select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_linenumber").alias("at"), F.col("l_quantity").alias("comment"))
+    key = ["l_orderkey", "l_linenumber"]
+    return lines.last_by(above, key, ["at"], ["comment"]).join(rows.select(*key), key, "left_semi")
 
 
 # complexity
@@ -370,29 +368,59 @@ def q_rule_catalogue(t):
     return report.catalogue(t("events"), "event_type", ["ts", "event_id"]).select("event_type", F.col("rule_index").cast("long"))
 
 
-@query("SELECT count(*) AS files, count(*) FILTER (lang = 'en') AS lib_files, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines, sum(n_chars)::BIGINT AS chars FROM documents")
+@query("SELECT count(*) AS files, count(*) FILTER (lang = 'en') AS lib_files, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines FROM documents")
 def q_scan_stats(t):
     count = F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n", -1)))
-    return t("documents").agg(F.count("*").alias("files"), F.count_if(F.col("lang") == "en").alias("lib_files"), F.sum(count).alias("lines"), F.sum("n_chars").alias("chars"))
+    return runner.scan_stats(t("documents"), F.col("lang") == "en", count)
+
+
+_SQL_FOUND = f"""f AS (SELECT event_type AS rule_id, {_SQL_SEVERITY} AS severity, 'u/' || user_id || '.dart' AS file_path, CAST(event_id % 5000 AS INT) AS line, CASE WHEN event_type <> 'view' THEN CAST(event_id % 80 AS INT) END AS col,
+  'a|b ' || props AS message, CASE WHEN event_id % 3 > 0 THEN 'k' || event_id % 3 END AS kind, CASE WHEN event_type <> 'click' THEN 'fix it' END AS remedy,
+  CASE WHEN event_type = 'purchase' THEN {{'number': '1.1.1', 'title': 'Text'}} END AS wcag, substr(sha256(event_type || chr(0) || user_id || chr(0) || event_id), 1, 16) AS fingerprint FROM events)"""
+
+
+def findings(t):
+    """Findings out of events."""
+    k, kind = F.col("event_id"), F.col("event_type")
+    wcag = F.when(kind == "purchase", F.struct(F.lit("1.1.1").alias("number"), F.lit("Text").alias("title")))
+    return t("events").select(
+        kind.alias("rule_id"), _severity().alias("severity"), F.concat(F.lit("u/"), F.col("user_id").cast("string"), F.lit(".dart")).alias("file_path"), (k % 5000).cast("int").alias("line"),
+        F.when(kind != "view", (k % 80).cast("int")).alias("column"), F.concat(F.lit("a|b "), F.col("props")).alias("message"), F.when(k % 3 > 0, F.concat(F.lit("k"), (k % 3).cast("string"))).alias("kind"),
+        F.when(kind != "click", "fix it").alias("remedy"), wcag.alias("wcag"), I.fingerprint(kind, F.col("user_id").cast("string"), k.cast("string")).alias("fingerprint"),
+    )
 
 
 @query(
-    r"""SELECT conv_id, count(*) AS n, string_agg('| ' || turn || ' | ' || replace(replace(text, '|', '\|'), chr(10), ' ') || ' |', chr(10) ORDER BY turn, text) AS text
-FROM conversations WHERE text IS NOT NULL GROUP BY conv_id"""
+    rf"""WITH {_SQL_FOUND} SELECT file_path, count(*) AS n, string_agg('| ' || line || ' | ' || severity || ' | ' || rule_id || ' | ' || replace(message, '|', '\|') || ' | ' || coalesce(remedy, '—') || ' |',
+  chr(10) ORDER BY line, fingerprint) AS text FROM f GROUP BY file_path"""
 )
 def q_markdown_tables(t):
-    rows = t("conversations").where("text is not null").select("conv_id", F.col("turn").alias("line"), "text")
-    cell = F.concat(F.lit("| "), F.col("line").cast("string"), F.lit(" | "), report.escape_cell(F.col("text")), F.lit(" |"))
-    return report.grouped_text(rows, "conv_id", ["line"], cell)
+    return reporters.markdown_blocks(findings(t))
 
 
 @query(
-    """SELECT o_custkey, count(*) AS n, string_agg(CASE WHEN length(CAST(o_orderkey AS VARCHAR)) < 8 THEN rpad(CAST(o_orderkey AS VARCHAR), 8, ' ') ELSE CAST(o_orderkey AS VARCHAR) END || o_orderpriority, chr(10) ORDER BY o_orderdate, o_orderkey) AS text
-FROM orders GROUP BY o_custkey"""
+    f"""WITH {_SQL_FOUND}, p AS (SELECT *, line || coalesce(':' || col, '') AS place FROM f)
+SELECT file_path, count(*) AS n, string_agg('  ' || CASE WHEN length(place) < 8 THEN rpad(place, 8, ' ') ELSE place END || ' ' || severity || '  ' || rule_id || '  ' || message
+  || CASE WHEN wcag IS NULL THEN '' ELSE ' (WCAG 1.1.1 Text)' END, chr(10) ORDER BY line, fingerprint) AS text FROM p GROUP BY file_path"""
 )
 def q_human_report(t):
-    text = F.concat(S.pad(F.col("o_orderkey").cast("string"), 8), F.col("o_orderpriority"))
-    return report.grouped_text(t("orders"), "o_custkey", ["o_orderdate", "o_orderkey"], text)
+    return reporters.human_blocks(findings(t))
+
+
+@query(f"WITH {_SQL_FOUND} SELECT string_agg('* ' || file_path || ':' || line || ' (' || rule_id || '): ' || message || chr(10) || '  Hint: Fix the finding without changing behaviour.', chr(10) || chr(10) ORDER BY file_path, line, fingerprint) AS text FROM f")
+def q_fix_prompt(t):
+    return reporters.prompt_text(findings(t))
+
+
+@query(
+    f"""WITH {_SQL_FOUND}, r AS (SELECT rule_id, row_number() OVER (ORDER BY min((file_path, line, fingerprint))) - 1 AS i FROM f GROUP BY rule_id)
+SELECT fingerprint, '{{"ruleId":"' || f.rule_id || '","ruleIndex":' || i || ',"level":"' || CASE severity WHEN 'info' THEN 'note' ELSE severity END || '","message":' || to_json({{'text': message}})
+  || ',"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || file_path || '"}},"region":{{"startLine":' || greatest(1, line) || coalesce(',"startColumn":' || col, '') || '}}}}}}],"partialFingerprints":{{"sluicework/v1":"' || fingerprint || '"}}'
+  || CASE WHEN kind IS NULL AND remedy IS NULL AND wcag IS NULL THEN '' ELSE ',"properties":{{' || concat_ws(',', '"kind":"' || kind || '"', '"remedy":"' || remedy || '"', CASE WHEN wcag IS NOT NULL THEN '"wcag":{{"number":"1.1.1","title":"Text"}}' END) || '}}' END || '}}' AS result
+FROM f JOIN r ON f.rule_id = r.rule_id"""
+)
+def q_sarif_results(t):
+    return reporters.sarif_results(findings(t))[1].select("fingerprint", "result")
 
 
 @query("SELECT facet, value, count(*) AS n FROM (SELECT unnest(['returnflag', 'linestatus', 'line']) AS facet, unnest([l_returnflag, l_linestatus, CAST(l_linenumber AS VARCHAR)]) AS value FROM lineitem) GROUP BY ALL")
@@ -406,27 +434,31 @@ def q_report_search(t):
     return report.search(t("part"), "StandARD", ["p_name", "p_brand", "p_type"]).select("p_partkey")
 
 
-@query("SELECT o_orderkey, o_orderdate, o_custkey FROM orders ORDER BY o_custkey, o_orderdate, o_orderkey")
+@query(f"WITH {_SQL_FOUND} SELECT file_path, line, fingerprint FROM f ORDER BY file_path, line, fingerprint")
 def q_total_order(t):
-    return t("orders").select("o_orderkey", "o_orderdate", "o_custkey").orderBy("o_custkey", "o_orderdate", "o_orderkey")
+    return reporters.ordered(findings(t)).select("file_path", "line", "fingerprint")
 
 
 @query(
-    """SELECT to_json({'ruleId': event_type, 'level': s, 'line': event_id}) AS finding FROM (SELECT event_type, event_id, """ + _SQL_SEVERITY + """ AS s FROM events)"""
+    f"""WITH {_SQL_FOUND} SELECT fingerprint, CASE WHEN wcag IS NULL THEN body ELSE left(body, length(body) - 1) || ',"wcagRef":{{"number":"1.1.1","title":"Text"}}}}' END AS finding FROM (SELECT fingerprint, wcag,
+  CAST(to_json({{'ruleId': rule_id, 'severity': severity, 'filePath': file_path, 'line': line, 'column': col, 'message': message, 'kind': kind, 'remedy': remedy, 'fingerprint': fingerprint}}) AS VARCHAR) AS body FROM f)"""
 )
 def q_json_findings(t):
-    rows = t("events").select(F.col("event_type").alias("ruleId"), _severity().alias("level"), F.col("event_id").alias("line"))
-    return rows.select(F.to_json(F.struct("ruleId", "level", "line"), {"ignoreNullFields": "false"}).alias("finding"))
+    return findings(t).select("fingerprint", report.json_finding().alias("finding"))
+
+
+@query(f"WITH {_SQL_FOUND} SELECT count(*) || ' findings (error: ' || count(*) FILTER (severity = 'error') || ', warning: ' || count(*) FILTER (severity = 'warning') || ', info: ' || count(*) FILTER (severity = 'info') || ')' AS text FROM f")
+def q_breakdown_text(t):
+    return report.summary_line(findings(t))
 
 
 @query(
-    """SELECT string_agg(c_mktsegment || ': ' || n || CASE WHEN n = 1 THEN ' finding' ELSE ' findings' END, ', ' ORDER BY c_mktsegment) AS breakdown
-FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment)"""
+    """SELECT p_partkey, CASE WHEN length(p_name) < 38 THEN rpad(p_name, 38, ' ') ELSE p_name END || CASE WHEN length(p_brand || ':' || p_size) < 30 THEN rpad(p_brand || ':' || p_size, 30, ' ') ELSE p_brand || ':' || p_size END
+  || lpad(CAST(p_size AS VARCHAR), 5, ' ') || CASE WHEN length(CAST(p_partkey AS VARCHAR)) < 5 THEN lpad(CAST(p_partkey AS VARCHAR), 5, ' ') ELSE CAST(p_partkey AS VARCHAR) END AS text FROM part"""
 )
-def q_breakdown_text(t):
-    n = t("customer").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
-    text = F.concat(F.col("c_mktsegment"), F.lit(": "), S.plural(F.col("n"), "finding"))
-    return n.agg(F.array_join(F.sort_array(F.collect_list(text)), ", ").alias("breakdown"))
+def q_health_table(t):
+    rows = t("part").select("p_partkey", F.col("p_name").alias("qualified_name"), F.col("p_brand").alias("file_path"), F.col("p_size").alias("line"), F.col("p_size").alias("cyclomatic"), F.col("p_partkey").alias("cognitive"))
+    return reporters.health_lines(rows).select("p_partkey", "text")
 
 
 # comments
@@ -464,11 +496,12 @@ def q_directive_parse(t):
 
 
 @query(
-    """SELECT p_partkey, CASE WHEN p_type LIKE 'ECONOMY%' THEN 'base type' WHEN p_brand IN ('Brand#2', 'Brand#17') THEN 'annotation' WHEN p_size > 40 AND p_type LIKE '%UM' THEN 'generated part' END AS reason FROM part"""
+    """SELECT p_partkey, CASE WHEN p_type LIKE 'ECONOMY%' THEN 'base type View' WHEN p_brand IN ('Brand#2', 'Brand#17') THEN 'annotation freezed' WHEN p_size > 40 AND p_type LIKE '%UM' THEN 'generated part' END AS reason FROM part"""
 )
 def q_codegen_case(t):
-    reason = F.when(F.col("p_type").startswith("ECONOMY"), "base type").when(F.col("p_brand").isin("Brand#2", "Brand#17"), "annotation").when((F.col("p_size") > 40) & F.col("p_type").endswith("UM"), "generated part")
-    return t("part").select("p_partkey", reason.alias("reason"))
+    supers = F.array(F.when(F.col("p_type").startswith("ECONOMY"), "View").when(F.col("p_type").endswith("UM"), F.concat(F.lit("_$"), F.col("p_name"))).otherwise(F.col("p_name")), F.lit("Object"))
+    notes = F.array(F.when(F.col("p_brand").isin("Brand#2", "Brand#17"), "freezed").otherwise("override"))
+    return t("part").select("p_partkey", R.codegen_reason(supers, notes, F.col("p_size") > 40).alias("reason"))
 
 
 @query(
@@ -476,31 +509,17 @@ def q_codegen_case(t):
  AND a.l_linestatus = 'O' AND a.l_linenumber < n.l_linenumber AND a.l_linenumber + 3 > n.l_linenumber)"""
 )
 def q_ancestor_label(t):
-    n = t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
-    a = n.where("l_linestatus = 'O'").select(F.col("l_orderkey").alias("ak"), F.col("l_linenumber").alias("al"))
-    cond = (F.col("ak") == F.col("l_orderkey")) & (F.col("al") < F.col("l_linenumber")) & (F.col("al") + 3 > F.col("l_linenumber"))
-    return n.where("l_returnflag = 'R'").join(a, cond, "left_anti").select("l_orderkey", "l_linenumber")
-
-
-@query(
-    r"""SELECT page_id, count(*) AS tags, count(*) FILTER (NOT regexp_matches(tag, '\srel=')) AS missing FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\s[^>]*>')) AS tag FROM pages) GROUP BY page_id"""
-)
-def q_missing_attribute(t):
-    tags = t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"<a\s[^>]*>"), 0)).alias("tag"))
-    return tags.groupBy("page_id").agg(F.count("*").alias("tags"), F.count_if(~F.col("tag").rlike(r"\srel=")).alias("missing"))
-
-
-@query("SELECT string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS detected, bool_or(event_type = 'signup') AS is_flutter, NOT bool_or(event_type = 'none') AS is_publishable FROM events WHERE event_type IN ('signup', 'click', 'other')")
-def q_stack_profile(t):
-    known = F.array(*[F.lit(x) for x in ("signup", "click", "other")])
-    all_ = t("events").agg(F.collect_set("event_type").alias("s"))
-    return all_.select(F.array_join(F.array_sort(F.array_intersect("s", known)), ",").alias("detected"), F.array_contains("s", "signup").alias("is_flutter"), (~F.array_contains("s", "none")).alias("is_publishable"))
+    k = F.col("l_linenumber")
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    inner = rows.where("l_returnflag = 'R'").select("l_orderkey", "l_linenumber", k.alias("pre"), k.alias("post"))
+    outer = rows.where("l_linestatus = 'O'").select("l_orderkey", k.alias("pre"), (k + 3).alias("post"))
+    return lines.outside(inner, outer, ["l_orderkey"], "pre", "post").select("l_orderkey", "l_linenumber")
 
 
 @query(
-    """SELECT p_partkey FROM part WHERE p_name <> '' AND NOT starts_with(p_name, '_') AND p_name <> 'main' AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 48 AND l_partkey IS NOT NULL)"""
+    """SELECT p_partkey FROM part WHERE p_name <> '' AND NOT starts_with(p_name, '_') AND p_name <> 'main' AND p_brand <> 'Brand#3' AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 48 AND l_partkey IS NOT NULL)"""
 )
 def q_candidate_eligibility(t):
     gone = t("lineitem").where("l_returnflag = 'A' and l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"))
-    name = F.col("p_name")
-    return diff.unused(t("part").where((name != "") & ~name.startswith("_") & (name != "main")).select("p_partkey"), gone, key="p_partkey")
+    notes = F.when(F.col("p_brand") == "Brand#3", F.array(F.lit("visibleForTesting")))
+    return diff.unused(t("part").where(R.eligible(F.col("p_name"), notes)).select("p_partkey"), gone, key="p_partkey")

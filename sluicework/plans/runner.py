@@ -27,9 +27,9 @@ class Outcome:
     version: str
 
 
-def active(config: Config, category: str | None = None) -> list[str]:
+def active(config: Config, category: str | None = None, registry=R.REGISTRY) -> list[str]:
     """Rules that run: those of the category that aren't switched off. Others are never planned."""
-    return [r for r, c, _ in R.REGISTRY if config.rules.get(r, True) and (config.a11y or c != "accessibility") and category in (None, c)]
+    return [r for r, c, _ in registry if config.rules.get(r, True) and (config.a11y or c != "accessibility") and category in (None, c)]
 
 
 def analyse(project: Project, config: Config | None = None, category: str | None = None) -> Outcome:

@@ -69,6 +69,18 @@ def profile_of(manifest: str) -> Profile:
     return Profile(name if isinstance(name, str) else "", tuple(g for g in GENERATORS if g in section("dev_dependencies")), "flutter" in section("dependencies"), top.get("publish_to") != "none")
 
 
+def profiles(manifests: DataFrame, key: str, manifest: str) -> DataFrame:
+    """(key, package, generators, is_flutter, is_publishable) of many manifests."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [profile_of(x or "") for x in frame[manifest]]
+            yield pd.DataFrame({key: frame[key], "package": [x.package for x in found], "generators": [",".join(x.generators) for x in found], "is_flutter": [x.is_flutter for x in found], "is_publishable": [x.is_publishable for x in found]})
+
+    kind = manifests.schema[key].dataType.simpleString()
+    return manifests.select(key, manifest).mapInPandas(run, f"{key} {kind}, package string, generators string, is_flutter boolean, is_publishable boolean")
+
+
 def _facts(package: str):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

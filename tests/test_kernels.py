@@ -104,8 +104,6 @@ def test_lines_and_layers(spark):
     rows = lines.lines(spark.createDataFrame([(1, "// a\nb\n\nc")], "k int, t string"), ["k"], "t")
     got = lines.with_previous(rows, ["k"], "line_no", C.is_comment(F.col("line"))).orderBy("line_no").collect()
     assert [(r.line_no, r.line, r.previous) for r in got] == [(1, "// a", False), (2, "b", True), (3, "", False), (4, "c", False)]
-    layers = spark.createDataFrame([(1, 0, "x", None), (1, 1, None, 5), (1, 2, "y", None)], "k int, layer int, a string, b int")
-    assert lines.latest_not_null(layers, ["k"], "layer", ["a", "b"]).first()[1:] == ("y", 5)
     cat = report.catalogue(spark.createDataFrame([("b", 1), ("a", 2), ("b", 3)], "rule string, n int"), "rule", ["n"]).collect()
     assert [(r.rule, r.rule_index) for r in cat] == [("b", 0), ("a", 1)]
 
