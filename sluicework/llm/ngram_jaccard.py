@@ -32,7 +32,8 @@ from . import kernels as K
 from .common import column, partitions, save, small_enough
 
 N = 3
-THRESHOLD = 0.6
+#: Similarity of near copies: in the given tables hardly any pair lies between 0.3 and 0.5, and those above are edited copies.
+THRESHOLD = 0.5
 FRAGMENTS = 4
 SKETCH_BITS = 20
 #: Texts of a block: two blocks of a group's texts, or of a frequent n-gram's, meet in one task.

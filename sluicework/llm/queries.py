@@ -12,7 +12,7 @@ from .bpe import encode_documents
 from .common import table
 from .line_dedup import line_dedup
 from .mixing import mix_sources
-from .ngram_jaccard import ngram_jaccard_join
+from .ngram_jaccard import THRESHOLD, ngram_jaccard_join
 from .secrets import scan_secrets
 from .toxicity import fit, score_toxicity
 
@@ -88,8 +88,8 @@ c AS (SELECT min(doc_id) AS rep, grams, len(grams) AS size, count(*) AS copies F
 g AS (SELECT rep, size, unnest(grams) AS gram FROM c),
 o AS (SELECT x.rep AS a, y.rep AS b, x.size AS size_a, y.size AS size_b, count(*) AS overlap
       FROM g x JOIN g y ON x.gram = y.gram AND x.rep < y.rep
-       AND least(x.size, y.size) >= 0.6 * greatest(x.size, y.size) - 1e-9 GROUP BY ALL),
-e AS (SELECT a, b FROM o WHERE overlap / (size_a + size_b - overlap) >= 0.6 UNION ALL SELECT b, a FROM o WHERE overlap / (size_a + size_b - overlap) >= 0.6),
+       AND least(x.size, y.size) >= {THRESHOLD} * greatest(x.size, y.size) - 1e-9 GROUP BY ALL),
+e AS (SELECT a, b FROM o WHERE overlap / (size_a + size_b - overlap) >= {THRESHOLD} UNION ALL SELECT b, a FROM o WHERE overlap / (size_a + size_b - overlap) >= {THRESHOLD}),
 r AS (SELECT rep AS a, rep AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
 root AS (SELECT a AS rep, min(b) AS root FROM r GROUP BY a),
 links AS (SELECT e.a AS rep, sum(c.copies) AS links FROM e JOIN c ON e.b = c.rep GROUP BY e.a)

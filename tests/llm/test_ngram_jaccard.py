@@ -15,7 +15,7 @@ def grams(text, n=3):
     return frozenset(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) or frozenset([tuple(words)])
 
 
-def brute(rows, t=0.6):
+def brute(rows, t=ngram_jaccard.THRESHOLD):
     """(class, links) of each id, from all pairs of documents."""
     one = {i: frozenset() for i, _ in rows if i is not None}
     for i, text in rows:
@@ -61,8 +61,10 @@ def edited(rng, n):
 
 def test_random_edits(spark):
     rows = edited(random.Random(3), 120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert as_dict(ngram_jaccard_join(docs, threshold=0.8)) == brute(rows, 0.8)
     want = brute(rows)
-    assert as_dict(ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == want
+    assert as_dict(ngram_jaccard_join(docs)) == want
     assert sum(n for _, n in want.values()) > 60 and len({c for c, _ in want.values()}) > 20
 
 
