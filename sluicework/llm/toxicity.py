@@ -156,17 +156,20 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 def viterbi(token: str, model: CharacterModel) -> str:
     """The most likely word, or words with blanks between them, that the channel turns into this token."""
     states = {"^^": (0.0, None, "")}  # score, cell before, character
+    known = model.known
     for options in lattice(token):
         after: dict[str, tuple] = {}
         for before, cell in states.items():
+            score, last = cell[0], before[1]
             for c, cost in options:
                 if c == "":
-                    s, key = cell[0] + cost, before
-                elif c == " ":
-                    s, key = cell[0] + cost + model(before, "\0"), "^^"
+                    s, key = score + cost, before
                 else:
-                    s, key = cell[0] + cost + model(before, c), before[1] + c
-                if key not in after or s > after[key][0]:
+                    end = "\0" if c == " " else c
+                    value = known.get(before + end)
+                    s, key = score + cost + (model(before, end) if value is None else value), "^^" if c == " " else last + c
+                best = after.get(key)
+                if best is None or s > best[0]:
                     after[key] = (s, cell, c)
         states = after
     cell = max(((cell[0] + model(b, "\0"), cell) for b, cell in states.items()), key=lambda x: x[0])[1]
@@ -236,10 +239,12 @@ class Model:
             own[w] = own.get(w, 0.0) + 0.5 * mass / len(lexicon)
         self.characters = CharacterModel(own)
         # what repeats can't change: a word's letters with each run as one
-        self.single = {f[0] + _RUN.sub(r"\1", f[1:]) for f in self.weight}
+        self.single = {_RUN.sub(r"\1", f[1:]) for f in self.weight if f[0] == "="}
+        self.begins = tuple({_RUN.sub(r"\1", f[1:]) for f in self.weight if f[0] == "<"})
         self.longest = max(map(len, lexicon), default=0)
         self.tables = [self._table({f[1:]: w for f, w in self.weight.items() if f[0] == kind}) for kind in "=<"]
         self.memory: dict[str, str] = {}
+        self.doubled: dict[int, bool] = {}  # by a word's hash, whether it gains by dropping doubled letters
 
     @staticmethod
     def _table(weight: dict[str, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,7 +287,7 @@ class Model:
     def _may_repeat(self, word: str) -> bool:
         """Whether a word with a weight may come out of this one by dropping repeated letters; any other needs no decoding."""
         one = _RUN.sub(r"\1", word)
-        return "=" + one in self.single or any("<" + one[:n] in self.single for n in range(1, BEGINNINGS[-1] + 1))
+        return one in self.single or one.startswith(self.begins)
 
     def plain(self, text: str) -> Iterator[tuple[str, str]]:
         """(what stands there, the word it may hide) for words with doubled letters and for words cut by single gaps."""
@@ -353,12 +358,16 @@ class Model:
                 twice[w:n] |= body[w:] == body[:-w]
         count = np.concatenate(([0], np.cumsum(twice[:n])))
         own = np.flatnonzero(count[words.end] > count[words.start])
-        _, first, back = np.unique(words.hash[own], return_index=True, return_inverse=True)
+        kinds, first, back = np.unique(words.hash[own], return_index=True, return_inverse=True)
         more = np.zeros(len(first), bool)
-        for k, i in enumerate(own[first]):
-            word = body[words.start[i] : words.end[i]].tobytes().decode("utf-8", "replace")
-            if self._may_repeat(word) and _DOUBLED.fullmatch(word):
-                more[k] = self._gain(word, self.restore(word))[0] > 0
+        if len(self.doubled) >= REMEMBERED:
+            self.doubled.clear()
+        for k, (h, i) in enumerate(zip(kinds.tolist(), own[first].tolist())):
+            gains = self.doubled.get(h)
+            if gains is None:
+                word = body[words.start[i] : words.end[i]].tobytes().decode("utf-8", "replace")
+                gains = self.doubled[h] = bool(self._may_repeat(word) and _DOUBLED.fullmatch(word)) and self._gain(word, self.restore(word))[0] > 0
+            more[k] = gains
         return words.row[own[more[back]]]
 
     def _joined_rows(self, body: np.ndarray, words: _LetterWords, place: np.ndarray) -> np.ndarray:
