@@ -18,7 +18,7 @@ from . import yaml
 
 DIRS = ("lib", "bin", "test", "tool")
 _NAMES = [c.split()[0] for c in FACT_COLUMNS.split(", ")]
-GENERATORS = ("build_runner", "freezed", "hive_generator", "injectable_generator", "json_serializable", "mobx_codegen", "retrofit_generator", "riverpod_generator", "source_gen")
+GENERATORS = frozenset("source_gen build_runner riverpod_generator retrofit_generator freezed mobx_codegen json_serializable injectable_generator hive_generator".split())
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,7 @@ def profile_of(manifest: str) -> Profile:
         return Profile()
     section = lambda name: top[name] if isinstance(top.get(name), dict) else {}
     name = top.get("name")
-    return Profile(name if isinstance(name, str) else "", tuple(g for g in GENERATORS if g in section("dev_dependencies")), "flutter" in section("dependencies"), top.get("publish_to") != "none")
+    return Profile(name if isinstance(name, str) else "", tuple(sorted(g for g in section("dev_dependencies") if g in GENERATORS)), "flutter" in section("dependencies"), top.get("publish_to") != "none")
 
 
 def profiles(manifests: DataFrame, key: str, manifest: str) -> DataFrame:
