@@ -5,10 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from . import kernels as K
+
 #: Rows of a (bigint, small payload) side that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -42,6 +45,19 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def _add_chunks(pdf):
+    total = sum(K.unpack(b, "i8")[0] for b in pdf["block"])
+    return pdf.iloc[:1][["chunk"]].assign(block=[K.pack(total)])
+
+
+def summed_sketch(rows: DataFrame, bits: int, chunks: int) -> np.ndarray:
+    """The sum of count sketches of 2^bits buckets, which the tasks give as chunks (chunk, block)."""
+    count = np.zeros((chunks, (1 << bits) // chunks), np.int64)
+    for r in rows.where("chunk is not null").select("chunk", "block").groupBy("chunk").applyInPandas(_add_chunks, "chunk int, block binary").collect():
+        count[r.chunk] = K.unpack(bytes(r.block), "i8")[0]
+    return count.ravel()
+
+
 def input_bytes(df: DataFrame) -> int:
     """Bytes of the files that df is read from, as far as they are known; it only sizes partitions."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

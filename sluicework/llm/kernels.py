@@ -155,6 +155,18 @@ def gram_sets(column: pa.Array, n: int, relabel=None) -> Iterator[tuple[int, np.
             yield i + int(k), own
 
 
+def cells(own: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, cell, side): one cell for each block that a row's own block meets.
+
+    A cell is the pair i <= j of blocks, as a number; side is 0 where they are the same block, else 1 in i and 2 in j.
+    """
+    row = np.repeat(np.arange(len(own)), blocks)
+    other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    mine = own[row]
+    low, high = np.minimum(mine, other), np.maximum(mine, other)
+    return row, high * (high + 1) // 2 + low, np.where(mine == other, 0, np.where(mine == low, 1, 2))
+
+
 _zip, _unzip = None, None
 
 

@@ -6,7 +6,8 @@ one. Equal variants are joined, the pairs are verified by edit distance, and the
 A line of L characters has L + 1 variants, so a lossless filter first finds the lines that can have a partner. Cut a
 line into three blocks: one edit leaves two of them as they are, and changes the parities of the third one's
 characters (hashed to 16 bits) in two places at most. Lines with no equal two-block key and nearby parity have no
-neighbour and emit no variants. Keys and variants travel as packed blocks.
+neighbour and emit no variants. Keys and variants travel as packed blocks. Keys are counted in a sketch of fixed size first:
+the lines of a frequent one are cut into blocks, every two of which meet in one task.
 """
 
 from __future__ import annotations
@@ -20,13 +21,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import column, input_bytes, partitions, save, small_enough
+from .common import column, input_bytes, partitions, save, small_enough, summed_sketch
 
 #: Lines of fewer characters (after trimming) have no near matches, one edit makes another word of them: only equal ones go.
 MIN_CHARS = 20
 #: Bytes of packed keys that a task is meant to hold; they are about as many as the bytes of text.
 TASK_BYTES = 48 << 20
+_KEY_BYTES = 14
 BLOCKS = 3
+#: Lines of a key that meet in one task: two blocks of this many at most.
+KEY_BLOCK = 100_000
+SKETCH_BITS = 20
+_CHUNKS = 64
 _FLUSH = 1_500_000
 _TRIM = " \t\r"
 _BITS = np.concatenate(([0], 1 << np.arange(16))).astype(np.uint16)
@@ -93,16 +99,23 @@ def _pieces(texts: list[str], most: int = K.SLICE) -> Iterator[str]:
         yield "\n".join(held)
 
 
-def _filter_keys(parts: int, min_chars: int):
+_HIGH = np.uint64(64 - SKETCH_BITS)
+
+
+def _filter_keys(min_chars: int):
+    """Blocks of (key, parity, line) of each task's different lines, and its part of the sketch of the keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, sketch = [], 0, np.zeros(1 << SKETCH_BITS, np.int64)
 
         def flush() -> pa.RecordBatch:
             k, p, h = (np.concatenate(c) for c in zip(*held))
             order = np.lexsort((h, k))
             k, p, h = k[order], p[order], h[order]
             new = _runs(k, h)
-            return _flush(k[new], parts, p[new], h[new])
+            k, p, h = k[new], p[new], h[new]
+            np.add(sketch, np.bincount((k >> _HIGH).astype(np.int64), minlength=len(sketch)), out=sketch)
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int32()), pa.array([K.pack(k, p, h)], pa.binary())], names=["chunk", "block"])
 
         for batch in batches:
             for text in _pieces(batch.column(0).to_pylist()):
@@ -116,6 +129,29 @@ def _filter_keys(parts: int, min_chars: int):
                     held, size = [], 0
         if size:
             yield flush()
+        if sketch.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array([K.pack(c) for c in sketch.reshape(_CHUNKS, -1)], pa.binary())], names=["chunk", "block"])
+
+    return run
+
+
+def _route(parts: int, blocks):
+    """The keys by part; a line with a frequent key goes to one cell for each block that its own block meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = blocks.value
+        for batch in batches:
+            for block in batch.column(0).to_pylist():
+                k, p, h = K.unpack(block, "u8", "u2", "u8")
+                split = many[(k >> _HIGH).astype(np.int64)]
+                hot = np.flatnonzero(split > 1)
+                if len(hot):
+                    row, cell, _ = K.cells((K.mix(h[hot]) % split[hot].astype(np.uint64)).astype(np.int64), split[hot])
+                    cold, more = split == 1, hot[row]
+                    with np.errstate(over="ignore"):
+                        k = np.concatenate((k[cold], K.mix(k[more] + cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+                    p, h = np.concatenate((p[cold], p[more])), np.concatenate((h[cold], h[more]))
+                yield _flush(k, parts, p, h)
 
     return run
 
@@ -241,8 +277,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = max(partitions(spark), -(-input_bytes(docs) * 4 // TASK_BYTES))
     src = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__id is not null and __text is not null")
 
-    keys = src.select("__text").mapInArrow(_filter_keys(parts, min_chars), "part int, block binary")
-    live = save(keys.repartitionById(parts, "part").mapInArrow(_survivors, "h long").distinct(), "lines-live")
+    found = save(src.select("__text").mapInArrow(_filter_keys(min_chars), "chunk int, block binary"), "lines-keys")
+    count = summed_sketch(found, SKETCH_BITS, _CHUNKS)
+    many = np.maximum(1, -(-count // KEY_BLOCK))
+    key_parts = max(partitions(spark), -(-int((count * many).sum()) * _KEY_BYTES // TASK_BYTES))
+    keys = found.where("chunk is null").select("block").mapInArrow(_route(key_parts, spark.sparkContext.broadcast(many)), "part int, block binary")
+    live = save(keys.repartitionById(key_parts, "part").mapInArrow(_survivors, "h long").distinct(), "lines-live")
 
     # a line is known by 128 bits: h finds its near matches, h and g together stand for it
     each = src.select("__id", F.posexplode(_lines(F.col("__text"))).alias("no", "raw"))

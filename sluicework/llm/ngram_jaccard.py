@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import column, partitions, save, small_enough
+from .common import column, partitions, save, small_enough, summed_sketch
 
 N = 3
 #: Similarity of near copies: in the given tables hardly any pair lies between 0.3 and 0.5, and those above are edited copies.
@@ -87,17 +87,9 @@ def _keys(n: int):
     return run
 
 
-def _sum_blocks(pdf):
-    total = sum(K.unpack(b, "i8")[0] for b in pdf["block"])
-    return pdf.iloc[:1][["chunk"]].assign(block=[K.pack(total)])
-
-
 def _order(first: DataFrame, fragments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rank of every sketch bucket (rare first), the fragments' upper bounds on the rank, and the counts by rank."""
-    count = np.zeros((_CHUNKS, (1 << SKETCH_BITS) // _CHUNKS), np.int64)
-    for r in first.where("chunk is not null").select("chunk", "block").groupBy("chunk").applyInPandas(_sum_blocks, "chunk int, block binary").collect():
-        count[r.chunk] = K.unpack(bytes(r.block), "i8")[0]
-    count = count.ravel()
+    count = summed_sketch(first, SKETCH_BITS, _CHUNKS)
     order = np.argsort(count, kind="stable")
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
@@ -125,18 +117,6 @@ def _by_part(part: np.ndarray, parts: int, *columns: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["part", "block"])
 
 
-def _cells(own: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, cell, side): one cell for each block that a row's own block meets.
-
-    A cell is the pair i <= j of blocks, as a number; side is 0 where they are the same block, else 1 in i and 2 in j.
-    """
-    row = np.repeat(np.arange(len(own)), blocks)
-    other = np.arange(len(row)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-    mine = own[row]
-    low, high = np.minimum(mine, other), np.maximum(mine, other)
-    return row, high * (high + 1) // 2 + low, np.where(mine == other, 0, np.where(mine == low, 1, 2))
-
-
 def _postings(n: int, t: float, parts: int, rank, many):
     """Pass 2: blocks of (hash, text, position, kind) of the prefix grams and marks, with a table of the texts in each.
 
@@ -164,7 +144,7 @@ def _postings(n: int, t: float, parts: int, rank, many):
             hot = np.flatnonzero(split > 1)
             if len(hot):
                 own = (K.mix(ids[doc[hot]].astype(np.uint64)) % split[hot].astype(np.uint64)).astype(np.int64)
-                row, cell, side = _cells(own, split[hot])
+                row, cell, side = K.cells(own, split[hot])
                 cold = np.flatnonzero(split == 1)
                 with np.errstate(over="ignore"):
                     h = np.concatenate((h[cold], K.mix(h[hot[row]] + cell.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))

@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from sluicework.llm import line_dedup as line_dedup_module
 from sluicework.llm.line_dedup import MIN_CHARS, Lines, line_dedup, without_repeats
 
 
@@ -95,6 +98,18 @@ def test_filter_keys_miss_no_neighbour():
         assert any(x == y and bin(p ^ q).count("1") <= 2 for x, p in keys[0] for y, q in keys[1])
 
 
+@pytest.mark.parametrize("block", [1, 3])
+def test_frequent_keys_are_split_without_loss(spark, monkeypatch, block):
+    """Many lines that differ in one block only, some of them by one character."""
+    monkeypatch.setattr(line_dedup_module, "KEY_BLOCK", block)
+    rng = random.Random(4)
+    lines = [f"the user with the number {rng.randrange(10**6):06d} has logged in again today" for _ in range(60)]
+    lines += [x.replace("6", "7", 1) for x in lines[:30]] + [x + "!" for x in lines[20:40]]
+    rng.shuffle(lines)
+    want = check(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string").repartition(4))
+    assert sum(n for _, (_, n) in want) > 20
+
+
 def test_clashing_columns(odd, spark):
     """Columns with the names that are added, or are used inside, are replaced or stay."""
     docs = odd.selectExpr("doc_id", "text", "'a' n_lines", "'b' h", "'c' first", "'d' no", "'e' __gone2", "size line")
