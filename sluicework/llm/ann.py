@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import kernels as K
 from .common import partitions, save
 
 PIVOTS = 512
@@ -180,7 +181,7 @@ def nearest_neighbours(
     shards = max(1, -(-head.rows // shard))
     slices = max(1, -(-head.queries // slice_rows), min(-(-head.queries // LEAST_SLICE), -(-partitions(spark) // shards)))
     placed = src.select("id", "v", F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.lit(1 << 62)).alias("place"))
-    blocks = placed.mapInArrow(_pack(shared, head.dim, m, shards, slices, every), _BLOCK).repartitionById(shards * slices, "cell")
-    found = blocks.sortWithinPartitions("cell", "kind").mapInArrow(_search(head.dim, m, len(points), k, rerank), "vec_id long, neighbour_id long, cosine double")
+    blocks = placed.mapInArrow(K.thrifty(_pack(shared, head.dim, m, shards, slices, every)), _BLOCK).repartitionById(shards * slices, "cell")
+    found = blocks.sortWithinPartitions("cell", "kind").mapInArrow(K.thrifty(_search(head.dim, m, len(points), k, rerank)), "vec_id long, neighbour_id long, cosine double")
     best = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "neighbour_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("vec_id", "rank", "neighbour_id", "cosine")

@@ -30,7 +30,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct pre-tokens that a task remembers; beyond it the memory starts anew. It bounds memory, not results.
 REMEMBERED = 200_000
 #: Bytes of text that are encoded at once; a longer text is whole.
-SLICE = 1 << 18
+SLICE = 1 << 19
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 _SPACES = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)

@@ -36,7 +36,7 @@ def through_arrow(docs: DataFrame, text_col: str, keep: list[str] | None, run, n
     names = [n for n in (docs.columns if keep is None else keep) if n.lower() not in gone]
     src = docs.select(column(docs, text_col).alias("__text"), *[column(docs, n).alias(f"c{k}") for k, n in enumerate(names)])
     kept = [StructField(f.name, f.dataType) for f in src.schema.fields[1:]]
-    out = src.mapInArrow(run, StructType([*kept, *added.fields]))
+    out = src.mapInArrow(K.thrifty(run), StructType([*kept, *added.fields]))
     return out.select(*[out[f"c{k}"].alias(n) for k, n in enumerate(names)], *[out[n] for n in added.names])
 
 

@@ -277,12 +277,12 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = max(partitions(spark), -(-input_bytes(docs) * 4 // TASK_BYTES))
     src = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).where("__id is not null and __text is not null")
 
-    found = save(src.select("__text").mapInArrow(_filter_keys(min_chars), "chunk int, block binary"), "lines-keys")
+    found = save(src.select("__text").mapInArrow(K.thrifty(_filter_keys(min_chars)), "chunk int, block binary"), "lines-keys")
     count = summed_sketch(found, SKETCH_BITS, _CHUNKS)
     many = np.maximum(1, -(-count // KEY_BLOCK))
     key_parts = max(partitions(spark), -(-int((count * many).sum()) * _KEY_BYTES // TASK_BYTES))
-    keys = found.where("chunk is null").select("block").mapInArrow(_route(key_parts, spark.sparkContext.broadcast(many)), "part int, block binary")
-    live = save(keys.repartitionById(key_parts, "part").mapInArrow(_survivors, "h long").distinct(), "lines-live")
+    keys = found.where("chunk is null").select("block").mapInArrow(K.thrifty(_route(key_parts, spark.sparkContext.broadcast(many))), "part int, block binary")
+    live = save(keys.repartitionById(key_parts, "part").mapInArrow(K.thrifty(_survivors), "h long").distinct(), "lines-live")
 
     # a line is known by 128 bits: h finds its near matches, h and g together stand for it
     each = src.select("__id", F.posexplode(_lines(F.col("__text"))).alias("no", "raw"))
@@ -312,8 +312,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _near(lines: DataFrame, parts: int) -> DataFrame:
     """(h, g, near): the earliest place of another line within one edit. lines: h, g, first, line."""
     lines = save(lines, "lines-candidates")
-    variants = lines.select("h", "line").mapInArrow(_variants(parts), "part int, block binary")
-    pairs = variants.repartitionById(parts, "part").mapInArrow(_equal_variants, "x long, y long").distinct()
+    variants = lines.select("h", "line").mapInArrow(K.thrifty(_variants(parts)), "part int, block binary")
+    pairs = variants.repartitionById(parts, "part").mapInArrow(K.thrifty(_equal_variants), "x long, y long").distinct()
     side = lambda n: lines.select(F.col("h").alias(n), *[F.col(c).alias(f"{c}_{n}") for c in ("g", "first", "line")])
     pairs = pairs.join(side("x"), "x").join(side("y"), "y").where(F.levenshtein("line_x", "line_y", 1) >= 0)
     ends = [F.struct(F.col(a).alias("h"), F.col(f"g_{a}").alias("g"), F.col(f"first_{b}").alias("near")) for a, b in ("xy", "yx")]

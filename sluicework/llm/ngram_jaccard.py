@@ -493,7 +493,7 @@ def ngram_jaccard_join(
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
 
-    first = save(src.mapInArrow(_keys(n), "id long, key binary, size int, chunk int, block binary"), "jaccard-keys")
+    first = save(src.mapInArrow(K.thrifty(_keys(n)), "id long, key binary, size int, chunk int, block binary"), "jaccard-keys")
     keys = first.where("chunk is null").groupBy("id").agg(F.min("key").alias("key"), F.max("key").alias("last"), F.min_by("size", "key").alias("size"))
     keys = save(keys.select("id", "key", "size", (F.col("key") != F.col("last")).alias("several")), "jaccard-sets")
     copies = save(keys.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"), "jaccard-copies")
@@ -509,13 +509,13 @@ def ngram_jaccard_join(
     many = spark.sparkContext.broadcast(np.maximum(1, -(-count // LIST_BLOCK)))
     marked = src.join(small_enough(marks), "id", "left").select("id", "text", "wanted", F.coalesce("copies", F.lit(1)).alias("copies"))
     marked = marked.where("wanted is null or wanted <> x''")
-    postings = marked.mapInArrow(_postings(n, threshold, parts, rank, many), "part int, docs binary, block binary")
-    found = postings.repartitionById(parts, "part").mapInArrow(_candidates(threshold, parts), _BLOCK)
-    pairs = save(found.repartitionById(parts, "part").mapInArrow(_merge_pairs, "a long, b long"), "jaccard-candidates")
+    postings = marked.mapInArrow(K.thrifty(_postings(n, threshold, parts, rank, many)), "part int, docs binary, block binary")
+    found = postings.repartitionById(parts, "part").mapInArrow(K.thrifty(_candidates(threshold, parts)), _BLOCK)
+    pairs = save(found.repartitionById(parts, "part").mapInArrow(K.thrifty(_merge_pairs), "a long, b long"), "jaccard-candidates")
 
-    segments = marked.join(small_enough(_groups(pairs)), "id").select("id", "text", "wanted", "copies", "owner", "cells").mapInArrow(_segments(n, rank, cuts), _SEGMENT)
-    partial = segments.repartition(parts, "grp", "cell", "fragment").sortWithinPartitions("grp", "cell", "fragment").mapInArrow(_count(threshold, parts), _BLOCK)
-    linked = save(partial.repartitionById(parts, "part").mapInArrow(_sum(threshold), "id long, root long, links long"), "jaccard-links")
+    segments = marked.join(small_enough(_groups(pairs)), "id").select("id", "text", "wanted", "copies", "owner", "cells").mapInArrow(K.thrifty(_segments(n, rank, cuts)), _SEGMENT)
+    partial = segments.repartition(parts, "grp", "cell", "fragment").sortWithinPartitions("grp", "cell", "fragment").mapInArrow(K.thrifty(_count(threshold, parts)), _BLOCK)
+    linked = save(partial.repartitionById(parts, "part").mapInArrow(K.thrifty(_sum(threshold)), "id long, root long, links long"), "jaccard-links")
 
     roots = components(linked.select(F.col("root").alias("a"), F.col("id").alias("b"))).withColumnRenamed("id", "rep")
     links = linked.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links")).join(roots, "rep", "left")

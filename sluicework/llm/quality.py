@@ -112,9 +112,9 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: s
     ids = ids.withColumn("__held", F.pmod(F.xxhash64("__trusted", F.lit(1)), F.lit(HOLD_OUT)) == 0)
     src = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     marked = src.join(small_enough(ids, most), F.col("__id") == F.col("__trusted"), "left")
-    sketches = marked.select("__text", F.coalesce(~F.col("__held"), F.lit(False))).mapInArrow(_count(orders, bits), "part int, block binary")
+    sketches = marked.select("__text", F.coalesce(~F.col("__held"), F.lit(False))).mapInArrow(K.thrifty(_count(orders, bits)), "part int, block binary")
     raw, target = np.zeros((_PARTS, (1 << bits) // _PARTS)), np.zeros((_PARTS, (1 << bits) // _PARTS))
-    for r in sketches.repartition(_PARTS, "part").mapInArrow(_add, "part int, block binary").collect():
+    for r in sketches.repartition(_PARTS, "part").mapInArrow(K.thrifty(_add), "part int, block binary").collect():
         raw[r.part], target[r.part] = K.unpack(bytes(r.block), "i8", "i8")
     ratios = ratios_of(raw.ravel(), target.ravel())
     held = src.join(small_enough(ids.where("__held").drop("__held"), most), F.col("__id") == F.col("__trusted")).select("__text")
