@@ -23,6 +23,8 @@ SOFT = ("bets", "betting", "win", "free", "cheap", "adult", "ads", "track", "spa
 #: Distinct soft terms at which a URL is rejected.
 SOFT_LIMIT = 2
 _PLAIN = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+#: Percent codes of ASCII letters and digits in lower-cased URLs, in the order in which they are replaced.
+CODES = tuple((f"%{ord(c):02x}", c.lower()) for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 
 
 @lru_cache(maxsize=4)
@@ -36,6 +38,14 @@ def automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Aut
     return a
 
 
+def decoded(url: str) -> str:
+    """A lower-cased URL without the percent codes of letters and digits, which may hide a term."""
+    if "%" in url:
+        for code, c in CODES:
+            url = url.replace(code, c)
+    return url
+
+
 def find_terms(url: str, a: ahocorasick.Automaton) -> tuple[set[str], set[str]]:
     """(strict, soft) terms that stand between boundaries in a lower-cased URL."""
     strict, soft = set(), set()
@@ -51,7 +61,7 @@ def _filter(strict: tuple[str, ...], soft: tuple[str, ...], limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton(strict, soft) if strict or soft else None
         for batch in batches:
-            found = [find_terms(u, a) if u and a else (set(), set()) for u in pc.ascii_lower(batch.column(0)).to_pylist()]
+            found = [find_terms(decoded(u), a) if u and a else (set(), set()) for u in pc.ascii_lower(batch.column(0)).to_pylist()]
             ns, nw = [len(x) for x, _ in found], [len(y) for _, y in found]
             new = [
                 pa.array(ns, pa.int32()),
@@ -67,7 +77,8 @@ def _filter(strict: tuple[str, ...], soft: tuple[str, ...], limit: int):
 def filter_urls(pages: DataFrame, url_col: str = "url", strict=STRICT, soft=SOFT, soft_limit: int = SOFT_LIMIT, keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of pages (all if None) with ``n_strict``, ``n_soft``, ``terms`` and ``rejected``.
 
-    The counts are of distinct terms; ``terms`` lists them in order, joined by commas. Case is ignored for ASCII.
+    The counts are of distinct terms; ``terms`` lists them in order, joined by commas. Case is ignored for ASCII, and
+    letters and digits written as percent codes are read as such.
     A null or empty URL has no term and isn't rejected; URLs of any length are read whole. Columns of pages with one of
     the four names are replaced; the others stay, as do repeated rows. An empty table stays empty. Empty terms and a
     limit below 1 are errors.
@@ -79,11 +90,14 @@ def filter_urls(pages: DataFrame, url_col: str = "url", strict=STRICT, soft=SOFT
 
 def oracle(strict=STRICT, soft=SOFT, soft_limit: int = SOFT_LIMIT) -> str:
     """The same over the table pages, in SQL: one regular expression for each term."""
+    url = "lower(p.url)"
+    for code, c in CODES:
+        url = f"replace({url}, '{code}', '{c}')"
     rows = ", ".join(f"('{t}', {str(t in strict).lower()})" for t in dict.fromkeys([*strict, *soft]))
     return f"""
 WITH term(term, hard) AS (VALUES {rows}),
 hit AS (SELECT p.page_id, p.url, t.term, t.hard FROM pages p LEFT JOIN term t
-        ON regexp_matches(lower(p.url), '(^|[^a-z0-9])' || t.term || '($|[^a-z0-9])'))
+        ON regexp_matches({url}, '(^|[^a-z0-9])' || t.term || '($|[^a-z0-9])'))
 SELECT page_id, CAST(count(DISTINCT term) FILTER (hard) AS INT) AS n_strict, CAST(count(DISTINCT term) FILTER (NOT hard) AS INT) AS n_soft,
        coalesce(string_agg(DISTINCT term, ',' ORDER BY term), '') AS terms,
        count(DISTINCT term) FILTER (hard) > 0 OR count(DISTINCT term) FILTER (NOT hard) >= {soft_limit} AS rejected
