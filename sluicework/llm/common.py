@@ -14,6 +14,8 @@ from . import kernels as K
 
 #: Rows of a (bigint, small payload) side that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of a saved side with lists or strings that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +97,10 @@ def save(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_enough(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """side with a broadcast hint where its counted rows allow it, else as it is (a shuffled join)."""
-    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
+def small_enough(side: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int | None = None) -> DataFrame:
+    """side with a broadcast hint where its counted rows allow it, else as it is (a shuffled join).
+
+    most_bytes: what the files of a saved side may have too, where its rows have no fixed width.
+    """
+    fits = (most_bytes is None or input_bytes(side) <= most_bytes) and side.limit(rows + 1).count() <= rows
+    return F.broadcast(side) if fits else side

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_ROWS, column, input_bytes, partitions, save, small_enough
+from .common import BROADCAST_BYTES, BROADCAST_ROWS, column, input_bytes, partitions, save, small_enough
 
 #: Target entropy as a part of the greatest that the sources allow.
 TARGET_ENTROPY = 0.9
@@ -189,6 +189,6 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     blocks = (own.agg(F.max(F.array_max("__at.block"))).first()[0] or 0) + 1
     parts = min(blocks, max(partitions(spark), -(-input_bytes(docs) * 4 // TASK_BYTES)))
     same = column(docs, id_col).eqNullSafe(F.col("__id")) & (_source(column(docs, source_col)) == F.col("__source")) & (_tokens(column(docs, text_col)) == F.col("__tokens"))
-    out = docs.join(small_enough(own), same).select(*[column(docs, n).alias(f"d{k}") for k, n in enumerate(docs.columns)], F.explode("__at").alias("__a"))
+    out = docs.join(small_enough(own, most_bytes=BROADCAST_BYTES), same).select(*[column(docs, n).alias(f"d{k}") for k, n in enumerate(docs.columns)], F.explode("__at").alias("__a"))
     out = out.repartitionById(parts, F.floor(F.col("__a.block") * parts / blocks).cast("int")).sortWithinPartitions("__a.block", "__a.place")
     return out.select(*[F.col(f"d{k}").alias(n) for k, n in enumerate(docs.columns)])

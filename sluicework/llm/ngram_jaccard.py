@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import column, partitions, save, small_enough, summed_sketch
+from .common import BROADCAST_BYTES, column, partitions, save, small_enough, summed_sketch
 
 N = 3
 #: Similarity of near copies: in the given tables hardly any pair lies between 0.3 and 0.5, and those above are edited copies.
@@ -513,7 +513,7 @@ def ngram_jaccard_join(
     found = postings.repartitionById(parts, "part").mapInArrow(K.thrifty(_candidates(threshold, parts)), _BLOCK)
     pairs = save(found.repartitionById(parts, "part").mapInArrow(K.thrifty(_merge_pairs), "a long, b long"), "jaccard-candidates")
 
-    segments = marked.join(small_enough(_groups(pairs)), "id").select("id", "text", "wanted", "copies", "owner", "cells").mapInArrow(K.thrifty(_segments(n, rank, cuts)), _SEGMENT)
+    segments = marked.join(small_enough(_groups(pairs), most_bytes=BROADCAST_BYTES), "id").select("id", "text", "wanted", "copies", "owner", "cells").mapInArrow(K.thrifty(_segments(n, rank, cuts)), _SEGMENT)
     partial = segments.repartition(parts, "grp", "cell", "fragment").sortWithinPartitions("grp", "cell", "fragment").mapInArrow(K.thrifty(_count(threshold, parts)), _BLOCK)
     linked = save(partial.repartitionById(parts, "part").mapInArrow(K.thrifty(_sum(threshold)), "id long, root long, links long"), "jaccard-links")
 
