@@ -39,6 +39,8 @@ SKETCH_BITS = 20
 #: Texts of a block: two blocks of a group's texts, or of a frequent n-gram's, meet in one task.
 GROUP_BLOCK = 1024
 LIST_BLOCK = 16_384
+#: Edges of 16 bytes that one task may connect.
+SMALL_EDGES = 1_000_000
 #: Bytes of postings that a task is meant to hold.
 TASK_BYTES = 48 << 20
 _SEGMENT = "grp long, cell int, fragment int, id long, size int, owner long, copies long, side int, grams binary"
@@ -544,10 +546,18 @@ def _groups(pairs: DataFrame) -> DataFrame:
     return save(cells.select("id", F.coalesce("least", "id").alias("owner"), "cells"), "jaccard-needed")
 
 
+def _one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if held:
+        ids, root = local_roots(*(np.concatenate(c) for c in zip(*held)))
+        below = root != ids
+        yield pa.RecordBatch.from_arrays([pa.array(ids[below]), pa.array(root[below])], names=["id", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root): the smallest id connected to each id of edges (a, b), by alternating large and small stars.
+    """(id, root): the smallest id connected to each other id of edges (a, b), by alternating large and small stars.
 
-    Each round's edges are written to the shared folder; the rounds grow with the logarithm of the longest path. The
+    Up to SMALL_EDGES counted edges are connected in one task instead, with the same result. Each round's edges are written to the shared folder; the rounds grow with the logarithm of the longest path. The
     least neighbours are aggregated before they meet the edges again, so a hub's edges are never in one task.
     """
 
@@ -555,6 +565,8 @@ def components(edges: DataFrame) -> DataFrame:
         return side.join(side.groupBy("a").agg(F.min("b").alias("m")), "a")
 
     now, before = save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "stars"), None
+    if now.limit(SMALL_EDGES + 1).count() <= SMALL_EDGES:
+        return now.repartition(1).mapInArrow(K.thrifty(_one_task), "id long, root long")
     while True:
         near = least(now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b"))))
         large = near.where("b > a").select(F.least("a", "m").alias("a"), "b").where("a <> b").distinct()

@@ -101,7 +101,9 @@ def test_one_of_each_group_stays(odd):
     assert ids == sorted(["1", "4", "5", "6", "None", "8", "9", "10"])
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 100])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(ngram_jaccard, "SMALL_EDGES", small)
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (2, 1), (9, 8), (20, 21), (22, 21), (23, 22)], "a long, b long")
     got = {r.id: r.root for r in components(edges).collect()}
     assert got == {2: 1, 3: 1, 4: 1, 5: 1, 9: 8, 21: 20, 22: 20, 23: 20}
