@@ -5,6 +5,8 @@ Their SQL knows what each source must give, from the same columns. A row is one
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,16 +20,12 @@ FOUND = ("file_path", "line", "kind", "fingerprint")
 
 
 def text(template: str, **parts: Column) -> Column:
-    """template with {name} replaced by columns; {k} is the row's key. Double braces are braces."""
-    parts["k"] = F.col(KEY).cast("string") if "k" not in parts else parts["k"]
-    out, rest = [], template
-    for piece in rest.replace("{{", "\0").replace("}}", "\1").split("{"):
-        name, close, after = piece.partition("}")
-        if not close:
-            name, after = "", piece
-        if name:
-            out.append(parts[name])
-        out.append(F.lit(after.replace("\0", "{").replace("\1", "}")))
+    """template with {name} replaced by columns; {k} is the row's key unless given. Double braces are braces."""
+    parts = {"k": F.col(KEY).cast("string")} | parts
+    out = []
+    for before, name, _, _ in Formatter().parse(template):
+        out += [F.lit(before)] if before else []
+        out += [parts[name]] if name else []
     return F.concat(*out)
 
 
