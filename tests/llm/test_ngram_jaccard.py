@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sluicework.llm import ngram_jaccard
@@ -87,6 +88,64 @@ def test_hot_groups_are_split_without_loss(spark, monkeypatch, block):
     assert max(n for _, n in want.values()) > 30
 
 
+def crowded():
+    """Two crowds of edited copies, copies of those, a text between the crowds, and texts with a shared line."""
+    rng = random.Random(5)
+    bases = [[f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]]
+    rows = edited(rng, 40)
+    for i in range(40, 160):
+        text = list(bases[i % 2])
+        for _ in range(rng.randint(0, 5)):
+            text[rng.randrange(60)] = f"x{rng.randrange(9)}"
+        rows.append((i, " ".join(text)))
+    rows += [(i + 200, t) for i, t in rows[-12:]] + [(400, " ".join(bases[0] + bases[1])), (401, " ".join(bases[0][:45]))]
+    rows += [(500 + i, " ".join([rng.choice("pqrstuvw") + str(rng.randrange(90)) for _ in range(50)] + ["all", "rights", "are", "reserved", "here"])) for i in range(30)]
+    return rows + rows[60:64] + [(61, "another text of this id")]
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_crowds_are_compared_whole(spark, monkeypatch, block):
+    for name, value in (("CROWD", 5), ("GROUP_BLOCK", block), ("LIST_BLOCK", block)):
+        monkeypatch.setattr(ngram_jaccard, name, value)
+    rows = crowded()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    one = {}
+    for i, text in rows:  # of several texts of an id the one with the smallest set key counts
+        one.setdefault(i, set()).add(text)
+    keys = {t: ngram_jaccard._set_key(own) for ts in one.values() if len(ts) > 1 for t in ts for _, own in ngram_jaccard.K.gram_sets(pa.array([t]), 3)}
+    want = brute([(i, min(ts, key=lambda t: keys.get(t, b""))) for i, ts in one.items()])
+    assert as_dict(ngram_jaccard_join(docs)) == want
+    assert max(n for _, n in want.values()) > 50
+
+
+def test_pairs_of_a_crowd_are_not_made():
+    """2,000 texts of one crowd with a common gram: no pair of them; one pair each with the text of no crowd."""
+    n = 2001
+    ids, crowd = np.arange(n), np.full(n, -7)
+    crowd[1234] = 0
+    same = np.zeros(n, np.uint32)
+    got = list(ngram_jaccard._pairs_of(same, ids, np.full(n, 90, np.uint32), np.arange(n, dtype=np.uint32), same.astype(np.uint8), same.astype(np.uint8), crowd, 0.5))
+    pairs = {(int(a), int(b)) for x in got for a, b in zip(x[0], x[1])}
+    assert pairs == {(min(i, 1234), max(i, 1234)) for i in range(n) if i != 1234}
+
+
+def test_place_roots():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 300, 220), rng.integers(0, 300, 220)
+    nodes, root = local_roots(a, b)
+    want = np.arange(300)
+    want[nodes] = root
+    assert list(ngram_jaccard.place_roots(300, a, b)) == list(want)
+
+
+def test_rare_first():
+    """The global order: by the level of the count, and levels rise with counts."""
+    count = np.arange(1, 100_000)
+    level = ngram_jaccard._level(count)
+    assert level[0] == 0 and (np.diff(level.astype(int)) >= 0).all() and level[2**16 - 1] == 16 * ngram_jaccard.STEPS
+    assert len(np.unique(level[:8])) == 8
+
+
 def test_odd_rows(odd, none):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     got = as_dict(ngram_jaccard_join(odd))
