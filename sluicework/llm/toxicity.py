@@ -6,8 +6,9 @@ character trigram model picks the restored word. Any other token has one path on
 The restored words are scored against weights of words and word beginnings, and a text's sum is compared with what its
 length makes likely (a log likelihood ratio of Poisson rates).
 
-The character model and the weights are fitted on the driver on a bounded sample of labelled texts; scoring is one scan
-without a shuffle, with array operations over all words of a slice at once.
+All counts that the character model and the weights are made of are taken over all labelled texts, by tasks; the driver
+gets the features that have a weight, character trigrams and a hash for each word of three texts or more. Scoring is one
+scan without a shuffle, with array operations over all words of a slice at once.
 """
 
 from __future__ import annotations
@@ -19,14 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import column, small_enough, table, through_arrow
+from .common import column, save, small_enough, table, through_arrow
 
-#: Labelled texts that the model is fitted on, those with the smallest id hashes.
-SAMPLE = 4000
 BEGINNINGS = (4, 5, 6, 7)
 MIN_TOXIC_TEXTS = 3
 MIN_WEIGHT = 2.0
@@ -34,6 +34,8 @@ MIN_ASSOCIATION = 16.0
 REMEMBERED = 200_000
 #: Longer tokens are decoded each time they occur.
 REMEMBERED_CHARS = 64
+#: Different words of which a task counts the features before it gives the counts on.
+COUNTED = 50_000
 
 _LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "*": "aeiouy", "#": "aeiouy"}
 _COST = {c: math.log(0.2 / len(v)) for c, v in _LOOKS.items()}
@@ -76,28 +78,61 @@ def letters(body: np.ndarray) -> np.ndarray:
     return out
 
 
+def trigrams(word: str) -> Iterator[str]:
+    s = "^^" + word + "\0"
+    return (s[i - 2 : i + 1] for i in range(2, len(s)))
+
+
+class _HashedWords:
+    """Counts of many words, by their hashes, twelve bytes a word, and a sieve that few unknown words pass."""
+
+    def __init__(self, hashes: np.ndarray, count: np.ndarray, sizes: list[int]):
+        order = np.argsort(hashes)
+        self.hashes, self.count, self.sizes = hashes[order], count[order], sizes
+        self.mask = (1 << max(16, (8 * len(hashes)).bit_length())) - 1
+        sieve = np.zeros(self.mask + 1, np.uint8)
+        sieve[(hashes & np.uint64(self.mask)).astype(np.int64)] = 1
+        self.sieve = sieve.tobytes()
+
+    def get(self, word: str) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if not self.sieve[h & self.mask]:
+            return 0
+        at = int(np.searchsorted(self.hashes, np.uint64(h)))
+        return int(self.count[at]) if at < len(self.hashes) and self.hashes[at] == h else 0
+
+
 class CharacterModel:
     """Interpolated character trigrams of words, with ^ before and $ after."""
 
-    def __init__(self, words: dict[str, float]):
-        self.three, self.two, self.one = Counter(), Counter(), Counter()
-        context3, context2 = Counter(), Counter()
-        for w, n in words.items():
-            s = "^^" + w + "\0"
-            for i in range(2, len(s)):
-                self.three[s[i - 2 : i + 1]] += n
-                context3[s[i - 2 : i]] += n
-                self.two[s[i - 1 : i + 1]] += n
-                context2[s[i - 1]] += n
-                self.one[s[i]] += n
+    def __init__(self, words: dict[str, float], three: Counter | None = None, rare: _HashedWords | None = None, mass: float | None = None):
+        """words: how often each occurs; or three: the trigrams of all words, with rare: those that aren't in words, and mass: of all."""
+        if three is None:
+            three = Counter()
+            for w, n in words.items():
+                for x in trigrams(w):
+                    three[x] += n
+        context3, self.two, context2, self.one = Counter(), Counter(), Counter(), Counter()
+        for x, n in three.items():
+            context3[x[:2]] += n
+            self.two[x[1:]] += n
+            context2[x[1]] += n
+            self.one[x[2]] += n
         total = sum(self.one.values()) or 1.0
-        self.three = {k: v / context3[k[:2]] for k, v in self.three.items()}
+        self.three = {k: v / context3[k[:2]] for k, v in three.items()}
         self.two = {k: v / context2[k[0]] for k, v in self.two.items()}
         self.one = {k: v / total for k, v in self.one.items()}
         self.known: dict[str, float] = {}
-        mass = sum(words.values()) or 1.0
+        mass = mass or sum(words.values()) or 1.0
         self.word = {w: math.log(n / mass) for w, n in words.items()}
-        self.sizes = sorted({len(w) for w in words})
+        self.rare, self.mass = rare, math.log(mass)
+        self.sizes = sorted({len(w) for w in words} | set(rare.sizes if rare else ()))
+
+    def log_word(self, word: str) -> float | None:
+        p = self.word.get(word)
+        if p is None and self.rare is not None and (n := self.rare.get(word)):
+            p = math.log(n) - self.mass
+        return p
 
     def __call__(self, before: str, c: str) -> float:
         value = self.known.get(before + c)
@@ -117,7 +152,7 @@ class CharacterModel:
             for n in self.sizes:
                 if n > i:
                     break
-                p = self.word.get(run[i - n : i])
+                p = self.log_word(run[i - n : i])
                 if p is not None and closed[i - n][0] + p > best[0]:
                     best = (closed[i - n][0] + p, i - n)
             closed.append(best)
@@ -197,50 +232,173 @@ def _association(a: int, n: int, b: int, m: int) -> float:
     return 2 * (term(a, n) + term(b, m))
 
 
-class Model:
-    """Weights of words and beginnings, rates of their hits, and the character model."""
+def features(word: str) -> list[str]:
+    return ["=" + word, *("<" + word[:n] for n in BEGINNINGS if len(word) > n)]
 
-    def __init__(self, rows: list[tuple[str, int]]):
-        """rows: (text, toxic) of the labelled sample."""
-        texts = [Counter(_WORD.findall((x or "").lower())) for x, _ in rows]
-        toxic = [t for _, t in rows]
-        sizes = [toxic.count(0), toxic.count(1)]
-        tokens, kinds = [Counter(), Counter()], Counter()
-        spread, rate = [Counter(), Counter()], [Counter(), Counter()]
-        parts: dict[str, list[str]] = {}
-        for ws, t in zip(texts, toxic):
-            tokens[t].update(ws)
-            kinds.update(ws.keys())
-            own: set[str] = set()
-            for w in ws:
-                if w not in parts:
-                    parts[w] = self.features(w)
-                own.update(parts[w])
-            spread[t].update(own)
-        words = [1.0 + tokens[0].total(), 1.0 + tokens[1].total()]
+
+def _counted(texts: Iterator[tuple[str | None, int]], most: float) -> Iterator[dict[str, list[int]]]:
+    """(tokens, texts) of each feature in other and in toxic texts, [n0, n1, d0, d1], given on after ``most`` different words; '' counts all words and texts."""
+    parts: dict[str, list[str]] = {}
+    out: dict[str, list[int]] = {"": [0, 0, 0, 0]}
+    tokens, spread = (Counter(), Counter()), (Counter(), Counter())
+
+    def flush() -> dict[str, list[int]]:
         for t in (0, 1):
+            for f, d in spread[t].items():
+                out.setdefault(f, [0, 0, 0, 0])[2 + t] += d
             for w, n in tokens[t].items():
                 for f in parts[w]:
-                    if spread[1][f] >= MIN_TOXIC_TEXTS:
-                        rate[t][f] += n
-        self.weight = {}
-        for f in rate[1]:
-            w = math.log((rate[1][f] + 0.5) / words[1] / ((rate[0][f] + 0.5) / words[0]))
-            if w >= MIN_WEIGHT and _association(spread[1][f], sizes[1], spread[0][f], sizes[0]) >= MIN_ASSOCIATION:
-                self.weight[f] = w
-        hit = {w for w in parts if self.of(w) > 0}
-        rates = [sum(tokens[t][w] for w in hit) / words[t] for t in (0, 1)]
-        self.cost = rates[1] - rates[0]
-        self.prior = math.log((sizes[1] + 1) / (sizes[0] + 1))
-        lexicon = {f[1:] for f in self.weight if f[0] == "="}
-        own = {w: float(n) for w, n in kinds.items() if n >= MIN_TOXIC_TEXTS}
+                    out[f][t] += n
+        return out
+
+    for text, t in texts:
+        ws = Counter(_WORD.findall((text or "").lower()))
+        own: set[str] = set()
+        for w in ws:
+            f = parts.get(w)
+            if f is None:
+                f = parts[w] = features(w)
+            own.update(f)
+        tokens[t].update(ws)
+        spread[t].update(own)
+        out[""][t] += ws.total()
+        out[""][2 + t] += 1
+        if len(parts) > most:
+            yield flush()
+            parts, out = {}, {"": [0, 0, 0, 0]}
+            tokens, spread = (Counter(), Counter()), (Counter(), Counter())
+    yield flush()
+
+
+def _weight(n0: int, n1: int, d0: int, d1: int, words: list[float], sizes: list[int]) -> float:
+    """The weight of a feature, 0 if it has none."""
+    if d1 < MIN_TOXIC_TEXTS:
+        return 0.0
+    w = math.log((n1 + 0.5) / words[1] / ((n0 + 0.5) / words[0]))
+    return w if w >= MIN_WEIGHT and _association(d1, sizes[1], d0, sizes[0]) >= MIN_ASSOCIATION else 0.0
+
+
+class _Counts:
+    """What a model is made of, from texts at hand."""
+
+    def __init__(self, rows: list[tuple[str, int]]):
+        (self.of,) = _counted(iter(rows), math.inf)
+        n0, n1, d0, d1 = self.of.pop("")
+        self.words, self.sizes = [1.0 + n0, 1.0 + n1], [d0, d1]
+
+    def weights(self) -> dict[str, float]:
+        return {f: w for f, c in self.of.items() if (w := _weight(*c, self.words, self.sizes))}
+
+    def hits(self, weight: dict[str, float]) -> list[int]:
+        """Tokens, in other and in toxic texts, of the words with a weight."""
+        hit = [c for f, c in self.of.items() if f[0] == "=" and any(x in weight for x in features(f[1:]))]
+        return [sum(c[t] for c in hit) for t in (0, 1)]
+
+    def characters(self, lexicon: set[str]) -> CharacterModel:
+        own = {f[1:]: float(c[2] + c[3]) for f, c in self.of.items() if f[0] == "=" and c[2] + c[3] >= MIN_TOXIC_TEXTS}
         mass = sum(own.values()) or 1.0
         for w in lexicon:  # what is hidden is likely one of these words
             own[w] = own.get(w, 0.0) + 0.5 * mass / len(lexicon)
-        self.characters = CharacterModel(own)
+        return CharacterModel(own)
+
+
+def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = ((x, t) for batch in batches for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+    for found in _counted(rows, COUNTED):
+        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), *(pa.array([c[k] for c in found.values()], pa.int64()) for k in range(4))], names=["f", "n0", "n1", "d0", "d1"])
+
+
+def _hit_batches(weight):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total = weight.value, [0, 0]
+        for batch in batches:
+            for f, n0, n1 in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if any(x in known for x in features(f[1:])):
+                    total[0] += n0
+                    total[1] += n1
+        yield pa.RecordBatch.from_arrays([pa.array([total[0]]), pa.array([total[1]])], names=["n0", "n1"])
+
+    return run
+
+
+def _trigram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    three: Counter[str] = Counter()
+    for batch in batches:
+        for f, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for x in trigrams(f[1:]):
+                three[x] += n
+    yield pa.RecordBatch.from_arrays([pa.array(three.keys(), pa.string()), pa.array(three.values(), pa.int64())], names=["x", "n"])
+
+
+def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [f[1:] for f in batch.column(0).to_pylist()]
+        h = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+        count = np.minimum(batch.column(1).to_numpy(), 2**32 - 1).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array([K.pack(h, count)], pa.binary()), pa.array([sorted({len(w) for w in words})], pa.list_(pa.int32()))], names=["block", "sizes"])
+
+
+class _TaskCounts:
+    """The same as `_Counts`, counted by tasks over rows (text, toxic) of any number."""
+
+    def __init__(self, rows: DataFrame):
+        found = rows.mapInArrow(K.thrifty(_feature_batches), "f string, n0 long, n1 long, d0 long, d1 long")
+        self.of = save(found.groupBy("f").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "d0", "d1"))), "toxicity-features")
+        n0, n1, d0, d1 = next(iter(self.of.where("f = ''").select("n0", "n1", "d0", "d1").collect()), (0, 0, 0, 0))
+        self.words, self.sizes = [1.0 + n0, 1.0 + n1], [d0, d1]
+        self.spark = rows.sparkSession
+
+    def weights(self) -> dict[str, float]:
+        # the same tests as _weight, a little wider, so that few rows come to the driver
+        ratio = F.log((F.col("n1") + 0.5) / F.lit(self.words[1])) - F.log((F.col("n0") + 0.5) / F.lit(self.words[0]))
+        sizes = [F.lit(float(max(1, x))) for x in self.sizes]
+        both = (F.col("d0") + F.col("d1")) / (sizes[0] + sizes[1])
+        term = lambda k, size, q: F.when((k > 0) & (q > 0), k * F.log(k / (size * q))).otherwise(0.0)
+        statistic = 2 * sum(term(F.col(d), x, both) + term(x - F.col(d), x, 1 - both) for d, x in zip(("d0", "d1"), sizes))
+        kept = self.of.where("f <> ''").where((F.col("d1") >= MIN_TOXIC_TEXTS) & (ratio >= MIN_WEIGHT - 1e-6) & (statistic >= MIN_ASSOCIATION - 1e-3))
+        return {r.f: w for r in kept.collect() if (w := _weight(r.n0, r.n1, r.d0, r.d1, self.words, self.sizes))}
+
+    def hits(self, weight: dict[str, float]) -> list[int]:
+        known = self.spark.sparkContext.broadcast(frozenset(weight))
+        found = self.of.where("f like '=%'").select("f", "n0", "n1").mapInArrow(_hit_batches(known), "n0 long, n1 long").agg(F.sum("n0"), F.sum("n1")).first()
+        return [x or 0 for x in found]
+
+    def characters(self, lexicon: set[str]) -> CharacterModel:
+        own = self.of.where(f"f like '=%' and d0 + d1 >= {MIN_TOXIC_TEXTS}").select("f", (F.col("d0") + F.col("d1")).alias("n"))
+        three: Counter[str] = Counter()
+        for r in own.mapInArrow(_trigram_batches, "x string, n long").groupBy("x").agg(F.sum("n").alias("n")).toLocalIterator():
+            three[r.x] = float(r.n)
+        found = own.mapInArrow(K.thrifty(_hash_batches), "block binary, sizes array<int>").toLocalIterator()
+        blocks = [(K.unpack(bytes(r.block), "u8", "u4"), r.sizes) for r in found]
+        hashes, count = (np.concatenate([np.zeros(0, kind), *(b[k] for b, _ in blocks)]) for k, kind in ((0, np.uint64), (1, np.uint32)))
+        rare = _HashedWords(hashes, count, sorted({n for _, x in blocks for n in x}))
+        mass = float(count.sum(dtype=np.int64)) or 1.0
+        words = {}
+        for w in lexicon:
+            words[w] = rare.get(w) + 0.5 * mass / len(lexicon)
+            for x in trigrams(w):
+                three[x] += 0.5 * mass / len(lexicon)
+        return CharacterModel(words, three, rare, mass + sum(words.values()) - sum(map(rare.get, lexicon)))
+
+
+class Model:
+    """Weights of words and beginnings, rates of their hits, and the character model."""
+
+    features = staticmethod(features)
+
+    def __init__(self, rows: list[tuple[str, int]] | _TaskCounts):
+        """rows: (text, toxic) of labelled texts, or what was counted of them."""
+        counts = _Counts(rows) if isinstance(rows, list) else rows
+        self.weight = counts.weights()
+        rates = [hit / words for hit, words in zip(counts.hits(self.weight), counts.words)]
+        self.cost = rates[1] - rates[0]
+        self.prior = math.log((counts.sizes[1] + 1) / (counts.sizes[0] + 1))
+        lexicon = {f[1:] for f in self.weight if f[0] == "="}
+        self.characters = counts.characters(lexicon)
         # what repeats can't change: a word's letters with each run as one
         self.single = {_RUN.sub(r"\1", f[1:]) for f in self.weight if f[0] == "="}
-        self.begins = tuple({_RUN.sub(r"\1", f[1:]) for f in self.weight if f[0] == "<"})
+        self.begins = {_RUN.sub(r"\1", f[1:]) for f in self.weight if f[0] == "<"}
+        self.begin_sizes = sorted(set(map(len, self.begins)))
         self.longest = max(map(len, lexicon), default=0)
         self.tables = [self._table({f[1:]: w for f, w in self.weight.items() if f[0] == kind}) for kind in "=<"]
         self.memory: dict[str, str] = {}
@@ -258,10 +416,6 @@ class Model:
         sieve[(h >> np.uint64(48)).astype(np.int64)] = True
         return h[order], np.array(list(weight.values()))[order], sieve
 
-    @staticmethod
-    def features(word: str) -> list[str]:
-        return ["=" + word, *("<" + word[:n] for n in BEGINNINGS if len(word) > n)]
-
     def of(self, word: str) -> float:
         return max(self.weight.get(f, 0.0) for f in self.features(word))
 
@@ -287,7 +441,7 @@ class Model:
     def _may_repeat(self, word: str) -> bool:
         """Whether a word with a weight may come out of this one by dropping repeated letters; any other needs no decoding."""
         one = _RUN.sub(r"\1", word)
-        return one in self.single or one.startswith(self.begins)
+        return one in self.single or any(one[:n] in self.begins for n in self.begin_sizes)
 
     def plain(self, text: str) -> Iterator[tuple[str, str]]:
         """(what stands there, the word it may hide) for words with doubled letters and for words cut by single gaps."""
@@ -480,23 +634,27 @@ def _scorer(shared):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """A model of at most ``sample`` labelled texts, the ones whose ids have the smallest hashes.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """A model of all labelled texts.
 
     Labels with a null id or a null flag are left out; where an id has several labels or texts the greatest one counts.
     Without any labelled text no word has a weight.
     """
-    chosen = labels.where(f"{id_col} is not null and toxic is not null").groupBy(F.col(id_col).cast("long").alias("__id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text")).join(small_enough(chosen, sample), "__id")
-    rows = rows.groupBy("__id", "toxic").agg(F.max("text").alias("text")).orderBy("__id")
-    return Model([(r.text, int(r.toxic > 0)) for r in rows.collect()])
+    chosen = labels.where(f"{id_col} is not null and toxic is not null").groupBy(F.col(id_col).cast("long").alias("__id")).agg((F.max("toxic").cast("int") > 0).cast("int").alias("toxic"))
+    chosen = save(chosen, "toxicity-labels")
+    src = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
+    several = save(src.where("__id is not null").groupBy("__id").count().where("count > 1").select("__id"), "toxicity-several")
+    rows = src.join(small_enough(chosen), "__id")
+    one = rows.join(small_enough(several), "__id", "left_anti").select("text", "toxic")
+    if not several.isEmpty():  # only these texts are shuffled
+        one = one.union(rows.join(small_enough(several), "__id", "left_semi").groupBy("__id", "toxic").agg(F.max("text").alias("text")).select("text", "toxic"))
+    return Model(_TaskCounts(one))
 
 
 def score_toxicity(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of docs (all if None) with ``score``, ``hits``, ``hidden`` and ``toxic``.
 
-    ``score`` is the log likelihood ratio with the prior of the sample; a text is toxic above 0. ``hits`` counts words
+    ``score`` is the log likelihood ratio with the prior of the labels; a text is toxic above 0. ``hits`` counts words
     with a weight, ``hidden`` those of them that had to be restored.
 
     A null, empty or wordless text has the prior as its score and isn't toxic. Texts of any length are read whole, and

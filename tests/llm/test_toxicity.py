@@ -127,6 +127,30 @@ def test_weights_by_hand():
     assert abs(got.prior - math.log(11 / 31)) < 1e-12 and abs(got.cost - 30 / 41) < 1e-12
 
 
+def test_fit_takes_every_labelled_text(spark, monkeypatch):
+    """More texts than any sample once took: the counts by tasks are those of all texts, with several labels and texts of an id."""
+    monkeypatch.setattr(T, "COUNTED", 30)
+    rng = random.Random(6)
+    words = [a + b for a in ("ca", "ri", "sto", "mo", "ble") for b in ("lm", "ver", "nes", "rning", "tt", "éa")]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(12)) + (" idiotic scum" if i % 9 == 0 and i >= 4500 else "")) for i in range(5000)]
+    flags = [(i, int(i % 9 == 0)) for i in range(5000)]
+    docs = spark.createDataFrame([*rows, (9, "a first text"), (None, "scum"), (7000, "no label")], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([*flags, (10, 1), (11, None), (None, 1)], "doc_id long, toxic int")
+    text, flag = dict(rows), dict(flags) | {10: 1}
+    text[9] = max(text[9], "a first text")
+    want = T.Model([(text[i], flag[i]) for i in text])
+    got = T.fit(docs, labels)
+    assert want.weight.keys() == got.weight.keys() >= {"=idiotic", "=scum", "<idio"}
+    assert all(abs(got.weight[f] - w) < 1e-12 for f, w in want.weight.items())
+    assert abs(got.cost - want.cost) < 1e-12 and abs(got.prior - want.prior) < 1e-12
+    a, b = got.characters, want.characters
+    assert a.sizes == b.sizes and a.three.keys() == b.three.keys() and a.one.keys() == b.one.keys()
+    assert all(abs(a.three[k] - v) < 1e-9 for k, v in b.three.items()) and all(abs(a.two[k] - v) < 1e-9 for k, v in b.two.items())
+    assert all(abs(a.log_word(w) - p) < 1e-9 for w, p in b.word.items()) and a.log_word("unknown") is None
+    for token in ("1d10tic", "s c u m", "r i v e r s t o n e s"):
+        assert got.restore(token) == want.restore(token)
+
+
 def test_character_model_by_hand():
     c = T.CharacterModel({"ab": 3.0, "ac": 1.0})
     assert abs(c("^^", "a") - math.log(0.7 * 1 + 0.2 * 1 + 0.1 * 4 / 12 + 1e-6)) < 1e-12
