@@ -43,9 +43,11 @@ STEPS = 8
 #: Texts of a block: two blocks of a group's texts, or of a frequent n-gram's, meet in one task.
 GROUP_BLOCK = 1024
 LIST_BLOCK = 16_384
-#: Least hashes of a set by which crowds are found, sets that share one of a crowd's, and n-grams of a block of a crowd.
-LEAST = 8
+#: Least hashes of a set by which crowds are found, sets that share one of a crowd's, the part of the sets with either of
+#: two hashes that must have both for these to be of one crowd (one in so many), and n-grams of a block of a crowd.
+LEAST = 16
 CROWD = 64
+MATES = 4
 CROWD_GRAMS = 1 << 20
 #: Edges of 16 bytes that one task may connect.
 SMALL_EDGES = 1_000_000
@@ -565,8 +567,9 @@ def _crowd_links(t: float):
 def _crowds(sets: DataFrame) -> DataFrame | None:
     """(id, size, crowd) of the sets in crowds, None if there are none. What is a crowd changes the work, not the result.
 
-    Two hashes that are least in many sets belong to one crowd if they mostly occur together; a set is in a crowd if more
+    Two hashes that are least in many sets belong to one crowd if they often occur together; a set is in a crowd if more
     than half of its least hashes are the crowd's. So texts that only share a line or a frequent n-gram are in none.
+    Copies that were cut to different lengths have different least hashes, which a chain of such pairs connects.
     """
     low = sets.where("key is not null and (rep is null or rep = id)").select("id", "size", F.size("low").alias("all"), F.explode("low").alias("mark"))
     hot = save(low.groupBy("mark").agg(F.count("*").alias("many")).where(F.col("many") >= CROWD), "jaccard-hot")
@@ -576,7 +579,7 @@ def _crowds(sets: DataFrame) -> DataFrame | None:
     held = save(held.where(F.size("own") * 2 > F.col("all")), "jaccard-held")
     one = held.select("own", F.posexplode("own").alias("at", "x"))
     two = one.select("x", F.explode(F.expr("slice(own, at + 2, size(own))")).alias("y")).groupBy("x", "y").agg(F.count("*").alias("both"))
-    mates = save(two.where("both * 2 >= greatest(x.many, y.many)").select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b")), "jaccard-mates")
+    mates = save(two.where(f"both * {MATES} >= greatest(x.many, y.many)").select(F.col("x.mark").alias("a"), F.col("y.mark").alias("b")), "jaccard-mates")
     roots = save(components(mates), "jaccard-crowd-roots")
     roots = roots.select(F.col("id").alias("mark"), "root").union(roots.select(F.col("root").alias("mark"), "root")).distinct()
     mine = held.select("id", "size", "all", F.explode("own.mark").alias("mark")).join(small_enough(save(roots, "jaccard-crowd-marks")), "mark")

@@ -118,6 +118,22 @@ def test_crowds_are_compared_whole(spark, monkeypatch, block):
     assert max(n for _, n in want.values()) > 50
 
 
+def test_cut_copies_are_one_crowd(spark, monkeypatch):
+    """Edited copies of one text, cut to between a third and all of it: nearly all of them are one crowd."""
+    rng, found, crowds = random.Random(12), [], ngram_jaccard._crowds
+    base = [rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range(300)]
+    rows = []
+    for i in range(260):
+        size = rng.randint(100, 300)
+        at = rng.randrange(301 - size)
+        rows.append((i, " ".join("e" + str(rng.randrange(10**6)) if rng.random() < 0.02 else w for w in base[at : at + size])))
+    monkeypatch.setattr(ngram_jaccard, "CROWD", 16)
+    monkeypatch.setattr(ngram_jaccard, "_crowds", lambda sets: found.append(crowds(sets)) or found[0])
+    assert as_dict(ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute(rows)
+    sizes = sorted(r["count"] for r in found[0].groupBy("crowd").count().collect())
+    assert sizes[-1] > 0.8 * len(rows), sizes
+
+
 def test_pairs_of_a_crowd_are_not_made():
     """2,000 texts of one crowd with a common gram: no pair of them; one pair each with the text of no crowd."""
     n = 2001
