@@ -400,6 +400,7 @@ class Model:
         self.begins = {_RUN.sub(r"\1", f[1:]) for f in self.weight if f[0] == "<"}
         self.begin_sizes = sorted(set(map(len, self.begins)))
         self.longest = max(map(len, lexicon), default=0)
+        self.opens = {w[:n] for w in lexicon for n in range(1, len(w) + 1)}
         self.tables = [self._table({f[1:]: w for f, w in self.weight.items() if f[0] == kind}) for kind in "=<"]
         self.memory: dict[str, str] = {}
         self.doubled: dict[int, bool] = {}  # by a word's hash, whether it gains by dropping doubled letters
@@ -417,7 +418,12 @@ class Model:
         return h[order], np.array(list(weight.values()))[order], sieve
 
     def of(self, word: str) -> float:
-        return max(self.weight.get(f, 0.0) for f in self.features(word))
+        most = self.weight.get("=" + word, 0.0)
+        for n in BEGINNINGS:
+            if len(word) <= n:
+                break
+            most = max(most, self.weight.get("<" + word[:n], 0.0))
+        return most
 
     def restore(self, token: str) -> str:
         """The words that a token may hide, with blanks between them."""
@@ -453,7 +459,7 @@ class Model:
                 own, found = "", 0
                 for j in range(i, len(words)):
                     own += text[slice(*words[j])]
-                    if len(own) > self.longest:
+                    if own not in self.opens:  # no word goes on like this
                         break
                     if j > i and "=" + own in self.weight:
                         found, hidden = j, own

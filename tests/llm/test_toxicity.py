@@ -83,6 +83,20 @@ def test_hidden_words(model, token):
     assert [(round(a, 6), b, c) for a, b, c in zip(score, hits, hidden)] == [(round(a, 6), b, c) for a, b, c in map(model.score_one, texts)]
 
 
+def test_words_that_open_none_are_not_joined(model, monkeypatch):
+    """Neighbouring words are joined only as far as a word with a weight begins like them."""
+    asked = []
+
+    class Asked(dict):
+        def __contains__(self, f):
+            asked.append(f)
+            return super().__contains__(f)
+
+    monkeypatch.setattr(model, "weight", Asked(model.weight))
+    assert list(model.plain("a b c d e f g h " * 20)) == [] and asked == []
+    assert list(model.plain("we say mo ron here")) == [("mo ron", "moron")] and asked == ["=moron"]
+
+
 def test_short_spelled_word():
     small = T.Model([("you are an ass " + "plain words here " * 5, 1)] * 40 + [("you are fine as plain words here " * 5, 0)] * 200)
     body, at = K.texts(pa.array(["you are an a s s", "you are an a$$", "you are an as"]))
