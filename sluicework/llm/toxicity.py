@@ -2,7 +2,8 @@
 
 A writer's noisy channel turns letters into look-alikes (leetspeak), spells words out with gaps and repeats letters. A
 token that may have come through it becomes a lattice of the characters it can stand for; Viterbi decoding under a
-character trigram model picks the restored word. Any other token has one path only, itself, so it needs no decoding.
+character trigram model picks the restored word. Any other token has one path only, itself, so it needs no decoding; nor
+does a token none of whose paths has a word with a weight.
 The restored words are scored against weights of words and word beginnings, and a text's sum is compared with what its
 length makes likely (a log likelihood ratio of Poisson rates).
 
@@ -20,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,8 +36,8 @@ MIN_ASSOCIATION = 16.0
 REMEMBERED = 200_000
 #: Longer tokens are decoded each time they occur.
 REMEMBERED_CHARS = 64
-#: Different words of which a task counts the features before it gives the counts on.
-COUNTED = 50_000
+#: Bytes of texts of which a task counts the features at once.
+COUNTED = 4 << 20
 
 _LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "*": "aeiouy", "#": "aeiouy"}
 _COST = {c: math.log(0.2 / len(v)) for c, v in _LOOKS.items()}
@@ -56,6 +58,8 @@ _GAPPED = re.compile(f"(?<![{_L}0-9])[{_L}0-9@$!]([ .\\-_*])[{_L}0-9@$!](?:\\1[{
 _DOUBLED = re.compile(f"(?<![{_L}])[{_L}]*?([{_L}])\\1[{_L}]*+")
 _RUN = re.compile(r"(.)\1+", re.S)
 _PIECES = re.compile(f"[{_L}]+(?:[ .\\-_*][{_L}]+)+")
+# what words may begin or end at within a restored token
+_APART = re.compile(r"[\s.\-_*]")
 
 _LETTER_BYTE = np.zeros(256, bool)
 _LETTER_BYTE[[*b"abcdefghijklmnopqrstuvwxyz", *range(0x80, 0xC0), *range(0xC3, 0xF0)]] = True
@@ -63,6 +67,9 @@ _LOOK_BYTE = np.zeros(256, bool)
 _LOOK_BYTE[[*b"0123456789@$!|+*#"]] = True
 _GAP_BYTE = np.zeros(256, bool)
 _GAP_BYTE[[*b" .-_*"]] = True
+_DIGIT_BYTE, _SINGLE_BYTE = np.zeros(256, bool), np.zeros(256, bool)
+_DIGIT_BYTE[[*b"0123456789"]] = True
+_SINGLE_BYTE[[*b"0123456789@$!"]] = True
 
 
 def letters(body: np.ndarray) -> np.ndarray:
@@ -166,9 +173,9 @@ class CharacterModel:
         return math.log(0.7 * self.three.get(before + c, 0.0) + 0.2 * self.two.get(before[-1] + c, 0.0) + 0.1 * self.one.get(c, 0.0) + 1e-6)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
     """What each character of a token may stand for, with its channel cost; '' is a character that was put in, ' ' a word's end."""
-    out, last = [], ""
+    last = ""
     inner = [i for i, c in enumerate(token) if c.isalpha()]
     first, final = (inner[0], inner[-1]) if inner else (0, len(token) - 1)
     for i, c in enumerate(token):
@@ -183,9 +190,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             options.append(("", _REPEAT))
         elif options and not first <= i <= final:  # a mark or number beside the word
             options.append(("", _BESIDE))
-        out.append(options or [(c, 0.0)])
+        yield options or [(c, 0.0)]
         last = c
-    return out
 
 
 def viterbi(token: str, model: CharacterModel) -> str:
@@ -236,38 +242,48 @@ def features(word: str) -> list[str]:
     return ["=" + word, *("<" + word[:n] for n in BEGINNINGS if len(word) > n)]
 
 
-def _counted(texts: Iterator[tuple[str | None, int]], most: float) -> Iterator[dict[str, list[int]]]:
-    """(tokens, texts) of each feature in other and in toxic texts, [n0, n1, d0, d1], given on after ``most`` different words; '' counts all words and texts."""
-    parts: dict[str, list[str]] = {}
-    out: dict[str, list[int]] = {"": [0, 0, 0, 0]}
-    tokens, spread = (Counter(), Counter()), (Counter(), Counter())
-
-    def flush() -> dict[str, list[int]]:
-        for t in (0, 1):
-            for f, d in spread[t].items():
-                out.setdefault(f, [0, 0, 0, 0])[2 + t] += d
-            for w, n in tokens[t].items():
-                for f in parts[w]:
-                    out[f][t] += n
-        return out
-
-    for text, t in texts:
-        ws = Counter(_WORD.findall((text or "").lower()))
-        own: set[str] = set()
-        for w in ws:
-            f = parts.get(w)
-            if f is None:
-                f = parts[w] = features(w)
-            own.update(f)
-        tokens[t].update(ws)
-        spread[t].update(own)
-        out[""][t] += ws.total()
-        out[""][2 + t] += 1
-        if len(parts) > most:
-            yield flush()
-            parts, out = {}, {"": [0, 0, 0, 0]}
-            tokens, spread = (Counter(), Counter()), (Counter(), Counter())
-    yield flush()
+def _counted(column: pa.Array, flags: list[int]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """Different features with their (tokens, texts) in other and in toxic texts, [n0, n1, d0, d1], by slices of the texts; '' counts all words and texts."""
+    toxic = np.array(flags, np.int64)
+    for i, j in K.slices(K.texts(column, lower=False)[1], COUNTED):
+        lower = [(x or "").lower() for x in column.slice(i, j - i).to_pylist()]
+        yield from _slice_counts(*K.texts(pa.array(lower, pa.large_string()), lower=False), toxic[i:j])
+
+
+def _slice_counts(body: np.ndarray, at: np.ndarray, toxic: np.ndarray) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    letter = letters(body)
+    start, end = _runs(at, letter)
+    row = np.searchsorted(at, start, "right") - 1
+    yield pa.array([""]), [*np.bincount(toxic[row], minlength=2)[:, None], *np.bincount(toxic, minlength=2)[:, None]]
+    if not len(start):
+        return
+    offsets = np.concatenate(([0], np.cumsum(end - start)))
+    words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(body[letter])).dictionary_encode()
+    kinds, code = words.dictionary, words.indices.to_numpy().astype(np.int64)
+    tokens = [np.bincount(code[toxic[row] == t], minlength=len(kinds)) for t in (0, 1)]
+    row, code, spread = _by_text(row, code, len(kinds), toxic)
+    yield _marked("=", kinds), [*tokens, *spread]
+    size = pc.utf8_length(kinds).to_numpy()
+    for n in BEGINNINGS:
+        longer = np.flatnonzero(size > n)
+        begins = pc.utf8_slice_codeunits(kinds.take(pa.array(longer)), 0, n).dictionary_encode()
+        found, own = begins.dictionary, np.full(len(kinds), -1)
+        own[longer] = begins.indices.to_numpy()
+        many = [np.bincount(own[longer], weights=x[longer], minlength=len(found)).astype(np.int64) for x in tokens]
+        has = np.flatnonzero(own[code] >= 0)
+        spread = _by_text(row[has], own[code[has]], len(found), toxic)[2]
+        yield _marked("<", found), [*many, *spread]
+
+
+def _marked(kind: str, found: pa.Array) -> pa.Array:
+    return pc.binary_join_element_wise(pa.scalar(kind, found.type), found, pa.scalar("", found.type))
+
+
+def _by_text(row: np.ndarray, code: np.ndarray, kinds: int, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The different pairs (row, code), and in how many other and toxic texts each code is."""
+    pair = np.sort(row * kinds + code)
+    row, code = np.divmod(pair[np.append(True, pair[1:] != pair[:-1])[: len(pair)]], max(1, kinds))
+    return row, code, [np.bincount(code[toxic[row] == t], minlength=kinds) for t in (0, 1)]
 
 
 def _weight(n0: int, n1: int, d0: int, d1: int, words: list[float], sizes: list[int]) -> float:
@@ -282,7 +298,10 @@ class _Counts:
     """What a model is made of, from texts at hand."""
 
     def __init__(self, rows: list[tuple[str, int]]):
-        (self.of,) = _counted(iter(rows), math.inf)
+        self.of: dict[str, list[int]] = {"": [0, 0, 0, 0]}
+        for found, counts in _counted(pa.array([x for x, _ in rows], pa.large_string()), [t for _, t in rows]):
+            for f, *c in zip(found.to_pylist(), *(x.tolist() for x in counts)):
+                self.of[f] = [x + y for x, y in zip(self.of.get(f, (0, 0, 0, 0)), c)]
         n0, n1, d0, d1 = self.of.pop("")
         self.words, self.sizes = [1.0 + n0, 1.0 + n1], [d0, d1]
 
@@ -303,9 +322,9 @@ class _Counts:
 
 
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = ((x, t) for batch in batches for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-    for found in _counted(rows, COUNTED):
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), *(pa.array([c[k] for c in found.values()], pa.int64()) for k in range(4))], names=["f", "n0", "n1", "d0", "d1"])
+    for batch in batches:
+        for found, counts in _counted(batch.column(0), batch.column(1).to_pylist()):
+            yield pa.RecordBatch.from_arrays([found.cast(pa.string()), *map(pa.array, counts)], names=["f", "n0", "n1", "d0", "d1"])
 
 
 def _hit_batches(weight):
@@ -401,8 +420,11 @@ class Model:
         self.begin_sizes = sorted(set(map(len, self.begins)))
         self.longest = max(map(len, lexicon), default=0)
         self.opens = {w[:n] for w in lexicon for n in range(1, len(w) + 1)}
+        self.lexicon, self.starts = lexicon, {f[1:] for f in self.weight if f[0] == "<"}
+        self.ahead = self.opens | {w[:n] for w in self.starts for n in range(1, len(w) + 1)}
         self.tables = [self._table({f[1:]: w for f, w in self.weight.items() if f[0] == kind}) for kind in "=<"]
         self.memory: dict[str, str] = {}
+        self.gains: dict[str, tuple[float, int]] = {}  # of suspects
         self.doubled: dict[int, bool] = {}  # by a word's hash, whether it gains by dropping doubled letters
 
     @staticmethod
@@ -444,6 +466,32 @@ class Model:
         more = sum(new) - sum(old)
         return (more, max(1, len(new) - len(old))) if more > 0 else (0.0, 0)
 
+    def _may_hide(self, token: str) -> bool:
+        """Whether some path through a token's lattice has a word with a weight; any other token needs no decoding."""
+        apart = _APART.search(token) is not None  # its words may begin and end anywhere
+        now = {""}
+        for options in lattice(token):
+            after = {""} if apart else set()
+            for c, _ in options:
+                after.update(now if c == "" else (x for w in now if (x := w + c) in self.ahead))
+            if not self.starts.isdisjoint(after) or (apart and not self.lexicon.isdisjoint(after)):
+                return True
+            if not after:
+                return False
+            now = after
+        return not self.lexicon.isdisjoint(now)
+
+    def _suspect_gain(self, token: str) -> tuple[float, int]:
+        """(weight, hits) that a suspect adds, restored."""
+        gain = self.gains.get(token)
+        if gain is None:
+            gain = self._gain(token, self.restore(token)) if self._may_hide(token) else (0.0, 0)
+            if len(token) <= REMEMBERED_CHARS:
+                if len(self.gains) >= REMEMBERED:
+                    self.gains.clear()
+                self.gains[token] = gain
+        return gain
+
     def _may_repeat(self, word: str) -> bool:
         """Whether a word with a weight may come out of this one by dropping repeated letters; any other needs no decoding."""
         one = _RUN.sub(r"\1", word)
@@ -484,7 +532,7 @@ class Model:
         """
         gain, hits, end = 0.0, 0, 0
         for a, b in [*suspects(text), (len(text), len(text))]:
-            more = [self._gain(text[a:b], self.restore(text[a:b]))] if a < b else []
+            more = [self._suspect_gain(text[a:b])] if a < b else []
             more += [self._gain(x, y) for x, y in self.plain(text[end:a])] if plain else []
             gain += sum(g for g, _ in more)
             hits += sum(h for _, h in more)
@@ -509,15 +557,9 @@ class Model:
             out[maybe] = np.where(keys[at] == own, value[at], 0.0)
         return out
 
-    def _doubled_rows(self, body: np.ndarray, words: _LetterWords) -> np.ndarray:
-        """Texts with a word that, freed of doubled letters, has more weight; each different word is decoded once."""
-        n = len(body)
-        twice = np.zeros(n + 1, bool)
-        for w in (1, 2, 3):  # by a letter's last byte
-            if n > w:
-                twice[w:n] |= body[w:] == body[:-w]
-        count = np.concatenate(([0], np.cumsum(twice[:n])))
-        own = np.flatnonzero(count[words.end] > count[words.start])
+    def _doubled_words(self, body: np.ndarray, words: _LetterWords, letter: np.ndarray) -> np.ndarray:
+        """Words that, freed of doubled letters, have more weight; each different one is decoded once."""
+        own = np.unique(_repeated(body, letter, words.start, words.end, 2))
         kinds, first, back = np.unique(words.hash[own], return_index=True, return_inverse=True)
         more = np.zeros(len(first), bool)
         if len(self.doubled) >= REMEMBERED:
@@ -528,14 +570,14 @@ class Model:
                 word = body[words.start[i] : words.end[i]].tobytes().decode("utf-8", "replace")
                 gains = self.doubled[h] = bool(self._may_repeat(word) and _DOUBLED.fullmatch(word)) and self._gain(word, self.restore(word))[0] > 0
             more[k] = gains
-        return words.row[own[more[back]]]
+        return own[more[back]]
 
-    def _joined_rows(self, body: np.ndarray, words: _LetterWords, place: np.ndarray) -> np.ndarray:
-        """Texts with neighbouring words, a single gap between each two, that together are a word with a weight."""
+    def _joined_words(self, body: np.ndarray, words: _LetterWords, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first, last) of neighbouring words, a single gap between each two, that together are a word with a weight; of one first the longest come first."""
         keys = self.tables[0][0]
         n = len(words.start)
         if n < 2 or not len(keys):
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         near = (words.start[1:] - words.end[:-1] == 1) & (words.row[1:] == words.row[:-1]) & _GAP_BYTE[body[np.minimum(words.end[:-1], len(body) - 1)]]
         near = np.append(near, False)
         size = place[words.end - 1] - place[words.start] + 1
@@ -543,7 +585,7 @@ class Model:
         up = K.powers(int(length.sum()) + self.longest * 4 + 2)[0]
         head = last = np.flatnonzero(near)
         value, wide, chars = raw[head], length[head], size[head]
-        rows = [np.zeros(0, np.int64)]
+        found = [(head[:0], head[:0])]
         while len(head):
             last = last + 1
             with np.errstate(over="ignore"):
@@ -552,10 +594,13 @@ class Model:
                 fits = chars <= self.longest
                 head, last, value, wide, chars = (x[fits] for x in (head, last, value, wide, chars))
                 h = K.mix(value + wide.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            rows.append(words.row[head[self._values(0, h) > 0]])
+            hit = self._values(0, h) > 0
+            found.append((head[hit], last[hit]))
             on = near[last]
             head, last, value, wide, chars = (x[on] for x in (head, last, value, wide, chars))
-        return np.concatenate(rows)
+        head, last = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((-last, head))
+        return head[order], last[order]
 
     def score(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(score, hits, hidden hits) of the lower-cased texts body[at[i]:at[i + 1]]."""
@@ -574,53 +619,112 @@ class Model:
         got = np.bincount(words.row, weights=value, minlength=rows)
         hits = np.bincount(words.row, weights=value > 0, minlength=rows).astype(np.int64)
         hidden = np.zeros(rows, np.int64)
-        plain = np.zeros(rows, bool)
-        plain[self._doubled_rows(body, words)] = True
-        plain[self._joined_rows(body, words, place)] = True
-        for r in np.union1d(_suspect_rows(body, at, letter, place), np.flatnonzero(plain)):
-            text = body[at[r] : at[r + 1]].tobytes().decode("utf-8", "replace")
-            gain, hidden[r] = self.hidden(text, plain[r])
+        doubled, (head, last) = self._doubled_words(body, words, letter), self._joined_words(body, words, place)
+        for r, (gain, more) in self._restored(body, words, doubled, head, last, *_suspect_spans(body, at, letter, lead, place)):
             got[r] += gain
+            hidden[r] += more
         return got - self.cost * words.count + self.prior, hits + hidden, hidden
 
+    def _restored(self, body: np.ndarray, words: _LetterWords, doubled: np.ndarray, head: np.ndarray, last: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> Iterator[tuple[int, tuple[float, int]]]:
+        """(row, (weight, hits)) of what `hidden` finds: suspects, then words outside of them that are cut, or have doubled letters."""
+        raw = body.tobytes()
+        text = lambda a, b: raw[a:b].decode("utf-8", "replace")
+        for r, a, b in zip(row.tolist(), start.tolist(), end.tolist()):
+            gain = self._suspect_gain(text(a, b))
+            if gain[1]:
+                yield r, gain
+
+        def outside(first: np.ndarray, final: np.ndarray) -> np.ndarray:
+            return np.append(start, len(raw))[np.searchsorted(end, words.start[first], "right")] >= words.end[final]
+
+        taken, until = np.zeros(len(words.start), bool), -1
+        own = outside(head, last)
+        for i, j in zip(head[own].tolist(), last[own].tolist()):
+            x = text(words.start[i], words.end[j])
+            y = "".join(_WORD.findall(x))
+            if i > until and "=" + y in self.weight:
+                taken[i : j + 1], until = True, j
+                yield int(words.row[i]), self._gain(x, y)
+        for i in doubled[outside(doubled, doubled) & ~taken[doubled]].tolist():
+            x = text(words.start[i], words.end[i])
+            yield int(words.row[i]), self._gain(x, self.restore(x))
+
+
+def _runs(at: np.ndarray, here: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the longest runs of marked bytes within texts."""
+    inside = np.zeros(len(here) + 2, bool)
+    inside[1:-1] = here
+    cut = np.zeros(len(here) + 1, bool)
+    cut[at] = True
+    before, here = inside[:-1], inside[1:]
+    return np.flatnonzero(here & (~before | cut)), np.flatnonzero(before & (~here | cut))
+
+
+def _repeated(body: np.ndarray, letter: np.ndarray, start: np.ndarray, end: np.ndarray, times: int) -> np.ndarray:
+    """Which runs have a letter so many times in sequence: their numbers, repeated and in any order."""
+    found = [np.zeros(0, np.int64)]
+    for w, (low, high) in enumerate(((0, 0x80), (0xC0, 0xE0), (0xE0, 0xF0)), 1):  # by the bytes of a letter
+        n = len(body) - w * times + 1
+        if n <= 0:
+            continue
+        own = body[:n]
+        at = np.flatnonzero((own == body[w : n + w]) & letter[:n] & (own >= low) & (own < high))
+        for k in range(1, w * (times - 1)):
+            at = at[body[at + k] == body[at + k + w]]
+        run = np.searchsorted(start, at, "right") - 1
+        found.append(run[at + w * times <= end[run]])
+    return np.concatenate(found)
+
 
 class _LetterWords:
     """Runs of letters: starts, ends, row, hash and number by row."""
 
     def __init__(self, body: np.ndarray, at: np.ndarray, letter: np.ndarray, total: np.ndarray):
-        n = len(body)
-        inside = np.zeros(n + 2, bool)
-        inside[1:-1] = letter
-        cut = np.zeros(n + 1, bool)
-        cut[at] = True
-        before, here = inside[:-1], inside[1:]
-        self.start = np.flatnonzero(here & (~before | cut))
-        self.end = np.flatnonzero(before & (~here | cut))
+        self.start, self.end = _runs(at, letter)
         self.row = np.searchsorted(at, self.start, "right") - 1
         self.count = np.bincount(self.row, minlength=len(at) - 1)
         self.hash = K.spans(body, self.start, self.end, total)
         with np.errstate(over="ignore"):
-            self.raw = (total[self.end] - total[self.start]) * K.powers(n + 1)[1][self.start]
-
-
-def _suspect_rows(body: np.ndarray, at: np.ndarray, letter: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Texts that may hold a suspect: a superset, found without looking at single tokens."""
-    n = len(body)
-    if n < 3:
-        return np.zeros(0, np.int64)
-    look = _LOOK_BYTE[body]
-    near = np.zeros(n, bool)
-    near[1:] |= look[1:] & letter[:-1]  # a look-alike behind a letter
-    near[:-1] |= look[:-1] & letter[1:]  # a look-alike before a letter
-    for w in (1, 2, 3):  # a letter thrice, by one of its bytes
-        if n > 2 * w:
-            own = body[2 * w :]
-            near[2 * w :] |= letter[2 * w :] & ((own < 128) == (w == 1)) & (own == body[w:-w]) & (own == body[: -2 * w])
-    gap = np.flatnonzero(_GAP_BYTE[body])  # two equal gaps with one character between them
-    if len(gap) > 1:
-        c, p = body[gap], place[gap]
-        near[gap[:-1][(c[1:] == c[:-1]) & (p[1:] - p[:-1] == 2)]] = True
-    return np.unique(np.searchsorted(at, np.flatnonzero(near), "right") - 1)
+            self.raw = (total[self.end] - total[self.start]) * K.powers(len(body) + 1)[1][self.start]
+
+
+def _suspect_spans(body: np.ndarray, at: np.ndarray, letter: np.ndarray, lead: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and rows of the suspects of all texts."""
+    # what _SUSPECT matches: runs of letters and look-alikes with both, or with a letter thrice
+    start, end = _runs(at, letter | _LOOK_BYTE[body])
+    count = np.concatenate(([0], np.cumsum(letter)))
+    count = count[end] - count[start]
+    found = (count > 0) & (count < end - start)
+    found[_repeated(body, letter, start, end, 3)] = True
+    start, end = start[found], end[found]
+    row = np.searchsorted(at, start, "right") - 1
+    gapped = _gapped_rows(body, at, letter, lead, place)
+    if len(gapped):  # there both kinds of suspects meet
+        own = ~np.isin(row, gapped)
+        spans = [(start[own], end[own], row[own])]
+        for r in gapped.tolist():
+            both = np.array(list(suspects(body[at[r] : at[r + 1]].tobytes().decode("utf-8", "replace"))), np.int64).reshape(-1, 2)
+            spans.append((*lead[place[at[r]] + both].T, np.full(len(both), r)))
+        start, end, row = (np.concatenate(x) for x in zip(*spans))
+        order = np.argsort(start)
+        start, end, row = start[order], end[order], row[order]
+    return start, end, row
+
+
+def _gapped_rows(body: np.ndarray, at: np.ndarray, letter: np.ndarray, lead: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Texts that may hold a match of _GAPPED: a superset, by its first two gaps and the characters beside them."""
+    gap = np.flatnonzero(_GAP_BYTE[body])
+    c, p = body[gap], place[gap]
+    two = np.flatnonzero((c[1:] == c[:-1]) & (p[1:] - p[:-1] == 2))
+    a, b = gap[:-1][two], gap[1:][two]
+    single = np.append(letter | _SINGLE_BYTE[body], False)  # also for what is before or behind all texts
+    more = single[a - 1] & single[a + 1] & single[b + 1]
+    a = a[more]
+    first = lead[place[a] - 1]
+    within = np.append(letter | _DIGIT_BYTE[body], False)
+    starts = np.zeros(len(body) + 1, bool)
+    starts[at] = True
+    return np.unique(np.searchsorted(at, a[~within[first - 1] | starts[first]], "right") - 1)
 
 
 _OUT = "score double, hits bigint, hidden bigint, toxic boolean"

@@ -97,6 +97,55 @@ def test_words_that_open_none_are_not_joined(model, monkeypatch):
     assert list(model.plain("we say mo ron here")) == [("mo ron", "moron")] and asked == ["=moron"]
 
 
+def test_only_tokens_that_may_hide_a_word_are_decoded(model, monkeypatch):
+    """A token without a path to a word with a weight isn't decoded; what suspects gain is the same as with all decoded."""
+    decoded, viterbi = [], T.viterbi
+    monkeypatch.setattr(T, "viterbi", lambda token, c: decoded.append(token) or viterbi(token, c))
+    for part in ("memory", "gains", "doubled"):
+        monkeypatch.setattr(model, part, {}, raising=False)
+    model.score(*K.texts(pa.array(["a house! 4 gr33n riv3r at 7a2f, b b b and hellooo", "so 1d10t it"])))
+    assert decoded == ["1d10t"]
+    rng = random.Random(4)
+    tokens = ["ab\u16801d10t", "m0r0n\u1680x", "**1d10t**", "x.m.0.r.0.n", "*#o*on", "trashhh1", "idiotic0"]
+    tokens += ["".join(rng.choice("idotmrnashx10@$*#. é") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    tokens += ["".join(rng.choice(c + {"o": "0", "i": "1", "a": "@", "s": "$"}.get(c, c)) for c in w) for w in ("idiot", "moron", "trash", "xmoronx") * 50]
+    gains = [model._gain(t, model.restore(t)) for t in tokens]
+    assert [model._suspect_gain(t) for t in tokens] == gains and sum(h > 0 for _, h in gains) > 100
+
+
+def test_suspects_of_many_texts(model):
+    """The spans found with array operations are those of `suspects`, and batches with cut, doubled and spelled-out words score as single texts do."""
+    rng = random.Random(8)
+    bits = ["a", "b ", "é", "éé", "日", " ", ".", "-", "*", "**", "0", "1", "@", "!", "+", "aaa", "bb", "ж", "жжж", "—", "🙂", "\n", "\u1680", " a b c", " m.o.r.o.n", "mo ron ", "id iot", " tra-sh-", "trrash ", "iddiot", "1d10t", "moron "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    body, at = K.texts(pa.array(texts))
+    begins = (body & 0xC0) != 0x80
+    start, end, row = T._suspect_spans(body, at, T.letters(body), np.append(np.flatnonzero(begins), len(body)), np.cumsum(begins) - 1)
+    got = [(r, body[a:b].tobytes().decode(), a - at[r]) for a, b, r in zip(start, end, row)]
+    assert got == [(r, t[a:b], len(t[:a].encode())) for r, t in enumerate(texts) for a, b in T.suspects(t)] and len(got) > 5000
+    for t, a, b, c in zip(texts, *model.score(body, at)):
+        want = model.score_one(t)
+        assert abs(want[0] - a) < 1e-9 and want[1:] == (b, c), t
+
+
+@pytest.mark.parametrize("most", [1, 200, 1 << 22])
+def test_counts_by_definition(monkeypatch, most):
+    """Tokens and texts of each word and beginning, in slices of any size."""
+    monkeypatch.setattr(T, "COUNTED", most)
+    rng = random.Random(3)
+    bits = ["idiotic", "Idiots", "ñandúes", "日本語の文字列", "a", "ab1cd", "--", " ", "\n", "ΣΑΣ", "İx", "🙂", "thousand", "thou"]
+    rows = [(" ".join(rng.choice(bits) for _ in range(rng.randint(0, 15))), rng.randint(0, 1)) for _ in range(150)] + [(None, 1), ("", 0)]
+    want, words = {}, [1.0, 1.0]
+    for text, t in rows:
+        found = T._WORD.findall((text or "").lower())
+        words[t] += len(found)
+        for k, fs in ((t, [f for w in found for f in T.features(w)]), (2 + t, {f for w in found for f in T.features(w)})):
+            for f in fs:
+                want.setdefault(f, [0, 0, 0, 0])[k] += 1
+    got = T._Counts(rows)
+    assert got.of == want and got.words == words and got.sizes == [sum(t == k for _, t in rows) for k in (0, 1)]
+
+
 def test_short_spelled_word():
     small = T.Model([("you are an ass " + "plain words here " * 5, 1)] * 40 + [("you are fine as plain words here " * 5, 0)] * 200)
     body, at = K.texts(pa.array(["you are an a s s", "you are an a$$", "you are an as"]))
