@@ -10,6 +10,7 @@ from string import Formatter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ..sources import config, project
 from . import rules as R
 from . import runner
@@ -45,9 +46,14 @@ def files(rows: DataFrame, path: Column, content: Column) -> DataFrame:
     return rows.select(path.alias("path"), content.alias("content"))
 
 
-def parts_project(t, template: str, path: Column | None = None, **parts: Column) -> project.Project:
+def parts_project(t, template: str, path: Column | None = None, kinds: tuple[str, ...] | None = None, **parts: Column) -> project.Project:
+    """The project of one file a part, with facts of some kinds. The table is spread over tasks before it becomes texts."""
     path = text("lib/p{k}.dart") if path is None else path
-    return project.from_files(files(t("part"), path, text(template, **parts)), project.Profile("demo"))
+    return project.from_files(files(part_rows(t), path, text(template, **parts)), project.Profile("demo"), kinds=kinds, even=True)
+
+
+def part_rows(t) -> DataFrame:
+    return spread(t("part").select(KEY, "p_size"), KEY)
 
 
 def _print(rule: str, anchor: str, path: str = "'lib/p' || p_partkey || '.dart'") -> str:
@@ -73,7 +79,7 @@ _CATCH = "slop-empty-catch"
 )
 def q_dart_empty_catch(t):
     source = "class C{k} {{\n  void run() {{\n    try {{ go(); }} catch (e) {{{body} }}\n    try {{ go(); }} on Error catch (e) {{ /* why */ }}\n  }}\n}}\n"
-    return R.slop_empty_catch(parts_project(t, source, body=case(3, "", " /* x */ ", " log(e); ")), ()).select(*FOUND)
+    return R.slop_empty_catch(parts_project(t, source, kinds=("catch",), body=case(3, "", " /* x */ ", " log(e); ")), ()).select(*FOUND)
 
 
 _TOLD = "slop-narrative-comment"
@@ -89,7 +95,7 @@ def q_dart_comments(t):
     told = F.when(size(4) == 0, text("Big{k}")).when(size(4) == 1, text("The big{k} widget.")).otherwise(case(4, "", "", "Holds what matters", "Constructor"))
     inner = F.when(size(2) == 0, text("go{k}!")).otherwise("Runs it")
     source = "// {told}\nclass Big{k} {{\n  // {inner}\n  void go{k}() {{}}\n}}\n// Colour\nenum Colour {{ red }}\n"
-    return R.slop_narrative_comment(parts_project(t, source, told=told, inner=inner), ()).select(*FOUND)
+    return R.slop_narrative_comment(parts_project(t, source, kinds=("comment", "decl"), told=told, inner=inner), ()).select(*FOUND)
 
 
 _IGNORE = "slop-unjustified-ignore"
@@ -103,7 +109,7 @@ _IGNORE = "slop-unjustified-ignore"
 )
 def q_dart_ignores(t):
     source = "{above}\n  // ignore: b_{k} , a_x\nint z = 3;\nint x = 1; // ignore_for_file: dead_code{why}\n"
-    rows = R.slop_unjustified_ignore(parts_project(t, source, above=case(2, "// why", "int y = 2;"), why=case(3, " - known", "", "")), ())
+    rows = R.slop_unjustified_ignore(parts_project(t, source, kinds=(), above=case(2, "// why", "int y = 2;"), why=case(3, " - known", "", "")), ())
     return rows.select("file_path", "line", F.col("column").alias("col"), "kind", "fingerprint")
 
 
@@ -129,7 +135,7 @@ def q_dart_widgets(t):
         "d": case(4, "", ", label: 'z'", ", label: ''", ", tooltip: null"),
         "extra": case(2, "import 'dart:ui';\n", "import 'package:fancy/fancy.dart';\n"),
     }
-    p = parts_project(t, source, **args)
+    p = parts_project(t, source, kinds=("decl", "node", "uri"), **args)
     rules = (R.a11y_image_label, R.a11y_icon_button_label, R.a11y_form_field_label, R.a11y_interactive_semantics)
     out = rules[0](p, ())
     for rule in rules[1:]:
@@ -146,7 +152,7 @@ def _decisions(t) -> project.Project:
         "  final c = switch (a) {{ 1 || 2 => 3, int n when (n > 9) => 4, _ => 5 }};\n  return a ? b ?? 1 : 2;\n}}\n"
     )
     many = lambda x, n: F.repeat(F.lit(x), (size(n)).cast("int"))
-    return parts_project(t, source, ifs=many("  if (a == 1 && b) { go(); }\n", 7), loops=many("  for (var i in a) { if (i) { go(); } else { no(); } }\n", 5))
+    return parts_project(t, source, kinds=("point", "unit"), ifs=many("  if (a == 1 && b) { go(); }\n", 7), loops=many("  for (var i in a) { if (i) { go(); } else { no(); } }\n", 5))
 
 
 @query(f"SELECT 'lib/p' || p_partkey || '.dart' AS file_path, 1 AS line, 'f' || p_partkey AS qualified_name, cyclomatic + 1 AS cyclomatic, cognitive AS cognitive FROM ({_METRICS})")
@@ -184,8 +190,9 @@ def q_dart_unused(t):
     )
     use = lambda n, x: F.when(size(n) == 0, text(x)).otherwise("")
     test = text("void main() {{ {a}{b}{c}{d} }}\n", a=use(2, "A{k}(); "), b=use(3, "it.m{k}(); "), c=use(5, "u{k}(); "), d=use(7, "1.x{k}(); "))
-    own = files(t("part"), text("lib/src/p{k}.dart"), text(source)).unionByName(files(t("part"), text("test/p{k}_test.dart"), test))
-    return R.unused_public_exports(project.from_files(own, project.Profile("demo")), ()).select(*FOUND)
+    rows = part_rows(t)
+    own = files(rows, text("lib/src/p{k}.dart"), text(source)).unionByName(files(rows, text("test/p{k}_test.dart"), test))
+    return R.unused_public_exports(project.from_files(own, project.Profile("demo"), kinds=("decl", "ref", "supertype", "uri"), even=True), ()).select(*FOUND)
 
 
 @query(
@@ -197,7 +204,8 @@ def q_dart_duplicates(t):
     k = F.col("c_custkey").cast("string")
     statement = text(" x{k} = add{k}(x{k}, 1) + y{k};", k=k)
     source = text("void f{k}() {{{body} }}\n", k=k, body=F.repeat(statement, (5 + F.col("c_nationkey") % 5).cast("int")))
-    p = project.from_files(files(t("customer"), text("lib/c{k}.dart", k=k), source), project.Profile("demo"))
+    rows = spread(t("customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    p = project.from_files(files(rows, text("lib/c{k}.dart", k=k), source), project.Profile("demo"), kinds=("body",), even=True)
     found = F.regexp_extract("message", r"^(\d+) bodies of (\d+) tokens", 1), F.regexp_extract("message", r"^(\d+) bodies of (\d+) tokens", 2)
     return R.code_duplicates(p, ("lib",)).select("file_path", "line", found[1].cast("int").alias("token_count"), found[0].cast("long").alias("n"), "fingerprint")
 
@@ -236,7 +244,7 @@ def _suppressed(t) -> project.Project:
     path = F.when(size(5) == 0, text("tool/gen/p{k}.dart")).otherwise(text("lib/p{k}.dart"))
     known = case(2, "// sluice-ignore: slop-empty-catch - known", "// sluice-ignore: slop-empty-catch")
     source = "void f{k}() {{\n  {known}\n  try {{ go(); }} catch (e) {{}}\n  try {{ go(); }} catch (e) {{}}\n}}\n// G{k}\nclass G{k} {{}}\n"
-    return parts_project(t, source, path, known=known)
+    return parts_project(t, source, path, ("catch", "comment", "decl"), known=known)
 
 
 @query("SELECT count(*) * 3 AS raw, count(*) FILTER (p_size % 5 = 0) * 3 + count(*) FILTER (p_size % 5 <> 0 AND p_size % 2 = 0) AS suppressed FROM part")
@@ -247,7 +255,7 @@ def q_dart_suppressed(t):
 
 def _broken(t) -> project.Project:
     path = F.when(size(3) == 0, text("bin/p{k}.dart")).otherwise(text("lib/p{k}.dart"))
-    return parts_project(t, "{part}void f{k}() {{\n}}\n{bad}", path, part=F.when(size(6) == 0, "part of 'x.dart';\n").otherwise(""), bad=F.when(size(4) == 0, "void broken( {\n").otherwise(""))
+    return parts_project(t, "{part}void f{k}() {{\n}}\n{bad}", path, (), part=F.when(size(6) == 0, "part of 'x.dart';\n").otherwise(""), bad=F.when(size(4) == 0, "void broken( {\n").otherwise(""))
 
 
 @query("SELECT CASE WHEN p_size % 3 = 0 THEN 'bin/p' ELSE 'lib/p' END || p_partkey || '.dart' AS path FROM part WHERE p_size % 4 = 0 AND p_size % 6 <> 0")
@@ -270,4 +278,5 @@ def q_dart_stats(t):
 def q_dart_codegen(t):
     above = F.when(size(3) == 0, "Table").when(size(3) == 1, "Notifier").otherwise(text("_$G{k}"))
     part = case(2, "part 'p.g.dart';\n", "")
-    return R.codegen_inputs(parts_project(t, "{part}{note}class G{k} extends {above} {{}}\nclass H{k} extends G{k} {{}}\n", part=part, above=above, note=F.when(size(5) == 0, "@freezed\n").otherwise("")))
+    source = "{part}{note}class G{k} extends {above} {{}}\nclass H{k} extends G{k} {{}}\n"
+    return R.codegen_inputs(parts_project(t, source, kinds=("decl", "supertype", "uri"), part=part, above=above, note=F.when(size(5) == 0, "@freezed\n").otherwise("")))

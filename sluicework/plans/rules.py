@@ -71,12 +71,13 @@ def finding(rows: DataFrame, rule: str, anchor: Column, message: Column, kind: C
 
 
 def facts(p: Project, kind: str, generated: bool = False, parts: bool = True) -> DataFrame:
-    keep = p.files.where("status = 'ok'")
+    """Facts of a kind; files that can't be parsed have none. generated, parts: whether to take those of such files."""
+    if p.kinds is not None and kind not in p.kinds:
+        raise ValueError(f"facts of the kind {kind} weren't asked for")
+    rows = p.facts.where(F.col("fact") == kind).where("path is not null")
     if not generated:
-        keep = keep.where("not is_generated")
-    if not parts:
-        keep = keep.where("not is_part")
-    return p.facts.where(F.col("fact") == kind).join(keep.select("path"), "path", "left_semi")
+        rows = rows.where(~P.generated(F.col("path")))
+    return rows if parts else rows.where("not is_part")
 
 
 def import_edges(p: Project) -> DataFrame:

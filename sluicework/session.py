@@ -1,14 +1,18 @@
-"""Session helpers: reading tables, cutting lineage in the shared folder, checking broadcast sizes."""
+"""Session helpers: reading tables, spreading rows over tasks, cutting lineage in the shared folder, checking broadcast sizes."""
 
 from __future__ import annotations
 
+import math
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a narrow side that may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Rows (files, manifests) that one task of row-at-a-time Python takes at most, and at least before they are cut finer.
+TASK_ROWS, TASK_LEAST = 4_000, 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df without its lineage, by a checkpoint in the folder that spark.checkpoint.dir names.
+    """df without its lineage: written as Parquet to the folder that spark.checkpoint.dir names, and read from there.
+
+    Parquet is smaller than the rows of a checkpoint, and readers take only the columns that they need.
 
     A plain local session without that setting gets a temporary folder; on a cluster the setting is needed.
     """
@@ -28,7 +34,20 @@ def settle(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="sluicework-")
         context.setCheckpointDir(named)
-    return df.checkpoint()
+    at = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def spread(rows: DataFrame, key: str, most: int = TASK_ROWS) -> DataFrame:
+    """rows in partitions of at most some ``most`` rows, and as many as there are cores.
+
+    A table of one file, or of few row groups, is read by as few tasks, however long each row takes. Rows are counted by
+    partition, which reads no column, and sent elsewhere only if a partition holds too many.
+    """
+    held = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    each = min(most, max(TASK_LEAST, math.ceil(sum(held) / rows.sparkSession.sparkContext.defaultParallelism)))
+    return rows.repartition(math.ceil(sum(held) / each), key) if max(held, default=0) > 1.5 * each else rows
 
 
 def small_enough(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

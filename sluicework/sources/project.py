@@ -8,16 +8,22 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frontend.parser import FACT_COLUMNS, parse
 from ..functions import paths as P
-from ..session import settle
+from ..session import settle, spread
 from . import yaml
 
 DIRS = ("lib", "bin", "test", "tool")
 _NAMES = [c.split()[0] for c in FACT_COLUMNS.split(", ")]
+#: Facts with what a rule must know of their file.
+_STORED = FACT_COLUMNS + ", is_part boolean"
+_ARROW = [{"string": pa.string(), "int": pa.int32(), "map<string,string>": pa.map_(pa.string(), pa.string()), "array<string>": pa.list_(pa.string())}[c.split()[1]] for c in FACT_COLUMNS.split(", ")]
+#: Facts and tokens that a task holds before it passes them on.
+_HELD = 20_000, 500_000
 GENERATORS = frozenset("source_gen build_runner riverpod_generator retrofit_generator freezed mobx_codegen json_serializable injectable_generator hive_generator".split())
 
 
@@ -33,12 +39,16 @@ class Profile:
 
 @dataclass
 class Project:
-    """files: path, content, is_generated, is_part, status, reason, lines; facts: see `frontend.parser`."""
+    """files: path, content, is_generated, is_part, status, reason, lines; facts: see `frontend.parser`, with is_part.
+
+    kinds: which facts there are besides those of files; None for all.
+    """
 
     root: str
     profile: Profile
     files: DataFrame
     facts: DataFrame
+    kinds: frozenset[str] | None = None
 
     def errors(self) -> DataFrame:
         """Files that can't be parsed, but for parts: their library's row says enough."""
@@ -81,29 +91,35 @@ def profiles(manifests: DataFrame, key: str, manifest: str) -> DataFrame:
     return manifests.select(key, manifest).mapInPandas(run, f"{key} {kind}, package string, generators string, is_flutter boolean, is_publishable boolean")
 
 
-def _facts(package: str):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, content in zip(frame["path"], frame["content"]):
-                for fact in parse(path, content):
+def _facts(package: str, kinds: frozenset[str] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, tokens = [], 0
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = parse(path, content, kinds)
+                part = found[-1]["props"]["part"] == "true"
+                for fact in found:
                     if fact["fact"] == "uri":
                         fact["props"]["target"] = resolve(path, fact["props"]["uri"], package)
-                    rows.append([fact[n] for n in _NAMES])
-                if len(rows) > 20_000:
-                    yield _frame(rows)
-                    rows = []
+                    fact["is_part"] = part
+                    tokens += len(fact["items"])
+                rows += found
+                if len(rows) > _HELD[0] or tokens > _HELD[1]:
+                    yield _batch(rows)
+                    rows, tokens = [], 0
             if rows:
-                yield _frame(rows)
+                yield _batch(rows)
 
     return run
 
 
-def _frame(rows: list) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=_NAMES)
-    for n in ("line", "col", "end_line", "pre", "post", "seq"):
-        out[n] = out[n].astype("Int32")
-    return out
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    """Facts by kind, so that a reader of one kind can skip the others' pages."""
+    rows.sort(key=lambda r: r["fact"])
+    cols = [pa.array([r[n] for r in rows], kind) for n, kind in zip(_NAMES, _ARROW) if n not in ("props", "items")]
+    maps = pa.array([list(r["props"].items()) for r in rows], _ARROW[_NAMES.index("props")])
+    items = pa.array([r["items"] for r in rows], _ARROW[_NAMES.index("items")])
+    return pa.RecordBatch.from_arrays([*cols, maps, items, pa.array([r["is_part"] for r in rows], pa.bool_())], names=[*_NAMES, "is_part"])
 
 
 def resolve(path: str, uri: str, package: str) -> str:
@@ -117,17 +133,22 @@ def resolve(path: str, uri: str, package: str) -> str:
     return "" if target.startswith("..") else target
 
 
-def facts_of(files: DataFrame, package: str = "") -> DataFrame:
+def facts_of(files: DataFrame, package: str = "", kinds: frozenset[str] | None = None) -> DataFrame:
     """Facts of a table (path, content)."""
-    return files.select("path", "content").mapInPandas(_facts(package), FACT_COLUMNS)
+    return files.select("path", "content").mapInArrow(_facts(package, kinds), _STORED)
+
 
+def from_files(files: DataFrame, profile: Profile = Profile(), root: str = "", kinds: tuple[str, ...] | None = None, even: bool = False) -> Project:
+    """A project of a table (path, content). Files are parsed once: all rules read the settled facts.
 
-def from_files(files: DataFrame, profile: Profile = Profile(), root: str = "") -> Project:
-    """A project of a table (path, content). Files are parsed once: all rules read the checkpointed facts."""
-    facts = settle(facts_of(files, profile.package))
-    state = facts.where("fact = 'file'").select("path", F.col("name").alias("status"), (F.col("props")["part"] == "true").alias("is_part"), F.col("props")["reason"].alias("reason"), F.col("end_line").alias("lines"))
+    kinds: the facts that are asked for, all by default. even: whether the files already lie in tasks of bounded size.
+    """
+    kinds = None if kinds is None else frozenset(kinds)
+    files = files if even else spread(files, "path")
+    facts = settle(facts_of(files, profile.package, kinds))
+    state = facts.where("fact = 'file'").select("path", F.col("name").alias("status"), "is_part", F.col("props")["reason"].alias("reason"), F.col("end_line").alias("lines"))
     full = files.select("path", "content").join(state, "path").withColumn("is_part", F.coalesce("is_part", F.lit(False)))
-    return Project(root, profile, full.withColumn("is_generated", P.generated(F.col("path"))), facts)
+    return Project(root, profile, full.withColumn("is_generated", P.generated(F.col("path"))), facts, kinds)
 
 
 def load(spark: SparkSession, root: str) -> Project:
