@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import posixpath
 from collections.abc import Iterator
@@ -93,6 +94,13 @@ def profiles(manifests: DataFrame, key: str, manifest: str) -> DataFrame:
 
 def _facts(package: str, kinds: frozenset[str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # facts make no cycles, and their number would set it off again and again
+        try:
+            yield from some(batches)
+        finally:
+            gc.enable()
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, tokens = [], 0
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

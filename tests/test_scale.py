@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluicework.frontend.parser import parse
-from sluicework.plans import generated, rules
+from sluicework.operators import report
+from sluicework.plans import catalogue, generated, rules
 from sluicework.session import spread
 from sluicework.sources import project
 
@@ -52,3 +53,18 @@ def test_only_the_facts_asked_for(spark):
     assert rules.facts(p, "decl").count() == 2
     with pytest.raises(ValueError):
         rules.facts(p, "node")
+
+
+def test_a_text_of_all_rows_is_put_together_from_pieces(spark):
+    rows = [(f"f{k % 3}", k % 7, f"p{k:02d}", None if k == 5 else f"é{k}") for k in range(40)]
+    df = spark.createDataFrame(rows, "path string, line int, print string, t string").repartition(3)
+    got = report.joined_text(df, ["path", "line", "print"], F.col("t"), "\n\n")
+    assert [r.text for r in got.collect()] == ["\n\n".join(r[3] for r in sorted(rows, key=lambda r: r[:3]) if r[3] is not None)]
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.text for r in report.joined_text(df.where("line > 99"), ["path"], F.col("t"), ",").collect()] == [None]
+    assert [r.text for r in report.joined_text(df.where("t is null"), ["path"], F.col("t"), ",").collect()] == [""]
+
+
+def test_the_prompt_collects_no_rows(spark, sf_dir):
+    plan = catalogue.QUERIES["q_fix_prompt"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
