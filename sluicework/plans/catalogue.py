@@ -9,6 +9,7 @@ from ..functions import identity as I
 from ..functions import paths as P
 from ..operators import clones, diff, graph, health, lines, report
 from .. import reporters
+from ..session import placed
 from ..sources import config, project
 from . import generated  # noqa: F401  its queries register themselves
 from . import rules as R
@@ -259,10 +260,11 @@ SELECT d.l_orderkey, d.l_linenumber, max_by(c.l_quantity, c.l_linenumber) AS com
 GROUP BY d.l_orderkey, d.l_linenumber"""
 )
 def q_comment_adjacency(t):
-    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    above = rows.where("l_quantity > 40").select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_linenumber").alias("at"), F.col("l_quantity").alias("comment"))
+    """A line may occur twice in an order: of equal numbers the table's last row counts, as in the SQL."""
+    rows = placed(t("lineitem")).select("l_orderkey", "l_linenumber", "l_quantity", "place")
+    above = rows.where("l_quantity > 40").select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_linenumber").alias("at"), "place", F.col("l_quantity").alias("comment"))
     key = ["l_orderkey", "l_linenumber"]
-    return lines.last_by(above, key, ["at"], ["comment"]).join(rows.select(*key), key, "left_semi")
+    return lines.last_by(above, key, ["at", "place"], ["comment"]).join(rows.select(*key), key, "left_semi")
 
 
 # complexity

@@ -6,6 +6,7 @@ import math
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def placed(df: DataFrame, name: str = "place") -> DataFrame:
+    """df with each row's place in its table: file and row for tables that are read from files, else the order of partitions."""
+    try:
+        return df.withColumn(name, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    except AnalysisException:
+        return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def settle(df: DataFrame) -> DataFrame:
     """df without its lineage: written as Parquet to the folder that spark.checkpoint.dir names, and read from there.
 

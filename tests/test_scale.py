@@ -68,3 +68,15 @@ def test_a_text_of_all_rows_is_put_together_from_pieces(spark):
 def test_the_prompt_collects_no_rows(spark, sf_dir):
     plan = catalogue.QUERIES["q_fix_prompt"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+def test_of_equal_lines_the_last_of_the_table_counts(spark, tmp_path):
+    """Rows of one number lie far apart, in tasks of different sizes that are read in another order than the table's."""
+    rows = [(k % 50, 1 + k // 50 % 2, 41.0 + (k * 7) % 900) for k in range(900)]
+    for n, (a, b) in enumerate(((0, 30), (30, 880), (880, 900))):
+        spark.createDataFrame(rows[a:b], "l_orderkey long, l_linenumber int, l_quantity double").coalesce(1).write.parquet(str(tmp_path / f"{n}.parquet"))
+    last = {(o, n + 1): q for o, n, q in rows}
+    here = {(o, n) for o, n, _ in rows}
+    got = catalogue.q_comment_adjacency(lambda _: spark.read.parquet(str(tmp_path / "*.parquet")))
+    want = {k: q for k, q in last.items() if k in here}
+    assert want and {(r.l_orderkey, r.l_linenumber): r.comment for r in got.collect()} == want
