@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def baseline_diff(current: DataFrame, base: DataFrame, key: str = "fingerprint") -> DataFrame:
     """All rows of both with ``status``: current rows are new or kept, baseline rows without a match are fixed.
 
-    Keys may repeat: every current row with a known key is kept.
+    Keys may repeat: every current row with a known key is kept. Both sides are shuffled by key once and sorted there, so
+    that no task holds the keys of what it reads; a key's rows may spill.
     """
-    known, seen = base.select(key).distinct(), current.select(key).distinct()
     cols = [c for c in current.columns if c in base.columns]
-    new = current.join(known, key, "left_anti").select(*cols, F.lit("new").alias("status"))
-    kept = current.join(known, key, "left_semi").select(*cols, F.lit("kept").alias("status"))
-    fixed = base.join(seen, key, "left_anti").select(*cols, F.lit("fixed").alias("status"))
-    return new.unionByName(kept).unionByName(fixed)
+    both = current.select(*cols, F.lit(False).alias("__old")).unionByName(base.select(*cols, F.lit(True).alias("__old")))
+    group = Window.partitionBy(key)
+    met = F.col(key).isNotNull() & (F.max("__old").over(group) != F.min("__old").over(group))
+    rows = both.withColumn("__met", met).where(~(F.col("__old") & F.col("__met")))
+    return rows.select(*cols, F.when(F.col("__old"), "fixed").when(F.col("__met"), "kept").otherwise("new").alias("status"))
 
 
 def ratchet(diff: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """What must hold at any size: work that is spread, memory that is bounded, and ties that are settled."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sluicework.frontend.parser import parse
-from sluicework.operators import report
+from sluicework.operators import clones, diff, report
 from sluicework.plans import catalogue, generated, rules
 from sluicework.session import spread
 from sluicework.sources import project
@@ -80,3 +81,13 @@ def test_of_equal_lines_the_last_of_the_table_counts(spark, tmp_path):
     got = catalogue.q_comment_adjacency(lambda _: spark.read.parquet(str(tmp_path / "*.parquet")))
     want = {k: q for k, q in last.items() if k in here}
     assert want and {(r.l_orderkey, r.l_linenumber): r.comment for r in got.collect()} == want
+
+
+def test_a_diff_keeps_no_keys_in_hash_tables(spark):
+    rows = lambda xs: spark.createDataFrame(xs, "fingerprint string, line int")
+    cur, base = rows([("a", 1), ("a", 2), ("b", 3), (None, 4)]), rows([("a", 5), ("a", 5), ("c", 6), ("c", 7), (None, 8)])
+    found = diff.baseline_diff(cur, base)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted((r.line, r.status) for r in found.collect())
+    assert got == [(1, "kept"), (2, "kept"), (3, "new"), (4, "new"), (6, "fixed"), (7, "fixed"), (8, "fixed")]
+    assert found.columns == ["fingerprint", "line", "status"]
