@@ -20,6 +20,8 @@ from . import yaml
 
 DIRS = ("lib", "bin", "test", "tool")
 _NAMES = [c.split()[0] for c in FACT_COLUMNS.split(", ")]
+#: Manifests that one task reads.
+TASK_MANIFESTS = 20_000
 #: Facts with what a rule must know of their file.
 _STORED = FACT_COLUMNS + ", is_part boolean"
 _ARROW = [{"string": pa.string(), "int": pa.int32(), "map<string,string>": pa.map_(pa.string(), pa.string()), "array<string>": pa.list_(pa.string())}[c.split()[1]] for c in FACT_COLUMNS.split(", ")]
@@ -89,7 +91,7 @@ def profiles(manifests: DataFrame, key: str, manifest: str) -> DataFrame:
             yield pd.DataFrame({key: frame[key], "package": [x.package for x in found], "generators": [",".join(x.generators) for x in found], "is_flutter": [x.is_flutter for x in found], "is_publishable": [x.is_publishable for x in found]})
 
     kind = manifests.schema[key].dataType.simpleString()
-    return manifests.select(key, manifest).mapInPandas(run, f"{key} {kind}, package string, generators string, is_flutter boolean, is_publishable boolean")
+    return spread(manifests.select(key, manifest), key, TASK_MANIFESTS).mapInPandas(run, f"{key} {kind}, package string, generators string, is_flutter boolean, is_publishable boolean")
 
 
 def _facts(package: str, kinds: frozenset[str] | None):
