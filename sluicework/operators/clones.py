@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 MIN_TOKENS, MIN_DISTINCT = 50, 8
+#: Tokens that are numbered at once: some 60 MB. A longer block is a slice of its own.
+SLICE = 400_000
 
 
 def exact_clusters(rows: DataFrame, content: Column, location: Column, extra: dict[str, Column] | None = None) -> DataFrame:
@@ -32,10 +34,10 @@ def split_kind(item: str) -> tuple[str, str]:
 
 
 def _normal(blocks: int, kind_of: Callable[[str], tuple[str, str]], slotted: tuple[str, ...], min_distinct: int):
-    """Batches of (items, block columns) to (block columns, token_count, digest), all tokens of a batch at once."""
+    """Batches of (items, block columns) to (block columns, token_count, digest), all tokens of a slice at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in slices(whole)):
             lists = batch.column(0)
             code = lists.flatten().dictionary_encode()
             words = [kind_of(w) for w in code.dictionary.to_pylist()]
@@ -62,6 +64,19 @@ def _normal(blocks: int, kind_of: Callable[[str], tuple[str, str]], slotted: tup
     return run
 
 
+def slices(batch: pa.RecordBatch, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose lists, in its first column, have at most SLICE items together."""
+    size = pc.fill_null(pc.list_value_length(batch.column(0)), 0).to_numpy(zero_copy_only=False)
+    start, held, most = 0, 0, most or SLICE
+    for k, n in enumerate(size.tolist()):
+        if held and held + n > most:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def renamed_clusters(rows: DataFrame, block: list[str], items: str = "items", kind_of: Callable[[str], tuple[str, str]] = split_kind, slotted: tuple[str, ...] = ("id", "lit"), min_tokens: int = MIN_TOKENS, min_distinct: int = MIN_DISTINCT) -> DataFrame:
     """(digest, token_count, blocks) of blocks that are equal but for a consistent renaming. One row is one block.
 

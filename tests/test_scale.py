@@ -91,3 +91,24 @@ def test_a_diff_keeps_no_keys_in_hash_tables(spark):
     got = sorted((r.line, r.status) for r in found.collect())
     assert got == [(1, "kept"), (2, "kept"), (3, "new"), (4, "new"), (6, "fixed"), (7, "fixed"), (8, "fixed")]
     assert found.columns == ["fingerprint", "line", "status"]
+
+
+def test_manifests_are_read_by_several_tasks(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(project, "spread", lambda rows, *a: seen.append(spread(rows, *a)) or seen[-1])
+    rows = one_task(spark, 1000).select("k", F.concat(F.lit("name: p"), F.col("k").cast("string")).alias("m"))
+    got = project.profiles(rows, "k", "m")
+    assert len(sizes(seen[0])) >= 4 and {r.package for r in got.collect()} == {f"p{k}" for k in range(1000)}
+
+
+def test_tokens_are_numbered_in_slices(spark, monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array([["a"] * 3, ["b"] * 4, None, ["c"] * 20, ["d"], ["e"] * 7, []])], names=["items"])
+    got = [b.column(0).to_pylist() for b in clones.slices(batch, 8)]
+    assert [[len(x or []) for x in b] for b in got] == [[3, 4, 0], [20], [1, 7, 0]]
+    monkeypatch.setattr(clones, "SLICE", 30)
+    run = clones._normal(1, clones.split_kind, ("id",), 1)
+    rows = [[f"id\x01{chr(97 + (i + k) % 5)}" for i in range(10)] for k in range(40)]
+    whole = pa.RecordBatch.from_arrays([pa.array(rows), pa.array(range(40))], names=["items", "b0"])
+    out = list(run(iter([whole])))
+    assert len(out) == 14 and max(b.num_rows for b in out) == 3
+    assert len({d for b in out for d in b.column("digest").to_pylist()}) == 1 and [k for b in out for k in b.column("b0").to_pylist()] == list(range(40))
