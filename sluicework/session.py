@@ -28,10 +28,8 @@ def placed(df: DataFrame, name: str = "place") -> DataFrame:
         return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df without its lineage: written as Parquet to the folder that spark.checkpoint.dir names, and read from there.
-
-    Parquet is smaller than the rows of a checkpoint, and readers take only the columns that they need.
+def _shared(df: DataFrame) -> str:
+    """The folder of checkpoints: what spark.checkpoint.dir names.
 
     A plain local session without that setting gets a temporary folder; on a cluster the setting is needed.
     """
@@ -43,7 +41,18 @@ def settle(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             named = tempfile.mkdtemp(prefix="sluicework-")
         context.setCheckpointDir(named)
-    at = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    return context.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df without its lineage, by a checkpoint in the shared folder."""
+    _shared(df)
+    return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder and read from there, so that readers take only the columns they need."""
+    at = f"{_shared(df)}/{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..frontend.parser import FACT_COLUMNS, parse
 from ..functions import paths as P
-from ..session import settle, spread
+from ..session import spread, stored
 from . import yaml
 
 DIRS = ("lib", "bin", "test", "tool")
@@ -149,13 +149,13 @@ def facts_of(files: DataFrame, package: str = "", kinds: frozenset[str] | None =
 
 
 def from_files(files: DataFrame, profile: Profile = Profile(), root: str = "", kinds: tuple[str, ...] | None = None, even: bool = False) -> Project:
-    """A project of a table (path, content). Files are parsed once: all rules read the settled facts.
+    """A project of a table (path, content). Files are parsed once: all rules read the stored facts.
 
     kinds: the facts that are asked for, all by default. even: whether the files already lie in tasks of bounded size.
     """
     kinds = None if kinds is None else frozenset(kinds)
     files = files if even else spread(files, "path")
-    facts = settle(facts_of(files, profile.package, kinds))
+    facts = stored(facts_of(files, profile.package, kinds))
     state = facts.where("fact = 'file'").select("path", F.col("name").alias("status"), "is_part", F.col("props")["reason"].alias("reason"), F.col("end_line").alias("lines"))
     full = files.select("path", "content").join(state, "path").withColumn("is_part", F.coalesce("is_part", F.lit(False)))
     return Project(root, profile, full.withColumn("is_generated", P.generated(F.col("path"))), facts, kinds)
