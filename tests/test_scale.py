@@ -35,7 +35,7 @@ def test_files_are_parsed_by_several_tasks(spark):
     assert len(p.facts.inputFiles()) >= 4 and p.facts.where("fact = 'decl'").select("name").distinct().count() == 1000
 
 
-SPREAD = ["complexity", "hotspots"]
+SPREAD = ["complexity", "hotspots", "widgets"]
 
 
 @pytest.mark.parametrize("name", SPREAD)
