@@ -35,7 +35,7 @@ def test_files_are_parsed_by_several_tasks(spark):
     assert len(p.facts.inputFiles()) >= 4 and p.facts.where("fact = 'decl'").select("name").distinct().count() == 1000
 
 
-SPREAD = ["complexity", "hotspots", "widgets", "duplicates", "unused", "empty_catch", "scan", "suppressed", "comments", "codegen"]
+SPREAD = ["complexity", "hotspots", "widgets", "duplicates", "unused", "empty_catch", "scan", "suppressed", "comments", "codegen", "ignores"]
 
 
 @pytest.mark.parametrize("name", SPREAD)
